@@ -167,3 +167,52 @@ def components(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataF
 
 def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def sorted_groups(frames: Iterator, keys: list[str]) -> Iterator:
+    """Arrow tables of the rows that share ``keys``, from batches in which such rows follow each other."""
+    import pyarrow as pa
+
+    held: list = []
+    held_key = None
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)) for k in keys]
+        cut = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(cut).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(c[a] for c in cols)
+            if held and key != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def vector_matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows kept, matrix in double) of an Arrow list column: those of the given or their common length without null or non-finite components."""
+    import pyarrow as pa
+
+    col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(col)
+    offsets = np.asarray(col.offsets)
+    lens = np.diff(offsets)
+    ok = ~np.asarray(col.is_null()) & (lens > 0)
+    flat = np.asarray(col.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+    bad = ~np.isfinite(flat)
+    if bad.any():
+        sums = np.concatenate([[0], np.cumsum(bad)])
+        ok &= (sums[offsets[1:]] - sums[offsets[:-1]]) == 0
+    if dim is not None:
+        ok &= lens == dim
+    rows = np.flatnonzero(ok)
+    if not n or not len(rows):
+        return rows[:0], np.zeros((0, dim or 0))
+    d = int(lens[rows[0]])
+    rows = rows[lens[rows] == d]
+    return rows, flat[offsets[rows][:, None] + np.arange(d)]

@@ -1 +1,18 @@
+"""SQL for DuckDB whose rows equal those of a query of this subpackage."""
 
+op1_vector_approximation = """
+with ints as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+pairs as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from ints q join ints c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 100 = 0
+),
+ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
