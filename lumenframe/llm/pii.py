@@ -116,7 +116,7 @@ def context_terms(span: Column, near: int) -> Column:
     return F.array_distinct(F.filter(F.concat(left, right), lambda w: F.length(w) >= 3))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, near: int = 8, support: int = 3, generalise: float = 0.6, remove: float = 0.85, broadcast_rows: int = 200_000) -> DataFrame:
+def disclosing(docs: DataFrame, spans: DataFrame, near: int = 8, support: int = 3, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
     """(entity, term, removed) for the terms that exceed a threshold.
 
     ``spans(doc_id, text_key, entity, terms)`` has a row per base span.  Support counts different texts, so exact
@@ -128,10 +128,9 @@ def disclosing(docs: DataFrame, spans: DataFrame, near: int = 8, support: int =
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(True).alias("removed"))
     entities = spans.groupBy("entity").agg(F.count_distinct("text_key").alias("n_e"))
-    wanted = joint.select("term").distinct()
-    small = wanted.count() <= broadcast_rows  # else a shuffled join does it
+    # counted for all words, then joined: the sums are made before rows are shuffled, and no join meets an occurrence
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    n_t = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
     scored = joint.join(entities, "entity").join(n_t, "term")
     pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
