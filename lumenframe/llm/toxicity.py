@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -100,6 +101,78 @@ def minimise(loss, p: np.ndarray, steps: int, memory: int = 12) -> np.ndarray:
     return p
 
 
+def counts(texts: list[str | None], high: list[int], features, keep) -> tuple[Counter, Counter]:
+    """In how many texts, and in how many of the high ones, each feature occurs, for features that ``keep(df, high)`` may hold for.
+
+    Two passes, so that memory doesn't grow with the vocabulary: hashed counts say which features are worth a name.
+    """
+    size = 1 << 22
+    df, up = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for x, g in zip(texts, high, strict=True):
+        ids = np.unique(np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) % size for f in features(x)), dtype=np.int64))
+        df[ids] += 1
+        if g:
+            up[ids] += 1
+    worth = keep(df.astype(np.float64), up.astype(np.float64))
+    names, names_up = Counter(), Counter()
+    for x, g in zip(texts, high, strict=True):
+        own = [f for f in features(x) if worth[crc32(f.encode("utf-8", "surrogatepass")) % size]]
+        names.update(own)
+        if g:
+            names_up.update(own)
+    return names, names_up
+
+
+def words_of(text: str | None) -> set[str]:
+    return {t for raw in set((text or "").lower().split()) if (t := term(raw))}
+
+
+def severity(texts: list[str | None], toxic: list[int]) -> list[int]:
+    """Grades for rows with a 0/1 label: 0 not toxic; toxic rows 1, or 2 above the median of how many telling words they hold.
+
+    A telling word occurs in three rows or more, at least nine in ten of them toxic.
+    """
+    df, high = counts(texts, toxic, words_of, lambda d, h: (h >= 3) & (h >= 0.8 * d))
+    telling = {t for t, c in high.items() if c >= 3 and c >= 0.9 * df[t]}
+    held = [len(words_of(x) & telling) if g else 0 for x, g in zip(texts, toxic, strict=True)]
+    some = sorted(c for c in held if c)
+    middle = some[len(some) // 2] if some else 0
+    return [(2 if some and c > middle else 1) if g else 0 for c, g in zip(held, toxic, strict=True)]
+
+
+def minimise(loss, p: np.ndarray, steps: int, memory: int = 12) -> np.ndarray:
+    """Limited-memory BFGS with a backtracking line search."""
+    f, g = loss(p)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, used = g.copy(), []
+        for s, y, r in reversed(past):
+            a = r * (s @ q)
+            q -= a * y
+            used.append(a)
+        if past:
+            s, y, _ = past[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(past, reversed(used), strict=True):
+            q += s * (a - r * (y @ q))
+        slope, t = -(g @ q), 1.0 if past else min(1.0, 1 / (np.abs(g).sum() + 1e-12))
+        if slope > -1e-14:
+            break
+        while True:
+            new = p - t * q
+            fn, gn = loss(new)
+            if fn <= f + 1e-4 * t * slope or t < 1e-10:
+                break
+            t /= 2
+        s, y = new - p, gn - g
+        if s @ y > 1e-12:
+            past = [*past[1 - memory :], (s, y, 1 / (s @ y))]
+        if f - fn < 1e-10:
+            return new if fn < f else p
+        p, f, g = new, fn, gn
+    return p
+
+
 def severity(texts: list[str | None], toxic: list[int]) -> list[int]:
     """Grades for rows with a 0/1 label: 0 not toxic; toxic rows 1, or 2 from the median on of how many telling words they hold.
 
@@ -128,25 +201,19 @@ def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps:
     if not len(y):
         return Ordinal({}, np.zeros(0))
     top = int(y.max())
-    sets = [terms(t) for t in texts]
-    df, high = Counter(), Counter()
-    for s, g in zip(sets, grades, strict=True):
-        df.update(s)
-        if g:
-            high.update(s)
     n, pos = len(y), int((y > 0).sum())
     base = pos / n
 
-    def strength(t: str) -> float:
-        expected = df[t] * base
-        return (high[t] - expected) ** 2 / max(expected * (1 - base), 1e-9)
+    def strength(d, h):
+        return (h - d * base) ** 2 / np.maximum(d * base * (1 - base), 1e-9)
 
-    kept = sorted((t for t, c in df.items() if c >= 3), key=lambda t: (-strength(t), t))[:features]
-    kept = [t for t in kept if strength(t) >= least]
+    df, high = counts(texts, (y > 0).tolist(), terms, lambda d, h: (d >= 3) & (strength(d, h) >= least / 2))
+    power = {t: strength(c, high[t]) for t, c in df.items() if c >= 3}
+    kept = sorted((t for t, x in power.items() if x >= least), key=lambda t: (-power[t], t))[:features]
     at = {t: i for i, t in enumerate(kept)}
     rows, cols = [], []
-    for i, s in enumerate(sets):
-        for j in sorted(at[t] for t in s if t in at):
+    for i, x in enumerate(texts):
+        for j in sorted(at[t] for t in terms(x) if t in at):
             rows.append(i)
             cols.append(j)
     rows, cols = np.asarray(rows, dtype=np.int64), np.asarray(cols, dtype=np.int64)
@@ -179,7 +246,7 @@ def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps:
     return Ordinal({t: float(p[i]) for t, i in at.items()}, theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, binary: bool = False) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, binary: bool = False) -> Ordinal:
     """Fits on at most about ``sample`` rows of ``labels(doc_id, grade)``, half of them of higher grades where there are as many.
 
     With ``binary``, grades are 0 and 1 and the ones are split by ``severity``.
