@@ -169,8 +169,8 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def sorted_groups(frames: Iterator, keys: list[str]) -> Iterator:
-    """Arrow tables of the rows that share ``keys``, from batches in which such rows follow each other."""
+def sorted_groups(frames: Iterator, keys: list[str], least: int = 1) -> Iterator:
+    """Arrow tables of the rows that share ``keys``, from batches in which such rows follow each other; groups of fewer than ``least`` rows are passed over."""
     import pyarrow as pa
 
     held: list = []
@@ -182,15 +182,19 @@ def sorted_groups(frames: Iterator, keys: list[str]) -> Iterator:
         cut = np.zeros(batch.num_rows, dtype=bool)
         for c in cols:
             cut[1:] |= c[1:] != c[:-1]
-        edges = [0, *np.flatnonzero(cut).tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        edges = np.concatenate([[0], np.flatnonzero(cut), [batch.num_rows]])
+        sizes = np.diff(edges)
+        want = sizes >= least
+        want[0] = want[-1] = True  # may go on in the batch before or after
+        for a, n in zip(edges[:-1][want].tolist(), sizes[want].tolist(), strict=True):
             key = tuple(c[a] for c in cols)
             if held and key != held_key:
-                yield pa.Table.from_batches(held)
+                if sum(h.num_rows for h in held) >= least:
+                    yield pa.Table.from_batches(held)
                 held = []
             held_key = key
-            held.append(batch.slice(a, b - a))
-    if held:
+            held.append(batch.slice(a, n))
+    if held and sum(h.num_rows for h in held) >= least:
         yield pa.Table.from_batches(held)
 
 
