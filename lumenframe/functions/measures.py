@@ -68,10 +68,14 @@ def capture_dates(tags: Column) -> Column:
         lambda k: (k == "IPTC:DateCreated") | (k.startswith("XMP-") & k.endswith(":DateCreated")),
         lambda k: k.startswith("XMP-") & k.endswith(":CreateDate"),
     )
-    found = [F.array_sort(F.array_distinct(F.filter(F.transform(F.map_values(F.map_filter(tags, lambda k, v, t=t: t(k))), capture_date), lambda d: d != ""))) for t in tiers]
+    found = [F.array_sort(F.array_distinct(F.filter(F.transform(F.map_values(_keys(tags, t)), capture_date), lambda d: d != ""))) for t in tiers]
     return F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).when(F.size(found[2]) > 0, found[2]).otherwise(F.array().cast("array<string>"))
 
 
+def _keys(tags: Column, wanted) -> Column:
+    return F.map_filter(tags, lambda k, v: wanted(k))
+
+
 def metadata_kept(source: Column, output: Column, has_tool: bool, ext: Column | None = None, head: Column | None = None, written: Column | None = None) -> Column:
     """Reason why a photo's capture date is lost, or null.  Without the tool: whether an EXIF block vanished."""
     if has_tool:
@@ -82,7 +86,7 @@ def metadata_kept(source: Column, output: Column, has_tool: bool, ext: Column |
 
 def size_text(n: Column) -> Column:
     """B whole, then KB, MB, GB with one decimal (half up)."""
-    form = lambda unit, k: F.concat(F.format_number(n / float(1024**k), "0.0"), F.lit(f" {unit}"))
+    form = lambda unit, k: F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))
     return F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(n < 1024**2, form("KB", 1)).when(n < 1024**3, form("MB", 2)).otherwise(form("GB", 3))
 
 
@@ -104,7 +108,7 @@ def progress_text(action: Column, label: Column, current: Column, total: Column,
     bar = F.rpad(F.concat(F.repeat(F.lit("="), filled), F.when(filled < width, ">").otherwise("")), width, "-")
     shown = F.when(p.isNull(), "  --%").otherwise(F.concat(F.lpad(p.cast("string"), 4, " "), F.lit("%")))
     has = speed.isNotNull() & (speed != 0)
-    fast = F.when(has, F.concat(F.lit(" "), F.format_number(speed, "0.00"), F.lit("x"))).otherwise("")
+    fast = F.when(has, F.concat(F.lit(" "), F.format_string("%.2f", speed.cast("double")), F.lit("x"))).otherwise("")
     eta = F.when((total != 0) & (speed > 0), F.concat(F.lit(" ETA "), clock(F.greatest(F.lit(0.0), total - current) / speed))).otherwise("")
     named = F.concat(action, F.repeat(F.lit(" "), F.greatest(F.lit(0), 10 - F.length(action))))
     return F.concat(named, F.lit(" "), label, F.lit(" ["), F.coalesce(bar, F.lit("?" * width)), F.lit("] "), shown, F.lit(" "), clock(current), F.lit("/"), clock(total), fast, F.coalesce(eta, F.lit("")))

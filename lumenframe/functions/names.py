@@ -49,35 +49,43 @@ def _number(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
-def parsed(stem: Column) -> Column:
-    """struct<base, number, is_dup, site, opaque> of a stem.
+_PATTERNS = {"tag": (TAG, 3), "site": (TAG_SITE, None), "paren": (PAREN, 2), "dash": (DASH, 2), "copy_paren": (COPY_PAREN, 2), "copy_tail": (COPY_TAIL, 2)}
+
+
+def with_parsed(df: DataFrame, stem: str = "stem") -> DataFrame:
+    """Adds base, number, is_dup, site, opaque of a stem.
 
     The form of a name decides in order: a tag with a number, a tag with a site, any other bracket (opaque),
     a number in parentheses, a number after a dash, a copy mark.  A site inside the base is taken out of it.
+    Step by step, so that each pattern is matched once a row and the plan stays small.
     """
-    prefixed = stem.rlike(COPY_OF)
-    s = F.when(prefixed, _part(stem, COPY_OF, 1)).otherwise(stem)
+    prefixed = F.col(stem).rlike(COPY_OF)
+    df = df.withColumn("_pre", prefixed).withColumn("_s", F.when(F.col("_pre"), _part(F.col(stem), COPY_OF, 1)).otherwise(F.col(stem)))
+    s, pre = F.col("_s"), F.col("_pre")
     form = (
         F.when(s.rlike(TAG), "tag")
         .when(s.rlike(TAG_SITE), "site")
         .when(s.rlike(BRACKET), "opaque")
         .when(s.rlike(PAREN), "paren")
         .when(s.rlike(DASH), "dash")
-        .when(~prefixed & s.rlike(COPY_PAREN), "copy_paren")
-        .when(~prefixed & s.rlike(COPY_TAIL), "copy_tail")
+        .when(~pre & s.rlike(COPY_PAREN), "copy_paren")
+        .when(~pre & s.rlike(COPY_TAIL), "copy_tail")
         .otherwise("plain")
     )
-    patterns = {"tag": (TAG, 3), "site": (TAG_SITE, None), "paren": (PAREN, 2), "dash": (DASH, 2), "copy_paren": (COPY_PAREN, 2), "copy_tail": (COPY_TAIL, 2)}
-    base, number = s, F.lit(None).cast("bigint")
-    for name, (pattern, group) in patterns.items():
-        base = F.when(form == name, _part(s, pattern, 1)).otherwise(base)
+    df = df.withColumn("_form", form)
+    base, number = F.when(F.col("_form") == "", s), F.when(F.col("_form") == "", F.lit(None).cast("bigint"))
+    for name, (pattern, group) in _PATTERNS.items():
+        base = base.when(F.col("_form") == name, _part(s, pattern, 1))
         if group:
-            number = F.when(form == name, _number(_part(s, pattern, group))).otherwise(number)
-    tagged = F.when(form == "tag", F.nullif(_part(s, TAG, 2), F.lit(""))).when(form == "site", _part(s, TAG_SITE, 2))
-    found = F.when((form != "opaque") & tagged.isNull(), F.nullif(_part(base, SITE, 1), F.lit("")))
+            number = number.when(F.col("_form") == name, _number(_part(s, pattern, group)))
+    tagged = F.when(F.col("_form") == "tag", F.nullif(_part(s, TAG, 2), F.lit(""))).when(F.col("_form") == "site", _part(s, TAG_SITE, 2))
+    df = df.withColumns({"_base": base.otherwise(s), "number": number, "_tagged": tagged})
+    df = df.withColumn("_found", F.when((F.col("_form") != "opaque") & F.col("_tagged").isNull(), F.nullif(_part(F.col("_base"), SITE, 1), F.lit(""))))
     # only the first place is taken out
-    rest = F.when(found.isNotNull(), F.regexp_replace(base, r"(?s)\A(.*?)" + SITE.replace("(?i)", "(?i:", 1) + r")(.*)\z", "$1$3")).otherwise(base)
-    return F.struct(rest.alias("base"), number.alias("number"), (prefixed | form.isin("copy_paren", "copy_tail")).alias("is_dup"), F.coalesce(tagged, found).alias("site"), (form == "opaque").alias("opaque"))
+    out = F.regexp_replace("_base", r"(?s)\A(.*?)" + SITE.replace("(?i)", "(?i:", 1) + r")(.*)\z", "$1$3")
+    return df.withColumns(
+        {"base": F.when(F.col("_found").isNotNull(), out).otherwise(F.col("_base")), "is_dup": pre | F.col("_form").isin("copy_paren", "copy_tail"), "site": F.coalesce("_tagged", "_found"), "opaque": F.col("_form") == "opaque"}
+    ).drop("_pre", "_s", "_form", "_base", "_tagged", "_found")
 
 
 @F.pandas_udf(StringType())
@@ -92,22 +100,24 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), text).otherwise(_nfc(text))
 
 
-def cleaned(base: Column, compose: bool = False) -> Column:
-    """A readable title: separators to blanks, words in lower case capitalised but for small words inside.
+def with_cleaned(df: DataFrame, base: str = "base", to: str = "cleaned", compose: bool = False) -> DataFrame:
+    """Adds a readable title: separators to blanks, words in lower case capitalised but for small words inside.
 
     ``compose`` first brings the text to composed form, by a Pandas UDF where it isn't ASCII.
     """
-    t = composed(base) if compose else base
-    spaced = F.regexp_replace(t, r"[_.]+", " ")
+    df = df.withColumn("_t", composed(F.col(base)) if compose else F.col(base))
+    spaced = F.regexp_replace("_t", r"[_.]+", " ")
     spaced = F.regexp_replace(spaced, r"(?<=[A-Za-z])[-–]|[-–](?=[A-Za-z])", " ")
     spaced = F.btrim(F.regexp_replace(spaced, r"\s+", " "), F.lit(" -–_."))
+    df = df.withColumn("_words", F.split(spaced, " "))
 
     def title(word: Column, i: Column) -> Column:
         plain = (word == F.lower(word)) & (word != F.upper(word))
         capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 100_000))
         return F.when(plain & ~((i > 0) & word.isin(*V.SMALL_WORDS)), capital).otherwise(word)
 
-    return F.when(t.rlike(PROTECTED) | t.rlike(UNCLEANED), F.trim(t)).otherwise(F.array_join(F.transform(F.split(spaced, " "), title), " "))
+    kept = F.col("_t").rlike(PROTECTED) | F.col("_t").rlike(UNCLEANED)
+    return df.withColumn(to, F.when(kept, F.trim("_t")).otherwise(F.array_join(F.transform("_words", title), " "))).drop("_t", "_words")
 
 
 def tag(site: Column, n: Column, width: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import names as N
 from ..functions.paths import dir_of, name_of, pruned, with_path_parts
+from ..running import checkpoints
 
 RENAMED = tuple(x for k in ("photo", "heic", "gif", "video", "mp4", "webp") for x in V.KINDS[k])
 
@@ -27,13 +28,16 @@ def plan_files(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """
     f = with_path_parts(files.select("path")).where(~pruned(F.col("path")))
     media = f.where(F.col("ext").isin(*RENAMED))
-    media = media.withColumns({"guid": N.is_guid(F.col("stem")), "p": N.parsed(F.col("stem"))})
-    media = media.withColumn("random", F.col("guid") | N.looks_random(F.col("stem")))
+    media = N.with_parsed(media.withColumn("guid", N.is_guid(F.col("stem"))))
+    media = N.with_cleaned(media.withColumn("random", F.col("guid") | N.looks_random(F.col("stem"))), compose=True)
+    # used by six branches below: computed once, and the plans of the branches stay small
+    checkpoints(files.sparkSession)
+    media = media.select("path", "dir", "name", "stem", "ext", "guid", "random", "opaque", "number", "is_dup", "site", "cleaned").checkpoint()
     folder = F.coalesce(F.nullif(name_of(F.col("dir")), F.lit("")), F.lit("media"))
     token = F.when(F.col("guid"), F.lower("stem")).otherwise(F.col("stem"))
     loose = media.where("random").select("path", "dir", "stem", F.concat(folder, F.lit(" ["), token, F.lit("]")).alias("new"), "ext", F.lit(False).alias("leads"))
-    opaque = media.where("not random and p.opaque").select("path", "dir", "stem", F.col("stem").alias("new"), "ext", F.lit(False).alias("leads"))
-    named = media.where("not random and not p.opaque").select("path", "dir", "name", "stem", "ext", "p.number", "p.is_dup", "p.site", N.cleaned(F.col("p.base"), compose=True).alias("cleaned")).where("cleaned <> ''")
+    opaque = media.where("not random and opaque").select("path", "dir", "stem", F.col("stem").alias("new"), "ext", F.lit(False).alias("leads"))
+    named = media.where("not random and not opaque and cleaned <> ''").select("path", "dir", "name", "stem", "ext", "number", "is_dup", "site", "cleaned")
     named = named.withColumns({"_key": F.lower("cleaned"), "_site": F.lower(F.coalesce("site", F.lit("")))})
 
     def assigned(df: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def plan_folders(folders: DataFrame) -> DataFrame:
     """(src, dst, depth) for ``folders(path)``, deepest first; names that end in brackets or clean to nothing stay."""
     f = folders.select("path").where(~pruned(F.concat("path", F.lit("/x"))))
     f = f.withColumns({"dir": dir_of(F.col("path")), "name": name_of(F.col("path"))}).where(~F.col("name").rlike(N.BRACKET))
-    f = f.withColumn("new", N.cleaned(F.col("name"), compose=True)).where("new <> '' and new <> name")
+    f = N.with_cleaned(f, "name", "new", compose=True).where("new <> '' and new <> name")
     return f.select(F.col("path").alias("src"), _at("dir", F.col("new")).alias("dst"), F.size(F.split("path", "/")).alias("depth")).orderBy(F.desc("depth"), "src")
 
 

@@ -1,11 +1,872 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with the SQL that DuckDB answers alike.
+
+The tables hold no media, so each query first makes media-shaped columns from a table by plain expressions (the
+adapter), the same in both languages, and then applies operators of this package.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import schemas as S
+from .functions import inventory as I
+from .functions import measures as M
+from .functions import names as N
+from .functions import paths as P
+from .operators import caches, library, renames, timeline, validation
+from .plans import capabilities, commands, decision
+
+_FOUND: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, table reader) under its name."""
 
-def queries() -> dict:
-    return {}
+    def add(f: Callable) -> Callable:
+        _FOUND[f.__name__] = (lambda spark, sf_dir: f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")), sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v[0] for k, v in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in _FOUND.items() if v[1]}
+
+
+def _s(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+# ---------------------------------------------------------------- names
+
+_STEM = "replace(p_name, ' ', '_') || ' (' || p_partkey || ')'"
+
+
+@query(
+    """
+    with p as (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n, count(*) over (partition by p_name) as c from part),
+    w as (select *, string_split(p_name, ' ') as words from p)
+    select p_partkey, p_name || ' (' || p_partkey || ')' as stem,
+      array_to_string(list_transform(words, lambda x: upper(x[1]) || x[2:]), ' ') || ' [' || case when c >= 10 and n < 10 then '0' else '' end || n || ']' as final
+    from w
+    """
+)
+def name_series(spark, t):
+    """Numbered series closed up: stems "red_bolt (17)" become "Red Bolt [02]"."""
+    df = t("part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s("p_partkey"), F.lit(")")).alias("name"), F.concat("p_name", F.lit(" ("), _s("p_partkey"), F.lit(")")).alias("stem"))
+    df = N.with_cleaned(N.with_parsed(df, "name"))
+    df = N.numbered_series(df, ["cleaned"])
+    return df.select("p_partkey", "stem", F.concat("cleaned", N.tag(F.col("site"), F.col("seq"), F.col("width"))).alias("final"))
+
+
+_FORMS = """
+    case p_partkey % 9
+      when 0 then b || ' (' || k || ')' when 1 then b || ' [' || k || ']' when 2 then b || ' - ' || k when 3 then 'Copy of ' || b
+      when 4 then b || ' copy ' || k when 5 then b || ' [Example.com ' || k || ']' when 6 then b || ' [ue73up]'
+      when 7 then b || '-Example.com-' || k else b || ' (copy)' end
+"""
+
+
+def _forms() -> Column:
+    b, k = F.replace("p_name", F.lit(" "), F.lit("_")), _s("p_partkey")
+    parts = [(b, " (", k, ")"), (b, " [", k, "]"), (b, " - ", k), ("Copy of ", b), (b, " copy ", k), (b, " [Example.com ", k, "]"), (b, " [ue73up]"), (b, "-Example.com-", k), (b, " (copy)")]
+    out = F.lit(None).cast("string")
+    for i, p in enumerate(parts):
+        out = F.when(F.col("p_partkey") % 9 == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))).otherwise(out)
+    return out
+
+
+@query(
+    f"""
+    with f as (select p_partkey, {_FORMS} as stem from (select *, replace(p_name, ' ', '_') as b, cast(p_partkey as varchar) as k from part)),
+    a as (select *, regexp_matches(stem, '(?i)^copy of[ _]+.+$') as pre, case when regexp_matches(stem, '(?i)^copy of[ _]+.+$') then regexp_extract(stem, '(?i)^copy of[ _]+(.+)$', 1) else stem end as s from f),
+    b as (select *, case
+        when regexp_matches(s, '^.*? *\\[(?:[^\\]\\s]+ +)?\\d+\\]$') then 'tag'
+        when regexp_matches(s, '^.*? *\\[[^\\]\\s]+\\.[A-Za-z]{{2,}}\\]$') then 'site'
+        when regexp_matches(s, '\\[[^\\]]*\\]$') then 'opaque'
+        when regexp_matches(s, '^.*?[ _]*\\(\\d+\\)$') then 'paren'
+        when regexp_matches(s, '^.*?[^\\s\\d] *[-–] *\\d+$') then 'dash'
+        when not pre and regexp_matches(s, '(?i)^.*?[ _-]*\\(\\s*copy\\s*\\d*\\s*\\)$') then 'cparen'
+        when not pre and regexp_matches(s, '(?i)^.*?[ _-]+copy(?:[ _-]*\\d+)?$') then 'ctail' else 'plain' end as form from a),
+    c as (select *, case form
+        when 'tag' then regexp_extract(s, '^(.*?) *\\[(?:([^\\]\\s]+) +)?(\\d+)\\]$', 1) when 'paren' then regexp_extract(s, '^(.*?)[ _]*\\((\\d+)\\)$', 1)
+        when 'dash' then regexp_extract(s, '^(.*?[^\\s\\d]) *[-–] *(\\d+)$', 1) when 'cparen' then regexp_extract(s, '(?i)^(.*?)[ _-]*\\(\\s*copy\\s*(\\d+)?\\s*\\)$', 1)
+        when 'ctail' then regexp_extract(s, '(?i)^(.*?)[ _-]+copy(?:[ _-]*(\\d+))?$', 1) else s end as b0,
+      try_cast(case form when 'tag' then regexp_extract(s, '(\\d+)\\]$', 1) when 'paren' then regexp_extract(s, '\\((\\d+)\\)$', 1) when 'dash' then regexp_extract(s, '(\\d+)$', 1)
+        when 'ctail' then regexp_extract(s, '(?i)copy(?:[ _-]*(\\d+))?$', 1) end as bigint) as number,
+      case form when 'tag' then nullif(regexp_extract(s, '\\[(?:([^\\]\\s]+) +)?\\d+\\]$', 1), '') end as tagged from b),
+    d as (select *, case when form <> 'opaque' and tagged is null then nullif(regexp_extract(b0, '(?i)(?:^|[-_.\\s])((?:[a-z0-9]+\\.)+(?:com|net|org|io))(?:$|[-_\\s])', 1), '') end as found from c)
+    select p_partkey, stem, case when found is not null then replace(b0, found, '') else b0 end as base, number, pre or form in ('cparen', 'ctail') as is_dup, coalesce(tagged, found) as site, form = 'opaque' as opaque from d
+    """
+)
+def name_parse(spark, t):
+    """Stems in nine forms, taken apart."""
+    return t("part").select("p_partkey", _forms().alias("stem")).transform(N.with_parsed).select("p_partkey", "stem", "base", "number", "is_dup", "site", "opaque")
+
+
+@query(
+    """
+    with b as (select p_partkey, case p_partkey % 5 when 0 then replace(p_name, ' ', '_') when 1 then replace(p_name, ' ', '.') when 2 then replace(p_name, ' ', '-') || '-of_the-' || p_partkey when 3 then 'IMG_' || p_partkey else 'McDonald  ' || upper(p_name) || ' -' end as base from part),
+    c as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '[_.]+', ' ', 'g'), '([A-Za-z])[-–]', '\\1 ', 'g'), '[-–]([A-Za-z])', ' \\1', 'g'), '\\s+', ' ', 'g'), ' -–_.') as spaced from b)
+    select p_partkey, base, case when base like 'IMG%' then base else array_to_string(list_transform(string_split(spaced, ' '), lambda x, i:
+      case when x = lower(x) and x <> upper(x) and not (i > 1 and x in ('of', 'the', 'a', 'in', 'on')) then upper(x[1]) || x[2:] else x end), ' ') end as cleaned from c
+    """
+)
+def name_clean(spark, t):
+    """Titles from bases with separators, protected names and mixed case."""
+    n, k = F.col("p_name"), _s("p_partkey")
+    sep = lambda s: F.replace(n, F.lit(" "), F.lit(s))
+    m = F.col("p_partkey") % 5
+    base = F.when(m == 0, sep("_")).when(m == 1, sep(".")).when(m == 2, F.concat(sep("-"), F.lit("-of_the-"), k)).when(m == 3, F.concat(F.lit("IMG_"), k)).otherwise(F.concat(F.lit("McDonald  "), F.upper(n), F.lit(" -")))
+    return N.with_cleaned(t("part").select("p_partkey", base.alias("base")), compose=True)
+
+
+@query(
+    """
+    with h as (select p_partkey, case when p_partkey % 10 = 9 then md5(cast(p_partkey as varchar)) else substr(md5(cast(p_partkey as varchar)), 1, 6) end as token from part)
+    select p_partkey, token, length(token) = 32 as guid,
+      length(regexp_replace(token, '[^0-9]', '', 'g')) >= 2 and length(regexp_replace(token, '[0-9]', '', 'g')) >= 2
+      and length(regexp_replace(regexp_replace(token, '[0-9]+', '0', 'g'), '[a-z]+', 'a', 'g')) - 1 >= 2 as random from h
+    """
+)
+def random_token(spark, t):
+    """Which tokens look generated."""
+    h = F.md5(_s("p_partkey").cast("binary"))
+    df = t("part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 9, h).otherwise(F.substring(h, 1, 6)).alias("token"))
+    return df.select("p_partkey", "token", N.is_guid(F.col("token")).alias("guid"), N.looks_random(F.col("token")).alias("random"))
+
+
+@query(
+    """
+    with m as (select p_partkey, p_brand, p_name, p_size % 7 = 0 as dup, case when p_size % 7 = 0 or p_size % 5 = 0 then null else p_partkey end as number from part),
+    c as (select *, case when dup then 2 when number is not null then 1 else 0 end as cls from m),
+    w as (select *, row_number() over (partition by p_brand, p_name order by cls, coalesce(number, 0), p_partkey) as pos,
+      sum(case when cls = 0 then 1 else 0 end) over (partition by p_brand, p_name) as n0, sum(case when cls = 1 then 1 else 0 end) over (partition by p_brand, p_name) as n1, sum(case when cls = 2 then 1 else 0 end) over (partition by p_brand, p_name) as n2 from c)
+    select p_partkey, cast(case when cls > 0 and not (n0 = 0 and n1 = 0 and n2 = 1) then pos - n0 end as bigint) as seq,
+      cast(case when n1 + n2 >= 10 and not (n0 = 0 and n1 = 0 and n2 = 1) then 2 else 1 end as integer) as width from w
+    """
+)
+def copy_series(spark, t):
+    """Series with copies: copies count on after numbered members, a lone copy becomes plain."""
+    dup = F.col("p_size") % 7 == 0
+    df = t("part").select("p_partkey", "p_brand", "p_name", dup.alias("is_dup"), F.when(~dup & (F.col("p_size") % 5 != 0), F.col("p_partkey")).alias("number"), F.col("p_partkey").alias("name"))
+    return N.numbered_series(df, ["p_brand", "p_name"]).select("p_partkey", "seq", "width")
+
+
+@query(
+    """
+    with p as (select *, p_brand || '/' || replace(p_name, ' ', '_') || ' (' || p_partkey || ')' as b, row_number() over (partition by p_brand, p_name order by p_partkey) as n, count(*) over (partition by p_brand, p_name) as c from part),
+    f as (select *, p_brand || '/' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' [' || case when c >= 10 and n < 10 then '0' else '' end || n || ']' as new from p)
+    select b || '.JPG' as src, new || '.jpg' as dst from f
+    union all select b || '.mov', new || '.mov' from f where p_partkey % 4 = 0
+    union all select b || '.XMP', new || '.xmp' from f where p_partkey % 5 = 0
+    """
+)
+def rename_plan(spark, t):
+    """A whole plan: series per folder, .mov halves and sidecars that follow their stills."""
+    b = F.concat("p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s("p_partkey"), F.lit(")"))
+    k = F.col("p_partkey")
+    names = F.array_compact(F.array(F.concat(b, F.lit(".JPG")), F.when(k % 4 == 0, F.concat(b, F.lit(".mov"))), F.when(k % 5 == 0, F.concat(b, F.lit(".XMP")))))
+    return renames.plan_files(t("part").select(F.explode(names).alias("path")))
+
+
+@query(
+    """
+    with d as (select distinct p_brand as path from part union select distinct p_brand || '/' || lower(p_type) || '_box' from part)
+    select path as src, case when contains(path, '/') then split_part(path, '/', 1) || '/' else '' end || upper(n[1]) || replace(n[2:], '_', ' ')[1:-4] || 'Box' as dst, cast(2 as integer) as depth
+    from (select *, split_part(path, '/', 2) as n from d where contains(path, '/'))
+    """
+)
+def folder_plan(spark, t):
+    """Folder names, deepest first."""
+    p = t("part")
+    f = p.select(F.col("p_brand").alias("path")).union(p.select(F.concat("p_brand", F.lit("/"), F.lower("p_type"), F.lit("_box")))).distinct()
+    return renames.plan_folders(f)
+
+
+@query(
+    """
+    with pending as (select distinct p_brand as src from part where p_size < 5 union select distinct p_brand || '/' || p_type from part where p_size < 3)
+    select a.src, exists (select 1 from pending b where b.src <> a.src and starts_with(b.src, a.src || '/')) as blocked from pending a
+    """
+)
+def ancestor_pending(spark, t):
+    """Folders that wait for a rename inside them."""
+    p = t("part")
+    pending = p.where("p_size < 5").select(F.col("p_brand").alias("src")).union(p.where("p_size < 3").select(F.concat("p_brand", F.lit("/"), "p_type"))).distinct()
+    return renames.blocked_by_descendants(pending).select("src", "blocked")
+
+
+@query()
+def rename_fixpoint(spark, t):
+    """Applying a plan with chains of targets, to its fixpoint."""
+    from .running import checkpoints
+
+    checkpoints(spark)
+    part = t("part").select("p_partkey")
+    plan = part.where("p_partkey % 10 < 3").select(F.concat(F.lit("d/n"), _s("p_partkey")).alias("src"), F.concat(F.lit("d/n"), _s(F.col("p_partkey") + 1)).alias("dst"))
+    done, _, renamed, skipped = renames.applied(plan, part.where("p_partkey % 10 <> 3").select(F.concat(F.lit("d/n"), _s("p_partkey")).alias("path")))
+    return done.select("src", "dst", "round")
+
+
+@query(
+    """
+    with b as (select o_custkey % 50 as batch_id, o_orderkey as seq, 'a' || o_orderkey as src, 'b' || o_orderkey as dst from orders where o_orderkey % 3 = 0)
+    select dst as "from", src as "to", seq, seq % 2 = 0 as done from b where batch_id = (select max(batch_id) from b)
+    """
+)
+def undo_batch(spark, t):
+    """The last batch taken back, newest step first."""
+    o = t("orders").where("o_orderkey % 3 = 0")
+    b = o.select((F.col("o_custkey") % 50).alias("batch_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("a"), _s("o_orderkey")).alias("src"), F.concat(F.lit("b"), _s("o_orderkey")).alias("dst"))
+    steps, _ = renames.undo(b, b.where("seq % 2 = 0").select(F.col("dst").alias("path")))
+    return steps
+
+
+# ---------------------------------------------------------------- library
+
+_EXTS = ".jpg .PNG .heic .gif .mkv .MOV .mp4 .txt .xmp .tiff".split()
+
+
+@query(
+    """
+    with f as (select page_id, case when page_id % 17 = 0 then '.hidden/' when page_id % 19 = 0 then 'Lib.photoslibrary/' else 'lib/' end || 'p' || page_id || ['.jpg', '.PNG', '.heic', '.gif', '.mkv', '.MOV', '.mp4', '.txt', '.xmp', '.tiff'][page_id % 10 + 1] as path from pages),
+    e as (select *, lower(regexp_extract(path, '(\\.[^.]+)$', 1)) as ext from f where page_id % 17 <> 0 and page_id % 19 <> 0),
+    k as (select *, case ext when '.jpg' then 'photo' when '.png' then 'photo' when '.tiff' then 'photo' when '.heic' then 'heic' when '.gif' then 'gif' when '.mkv' then 'video' when '.mov' then 'video' when '.mp4' then 'mp4' end as kind from e)
+    select path, kind, regexp_replace(path, '\\.[^.]+$', '') || case when kind in ('photo', 'heic') then '.webp' else '.mp4' end as output from k where kind is not null
+    """
+)
+def classify_kind(spark, t):
+    """Media files of a listing, their kinds and intended outputs; hidden and bundle folders pruned."""
+    k = F.col("page_id")
+    folder = F.when(k % 17 == 0, ".hidden/").when(k % 19 == 0, "Lib.photoslibrary/").otherwise("lib/")
+    path = F.concat(folder, F.lit("p"), _s(k), F.element_at(F.array(*map(F.lit, _EXTS)), (k % 10 + 1).cast("int")))
+    jobs = library.classify(t("pages").select(path.alias("path")))
+    return jobs.select("path", "kind", P.intended_output(F.col("kind"), F.col("path"), F.lit(None).cast("string")).alias("output"))
+
+
+def _shelf(t) -> DataFrame:
+    video = F.col("p_size") % 3 == 0
+    return library.classify(t("part").select("p_partkey", F.concat("p_brand", F.lit("/"), F.when(video, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))), F.when(video, ".mov").otherwise(F.concat(F.lit(""), F.when(F.col("p_partkey") % 2 == 0, ".jpg").otherwise(".png")))).alias("path"))).dropDuplicates(["path"])
+
+
+_SHELF = """
+    f as (select distinct p_brand as dir, p_size % 3 = 0 as video, case when p_size % 3 = 0 then upper(replace(p_name, ' ', '_')) else replace(p_name, ' ', '_') end as stem, case when p_size % 3 = 0 then '.mov' when p_partkey % 2 = 0 then '.jpg' else '.png' end as ext from part),
+    s as (select dir, lower(stem) as l, min(stem || ext) as still from f where not video group by all),
+    pairs as (select f.dir || '/' || stem || ext as video, f.dir || '/' || still as still, f.dir from f join s on f.dir = s.dir and lower(stem) = l where video)
+"""
+
+
+@query(f"with {_SHELF} select * from pairs")
+def live_pairs(spark, t):
+    """Each .mov with the first still of its folder and stem."""
+    return library.live_pairs(_shelf(t))
+
+
+@query(
+    f"""
+    with {_SHELF}, ids as (select dir || '/' || stem || ext as path, case when length(stem) % 3 = 0 then '' else lower(stem) end as id from f),
+    good as (select p.* from pairs p join ids a on a.path = video join ids b on b.path = still where a.id <> '' and a.id = b.id),
+    halves as (select video as path from good union select still from good)
+    select dir || '/' || stem || ext as path from f where dir || '/' || stem || ext not in (select path from halves)
+    """
+)
+def protected_anti(spark, t):
+    """Files that belong to no verified pair."""
+    files = _shelf(t)
+    ids = files.select("path", F.when(F.length("stem") % 3 == 0, "").otherwise(F.lower("stem")).alias("content_id"))
+    pairs = library.verified_pairs(library.live_pairs(files), ids, has_tool=True)
+    return library.without(files, library.protected(pairs)).select("path")
+
+
+@query(
+    """
+    with j as (select o_orderkey, 'd' || o_custkey % 300 || '/clip' || o_custkey % 7 || case when o_orderkey % 3 = 0 then '.mov' when o_orderkey % 3 = 1 then '.mkv' else '.avi' end as path from orders where o_orderkey % 2 = 0),
+    u as (select path, min(o_orderkey) as k from j group by path),
+    o as (select *, regexp_replace(path, '\\.[^./]+$', '') as base from u),
+    r as (select *, row_number() over (partition by base order by k, path) as n from o)
+    select path, base || case when n > 1 or (base like '%/clip0') then '.' || substr(sha256(path), 1, 8) else '' end || '.mp4' as output from r
+    """
+)
+def collision_rank(spark, t):
+    """Outputs that two jobs, or a job and a file, would share get distinct names."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    ext = F.when(k % 3 == 0, ".mov").when(k % 3 == 1, ".mkv").otherwise(".avi")
+    j = t("orders").where("o_orderkey % 2 = 0").select(k.alias("k"), F.concat(F.lit("d"), _s(c % 300), F.lit("/clip"), _s(c % 7), ext).alias("path"))
+    jobs = j.groupBy("path").agg(F.min("k").alias("k")).withColumn("kind", F.lit("video"))
+    taken = jobs.where(F.col("path").rlike(r"/clip0\.")).select(F.regexp_replace("path", r"\.[^./]+\z", ".mp4").alias("path"))
+    return library.with_outputs(jobs, taken, "k").select("path", "output")
+
+
+@query(
+    """
+    with j as (select p_partkey, 'm/' || p_partkey || '.jpg' as path from part where p_partkey % 2 = 0),
+    s as (select 'm/' || p_partkey || case p_partkey % 3 when 0 then '.xmp' when 1 then '.jpg.AAE' else '.doc' end as path from part)
+    select j.path, s.path as sidecar from j join s on s.path in ('m/' || p_partkey || '.xmp', 'm/' || p_partkey || '.jpg.AAE')
+    """
+)
+def sidecar_files(spark, t):
+    """Sidecars that exist beside a job."""
+    k = F.col("p_partkey")
+    jobs = P.with_path_parts(t("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("m/"), _s(k), F.lit(".jpg")).alias("path")))
+    files = t("part").select(F.concat(F.lit("m/"), _s(k), F.when(k % 3 == 0, ".xmp").when(k % 3 == 1, ".jpg.AAE").otherwise(".doc")).alias("path"))
+    return library.sidecars(jobs, files)
+
+
+@query("select page_id % 10 = 9 as x, count(*) as n from (select * from pages where page_id % 2 = 1 and page_id % 3 <> 0 and page_id % 7 <> 0 or (page_id % 2 = 1 and page_id % 3 = 0 and page_id % 5 = 0 and page_id % 7 <> 0)) group by 1")
+def open_mp4s(spark, t):
+    """MP4s that still need work: not completed, not standard, or standard and damaged."""
+    k = F.col("page_id")
+    jobs = t("pages").where("page_id % 2 = 1").select(k, _s(k).alias("path"), F.lit("mp4").alias("kind"))
+    status = jobs.select("path", F.when(k % 3 == 0, "standard").otherwise("convert").alias("status"), (k % 5 != 0).alias("healthy"))
+    done = jobs.where("page_id % 7 = 0")
+    left = library.open_jobs(jobs, status, done, ("standard", "hevc"), validate=True)
+    return left.groupBy((k % 10 == 9).alias("x")).agg(F.count("*").alias("n"))
+
+
+_STATUS = "case o_orderkey % 7 when 0 then 'converted' when 1 then 'remuxed' when 2 then 'skipped' when 3 then 'failed' when 4 then 'converted' else 'skipped' end"
+
+
+def _outcomes(t) -> DataFrame:
+    k = F.col("o_orderkey") % 7
+    st = F.when(k.isin(0, 4), "converted").when(k == 1, "remuxed").when(k == 3, "failed").otherwise("skipped")
+    return t("orders").select(st.alias("status"), _s("o_orderkey").alias("path"), F.lit("").alias("detail"), F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes_saved"))
+
+
+@query(
+    f"""
+    with o as (select {_STATUS} as status, cast(round(o_totalprice * 100) as bigint) as b from orders),
+    d as (select unnest(['converted', 'remuxed', 'repaired', 'skipped', 'failed', 'planned']) as status)
+    select d.status, cast(count(o.status) as bigint) as n, cast(coalesce(sum(b), 0) as bigint) as bytes_saved from d left join o on d.status = o.status group by d.status
+    """
+)
+def outcome_tally(spark, t):
+    """Outcomes by status, zeros included."""
+    return library.tally(_outcomes(t))
+
+
+@query(
+    f"""
+    with o as (select {_STATUS} as status, cast(round(o_totalprice * 100) as bigint) as b from orders),
+    c as (select count(*) filter (status = 'converted') as c, count(*) filter (status = 'remuxed') as m, count(*) filter (status = 'skipped') as s, count(*) filter (status = 'failed') as f, cast(round(sum(b) * 10 / 1048576.0) as bigint) as tenths from o)
+    select 'done: ' || c || ' converted, ' || m || ' remuxed, ' || s || ' skipped, ' || f || ' failed, ' || tenths // 10 || '.' || tenths % 10 || ' MB saved' as line from c
+    """
+)
+def summary_line(spark, t):
+    """The closing line of a run."""
+    return library.summary_line(library.tally(_outcomes(t)))
+
+
+@query(
+    """
+    select event_id, user_id, greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint)) as required,
+      cast(coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as reserved,
+      case when 10000000000 - coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) >= greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint)) then 'admit'
+        when coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) > 0 then 'wait' else 'fail' end as decision
+    from events
+    """
+)
+def space_admission(spark, t):
+    """Which conversions a device has room for, in order."""
+    e = t("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("device"), F.lit(10_000_000_000).alias("free"), F.round(F.col("value") * 1_000_000).cast("long").alias("source_size"))
+    return library.admitted(e).select(F.col("seq").alias("event_id"), F.col("device").alias("user_id"), "required", F.col("reserved").cast("long").alias("reserved"), "decision")
+
+
+@query(
+    """
+    select p_partkey, case when p_size % 5 = 0 then 'source is a symbolic link' when p_size % 7 = 0 then 'source is not a regular file' when p_size % 3 = 0 then 'source has multiple hard links' end as fault,
+      starts_with('/lib/' || p_brand, '/lib/Brand#1') and ('/lib/' || p_brand = '/lib/Brand#1' or starts_with('/lib/' || p_brand, '/lib/Brand#1/')) as inside from part
+    """
+)
+def snapshot_safety(spark, t):
+    """Why files can't be sources, and containment in a root."""
+    s = F.col("p_size")
+    df = library.snapshot_faults(t("part").withColumns({"is_symlink": s % 5 == 0, "is_file": s % 7 != 0, "nlink": F.when(s % 3 == 0, 2).otherwise(1), "readable": F.lit(True)}))
+    return df.select("p_partkey", "fault", P.inside(F.concat(F.lit("/lib/"), "p_brand"), F.lit("/lib/Brand#1")).alias("inside"))
+
+
+@query("select event_type, 'x' || substr(sha256(event_type), 1, 8) as token, cast(count(*) as bigint) as n from events group by 1")
+def event_kinds(spark, t):
+    """Unique-name tokens of keys, with counts."""
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.replace(N.unique_name(F.lit("x"), F.lit(""), F.col("event_type")), F.lit("."), F.lit("")).alias("token"), "n")
+
+
+# ---------------------------------------------------------------- timelines
+
+
+def _packets(t) -> DataFrame:
+    ts = F.expr("unix_micros(cast(ts as timestamp))") / 1_000_000
+    e = F.col("event_id")
+    return t("events").select(_s(F.col("user_id") % 50).alias("path"), e.alias("pos"), _s(F.col("user_id") % 3).alias("stream_index"), F.when(e % 11 == 0, "N/A").when(e % 13 == 0, "").otherwise(ts.cast("decimal(20,6)").cast("string")).alias("pts_time"), ts.cast("decimal(20,6)").cast("string").alias("dts_time"), F.when(e % 17 == 0, "-5").otherwise(_s("value")).alias("duration_time"))
+
+
+_PACKETS = """
+    p as (select cast(user_id % 50 as varchar) as path, cast(user_id % 3 as varchar) as stream_index, event_id, epoch_us(ts) / 1000000.0 as start, case when event_id % 17 = 0 then 0 else value end as dur from events where event_id % 11 <> 0)
+"""
+
+
+@query(f"with {_PACKETS} select path, stream_index, greatest(0, round(max(start + greatest(0, dur)) - min(start), 3)) as span from p group by all")
+def packet_spans(spark, t):
+    """Seconds from the first start to the last end, per stream."""
+    return timeline.packet_spans(_packets(t)).withColumn("span", F.round("span", 3))
+
+
+@query(f"with {_PACKETS} select path, stream_index, round(arg_min(start, event_id), 3) as start from p where event_id % 13 <> 0 group by all")
+def first_starts(spark, t):
+    """The first readable timestamp of each stream."""
+    f = _packets(t).select("path", "pos", "stream_index", F.lit("").alias("best_effort_timestamp_time"), "pts_time")
+    return timeline.first_starts(f).withColumn("start", F.round("start", 3))
+
+
+@query(
+    """
+    with e as (select user_id, event_id, cast(round(value * 1000) as bigint) as us from events)
+    select cast(user_id as varchar) as key, event_id * 4 + 3 as pos, us / 1000000.0 as current, case when event_id % 5 = 0 then null else cast(event_id % 7 as double) end as speed from e
+    """
+)
+def progress_fold(spark, t):
+    """The state of each converter at each progress line."""
+    e = t("events").select(_s("user_id").alias("key"), "event_id", F.round(F.col("value") * 1000).cast("long").alias("us"))
+    parts = F.array(F.concat(F.lit("out_time_us="), _s("us")), F.concat(F.lit("speed="), F.when(F.col("event_id") % 5 == 0, "N/A").otherwise(F.concat(_s(F.col("event_id") % 7), F.lit("x")))), F.lit("noise"), F.lit("progress=continue"))
+    lines = e.select("key", "event_id", F.posexplode(parts).alias("i", "value")).select("key", (F.col("event_id") * 4 + F.col("i")).alias("pos"), "value")
+    from .streaming.progress import progress_events
+
+    return progress_events(lines)
+
+
+@query(f"with {_PACKETS} select path, stream_index, greatest(0, round(max(start + greatest(0, dur)) - min(start), 3)) as span from p group by all")
+def packet_stream(spark, t):
+    """The same spans from a stream of packet files, run until nothing is left."""
+    from .running import streamed
+    from .streaming.progress import packet_spans as spans
+
+    return streamed(spark, _packets(t), spans, "complete").withColumn("span", F.round("span", 3))
+
+
+@query()
+def progress_heartbeat(spark, t):
+    """Lines worth printing: ten percent further or a minute later, from a stream of updates."""
+    from .running import streamed
+    from .streaming.progress import heartbeats
+
+    u = t("events").select(_s("user_id").alias("key"), (F.expr("unix_micros(cast(ts as timestamp))") / 1_000_000).alias("at"), F.col("value").alias("current"), F.lit(100.0).alias("total"))
+    return streamed(spark, u, heartbeats, "append")
+
+
+# ---------------------------------------------------------------- inventories
+
+
+def _stream(**given) -> Column:
+    """A stream struct with the given fields; others null."""
+    kinds = dict(x.split(":", 1) for x in S.STREAM[7:-1].replace("map<string,string>", "map<string;string>").replace("map<string,int>", "map<string;int>").split(","))
+    return F.struct(*((given.get(k, F.lit(None)) if isinstance(given.get(k), Column) else F.lit(given.get(k))).cast(v.replace(";", ",")).alias(k) for k, v in kinds.items()))
+
+
+def _tags(**given) -> Column:
+    keys = [x for k, v in given.items() for x in (F.lit(k), v)]
+    return F.map_filter(F.create_map(*keys), lambda k, v: v.isNotNull()) if keys else F.create_map().cast("map<string,string>")
+
+
+def _inventory(streams: Column, chapters: Column | None = None) -> Column:
+    return F.struct(streams.alias("streams"), (chapters if chapters is not None else F.array().cast(f"array<{S.CHAPTER}>")).alias("chapters"), F.array().cast(f"array<{S.GROUP}>").alias("stream_groups"))
+
+
+def _talks(t) -> DataFrame:
+    """An inventory per conversation: turns as streams, by turn."""
+    turn, role = F.col("turn"), F.col("role")
+    kind = F.when(turn == 0, "video").when(role == "assistant", "audio").when(turn % 4 == 2, "subtitle").otherwise("audio")
+    codec = F.when(kind == "video", F.when(F.col("conv_id") % 5 == 0, "vp9").when(F.col("conv_id") % 3 == 0, "hevc").otherwise("h264")).when(kind == "audio", F.when((F.col("conv_id") % 7 == 0) & (turn == 1), "ac3").otherwise("aac")).otherwise(F.when(F.length("text") % 2 == 0, "subrip").otherwise("ass"))
+    s = _stream(index=turn.cast("int"), codec_type=kind, codec_name=codec, pix_fmt=F.when(kind == "video", "yuv420p"), tags=_tags(), disposition=F.create_map(F.lit("default"), (turn % 3 == 1).cast("int")), color=_tags(), attached_pic=F.lit(False))
+    rows = t("conversations").where("turn is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), "role")
+    return rows.select("conv_id", "turn", s.alias("s")).groupBy("conv_id").agg(F.array_sort(F.collect_list("s"), lambda a, b: a["index"] - b["index"]).alias("streams")).select("conv_id", _inventory(F.col("streams")).alias("inv"))
+
+
+_TALKS = """
+    s as (select conv_id, turn, case when turn = 0 then 'video' when role = 'assistant' then 'audio' when turn % 4 = 2 then 'subtitle' else 'audio' end as kind, length(coalesce(text, '')) as n from conversations where turn is not null),
+    c as (select *, case kind when 'video' then case when conv_id % 5 = 0 then 'vp9' when conv_id % 3 = 0 then 'hevc' else 'h264' end when 'audio' then case when conv_id % 7 = 0 and turn = 1 then 'ac3' else 'aac' end else case when n % 2 = 0 then 'subrip' else 'ass' end end as codec from s)
+"""
+
+
+@query(
+    f"""
+    with {_TALKS}, a as (select conv_id, count(*) filter (kind = 'video') as v, bool_and(codec = 'h264') filter (kind = 'video') as h264, bool_and(codec = 'hevc') filter (kind = 'video') as hevc, coalesce(bool_and(codec = 'aac') filter (kind = 'audio'), true) as aac from c group by conv_id)
+    select conv_id, case when v = 0 then 'convert' when not aac and (h264 or hevc) then 'copy-video' when not aac then 'convert' when h264 then 'standard' when hevc then 'hevc' else 'convert' end as status from a
+    """
+)
+def stream_status(spark, t):
+    """Whether streams are standard, whatever their container."""
+    return _talks(t).select("conv_id", I.stream_status(F.col("inv")).alias("status"))
+
+
+@query(
+    f"""
+    with {_TALKS}, a as (select conv_id, count(*) filter (kind = 'video') as v, bool_and(codec = 'h264') filter (kind = 'video') as h264, bool_and(codec = 'hevc') filter (kind = 'video') as hevc, coalesce(bool_and(codec = 'aac') filter (kind = 'audio'), true) as aac, string_agg(distinct codec, ', ' order by codec) filter (kind = 'audio') as codecs from c group by conv_id)
+    select conv_id, case when v = 0 then 'convert' when not aac then 'convert' when h264 then 'standard' when hevc then 'hevc' else 'convert' end as status,
+      case when v = 0 then 'it has no playable video track' when not aac then 'audio is ' || codecs || ', not AAC' when h264 then 'already Apple-compatible' when hevc then 'HEVC is already Apple-native' else 'video is vp9/yuv420p/unknown, not H.264 8-bit 4:2:0' end as reason from a
+    """
+)
+def mp4_status(spark, t):
+    """Whether MP4s are standard, and why not."""
+    return _talks(t).select("conv_id", I.mp4_status(F.col("inv")).alias("m")).select("conv_id", "m.*")
+
+
+@query(
+    f"""
+    with {_TALKS}, a as (select conv_id, count(*) filter (kind = 'video') as v, count(*) filter (kind = 'subtitle' and codec = 'ass') as s from c group by conv_id)
+    select conv_id, case when v > 1 then (v - 1) || ' additional video track(s)' else '' end || case when v > 1 and s > 0 then '; ' else '' end || case when s > 0 then s || ' subtitle track(s) (ass)' else '' end as risks from a
+    """
+)
+def removal_risks(spark, t):
+    """What a conversion would drop."""
+    return _talks(t).select("conv_id", F.array_join(I.removal_risks(F.col("inv")), "; ").alias("risks"))
+
+
+@query(
+    f"""
+    with {_TALKS}, a as (select conv_id, count(*) filter (kind = 'audio') as n, count(*) filter (kind = 'subtitle' and codec = 'subrip') as s from c group by conv_id)
+    select conv_id, case when n > 1 then n || ' audio tracks' else '' end || case when n > 1 and s > 0 then ', ' else '' end || case when s > 0 then s || ' compatible subtitle track(s)' else '' end as summary from a
+    """
+)
+def preservation_summary(spark, t):
+    """What a conversion keeps."""
+    return _talks(t).select("conv_id", I.preservation_summary(F.col("inv")).alias("summary"))
+
+
+@query(
+    f"""
+    with {_TALKS}, o as (select *, row_number() over (partition by conv_id, kind order by turn) - 1 as pos from c where kind = 'audio')
+    select conv_id, coalesce(string_agg(cast(pos as varchar), ',' order by pos) filter (turn % 3 = 1), '') as defaults from o group by conv_id
+    """
+)
+def default_tracks(spark, t):
+    """Ordinals of the audio tracks that play by default."""
+    df = _talks(t).where(F.size(I.of_type(F.col("inv"), "audio")) > 0)
+    return df.select("conv_id", F.array_join(F.transform(I.defaults(I.of_type(F.col("inv"), "audio")), lambda i: i.cast("string")), ",").alias("defaults"))
+
+
+def _films(t) -> DataFrame:
+    """Source and output inventories of a picture and an audio track per order."""
+    k = F.col("o_orderkey")
+    video = lambda **x: _stream(index=0, codec_type="video", codec_name="h264", pix_fmt="yuv420p", tags=_tags(), disposition=F.create_map().cast("map<string,int>"), attached_pic=F.lit(False), avg_frame_rate="30/1", start_time="0", **x)
+    audio = lambda **x: _stream(index=1, codec_type="audio", disposition=F.create_map().cast("map<string,int>"), color=_tags(), attached_pic=F.lit(False), sample_rate="48000", **x)
+    src = F.array(video(rotation=F.when(k % 13 == 0, 90.0), color=_tags(color_range=F.lit("tv"))), audio(codec_name="pcm", tags=_tags(title=F.lit("Main")), duration="100.0", channels=2, start_time="0"))
+    after = audio(codec_name=F.when(k % 11 == 0, "mp3").otherwise("aac"), tags=_tags(handler_name=F.when(k % 17 == 0, "Other").otherwise("Main")), duration=F.when(k % 7 == 0, "97.5").when(k % 19 == 0, "N/A").otherwise("99.0"), channels=F.when(k % 5 == 0, 6).otherwise(2), start_time=F.when(k % 3 == 0, "0.06").otherwise("0.01"))
+    out = F.array(video(rotation=F.when(k % 26 == 0, 450.0), color=_tags(color_range=F.when(k % 23 == 0, "pc"))), after)
+    empty = F.create_map().cast("map<string,double>")
+    return t("orders").select("o_orderkey", _inventory(src).alias("source"), F.when(k % 29 != 0, _inventory(F.when(k % 31 == 0, F.slice(out, 1, 1)).otherwise(out))).alias("output"), F.lit(100.0).alias("source_duration"), F.when(k % 37 == 0, 90.0).otherwise(100.5).alias("output_duration"), empty.alias("source_spans"), empty.alias("output_spans"), empty.alias("source_starts"), empty.alias("output_starts"))
+
+
+@query(
+    """
+    select o_orderkey, coalesce(r, 'ok') as reason, r is null as ok from (select o_orderkey, case
+      when o_orderkey % 29 = 0 then 'could not inventory source and output streams'
+      when o_orderkey % 37 = 0 then 'duration mismatch: source 100.0s vs output 90.0s'
+      when o_orderkey % 31 = 0 then 'audio track count changed: source 1, output 0'
+      when o_orderkey % 11 = 0 then 'audio track 1 output codec is not AAC'
+      when o_orderkey % 17 = 0 then 'audio track 1 language/title/disposition metadata changed'
+      when o_orderkey % 7 <> 0 and o_orderkey % 19 = 0 then 'audio track 1 duration could not be verified'
+      when o_orderkey % 7 = 0 then 'audio track 1 duration changed: source 100.00s, output 97.50s'
+      when o_orderkey % 5 = 0 then 'audio track 1 channel count changed: source 2 vs output 6'
+      when o_orderkey % 3 = 0 then 'audio track 1 A/V start offset changed: source +0.000s vs output +0.060s (tolerance 0.050s)'
+      when o_orderkey % 13 = 0 and o_orderkey % 26 <> 0 then 'video rotation metadata changed'
+      when o_orderkey % 23 = 0 then 'video color_range metadata changed: source tv, output pc' end as r from orders)
+    """
+)
+def ordinal_verify(spark, t):
+    """Outputs against their sources, the first broken promise named."""
+    return validation.verify_streams(_films(t)).select("o_orderkey", "reason", "ok")
+
+
+@query(
+    """
+    with f as (select o_orderkey, case when o_orderkey % 5 = 0 then 'yuv422p10le' when o_orderkey % 5 = 1 then 'yuva420p' else 'yuv420p' end as fmt, case when o_orderkey % 3 = 0 then 'tt' else 'progressive' end as field,
+      case o_orderkey % 4 when 0 then '25/1' when 1 then '5/1' else '30/1' end as mean, case when o_orderkey % 7 = 0 then '60/1' when o_orderkey % 4 = 0 then '25/1' when o_orderkey % 4 = 1 then '5/1' else '30/1' end as nominal, o_orderkey % 11 = 0 as hdr from orders)
+    select o_orderkey, array_to_string(list_filter([case when fmt = 'yuv422p10le' then '10-bit video' end, case when hdr then 'HDR/dynamic-range metadata' end, case when fmt = 'yuva420p' then 'alpha channel' end,
+      case when field = 'tt' then 'interlaced video (tt)' end, case when o_orderkey % 7 = 0 then 'variable frame rate' when mean = '5/1' then 'unusual frame rate (5.000 fps)' end], lambda x: x is not null), ', ') as features from f
+    """
+)
+def advanced_features(spark, t):
+    """Pictures that an ordinary encode may damage."""
+    k = F.col("o_orderkey")
+    mean = F.when(k % 4 == 0, "25/1").when(k % 4 == 1, "5/1").otherwise("30/1")
+    v = _stream(index=0, codec_type="video", codec_name="h264", pix_fmt=F.when(k % 5 == 0, "yuv422p10le").when(k % 5 == 1, "yuva420p").otherwise("yuv420p"), field_order=F.when(k % 3 == 0, "tt").otherwise("progressive"), avg_frame_rate=mean, r_frame_rate=F.when(k % 7 == 0, "60/1").otherwise(mean), color=_tags(color_transfer=F.when(k % 11 == 0, "smpte2084")), tags=_tags(), attached_pic=F.lit(False))
+    return t("orders").select("o_orderkey", F.array_join(I.advanced_features(_inventory(F.array(v))), ", ").alias("features"))
+
+
+@query(
+    """
+    select o_orderkey, 'ffmpeg -nostdin -y -noautorotate -i in.mkv -map 0:0 -map 0:1 -map_metadata:s:a:0 0:s:a:0 -metadata:s:a:0 title=Main -metadata:s:a:0 handler_name=Main -disposition:a:0 0 -map_metadata 0 -map_metadata:s:v:0 0:s:v:0 -map_chapters 0 -c copy -color_range:v:0 tv -tag:v:0 avc1 -tag:a mp4a -brand mp42 -movflags +faststart out.mp4' as remux,
+      cast(case when o_orderkey % 2 = 0 then 55 else 41 end as integer) as words from orders
+    """
+)
+def command_vectors(spark, t):
+    """Argument vectors of a remux, and their length for a tolerant encode."""
+    f = _films(t)
+    k = F.col("o_orderkey")
+    remux = F.array_join(commands.remux(F.lit("in.mkv"), F.lit("out.mp4"), F.col("source")), " ")
+    n = F.when(k % 2 == 0, F.size(commands.encode(F.lit("a"), F.lit("b"), F.col("source"), repair=True))).otherwise(F.size(commands.encode(F.lit("a"), F.lit("b"), F.col("source"), copy_video=True)))
+    return f.select("o_orderkey", remux.alias("remux"), n.alias("words"))
+
+
+@query(
+    """
+    select o_orderkey, case when k = 4 then 'skipped' when k = 0 then 'skipped' when k = 1 then 'skipped' else 'planned' end as status, case k
+      when 0 then 'HEIC (already space-efficient; --convert-heic to convert)' when 1 then 'static WebP (already standardized)' when 2 then 'would convert and trash original -> clip.webp'
+      when 3 then 'would convert audio and copy video and trash original -> clip.mp4; preserve ' || case when o_orderkey % 13 = 0 then 'rotation 90 degrees, ' else '' end || 'colour metadata' else 'stream preflight failed; original kept' end as detail,
+      case k when 3 then 'convert,repair-encode' when 4 then 'convert,repair-encode' else 'convert' end as stages
+    from (select o_orderkey, o_orderkey % 5 as k from orders)
+    """
+)
+def job_decisions(spark, t):
+    """What would be done with each job, and in which stages."""
+    k = F.col("o_orderkey") % 5
+    kind = F.when(k == 0, "heic").when(k == 1, "webp").when(k == 2, "photo").otherwise("video")
+    flags = F.struct(*(F.lit(False).alias(x) for x in ("animated", "alpha", "icc", "exif", "xmp")))
+    film = _films(t).select("o_orderkey", F.when((k == 3), F.col("source")).alias("inventory"))
+    none = F.lit(None)
+    jobs = film.withColumns({"path": F.concat(F.lit("lib/clip"), F.when(k == 2, ".jpg").otherwise(".mkv")), "kind": kind, "healthy": F.lit(True), "playback_ok": F.lit(True), "gif_packets": none.cast("string"), "webp": flags, "output": none.cast("string"), "taken": F.lit(False), "fault": none.cast("string"), "size": F.lit(1000), "free": F.lit(10**9)})
+    return decision.decide(jobs).select("o_orderkey", "status", "detail", F.array_join("stages", ",").alias("stages"))
+
+
+@query(
+    """
+    select o_orderkey, case when k = 0 then 'failed' when k = 1 then 'failed' when k = 2 then 'skipped' when k = 3 then 'repaired' when k = 4 then 'remuxed' when k = 5 then 'repaired' else 'converted' end as status,
+      cast(case when k in (3, 4, 5, 6) then 1024 * 100 - n else 0 end as bigint) as bytes_saved, k = 5 as source_kept
+    from (select o_orderkey, o_orderkey % 7 as k, case when o_orderkey % 7 = 2 then 204800 else o_orderkey % 1000 end as n from orders)
+    """
+)
+def job_outcomes(spark, t):
+    """What became of jobs that ran."""
+    k = F.col("o_orderkey") % 7
+    a = t("orders").select("o_orderkey", _s("o_orderkey").alias("path"), F.lit("lib/x.mp4").alias("final"), F.when(k == 3, "repair-remux").when(k == 4, "remux").otherwise("convert").alias("stage"), (k != 0).alias("ok"), F.lit("bad").alias("reason"), F.when(k == 5, "recovered").otherwise("ok").alias("note"), (k != 1).alias("unchanged"), F.lit(102400).alias("size"), F.when(k == 2, 204800).otherwise(F.col("o_orderkey") % 1000).alias("new_size"))
+    out = decision.concluded(a, decision.Options(dry_run=False, only_if_smaller=True))
+    return out.select(F.col("path").cast("long").alias("o_orderkey"), "status", "bytes_saved", "source_kept")
+
+
+@query(
+    """
+    select o_orderkey, b & 2 <> 0 and o_orderkey % 9 <> 0 as animated, b & 16 <> 0 and o_orderkey % 9 <> 0 as alpha, b & 32 <> 0 and o_orderkey % 9 <> 0 as icc, b & 8 <> 0 and o_orderkey % 9 <> 0 as exif, b & 4 <> 0 and o_orderkey % 9 <> 0 as xmp
+    from (select o_orderkey, o_orderkey % 64 as b from orders)
+    """
+)
+def webp_headers(spark, t):
+    """Flags of WebP headers."""
+    k = F.col("o_orderkey")
+    head = F.concat(F.when(k % 9 == 0, F.lit("RIFX")).otherwise(F.lit("RIFF")).cast("binary"), F.lit("1234WEBPVP8X0000").cast("binary"), F.unhex(F.lpad(F.hex(k % 64), 2, "0")))
+    return t("orders").select("o_orderkey", M.webp_flags(head).alias("w")).select("o_orderkey", "w.*")
+
+
+# ---------------------------------------------------------------- measures
+
+
+@query(
+    """
+    select l_orderkey, l_linenumber, l_extendedprice as src, l_extendedprice * (1 - l_discount / 2) as out, abs(l_extendedprice - l_extendedprice * (1 - l_discount / 2)) <= greatest(1.0, l_extendedprice * 0.02) as agrees from lineitem
+    """
+)
+def duration_check(spark, t):
+    """Durations within a second or two percent."""
+    df = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("src"), (F.col("l_extendedprice") * (1 - F.col("l_discount") / 2)).alias("out"))
+    return df.withColumn("agrees", M.duration_agrees(F.col("src"), F.col("out")))
+
+
+@query(
+    """
+    select l_orderkey, l_linenumber, l_quantity, round(case when l_linenumber = 1 then 0.05 else greatest(0.05, least(0.15, 1.5 / (cast(l_quantity as integer) / 2.0))) end, 9) as tolerance,
+      (cast(l_quantity as double) * -90) - 360 * floor((cast(l_quantity as double) * -90) / 360) as turned from lineitem
+    """
+)
+def av_tolerance(spark, t):
+    """A frame's worth of drift, and rotations within a turn."""
+    rate = F.when(F.col("l_linenumber") == 1, "0/0").otherwise(F.concat(_s(F.col("l_quantity").cast("int")), F.lit("/2")))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.round(M.av_tolerance(rate), 9).alias("tolerance"), M.turned(F.col("l_quantity") * -90).alias("turned"))
+
+
+@query(
+    """
+    select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30' when 1 then strftime(o_orderdate, '%Y-%m-%d') when 2 then strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30' else 'undated ' || o_orderkey end as date,
+      case when o_orderkey % 4 = 3 then [] when o_orderkey % 5 = 0 then [strftime(o_orderdate, '%Y-%m-%d')] else ['2001-01-01'] end as dates from orders
+    """
+)
+def capture_dates(spark, t):
+    """Capture dates in one form, and the strongest tier of a photo's tags."""
+    k, d = F.col("o_orderkey"), lambda f: F.date_format("o_orderdate", f)
+    text = F.when(k % 4 == 0, F.concat(d("yyyy:MM:dd"), F.lit(" 10:20:30.5+02:00"))).when(k % 4 == 1, d("yyyy-MM-dd")).when(k % 4 == 2, F.concat(F.lit("  "), d("yyyy-MM-dd"), F.lit("T10:20:30Z"))).otherwise(F.concat(F.lit("undated "), _s(k)))
+    tags = F.map_filter(F.create_map(F.lit("ExifIFD:DateTimeOriginal"), F.when(k % 5 == 0, d("yyyy:MM:dd")), F.lit("XMP-photoshop:DateCreated"), F.lit("2001:01:01"), F.lit("Composite:DateTimeOriginal"), F.lit("1999:01:01")), lambda n, v: v.isNotNull() & (k % 4 != 3))
+    return t("orders").select("o_orderkey", M.capture_date(text).alias("date"), M.capture_dates(tags).alias("dates"))
+
+
+@query(
+    """
+    with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as lines from documents)
+    select doc_id, case when len(lines) = 0 then '(no stderr)' else array_to_string(lines[greatest(1, len(lines) - 2):], ' | ') end as tail from l
+    """
+)
+def tail_lines(spark, t):
+    """The last three lines of a text that aren't blank."""
+    return t("documents").select("doc_id", M.last_lines(F.col("text"), 3).alias("tail"))
+
+
+@query(
+    """
+    select o_orderkey, case when s >= 3600 then s // 3600 || ':' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') else lpad(cast(s // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') end as clock,
+      cast(least(100, s * 100 // 10000) as integer) as percent from (select o_orderkey, o_orderkey * 7 % 12000 as s from orders)
+    """
+)
+def progress_clock(spark, t):
+    """Clocks and percentages of progress."""
+    s = F.col("o_orderkey") * 7 % 12000
+    return t("orders").select("o_orderkey", M.clock(s.cast("double")).alias("clock"), M.percent(s, F.lit(10000)).alias("percent"))
+
+
+@query(
+    """
+    select o_orderkey, case when p is null then null else cast(p as integer) end as percent, 'encoding   x [' || case when p = 100 then repeat('=', 22) else rpad(repeat('=', cast(22 * p // 100 as integer)) || '>', 22, '-') end || '] ' || lpad(cast(p as varchar), 4, ' ') || '% ' || lpad(cast(s // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') || '/16:40 2.00x ETA '
+      || lpad(cast((1000 - s) // 2 // 60 as varchar), 2, '0') || ':' || lpad(cast((1000 - s) // 2 % 60 as varchar), 2, '0') as line from (select o_orderkey, o_orderkey % 1001 as s, cast(floor((o_orderkey % 1001) / cast(1000 as double) * 100) as bigint) as p from orders)
+    """
+)
+def progress_lines(spark, t):
+    """Progress lines as a terminal shows them."""
+    s = (F.col("o_orderkey") % 1001).cast("double")
+    return t("orders").select("o_orderkey", M.percent(s, F.lit(1000.0)).alias("percent"), M.progress_text(F.lit("encoding"), F.lit("x"), s, F.lit(1000.0), F.lit(2.0)).alias("line"))
+
+
+@query("select o_orderkey, case when n < 1024 then n || ' B' when n < 1048576 then n // 1024 || '.' || n % 1024 * 10 // 1024 || ' KB' else n // 1048576 || '.0 MB' end as size from (select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey % 1024 when 1 then (o_orderkey % 1000 + 1) * 1024 + 512 else (o_orderkey % 900 + 1) * 1048576 end as n from orders)")
+def size_labels(spark, t):
+    """Sizes for people."""
+    k = F.col("o_orderkey")
+    n = F.when(k % 3 == 0, k % 1024).when(k % 3 == 1, (k % 1000 + 1) * 1024 + 512).otherwise((k % 900 + 1) * 1048576)
+    return t("orders").select("o_orderkey", M.size_text(n).alias("size"))
+
+
+@query(
+    """
+    select s_suppkey, case when k = 0 then 'could not parse FFmpeg version; capability smoke test will decide' when k = 1 then 'FFmpeg 5.1 is older than the tested minimum 6.0; install/upgrade with `brew install ffmpeg webp` (or your system package manager)' else '' end as warnings,
+      case when k = 2 then 'FFmpeg is missing the libx264 encoder; install a full FFmpeg build with GPL/libx264 support' when k = 3 then 'cwebp is not on PATH; install/upgrade with `brew install ffmpeg webp` (or your system package manager)' else '' end as errors, k not in (2, 3) as ok from (select s_suppkey, s_suppkey % 5 as k from supplier)
+    """
+)
+def tool_report(spark, t):
+    """Tools of many hosts, judged at once."""
+    k = F.col("s_suppkey") % 5
+    hosts = t("supplier").select("s_suppkey", F.lit(True).alias("has_ffmpeg"), F.lit(True).alias("has_ffprobe"), (k != 3).alias("has_cwebp"), F.when(k == 0, "ffmpeg N-1").when(k == 1, "ffmpeg version 5.1.2").otherwise("ffmpeg version 7.0").alias("ffmpeg_version"), F.when(k == 2, " V aac ").otherwise(" V libx264 \n A aac ").alias("encoders"), F.lit("-progress -display_rotation").alias("help"), F.lit("").alias("demuxers"), F.lit("").alias("decoders"), F.array(F.lit("aac"), F.lit("h264")).alias("probed_codecs"))
+    out = capabilities.report(hosts)
+    return out.select("s_suppkey", F.array_join("warnings", ";").alias("warnings"), F.array_join("errors", ";").alias("errors"), "ok")
+
+
+@query()
+def sample_digest(spark, t):
+    """Sampled BLAKE2b digests of texts; no SQL engine here has this hash."""
+    return t("documents").select("doc_id", M.sampled_digest(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    """
+    select c_custkey, '--' || lower(c_mktsegment) as flag, cast(c_nationkey as varchar) as value from customer where c_custkey % 3 <> 0 and c_custkey % 5 <> 0
+    """
+)
+def settings_rows(spark, t):
+    """Settings lines: comments and blanks dropped, values split once."""
+    from .sources.state import settings_rows as rows
+
+    k = F.col("c_custkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("# "), "c_mktsegment")).when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" --"), F.lower("c_mktsegment"), F.lit("  "), _s("c_nationkey")))
+    df = t("customer").select("c_custkey", line.alias("value"))
+    out = rows(df.select(F.concat(F.col("value"), F.lit(" @"), _s(k)).alias("value")).where(F.trim(F.regexp_replace("value", r"@\d+", "")) != ""))
+    return out.select(F.regexp_extract("value", r"@(\d+)", 1).cast("long").alias("c_custkey"), "flag", F.trim(F.regexp_replace("value", r"@\d+", "")).alias("value"))
+
+
+@query(
+    """
+    with m as (select p_partkey, p_name, row_number() over (partition by p_name order by lpad(cast(p_partkey as varchar), 8, '0')) as n from part)
+    select p_partkey, p_name || case when n + 3 * cast(p_name like 'red%' as integer) = 1 then '' else ' ' || (n + 3 * cast(p_name like 'red%' as integer)) end || '.jpg' as target from m
+    """
+)
+def disposal_names(spark, t):
+    """Names in a trash folder that collide with nothing."""
+    from .sources.state import disposal_names as names
+
+    moves = t("part").select("p_partkey", F.lpad(_s("p_partkey"), 8, "0").alias("path"), F.col("p_name").alias("stem"), F.lit(".jpg").alias("suffix"))
+    have = t("part").where("p_name like 'red%'").select(F.concat("p_name", F.lit(" 3.jpg")).alias("name")).distinct()
+    return names(moves, have).select("p_partkey", "target")
+
+
+# ---------------------------------------------------------------- state
+
+
+@query(
+    """
+    select o_orderkey, case when o_orderkey % 4 <> 0 and o_orderkey % 9 <> 0 then 'v' || o_orderkey end as value, o_orderkey % 4 <> 0 and o_orderkey % 9 <> 0 as hit from orders
+    """
+)
+def cache_lookup(spark, t):
+    """Cached values of files whose identity is unchanged."""
+    k = F.col("o_orderkey")
+    ident = {"m": k * 10, "c": k * 11, "s": F.round(F.col("o_totalprice") * 100).cast("long"), "i": k, "d": F.lit(1).cast("long")}
+    files = t("orders").select(_s(k).alias("path"), k, *(v.alias(n) for n, v in ident.items()))
+    old = t("orders").where("o_orderkey % 4 <> 0").select(F.lit("probe").alias("kind"), _s(k).alias("path"), F.when(k % 9 == 0, k).otherwise(k * 10).alias("m"), *(v.alias(n) for n, v in ident.items() if n != "m"), F.concat(F.lit("v"), _s(k)).alias("value"))
+    return caches.lookup(files, old, "probe").select("o_orderkey", "value", "hit")
+
+
+@query("select cast(o_orderkey as varchar) as path, case when o_orderkey % 3 = 0 then 'new' else 'old' end as value from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0")
+def cache_upsert(spark, t):
+    """A cache with new rows in place of old ones."""
+    k = F.col("o_orderkey")
+    row = lambda w, v: t("orders").where(w).select(F.lit("health").alias("kind"), _s(k).alias("path"), F.lit(v).alias("value"))
+    return caches.upserted(row("o_orderkey % 2 = 0", "old"), row("o_orderkey % 3 = 0", "new")).select("path", "value")
+
+
+@query("select cast(o_orderkey as varchar) as path from orders where not (o_orderkey % 2 = 0 and (o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 or o_orderkey = 0))")
+def completed_anti(spark, t):
+    """Sources that no valid completion covers."""
+    k = F.col("o_orderkey")
+    ident = lambda x: F.struct(x.alias("s"), (x + 1).alias("m"))
+    src = t("orders").select(_s(k).alias("path"), ident(k).alias("identity"))
+    done = t("orders").where("o_orderkey % 2 = 0").select(_s(k).alias("source"), ident(F.when(k % 5 == 0, -k).otherwise(k)).alias("source_identity"), F.concat(F.lit("o"), _s(k)).alias("output"), ident(k * 2).alias("output_identity"))
+    files = t("orders").select(F.concat(F.lit("o"), _s(k)).alias("path"), ident(F.when(k % 7 == 0, k).otherwise(k * 2)).alias("identity"))
+    return library.without(src, caches.completed(src, done, files)).select("path")
+
+
+@query(
+    """
+    with j as (select o_orderkey, o_orderkey % 3 in (0, 1) and o_orderkey % 4 <> 0 as unfinished from orders)
+    select o_orderkey, unfinished, row_number() over (order by unfinished desc, o_orderkey) as ord from j where o_orderkey % 10 = 1
+    """
+)
+def resume_order(spark, t):
+    """Jobs in the order of a resumed run: unfinished ones first."""
+    k = F.col("o_orderkey")
+    jobs = t("orders").select("o_orderkey", _s(k).alias("path"), (k * 3).alias("size"), (k * 5).alias("mtime_ns"))
+    journal = t("orders").select(_s(k).alias("path"), F.when(k % 4 == 0, k).otherwise(k * 3).alias("size"), (k * 5).alias("mtime_ns"), F.when(k % 3 == 0, "running").when(k % 3 == 1, "queued").otherwise("done").alias("status"))
+    out = library.resumed(jobs, journal).where("o_orderkey % 10 = 1")
+    return out.select("o_orderkey", "unfinished", F.expr("cast(row_number() over (order by unfinished desc, o_orderkey) as bigint)").alias("ord"))
+
+
+@query(
+    """
+    select o_orderkey, case when k in (0, 1) then 'finish' when k = 2 then 'discard' when k = 3 then 'restore' else 'unresolved' end as decision, k in (2) as drop_temporary from (select o_orderkey, o_orderkey % 6 as k from orders)
+    """
+)
+def recovery_decision(spark, t):
+    """What to do with interrupted replacements."""
+    k = F.col("o_orderkey")
+    m, key = k % 6, _s(k)
+    ident = lambda what: F.struct(F.concat(F.lit(what), key).alias("id"))
+    place = lambda p: F.concat(F.lit(f"{p}/"), key)
+    tx = t("orders").select("o_orderkey", key.alias("id"), *(place(p).alias(p) for p in ("source", "final", "backup", "temporary")), ident("src").alias("source_identity"), ident("out").alias("output_identity"))
+    # 0: output in place, backup there; 1: output in place, backup gone; 2: nothing moved yet; 3: original only as backup; 4, 5: neither
+    seen = F.array_compact(F.array(
+        F.when(m.isin(0, 1), F.struct(place("final").alias("path"), ident("x").alias("identity"), ident("out").alias("output_identity"))),
+        F.when(m.isin(0, 3), F.struct(place("backup").alias("path"), ident("src").alias("identity"), ident("x").alias("output_identity"))),
+        F.when(m == 2, F.struct(place("source").alias("path"), ident("src").alias("identity"), ident("x").alias("output_identity"))),
+        F.when(m == 2, F.struct(place("temporary").alias("path"), ident("x").alias("identity"), ident("out").alias("output_identity"))),
+        F.when(m == 4, F.struct(place("source").alias("path"), ident("y").alias("identity"), ident("x").alias("output_identity"))),
+    ))
+    observed = t("orders").select(F.explode(seen).alias("o")).select("o.*")
+    return caches.recovery(tx, observed).select("o_orderkey", "decision", "drop_temporary")
