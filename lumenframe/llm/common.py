@@ -14,16 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: folders of our own, by application, where the session names none
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where the session names none (tests in one JVM) is a folder of our own set up.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not named:
-        named = tempfile.mkdtemp(prefix="lumenframe-")
+        named = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lumenframe-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     ship_code(spark)
     return named.rstrip("/")
