@@ -10,6 +10,7 @@ of at most ``features`` words and stems.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +108,7 @@ def counts(texts: list[str | None], high: list[int], features, keep) -> tuple[Co
 
     Two passes, so that memory doesn't grow with the vocabulary: hashed counts say which features are worth a name.
     """
-    size = 1 << 22
+    size = 1 << 20
     df, up = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for x, g in zip(texts, high, strict=True):
         ids = np.unique(np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) % size for f in features(x)), dtype=np.int64))
@@ -211,12 +213,12 @@ def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps:
     power = {t: strength(c, high[t]) for t, c in df.items() if c >= 3}
     kept = sorted((t for t, x in power.items() if x >= least), key=lambda t: (-power[t], t))[:features]
     at = {t: i for i, t in enumerate(kept)}
-    rows, cols = [], []
+    rows, cols = array("i"), array("i")
     for i, x in enumerate(texts):
         for j in sorted(at[t] for t in terms(x) if t in at):
             rows.append(i)
             cols.append(j)
-    rows, cols = np.asarray(rows, dtype=np.int64), np.asarray(cols, dtype=np.int64)
+    rows, cols = np.asarray(rows, dtype=np.int32), np.asarray(cols, dtype=np.int32)
     cum = [(np.sum(y <= k) + 0.5) / (n + 1) for k in range(top)]
     theta = np.log(np.asarray(cum) / (1 - np.asarray(cum))) if top else np.zeros(0)
     gaps = np.log(np.maximum(np.diff(theta), 1e-2)) if top > 1 else np.zeros(0)
@@ -246,7 +248,7 @@ def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps:
     return Ordinal({t: float(p[i]) for t, i in at.items()}, theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, binary: bool = False) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool = False) -> Ordinal:
     """Fits on at most about ``sample`` rows of ``labels(doc_id, grade)``, half of them of higher grades where there are as many.
 
     With ``binary``, grades are 0 and 1 and the ones are split by ``severity``.
@@ -259,10 +261,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, binary: bool
     share = {k: min(1.0, max(half, sample - counts.get(not k, 0)) / max(1, counts.get(k, 0))) for k in (True, False)}
     cut = F.when(F.col("grade") > 0, int(share[True] * 1_000_000)).otherwise(int(share[False] * 1_000_000))
     chosen = known.where(h < cut)  # about ``sample`` rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    texts, grades = [r[1] for r in rows], [r[2] for r in rows]
-    model = fit(texts, severity(texts, grades) if binary else grades)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.lit(0).alias("one"), "doc_id", "text", "grade")
+
+    def fitted(table: pa.Table) -> pa.Table:
+        own = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["grade"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
+        texts, grades = [r[1] for r in own], [r[2] for r in own]
+        m = fit(texts, severity(texts, grades) if binary else grades)
+        names = [*m.weights, *(None for _ in m.thresholds)]
+        return pa.table({"at": pa.array(range(len(names)), pa.int32()), "name": pa.array(names, pa.string()), "value": pa.array([*m.weights.values(), *m.thresholds.tolist()], pa.float64())})
+
+    # the sample is bounded, so one task fits it; the driver sees the model alone
+    ship_code(docs.sparkSession)
+    found = sorted(rows.groupBy("one").applyInArrow(fitted, "at int, name string, value double").collect(), key=lambda r: r["at"])
+    model = Ordinal({r["name"]: r["value"] for r in found if r["name"] is not None}, np.array([r["value"] for r in found if r["name"] is None]))
     # the sample holds more of the higher grades than the corpus: shift the thresholds back
     if len(model.thresholds) and share[False] > 0:
         model.thresholds = model.thresholds + np.log(share[True] / share[False])
