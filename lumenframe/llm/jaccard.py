@@ -143,14 +143,27 @@ def first_products(entries: DataFrame, num: int, den: int) -> DataFrame:
 
     def multiply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for t in sorted_groups(frames, ["gram", "salt"], 2):
+
+        def passing(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # every entry of a common column goes to its blocks, even one that is alone in its part here
+            nonlocal held
+            for batch in frames:
+                gram, node, meta, salt = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("gram", "node", "meta", "salt"))
+                k = np.flatnonzero(salt >= 0)
+                if len(k):
+                    out.append((np.full(len(k), 2, np.int8), gram[k], node[k], node[k], meta[k] >> 32, (meta[k] >> 1) & 0x7FFFFFFF, (meta[k] & 1) == 1))
+                    held += len(k)
+                yield batch
+
+        for t in sorted_groups(passing(frames), ["gram", "salt"], 2):
             node, meta = t["node"].to_numpy(), t["meta"].to_numpy()
             n, pos, small = meta >> 32, (meta >> 1) & 0x7FFFFFFF, (meta & 1) == 1
             order = np.lexsort((node, n))
             node, n, pos, small = node[order], n[order], pos[order], small[order]
             gram = t["gram"][0].as_py()
             # a part of a common column is never the whole of it
-            whole = len(node) <= SHORT and t["salt"][0].as_py() < 0
+            salted = t["salt"][0].as_py() >= 0
+            whole = len(node) <= SHORT and not salted
             if whole:
                 i, j = np.triu_indices(len(node), 1)
             else:
@@ -160,7 +173,7 @@ def first_products(entries: DataFrame, num: int, den: int) -> DataFrame:
             i, j = i[ok], j[ok]
             if len(i):
                 out.append((np.where(j - i <= 2, 0, 1).astype(np.int8), np.full(len(i), gram), node[i], node[j], np.zeros(len(i), np.int32), np.zeros(len(i), np.int32), np.zeros(len(i), bool)))
-            if not whole:
+            if not whole and not salted:
                 out.append((np.full(len(node), 2, np.int8), np.full(len(node), gram), node, node, n, pos, small))
             held += len(out[-1][0]) if out else 0
             if held > 100_000:

@@ -149,6 +149,22 @@ def test_jaccard(docs, corpus, empty, size, num):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_common_columns(spark):
+    """Many copies and near copies, in columns that go in several parts, against brute force."""
+    rng = random.Random(11)
+    bases = [text(rng, 24) for _ in range(6)]
+    near = [" ".join(b.split(" ")[:-k] + [f"n{i}x{k}x{j}" for j in range(k)]) for i, b in enumerate(bases) for k in (1, 2)]
+    rows = bases * 1600 + near + [f"f{i} g{i} h{i} i{i} j{i}" for i in range(10_800)]
+    assert len(rows) // 4096 >= 4
+    sets = {t: shingles(t, 5) for t in bases + near}
+    want = {t: rows.index(t) for t in sets}
+    for _ in sets:
+        for t, s in sets.items():
+            want[t] = min(want[u] for u, v in sets.items() if 100 * len(s & v) >= 80 * len(s | v))
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+    assert out == {i: want.get(t, i) for i, t in enumerate(rows)} and set(want.values()) == set(range(6))
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
