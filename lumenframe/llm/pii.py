@@ -2,16 +2,17 @@
 
 Base spans are emails, IP addresses, cards and phones.  Removing them is not enough where other terms point
 at them: a term is information about an entity when both occur together more than chance allows.  For
-entity e and term t near it, over all documents,
+entity e and term t anywhere in its texts, over all different texts,
 
     PMI(t; e) = log(p(t, e) / (p(t) p(e)))        IC(e) = -log p(e)
 
 and the disclosed share is PMI / IC.  Terms with a share of ``generalise`` or more become their class, those
-with ``remove`` or more go.  Only pairs seen in ``support`` different texts count.
+with ``remove`` or more go.  Only pairs seen in ``support`` different texts count, so an entity of fewer texts
+has no terms.  A term has three letters or more and lies outside email addresses.
 
-Everything is DataFrame functions.  Scale: texts are never shuffled unless they hold a disclosing term; the
-pairs come from a bounded window around each span, so they grow with the spans; entities and terms are
-aggregated before they are shuffled; term statistics count all documents.
+Everything is DataFrame functions.  Scale: texts are never shuffled unless they hold a disclosing term; pairs
+are made of the whole texts whose entities have the support, and aggregated before they are shuffled, with
+entities as numbers.  Copies are counted with their text's number of copies, and divided by it afterwards.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PATTERNS = {
 #: cheap conditions that a text with a match meets
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WORD = r"\p{L}++"
-NONE = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
+NONE = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def running(lens: Column, block: int = 256) -> Column:
@@ -80,8 +81,8 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, kind: str, width: int = 96) -> Column:
-    """array<struct<kind, start, end, value, before, after>> of the kind's valid matches, in order; offsets are code points."""
+def matches(text: Column, kind: str) -> Column:
+    """array<struct<kind, start, end, value>> of the kind's valid matches, in order; offsets are code points."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
@@ -95,8 +96,6 @@ def matches(text: Column, kind: str, width: int = 96) -> Column:
             (F.element_at(starts, i + 1) + F.element_at(lens, i + 1) + F.when(i > 0, F.length(F.element_at(found, F.greatest(i, F.lit(1))))).otherwise(0)).alias("start"),
             F.lit(0).alias("end"),
             m.alias("value"),
-            F.right(F.element_at(gaps, i + 1), F.lit(width)).alias("before"),
-            F.left(F.element_at(gaps, i + 2), F.lit(width)).alias("after"),
         ),
     )
     rows = F.transform(rows, lambda r: r.withField("end", r["start"] + F.length(r["value"])))
@@ -109,30 +108,45 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({k: matches(t, k) for k in KINDS[:4]})
 
 
-def context_terms(span: Column, near: int) -> Column:
-    """Up to ``near`` whole words on each side of a span, lower case, at least three letters each."""
-    left = F.slice(F.reverse(F.regexp_extract_all(F.lower(span["before"]), F.lit(rf"(?<![\p{{L}}])({WORD})"), F.lit(1))), 1, near)
-    right = F.slice(F.regexp_extract_all(F.lower(span["after"]), F.lit(rf"({WORD})(?![\p{{L}}])"), F.lit(1)), 1, near)
-    return F.array_distinct(F.filter(F.concat(left, right), lambda w: F.length(w) >= 3))
+def words_of(text: Column) -> Column:
+    """The different words of a whole text, lower case, at least three letters each, without those in email addresses (no other base span has letters)."""
+    t = F.coalesce(text, F.lit(""))
+    bare = F.when(t.rlike(GATES["email"]), F.regexp_replace(t, PATTERNS["email"], " ")).otherwise(t)
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(bare), F.lit(f"({WORD})"), F.lit(1)), lambda w: F.length(w) >= 3))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, near: int = 8, support: int = 3, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
+def disclosing(docs: DataFrame, spans: DataFrame, keys: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.85, broadcast_rows: int = 500_000) -> DataFrame:
     """(entity, term, removed) for the terms that exceed a threshold.
 
-    ``spans(doc_id, text_key, entity, terms)`` has a row per base span.  Support counts different texts, so exact
-    copies of a document add nothing.
+    ``spans(text_key, entity)`` has a row per base span, ``keys(text_key)`` one per row of ``docs``.  All counts are of
+    different texts, so exact copies of a document add nothing.
     """
-    pairs = spans.select("text_key", "entity", F.explode("terms").alias("term")).distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    joint = stored(joint, "joint")
-    if joint.isEmpty():
-        return joint.select("entity", "term", F.lit(True).alias("removed"))
-    entities = spans.groupBy("entity").agg(F.count_distinct("text_key").alias("n_e"))
+    copies = stored(keys.groupBy("text_key").agg(F.count("*").alias("copies")), "copies")
+    n = copies.count()
+    # an entity of fewer texts has no pair with the support
+    entities = spans.select("text_key", "entity").distinct()
+    known = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    known = stored(known.withColumn("id", F.monotonically_increasing_id()), "entities")
+    if known.isEmpty():
+        return known.select("entity", F.lit("").alias("term"), F.lit(True).alias("removed"))
+    held = stored(entities.join(known, "entity").groupBy("text_key").agg(F.collect_list("id").alias("ids")), "held")
+    repeated = copies.where("copies > 1")
+    words = docs.select(_key().alias("text_key"), words_of(F.col("text")).alias("words"))
+
+    def near(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(other) if other.count() <= broadcast_rows else other, "text_key", how)
+
+    def texts(df: DataFrame, *by: str) -> DataFrame:
+        """Different texts by ``by``: rows by number of copies are a multiple of it."""
+        each = df.groupBy(*by, "copies").agg(F.count("*").alias("rows"))
+        return each.groupBy(*by).agg(F.sum(F.expr("rows div copies")).alias("n"))
+
+    weighed = near(words, repeated, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     # counted for all words, then joined: the sums are made before rows are shuffled, and no join meets an occurrence
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
-    scored = joint.join(entities, "entity").join(n_t, "term")
+    n_t = texts(weighed.select("copies", F.explode("words").alias("term")), "term").where(F.col("n") >= support).withColumnRenamed("n", "n_t")
+    pairs = near(weighed, held, "inner").select("copies", "words", F.explode("ids").alias("id")).select("copies", "id", F.explode("words").alias("term"))
+    joint = texts(pairs, "id", "term").where(F.col("n") >= support).withColumnRenamed("n", "n_et")
+    scored = joint.join(known, "id").join(n_t, "term")
     pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     share = pmi / F.greatest(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(1e-9))
     return scored.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
@@ -160,11 +174,12 @@ def analyse(docs: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame]:
     """
     spans = F.concat(*KINDS[:4])
     rows = base_spans(docs.select("doc_id", "text")).select("doc_id", _key().alias("text_key"), spans.alias("all"))
-    near = thresholds.get("near", 8)
-    found = stored(rows.select("doc_id", "text_key", F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.transform("all", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), context_terms(s, near).alias("terms"))).alias("near")), "spans")
-    each = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", "x.terms")
-    told = stored(disclosing(docs, each, **thresholds), "disclosing")
-    extra = each.select("doc_id", "entity").distinct().join(told, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    found = stored(rows.select("doc_id", "text_key", F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.array_distinct(F.transform("all", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("entities")), "spans")
+    each = found.where(F.size("entities") > 0).select("doc_id", "text_key", F.explode("entities").alias("entity"))
+    told = stored(disclosing(docs, each, found.select("text_key"), **thresholds), "disclosing")
+    # a row per entity, so no join multiplies documents by terms
+    lists = told.groupBy("entity").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    extra = each.select("doc_id", "entity").distinct().join(lists, "entity").groupBy("doc_id").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("terms", "gone")))
     return found, extra
 
 

@@ -256,6 +256,29 @@ def test_pii(spark, tmp_path):
     assert clean[0].startswith("mail [EMAIL], [EMAIL]") and "[CARD]" in clean[2] and "zorgon" not in clean[len(texts) - 1] and clean[5] is None and clean[6] == ""
 
 
+def test_disclosing_whole_texts(spark):
+    """Terms at the far ends of long texts count, and shares against brute force where one text has many copies."""
+    rng = random.Random(6)
+    texts = [f"Zorgonia {text(rng, 60)} ann@corp.example.com {text(rng, 60)} +49 30 1234567 {text(rng, 60)} quibbleton{'' if i % 2 else ' common'}" for i in range(4)]
+    texts += [f"{text(rng, 30)} ip 10.0.0.{i % 3} wandering{'' if i % 4 else ' common'}" for i in range(9)] + [f"common {text(rng, 20)}" for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1] * 700 + texts[5:6] * 40)), "doc_id long, text string")
+    own = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    words = [set(re.findall(r"[^\W\d_]{3,}", own.sub(" ", t).lower())) for t in texts]
+    ents = [{f"{k}:{t[a:b].lower()}" for k, a, b in base_spans(t)} for t in texts]
+    want = set()
+    for e in set().union(*ents):
+        for t in set().union(*words):
+            n, n_e, n_t, n_et = len(texts), sum(e in x for x in ents), sum(t in x for x in words), sum(e in x and t in y for x, y in zip(ents, words))
+            if n_et >= 3 and (share := np.log(n_et * n / (n_t * n_e)) / np.log(n / n_e)) >= 0.6:
+                want.add((e, t, bool(share >= 0.85)))
+    keyed = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", pii._key().alias("text_key"))
+    each = spark.createDataFrame([(i, e) for i, x in enumerate(ents) for e in x], "i long, entity string").join(keyed, "i").select("text_key", "entity")
+    assert {tuple(r) for r in pii.disclosing(docs, each, docs.select(pii._key().alias("text_key"))).collect()} == want
+    assert {("email:ann@corp.example.com", t, True) for t in ("zorgonia", "quibbleton")} <= want
+    extra = {r["doc_id"]: set(r["terms"]) for r in pii.analyse(docs)[1].collect()}
+    assert all({"zorgonia", "quibbleton"} <= extra[i] for i in [*range(4), len(texts)])
+
+
 def test_html(spark):
     shell = "<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy now</div>{}<footer>(c) 2020</footer></body></html>"
     pages = [(i, f"https://h{i % 2}.example.com/{i}", shell.format(f"<div class='post-{i}'><h1>T &amp; {i}</h1><p>Some  longer text that is the article, number {i}.<br><p>Second\n part</div><div class='comments'>Nice page, I like it a lot, thanks</div>"), "x") for i in range(6)]
