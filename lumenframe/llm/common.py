@@ -19,15 +19,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (tests in one JVM) is a folder of our own set up.
+    Only in a local session that names neither (tests in one JVM) is a folder of our own made; elsewhere that
+    is an error, as executors would not see it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _OWN.get(sc.applicationId)
     if not named:
-        named = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lumenframe-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="lumenframe-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
     ship_code(spark)
     return named.rstrip("/")
 
@@ -140,18 +143,50 @@ def batches(frames: Iterator, size: int) -> Iterator:
             yield pdf.iloc[at : at + size]
 
 
-def components(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataFrame:
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest number reachable from each of 0 .. n - 1 by the links (u, v)."""
+    lab = np.arange(n)
+    while len(u):
+        a, b = lab[u], lab[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(lab, a, low)
+        np.minimum.at(lab, b, low)
+        while True:
+            further = lab[lab]
+            if (further == lab).all():
+                break
+            lab = further
+    return lab
+
+
+def _stars(frames: Iterator) -> Iterator:
+    """(id, root) of the links of one task."""
+    import pyarrow as pa
+
+    got = list(frames)
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(b.column(k).to_numpy() for b in got)]) for k in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = ids[labels(len(ids), at[: len(u)], at[len(u) :])] if len(ids) else ids
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(root, pa.int64())], ["id", "root"])
+
+
+def components(edges: DataFrame, spark: SparkSession, at_once: int = 200_000) -> DataFrame:
     """(id, root) for every id of ``edges(a, b)``: root is the smallest id reachable.
 
-    Alternates the large-star and the small-star step until no edge changes.  Each step is a minimum per
-    node (partial aggregates, so hubs cost nothing) and a join on the node; each round is written to the
-    shared folder, so the plan stays short and lost executors cost one round.
+    Up to ``at_once`` links one task joins.  Beyond, the large-star and the small-star step alternate until no
+    edge changes.  Each step is a minimum per node (partial aggregates, so hubs cost nothing) and a join on
+    the node; each round is written to the shared folder, so the plan stays short and lost executors cost one
+    round.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
     mark = _mark(e)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    if mark[0] <= at_once:
+        return e.coalesce(1).mapInArrow(_stars, "id long, root long")
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

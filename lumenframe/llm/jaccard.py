@@ -7,16 +7,18 @@ are computed:
 * Columns are ordered from rare to frequent (counts of hashed columns over all documents).  Two rows that
   overlap enough share a column among the first few of each in that order; only those columns enter the
   first product, and the bounds on sizes and places drop entries while they are accumulated.
-* The sizes of the parts of two sets bound their overlap from above; pairs below it go.
-* Surviving pairs get the full product of their rows, exactly.
+* A short column (``SHORT`` entries) is multiplied as a whole.  The sizes of the parts of two sets bound their
+  overlap from above; pairs below it go, and the others get the full product of their rows, exactly.
+* Rows that long columns connect are a *family*.  A family is dealt in blocks by size class; each pair of blocks
+  whose sizes can link is one dense product of its rows, which decides all its pairs and tells only links
+  that join something: fewer than it has rows, never pairs.
 
 Components need no pair inside what is already joined.  So the likeliest partner of each row is decided first,
-twice, and then only pairs of rows of different components.
+twice, and then only rows of different components; a family's largest component isn't multiplied with itself.
 
-Scale: a column of up to ``SHORT`` entries is multiplied as a whole; longer ones are dealt in blocks, each
-pair of blocks a task, so a column that a third of all rows share is never in one task.  Set members cross
-the network only for surviving pairs.  Nothing but the column counts (at most 2**24 bytes) is broadcast
-unchecked.
+Scale: a pair of blocks is a task's work, so a column that a third of all rows share is never in one task.
+Whole sets cross the network only for rows that may link, once per pair of blocks and not once per column.
+Nothing but the column counts (at most 2**24 bytes) is broadcast unchecked.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, forget, mix64, shingle_set, ship_code, sorted_groups, stored
+from .common import components, documents, forget, labels, mix64, shingle_set, ship_code, sorted_groups, stored
 
 SHORT = 32
 COMMON = 1024
-BLOCK = 1024
+#: rows, and members of rows, that a block of a family holds
+BLOCK = 2048
+BLOCK_MEMBERS = 1 << 20
 
 
 def _signature(s: np.ndarray) -> int:
@@ -57,14 +61,6 @@ def overlap_bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(a.reshape(m, -1).sum(axis=1), b.reshape(m, -1).sum(axis=1)).sum())
 
 
-def part_table(parts: list[bytes]) -> np.ndarray:
-    """Part sizes of several sets, added up to the coarsest division among them."""
-    m = min(map(len, parts))
-    rows = [np.frombuffer(x, np.uint8).astype(np.int64) for x in parts]
-    folded = np.stack([np.where(x == 255, 1 << 20, x).reshape(m, -1).sum(axis=1) for x in rows])
-    return np.minimum(folded, (1 << 30) - 1).astype(np.int32)
-
-
 def column_counts(docs: DataFrame, size: int, log_buckets: int) -> np.ndarray:
     """An order-of-size class (twice the binary logarithm of the count) per bucket of hashed columns, over all documents."""
     blocks = 64
@@ -105,28 +101,33 @@ def _bucketed(held: list[np.ndarray], log_buckets: int) -> np.ndarray:
     return np.bincount((np.concatenate(held) >> np.uint64(64 - log_buckets)).astype(np.int64), minlength=1 << log_buckets)
 
 
-def rows_of(docs: DataFrame, size: int, num: int, den: int, classes) -> DataFrame:
-    """doc_id, n, node, part sizes, and the leading columns of each row of the matrix, rare first (``few`` of them lead in the smaller role)."""
+def rows_of(docs: DataFrame, size: int, num: int, den: int, classes, common: int) -> DataFrame:
+    """doc_id, n, node, part sizes, and the leading columns of each row of the matrix, rare first.
+
+    ``few`` of them lead in the smaller role; from place ``cold`` on they are in a class beyond ``common``.
+    """
 
     def lead(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = classes.value
         shift = np.uint64(64 - (len(freq).bit_length() - 1))
         for batch in frames:
-            ns, nodes, fews, grams, parts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, size)
+            ns, nodes, fews, colds, grams, parts = [], [], [], [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), size)
                 n = len(s)
                 ns.append(n)
                 nodes.append(_signature(s))
-                order = np.argsort(freq[(s >> shift).astype(np.int64)], kind="stable")
+                how = freq[(s >> shift).astype(np.int64)]
+                order = np.argsort(how, kind="stable")[: n - -(-num * n // den) + 1]
                 fews.append(n - -(-2 * num * n // (num + den)) + 1 if n else 0)
-                grams.append(s[order[: n - -(-num * n // den) + 1]].view(np.int64))
+                colds.append(int((how[order] <= common).sum()))
+                grams.append(s[order].view(np.int64))
                 parts.append(part_sizes(s))
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(fews, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parts, pa.binary())], ["doc_id", "n", "node", "few", "grams", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(fews, pa.int32()), pa.array(colds, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parts, pa.binary())], ["doc_id", "n", "node", "few", "cold", "grams", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lead, "doc_id long, n int, node long, few int, grams array<long>, parts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lead, "doc_id long, n int, node long, few int, cold int, grams array<long>, parts binary")
 
 
 def possible(n: np.ndarray, pos: np.ndarray, small: np.ndarray, node: np.ndarray, m: np.ndarray, pos2: np.ndarray, small2: np.ndarray, node2: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -139,23 +140,15 @@ def possible(n: np.ndarray, pos: np.ndarray, small: np.ndarray, node: np.ndarray
 
 
 def first_products(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Goes through the columns, whose entries lie together.  kind 0: pairs to decide now (neighbours by size); 1: further pairs; 2: entries of long columns, for blocks."""
+    """Goes through the columns, whose entries lie together, in parts where they are common.
+
+    kind 0: pairs to decide early (neighbours by size); 1: further pairs of short columns; 2: an entry of a long
+    column that isn't common, in ``a`` and ``b``.
+    """
 
     def multiply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-
-        def passing(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # every entry of a common column goes to its blocks, even one that is alone in its part here
-            nonlocal held
-            for batch in frames:
-                gram, node, meta, salt = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("gram", "node", "meta", "salt"))
-                k = np.flatnonzero(salt >= 0)
-                if len(k):
-                    out.append((np.full(len(k), 2, np.int8), gram[k], node[k], node[k], meta[k] >> 32, (meta[k] >> 1) & 0x7FFFFFFF, (meta[k] & 1) == 1))
-                    held += len(k)
-                yield batch
-
-        for t in sorted_groups(passing(frames), ["gram", "salt"], 2):
+        for t in sorted_groups(frames, ["gram", "salt"], 2):
             node, meta = t["node"].to_numpy(), t["meta"].to_numpy()
             n, pos, small = meta >> 32, (meta >> 1) & 0x7FFFFFFF, (meta & 1) == 1
             order = np.lexsort((node, n))
@@ -171,23 +164,23 @@ def first_products(entries: DataFrame, num: int, den: int) -> DataFrame:
                 i, j = np.concatenate([k[:-1], k[:-2]]), np.concatenate([k[1:], k[2:]])
             ok = possible(n[i], pos[i], small[i], node[i], n[j], pos[j], small[j], node[j], num, den)
             i, j = i[ok], j[ok]
-            if len(i):
-                out.append((np.where(j - i <= 2, 0, 1).astype(np.int8), np.full(len(i), gram), node[i], node[j], np.zeros(len(i), np.int32), np.zeros(len(i), np.int32), np.zeros(len(i), bool)))
+            out.append((np.where(j - i <= 2, 0, 1).astype(np.int8), np.full(len(i), gram), node[i], node[j]))
+            held += len(i)
             if not whole and not salted:
-                out.append((np.full(len(node), 2, np.int8), np.full(len(node), gram), node, node, n, pos, small))
-            held += len(out[-1][0]) if out else 0
-            if held > 100_000:
+                out.append((np.full(len(node), 2, np.int8), np.full(len(node), gram), node, node))
+                held += len(node)
+            if held > 100_000 or len(out) > 10_000:
                 yield _products(out)
                 out, held = [], 0
         yield _products(out)
 
-    return entries.mapInArrow(multiply, "kind byte, gram long, a long, b long, n int, pos int, small boolean")
+    return entries.mapInArrow(multiply, "kind byte, gram long, a long, b long")
 
 
 def _products(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-    cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(7)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types, strict=True)], ["kind", "gram", "a", "b", "n", "pos", "small"])
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64())
+    cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types, strict=True)], ["kind", "gram", "a", "b"])
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -205,66 +198,142 @@ def bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "shared", "n", "m", "x", "y").mapInArrow(keep, "a long, b long, shared long")
 
 
-def block_products(long: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) that the bounds leave, of rows with different roots, from ``long(gram, node, n, pos, small, root, parts)``; a task takes a pair of blocks of a column."""
-    sizes = long.groupBy("gram").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    count = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    m = long.join(sizes, "gram").withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    m = m.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "small", "root", "parts")
+def families(long: DataFrame, spark: SparkSession) -> DataFrame:
+    """(node, root, family) of the rows of ``long(gram, node, root)`` that may link across roots: rows that columns connect are a family."""
+    mixed = long.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    open_ = stored(long.join(mixed, "gram").select("gram", "node", "root"), "open")
+    first = stored(open_.groupBy("node").agg(F.min("gram").alias("gram"), F.first("root").alias("root")), "first")
+    same = open_.select("node", "gram").join(first.select("node", F.col("gram").alias("with")), "node").select(F.col("gram").alias("a"), F.col("with").alias("b")).distinct()
+    named = components(same, spark).select(F.col("id").alias("gram"), F.col("root").alias("family"))
+    return first.join(named, "gram", "left").select("node", "root", F.coalesce("family", "gram").alias("family"))
+
+
+def family_links(rows: DataFrame, num: int, den: int, block: int = BLOCK, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(a, b) linked, of different roots, that join what all links among ``rows(family, node, root, n, members)`` join."""
+    # sizes of linked rows are in the same class or the next
+    width = max(0.01, float(np.log(den / num)) * 1.001)
+    most = rows.groupBy("family", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    whole = most.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    whole = whole.select("family", "big", ((F.col("k") > block) | (F.col("n") > block_members)).alias("split"))
+    small = stored(whole, "families")
+    few = small.count() <= 500_000
+    told = rows.join(F.broadcast(small) if few else small, "family")
+    # a family that one block holds is one cell; else a cell per size class, and for the largest root by itself
+    cell = F.when(F.col("split"), 2 * F.floor(F.log("n") / width).cast("long") + (F.col("root") == F.col("big")).cast("long")).otherwise(0)
+    told = told.withColumn("cell", cell)
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_members)).cast("long")
+    cells = told.where("split").groupBy("family", "cell").agg(F.greatest(F.lit(1), parts).alias("parts"))
+    cells = stored(cells.groupBy("family").agg(F.collect_list(F.struct("cell", "parts")).alias("cells")), "cells")  # a few per size class
+    few = cells.count() <= 100_000
+    m = told.join(F.broadcast(cells) if few else cells, "family", "left")
+    mine = F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1)["parts"]
+    own = F.when(F.col("split"), F.col("cell") * (1 << 31) + F.pmod(F.xxhash64("node"), mine)).otherwise(F.lit(0).cast("long"))
+    meets = F.filter("cells", lambda c: (F.abs(F.floor(c["cell"] / 2) - F.floor(F.col("cell") / 2)) <= 1) & ~((c["cell"] % 2 == 1) & (F.col("cell") % 2 == 1)))
+    others = F.when(F.col("split"), F.flatten(F.transform(meets, lambda c: F.sequence(c["cell"] * (1 << 31), c["cell"] * (1 << 31) + c["parts"] - 1)))).otherwise(F.array(F.lit(0).cast("long")))
+    m = m.withColumn("own", own).withColumn("other", F.explode(others))
+    m = m.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "members")
 
     def multiply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(frames, ["gram", "i", "j"], 2):
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            own, node, n, pos, small, root = (t[c].to_numpy() for c in ("own", "node", "n", "pos", "small", "root"))
-            table = part_table(t["parts"].to_pylist())
-            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for at in range(0, len(x), 256):
-                p = x[at : at + 256][:, None]
-                q = y[None, :]
-                ok = (root[p] != root[q]) & possible(n[p], pos[p], small[p], node[p], n[q], pos[q], small[q], node[q], num, den)
-                if i == j:
-                    ok &= node[p] < node[q]
-                r, c = np.nonzero(ok)
-                r, c = p[r, 0], y[c]
-                good = np.concatenate([np.zeros(0, bool), *((num + den) * np.minimum(table[r[k : k + 8192]], table[c[k : k + 8192]]).sum(axis=1, dtype=np.int64) >= num * (n[r[k : k + 8192]] + n[c[k : k + 8192]]) for k in range(0, len(r), 8192))])
-                if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[r[good]]), pa.array(node[c[good]])], ["a", "b"])
-
-    dealt = m.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "node")
+        for t in sorted_groups(frames, ["family", "i", "j"], 2):
+            yield _spanning(t, num, den)
+
+    dealt = m.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     return dealt.mapInArrow(multiply, "a long, b long")
 
 
-def decide(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """(a, b, linked): whether the full product of each pair reaches the threshold.  ``reps(node, doc_id)`` names a document of each node."""
-    active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(reps.join(active, "node").select("doc_id", "node"), "active")
+def _spanning(t: pa.Table, num: int, den: int, at_once: int = 256) -> pa.RecordBatch:
+    """Links between the rows of two blocks that join different roots, fewer than there are rows."""
+    own, node, root = (t[c].to_numpy() for c in ("own", "node", "root"))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in t["members"].to_pylist()]
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    x, y = np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
+    lab = np.unique(root, return_inverse=True)[1]
+    a, b = [], []
+    for k in range(0, len(x), at_once):
+        p = x[k : k + at_once]
+        over = overlaps(p, y, column, starts, row)
+        linked = (den * over >= num * (n[p][:, None] + n[y][None, :] - over)) & (lab[p][:, None] != lab[y][None, :])
+        for i in np.flatnonzero(linked.any(axis=1)).tolist():
+            mates = y[linked[i]]
+            other, first = np.unique(lab[mates], return_index=True)
+            apart = other != lab[p[i]]
+            if apart.any():
+                a += [node[p[i]]] * int(apart.sum())
+                b += node[mates[first[apart]]].tolist()
+                lab[np.isin(lab, other)] = lab[p[i]]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def overlaps(p: np.ndarray, y: np.ndarray, column: np.ndarray, starts: np.ndarray, row: np.ndarray, room: int = 1 << 23) -> np.ndarray:
+    """How many columns each row of ``p`` shares with each row of ``y``; the product is taken over ranges of columns that ``room`` numbers hold."""
+
+    def entries(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows.tolist()])
+
+    ex, ey = entries(p), entries(y)
+    shared = np.intersect1d(column[ex], column[ey])
+    out = np.zeros((len(p), len(y)), dtype=np.int64)
+    place = np.full(len(starts) - 1, -1)
+    step = max(64, room // (len(p) + len(y)))
+    for at in range(0, len(shared), step):
+        some = shared[at : at + step]
+        sides = []
+        for rows, e in ((p, ex), (y, ey)):
+            place[rows] = np.arange(len(rows))
+            c = np.minimum(np.searchsorted(some, column[e]), len(some) - 1)
+            ok = some[c] == column[e]
+            m = np.zeros((len(rows), len(some)), dtype=np.float32)
+            m[place[row[e[ok]]], c[ok]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def members(active: DataFrame, docs: DataFrame, reps: DataFrame, size: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """node, members: the sorted shingles of the nodes of ``active(node)``.  ``reps(node, doc_id)`` names a document of each node."""
+    wanted = stored(reps.join(active.distinct(), "node").select("doc_id", "node"), "active")
     few = wanted.count() <= broadcast_rows
 
-    def members(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            # a doc_id may occur with several texts: only the node's own counts
-            keep = [k for k, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if _signature(s) == node]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["node", "members"])
+            nodes, sets, held = [], [], 0
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), size)
+                # a doc_id may occur with several texts: only the node's own counts
+                if _signature(s) == node:
+                    nodes.append(node)
+                    sets.append(s.tobytes())
+                    held += len(s)
+                if held > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
+                    nodes, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-    sets = stored(texts.mapInArrow(members, "node long, members binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(read, "node long, members binary").dropDuplicates(["node"]), "sets")
+
+
+def decide(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs whose full product reaches the threshold."""
 
     def product(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
                 low, high = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.minimum(np.searchsorted(high, low), len(high) - 1)
                 shared = int((high[at] == low).sum())
                 linked.append(den * shared >= num * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            take = pa.array(np.flatnonzero(linked))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(product, "a long, b long, linked boolean")
+    return both.mapInArrow(product, "a long, b long")
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, key: str, name: str) -> DataFrame:
@@ -279,11 +348,12 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select(*pairs.columns)
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``: documents link when ``den * intersection >= num * union``.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows without a doc_id get their count
-    and a null component.  Repeated rows are repeated in the result.
+    and a null component.  Repeated rows are repeated in the result.  ``block`` and ``block_members`` bound a
+    task's work, never the result.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -293,33 +363,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     freq = column_counts(docs, size, log_buckets)
     common = int(np.ceil(2 * np.log2(COMMON + 1)))
     held = spark.sparkContext.broadcast(freq)
-    matrix = stored(rows_of(docs, size, num, den, held), "matrix")
+    matrix = stored(rows_of(docs, size, num, den, held, common), "matrix")
     reps = stored(matrix.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # a row of each node: copies are dropped where they are, by the doc_ids that stand for nodes
     few = reps.count() <= 500_000
     alone = matrix.join((F.broadcast(reps) if few else reps), ["doc_id", "node"], "left_semi")
-    entries = alone.select("node", "n", "few", F.posexplode("grams").alias("pos", "gram"))
-    meta = F.col("n").cast("long") * (1 << 32) + F.col("pos").cast("long") * 2 + (F.col("pos") < F.col("few")).cast("long")
-    entries = entries.select("gram", "node", meta.alias("meta"))
-
     nodes = stored(alone.groupBy("node").agg(F.first("n").alias("n"), F.first("parts").alias("parts")), "nodes")
-
-    @F.pandas_udf("boolean")
-    def is_common(gram):
-        import pandas as pd
-
-        freq = held.value
-        g = gram.to_numpy().view(np.uint64) >> np.uint64(64 - (len(freq).bit_length() - 1))
-        return pd.Series(freq[g.astype(np.int64)] > common)
-
+    entries = alone.select("node", "n", "few", "cold", F.posexplode("grams").alias("pos", "gram"))
+    meta = F.col("n").cast("long") * (1 << 32) + F.col("pos").cast("long") * 2 + (F.col("pos") < F.col("few")).cast("long")
     # columns beyond COMMON go in parts by a hash of row and column; rarer ones stay whole
-    salt = F.when(is_common("gram"), F.pmod(F.xxhash64("node", "gram"), F.lit(max(1, rows_n // 4096)))).otherwise(-1).cast("int")
-    dealt = entries.withColumn("salt", salt).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
+    salt = F.when(F.col("pos") >= F.col("cold"), F.pmod(F.xxhash64("node", "gram"), F.lit(max(1, rows_n // 4096)))).otherwise(-1).cast("int")
+    dealt = entries.select("gram", "node", meta.alias("meta"), salt.alias("salt")).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
+    hot = alone.where("cold < size(grams)").select(F.explode(F.slice("grams", F.col("cold") + 1, F.size("grams") - F.col("cold"))).alias("gram"), "node")
     products = stored(first_products(dealt, num, den), "products")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     first = products.where("kind < 2").select(*ordered).groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = stored(bounded(first, nodes, num, den), "pairs")
-    links, roots = [], None
+    links: list[DataFrame] = []
+    seen: list[DataFrame] = []
+    roots = None
     for step in range(3):
         # the partner with the largest overlap so far, of either side; what these join needs no further look
         left = pairs if roots is None else _apart(pairs, roots)
@@ -328,14 +390,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
             todo = best[0].unionByName(best[1]).distinct()
         else:
             todo = left.select("a", "b")
-            long = products.where("kind = 2").select("gram", F.col("a").alias("node"), "n", "pos", "small").join(nodes.select("node", "parts"), "node")
-            todo = todo.unionByName(block_products(_rooted(long, roots, "node", "root"), num, den).select(*ordered)).distinct()
-        todo = stored(todo.join(links[0].select("a", "b"), ["a", "b"], "left_anti") if links else todo, "todo")
-        if todo.isEmpty():
-            continue
-        done = stored(decide(todo, docs, reps, size, num, den), "decided")
-        links = [stored(links[0].unionByName(done), "links") if links else done]
-        roots = stored(components(links[0].where("linked").select("a", "b"), spark), "roots")
+        for done in seen:
+            todo = todo.join(done, ["a", "b"], "left_anti")
+        todo = stored(todo, "todo")
+        new = []
+        if not todo.isEmpty():
+            active = todo.select(F.explode(F.array("a", "b")).alias("node"))
+            new.append(stored(decide(todo, members(active, docs, reps, size), num, den), "linked"))
+            seen.append(todo)
+        if step == 2:
+            long = products.where("kind = 2").select("gram", F.col("a").alias("node")).unionByName(hot).distinct()
+            rows = stored(families(_rooted(long, roots, "node", "root"), spark), "families")
+            if not rows.isEmpty():
+                sets = members(rows.select("node"), docs, reps, size)
+                rows = rows.join(sets, "node").withColumn("n", F.octet_length("members") / 8)
+                new.append(stored(family_links(rows, num, den, block, block_members), "linked"))
+        if new:
+            links += new
+            all_links = links[0]
+            for more in links[1:]:
+                all_links = all_links.unionByName(more)
+            roots = stored(components(all_links, spark), "roots")
     joined = roots if roots is not None else spark.createDataFrame([], "id long, root long")
     named = reps.join(joined.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     forget(products)

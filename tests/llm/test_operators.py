@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import hilbert, html, jaccard, neardup, packing, pieces, pii, toxicity, vafile, windows
+from lumenframe.llm.common import components, labels
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -165,6 +166,58 @@ def test_jaccard_common_columns(spark):
     assert out == {i: want.get(t, i) for i, t in enumerate(rows)} and set(want.values()) == set(range(6))
 
 
+def test_jaccard_families(spark):
+    """A group of near copies around the threshold, sizes in several classes, in families of many blocks, against brute force."""
+    rng = random.Random(12)
+    base = text(rng, 160).split(" ")
+    rows = [" ".join(w if rng.random() > rate else f"e{rng.randrange(10**9)}" for w in base[: 160 - 8 * (i % 9)]) for i in range(400) for rate in (0.005 * (i % 9),)]
+    rows += rows[:40]
+    sets = [shingles(t, 5) for t in rows]
+    at = [jaccard.shingle_set(t, 5) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 80 * len(s | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df, block=16, block_members=2000).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 20
+    # every pair of blocks, with nothing joined before
+    named = [(0, i, i, len(s), s.tobytes()) for i, s in enumerate(at)]
+    links = jaccard.family_links(spark.createDataFrame(named, "family long, node long, root long, n long, members binary"), 80, 100, 16, 2000).collect()
+    assert all(100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]]) for r in links)
+    flat = labels(len(rows), np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
+    assert flat.tolist() == [find(i) for i in range(len(rows))]
+
+
+def test_common_line(spark):
+    """Pairs whose only shared columns are common to very many rows meet, whatever the number of parts."""
+    rng = random.Random(13)
+    lines = [text(rng, 24) for _ in range(4)]
+    rows = [(i, f"{lines[i % 4]} {text(rng, 6)}") for i in range(8000)]
+    pairs = [(10_000 + i, f"{lines[i // 2 % 4]}" + (f" x{i}" if i % 2 else "")) for i in range(8)]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows + pairs + [(20_000 + i, f"q{i} r{i}") for i in range(9000)], "doc_id long, text string")).collect()}
+    assert all(out[10_000 + i] == out[10_000 + i - i % 2] for i in range(8))
+
+
+def test_components(spark):
+    rng = random.Random(14)
+    order = list(range(300))
+    rng.shuffle(order)
+    chain = list(zip(order, order[1:], strict=False)) + [(1000 + i, 1001 + i) for i in range(0, 60, 3)] + [(5000, 5000)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    want = {i: 0 for i in order} | {1000 + i + k: 1000 + i for i in range(0, 60, 3) for k in (0, 1)}
+    for at_once in (0, 10**6):
+        assert {r["id"]: r["root"] for r in components(edges, spark, at_once).collect()} == want
+    assert components(edges.limit(0), spark).count() == 0
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
