@@ -17,6 +17,8 @@ entities as numbers.  Copies are counted with their text's number of copies, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +40,41 @@ WORD = r"\p{L}++"
 NONE = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or a lambda in it names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(lens: Column, block: int = 256) -> Column:
-    """Sums of all earlier elements, for each element of an int array, in two levels, so long arrays stay cheap."""
+    """The sums of all elements up to each one of an int array, in two levels, so long arrays stay cheap."""
 
-    def scan(a: Column) -> Column:  # one element more than a
+    def scan(a: Column) -> Column:  # from 0, one element more than a
         return F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    def within(blocks: Column) -> Column:
+        bases = scan(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x)))
+        return F.flatten(F.zip_with(blocks, F.slice(bases, 1, F.size(blocks)), lambda b, base: F.transform(F.slice(scan(b), 2, F.size(b)), lambda v: v + base)))
+
+    def cut(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda k: F.slice(a, k * block + 1, F.lit(block)))
+
+    return let(lens, lambda a: F.when(F.size(a) > 0, let(cut(a), within)).otherwise(F.array().cast("array<int>")))
+
+
+def pieces(text: Column, pattern: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(found, gaps)``: the matches of ``pattern``, and the texts before each and after the last."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return let(both, lambda x: body(x["found"], x["gaps"]))
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """array<struct<value, end>> of the matches of ``pattern``, in order; ends are code points, exclusive."""
+
+    def ends(found: Column, gaps: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(found, running(steps), lambda m, e: F.struct(m.alias("value"), e.alias("end")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda b: F.slice(lens, b * block + 1, F.lit(block)))
-    sums = F.transform(blocks, total)
-    at = scan(sums)
-    parts = F.zip_with(blocks, F.slice(at, 1, F.size(blocks)), lambda blk, base: F.transform(F.slice(scan(blk), 1, F.size(blk)), lambda v: v + base))
-    return F.when(F.size(lens) > 0, F.flatten(parts)).otherwise(F.array().cast("array<int>"))
+    return pieces(text, pattern, ends)
 
 
 def digits(v: Column) -> Column:
@@ -81,25 +104,14 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def spans_of(kind: str, places: Column) -> Column:
+    return F.transform(places, lambda p: F.struct(F.lit(kind).alias("kind"), (p["end"] - F.length(p["value"])).alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+
+
 def matches(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of the kind's valid matches, in order; offsets are code points."""
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    # gap 1, match 1, gap 2, ...: the place of match i is all lengths before it
-    starts = running(F.zip_with(F.slice(gaps, 1, F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))), lambda g, m: F.length(g) + F.length(m)))
-    lens = F.transform(gaps, lambda g: F.length(g))
-    rows = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(kind).alias("kind"),
-            (F.element_at(starts, i + 1) + F.element_at(lens, i + 1) + F.when(i > 0, F.length(F.element_at(found, F.greatest(i, F.lit(1))))).otherwise(0)).alias("start"),
-            F.lit(0).alias("end"),
-            m.alias("value"),
-        ),
-    )
-    rows = F.transform(rows, lambda r: r.withField("end", r["start"] + F.length(r["value"])))
-    return F.when(text.rlike(GATES[kind]), F.filter(rows, lambda r: valid(kind, r["value"]))).otherwise(F.array().cast(NONE))
+    rows = F.filter(spans_of(kind, placed(text, PATTERNS[kind])), lambda r: valid(kind, r["value"]))
+    return F.when(text.rlike(GATES[kind]), rows).otherwise(F.array().cast(NONE))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -152,15 +164,19 @@ def disclosing(docs: DataFrame, spans: DataFrame, keys: DataFrame, support: int
     return scored.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
 
 
-def term_spans(text: Column, terms: Column, taken: Column) -> Column:
-    """array<struct<start, end, value>> of the words of ``text`` in ``terms``, outside the spans ``taken``."""
-    found = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    gaps = F.split(text, WORD, -1)
-    starts = running(F.zip_with(F.slice(gaps, 1, F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))), lambda g, m: F.length(g) + F.length(m)))
-    places = F.zip_with(F.zip_with(found, starts, lambda m, s: F.struct(m.alias("value"), s.alias("s"))), F.zip_with(F.slice(gaps, 1, F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))), lambda g, m: F.length(g) + F.length(m)), lambda x, d: F.struct(x["value"].alias("value"), (x["s"] + d).alias("start")))
-    hits = F.filter(places, lambda p: F.array_contains(terms, F.lower(p["value"])))
-    hits = F.transform(hits, lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), (p["start"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))
-    return F.filter(hits, lambda h: ~F.exists(taken, lambda b: (h["start"] < b["end"]) & (h["end"] > b["start"])))
+def term_spans(text: Column, terms: Column) -> Column:
+    """array<struct<kind, start, end, value>> of the words of ``text`` in ``terms``, outside email addresses."""
+
+    def blank(found: Column, gaps: Column) -> Column:
+        return woven(found, gaps, lambda m: F.repeat(F.lit(" "), F.length(m)))
+
+    bare = F.when(text.rlike(GATES["email"]), pieces(text, PATTERNS["email"], blank)).otherwise(text)
+    return let(bare, lambda t: spans_of("term", F.filter(placed(t, WORD), lambda p: F.array_contains(terms, F.lower(p["value"])))))
+
+
+def woven(found: Column, gaps: Column, by: Callable[[Column], Column]) -> Column:
+    """The text again, with ``by`` of each match in its place."""
+    return F.array_join(F.concat(F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.array(g, by(m)))), F.slice(gaps, -1, 1)), "")
 
 
 def _key() -> Column:
@@ -190,29 +206,31 @@ def rows_of(docs: DataFrame, extra: DataFrame, broadcast_rows: int = 50_000) ->
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced: base spans by [EMAIL], [IP], [CARD], [PHONE]; disclosing terms by [TERM], or removed.
+    """``docs`` with personal data in ``text`` replaced: base spans by [EMAIL], [IP], [CARD], [PHONE]; disclosing terms by their class, or removed.
 
-    Null texts stay null; rows without findings are unchanged, repeated rows stay repeated, all columns stay.
+    The class of a term is [NAME] where it begins with a capital, else [TERM].  Null texts stay null; rows without
+    findings are unchanged, repeated rows stay repeated, rows without a doc_id keep their terms, all columns stay.
     """
     found, extra = analyse(docs, **thresholds)
     extra = stored(extra, "terms")
     few = extra.count() <= 50_000
-    terms, gone = fresh(docs, "_terms"), fresh(docs, "_gone")
-    out = docs.join((F.broadcast(extra) if few else extra).select(F.col("doc_id").alias("_key_of_terms"), F.col("terms").alias(terms), F.col("gone").alias(gone)), F.col("doc_id") == F.col("_key_of_terms"), "left").drop("_key_of_terms")
-    t = F.col("text")
-    new = t
+    key, terms, gone = (fresh(docs, c) for c in ("_key_of_terms", "_terms", "_gone"))
+    told = extra.select(F.col("doc_id").alias(key), F.col("terms").alias(terms), F.col("gone").alias(gone))
+    out = docs.join(F.broadcast(told) if few else told, F.col("doc_id") == F.col(key), "left").drop(key)
+    new = F.col("text")
     for kind in KINDS[:4]:
         new = _replaced(new, PATTERNS[kind], lambda m, k=kind: F.when(valid(k, m), F.lit(f"[{k.upper()}]")).otherwise(m), GATES[kind])
-    words = _replaced(new, WORD, lambda m: F.when(F.array_contains(gone, F.lower(m)), F.lit("")).when(F.array_contains(terms, F.lower(m)), F.lit("[TERM]")).otherwise(m), None)
-    new = F.when(F.col(terms).isNotNull(), words).otherwise(new)
+
+    def word(m: Column) -> Column:
+        kind = F.when(m.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+        return F.when(F.array_contains(gone, F.lower(m)), F.lit("")).when(F.array_contains(terms, F.lower(m)), kind).otherwise(m)
+
+    new = let(new, lambda t: F.when(F.col(terms).isNotNull(), pieces(t, WORD, lambda f, g: woven(f, g, word))).otherwise(t))
     return out.withColumn("text", new).select(*docs.columns)
 
 
-def _replaced(text: Column, pattern: str, by, gate: str | None) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    new = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.array(g, by(m)))), F.slice(gaps, -1, 1)), "")
-    return F.when(text.rlike(gate), new).otherwise(text) if gate else new
+def _replaced(text: Column, pattern: str, by: Callable[[Column], Column], gate: str) -> Column:
+    return let(text, lambda t: F.when(t.rlike(gate), pieces(t, pattern, lambda f, g: woven(f, g, by))).otherwise(t))
 
 
 def op8_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +241,7 @@ def op8_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found, extra = analyse(docs)
     marked = rows_of(docs.select("doc_id", "text"), stored(extra, "terms"))
-    more = marked.select("doc_id", _key().alias("text_key"), "terms", "text").join(found.select("doc_id", "text_key", "spans").distinct(), ["doc_id", "text_key"])
-    more = more.select("doc_id", "text_key", F.transform(term_spans(F.col("text"), F.col("terms"), F.col("spans")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
+    more = marked.select("doc_id", _key().alias("text_key"), F.transform(term_spans(F.col("text"), F.col("terms")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
     more = more.groupBy("doc_id", "text_key").agg(F.first("more").alias("more"))
     n = found.alias("f").join(more.alias("m"), F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_key") == F.col("m.text_key")), "left").select("f.doc_id", "f.spans", F.coalesce("m.more", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("more"))
 

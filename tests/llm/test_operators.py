@@ -290,7 +290,7 @@ def base_spans(t):
 
 def test_pii(spark, tmp_path):
     rng = random.Random(2)
-    texts = ["mail a.b@c-d.org, x@y.zz@q.rr! a@b a%b@c.d%e@f.g", "ip 1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.002.003.255", "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 4111111111111111 9", "tel +1 (555) 123-4567 or +12 or +4930 1234 5678 90-", "é😀 bob@example.com 😀 +49 30 1234567 x", None, "", "7" * 30_000, "a" * 30_000, "1 " * 20_000, "a@b.c," * 600]
+    texts = ["mail a.b@c-d.org, x@y.zz@q.rr! a@b a%b@c.d%e@f.g", "ip 1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.002.003.255", "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 4111111111111111 9", "tel +1 (555) 123-4567 or +12 or +4930 1234 5678 90-", "é😀 bob@example.com 😀 +49 30 1234567 x", None, "", "7" * 30_000, "a" * 30_000, "1 " * 20_000, "a@b.c," * 600, "u%d@h.example 10.0.0.7 +49 30 1234567, " * 10_000]
     texts += [" ".join(rng.choice(["@", "a", ".", "4111", " ", "+", "1", "-", "b.c", "é"]) for _ in range(60)).replace(" ", rng.choice(["", " "])) for _ in range(60)]
     texts += [f"{text(rng, 20)} zorgon quibble vip{i % 2}@corp.example.com {text(rng, 20)}" for i in range(8)]
     docs = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
