@@ -6,7 +6,10 @@ best lower bound of all rows.  The exact vectors of those rows are then read in
 bounds until the kth score is certain.
 
 Scale: the scan reads a quarter of the bytes, shuffles only rows that may win, and meets the queries in
-chunks of fixed size, which are what is broadcast.  More queries mean more chunks, each one scan.
+chunks of fixed size, which are what is broadcast.  More queries mean more chunks, each one scan of the cells;
+the exact vectors are read once for all chunks, and only those of rows that may win are shuffled.  Of equal
+vectors only the k + 1 with the smallest ids can win, so copies cost nothing further.  A query with many rows
+left is read in parts.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, ship_code, stored, vector_matrix
@@ -134,37 +137,78 @@ def _still(held: list[tuple], kth: dict) -> Iterator[tuple]:
         yield d, i[ok], v[ok], lo[ok], up[ok]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, chunk: int = 4096) -> DataFrame:
+def candidates(exact: DataFrame, k: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """vec_id, dim, v, times: the rows of ``exact`` that may be among the first k of some query; ``times`` says how often a row occurs.
+
+    Only ids and hashes of vectors are shuffled, and the vectors of repeated rows.
+    """
+    named = exact.select("vec_id", "dim", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v", F.octet_length("v")).alias("g"), "v")
+    own = ["vec_id", "dim", "h", "g"]
+    ids = stored(named.groupBy(*own).agg(F.count("*").alias("times")), "ids")
+    repeated = stored(ids.where("times > 1"), "repeated")
+    if not repeated.isEmpty():
+        few = repeated.count() <= broadcast_rows
+        again = F.broadcast(repeated) if few else repeated
+        once = named.join(again.select(*own), own, "left_anti").withColumn("times", F.lit(1).cast("long"))
+        named = once.unionByName(named.join(again, own).groupBy(*own).agg(F.first("v").alias("v"), F.first("times").alias("times")))
+    else:
+        named = named.withColumn("times", F.lit(1).cast("long"))
+    # the id beyond which a vector's copies can't win: k others are before it even where the query is one of them
+    crowded = stored(ids.groupBy("dim", "h", "g").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("dim", "h", "g"), "crowded")
+    if not crowded.isEmpty():
+        few = crowded.count() <= broadcast_rows
+        place = F.row_number().over(Window.partitionBy("dim", "h", "g").orderBy("vec_id"))
+        first = ids.join(F.broadcast(crowded) if few else crowded, ["dim", "h", "g"]).withColumn("place", place).where(F.col("place") <= k + 1)
+        last = stored(first.groupBy("dim", "h", "g").agg(F.max("vec_id").alias("last")), "last")
+        named = named.join(F.broadcast(last) if few else last, ["dim", "h", "g"], "left").where(F.col("last").isNull() | (F.col("vec_id") <= F.col("last")))
+    return named.select("vec_id", "dim", "v", F.least("times", F.lit(k)).alias("times"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, chunk: int = 4096, part: int = 8192, broadcast_rows: int = 2_000_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of floor(scale * x) for each row of ``vectors(vec_id, embedding)`` that ``is_query`` selects.
 
     Vectors that are null, empty or hold null or non-finite components take no part; nor do rows without a
     vec_id.  Vectors of different lengths don't meet.  A query's own rows are those of its vec_id.  Ties go
-    to the smaller vec_id.  Repeated rows are candidates each; as queries they count once.
+    to the smaller vec_id.  Repeated rows are candidates each; as queries they count once.  ``chunk``, ``part`` and
+    ``broadcast_rows`` bound what a task holds, never the result.
     """
     spark = vectors.sparkSession
     ship_code(spark)
     exact = stored(packed(vectors, scale), "exact")
-    bounds = ranges(exact)
-    cells = stored(approximations(exact, bounds), "cells")
     asked = exact.where(is_query).groupBy("vec_id").agg(F.min_by(F.struct("dim", "v"), F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
     asked = stored(asked, "queries")
+    exact = stored(candidates(exact, k), "candidates")
+    bounds = ranges(exact)
+    cells = stored(approximations(exact, bounds), "cells")
     chunks = max(1, -(-asked.count() // chunk))
-    results = []
+    left, held = [], []
     for c in range(chunks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).collect()  # about ``chunk`` rows
         by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d in sorted({r["dim"] for r in rows}):
             own = sorted((r["vec_id"], bytes(r["v"])) for r in rows if r["dim"] == d)
             by_dim[d] = np.array([x[0] for x in own], dtype=np.int64), np.frombuffer(b"".join(x[1] for x in own), dtype="<i8").reshape(len(own), d)
-        held = spark.sparkContext.broadcast(by_dim)
-        may = stored(scan(cells, bounds, held, k), "candidates")
-        # the kth best lower bound of all tasks' rows
-        kth = may.groupBy("query_id").agg(F.element_at(F.slice(F.sort_array(F.collect_list("lower"), asc=False), 1, k), -1).alias("kth"), F.count("*").alias("n"))
-        left = may.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
-        near = left.join(exact.select("vec_id", "v"), "vec_id")
-        final = near.groupBy("query_id").applyInArrow(_certain(held, k), "query_id long, rank int, vec_id long, score long")
-        results.append(stored(final, "nearest"))
+        held.append(spark.sparkContext.broadcast(by_dim))
+        may = stored(scan(cells, bounds, held[-1], k), "bounds")
+        # the kth best lower bound of all tasks' rows; tasks pass on their first k
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id"))
+        kth = may.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
+        sizes = stored(may.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")), "left")
+        parts = sizes.groupBy("query_id").agg(F.ceil(F.count("*") / part).alias("parts"))
+        left.append(stored(sizes.join(parts, "query_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts"), "left"))
         forget(may)
+        forget(sizes)
+    ids = left[0].select("vec_id")
+    for more in left[1:]:
+        ids = ids.unionByName(more.select("vec_id"))
+    ids = stored(ids.distinct(), "wanted")
+    few = ids.count() <= broadcast_rows
+    read = stored(exact.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi").select("vec_id", "v", "times"), "read")
+    results = []
+    for rows, queries in zip(left, held, strict=True):
+        best = rows.join(read, "vec_id").groupBy("query_id", "part").applyInArrow(_certain(queries, k), "query_id long, vec_id long, score long")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        results.append(stored(best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest"))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -172,10 +216,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
 
 def _certain(queries, k: int):
+    """Reads a query's rows by falling upper bound until no further one can be among the first k."""
+
     def read(key: tuple, table: pa.Table) -> pa.Table:
         qid = key[0].as_py()
         q = next(m[np.flatnonzero(ids == qid)[0]] for ids, m in queries.value.values() if (ids == qid).any())
-        upper, ids = table["upper"].to_numpy(), table["vec_id"].to_numpy()
+        upper, ids, times = table["upper"].to_numpy(), table["vec_id"].to_numpy(), table["times"].to_numpy()
         order, vectors = np.lexsort((ids, -upper)), table["v"]
         safe = float(np.abs(q.astype(np.float64)).max(initial=0))
         best: list[tuple[int, int]] = []  # (-score, vec_id), ascending
@@ -188,8 +234,8 @@ def _certain(queries, k: int):
                 s = (m @ q).tolist()
             else:  # whole numbers beyond 64 bits; the result is held within them
                 s = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(r, q, strict=True)))) for r in m]
-            best = sorted([*best, *((-x, int(ids[i])) for x, i in zip(s, part, strict=True))])[:k]
-        return pa.table({"query_id": pa.array([qid] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([-b[0] for b in best], pa.int64())})
+            best = sorted([*best, *((-x, int(ids[i])) for x, i in zip(s, part, strict=True) for _ in range(int(times[i])))])[:k]
+        return pa.table({"query_id": pa.array([qid] * len(best), pa.int64()), "vec_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([-b[0] for b in best], pa.int64())})
 
     return read
 
