@@ -97,7 +97,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash.  A cache of bounded size; what it holds never changes a result."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -236,6 +236,31 @@ def sorted_groups(frames: Iterator, keys: list[str], least: int = 1) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def block_pairs(rows: DataFrame, key: str, member: str, size: str, block: int, room: int) -> DataFrame:
+    """Deals ``rows(key, member, band, alike, size, ...)`` so that any two rows of a key that may have to meet share a group (key, i, j).
+
+    Two rows have to meet unless their bands differ by more than one or both are ``alike``.  A key of up to
+    ``block`` rows and ``room`` in sizes is one group, in which all meet.  Beyond (``split``), rows go by a hash in blocks
+    of their band and ``alike``, and each pair of blocks is a group.  ``own`` says on which side a row is.
+    """
+    whole = stored(rows.groupBy(key).agg(((F.count("*") > block) | (F.sum(size) > room)).alias("split")), "groups")
+    few = whole.count() <= 500_000
+    told = rows.join(F.broadcast(whole) if few else whole, key)
+    told = told.withColumn("cell", F.when(F.col("split"), 2 * F.col("band").cast("long") + F.col("alike").cast("long")).otherwise(0))
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / block, F.sum(size) / room))).cast("long")
+    cells = told.where("split").groupBy(key, "cell").agg(parts.alias("parts"))
+    cells = stored(cells.groupBy(key).agg(F.collect_list(F.struct("cell", "parts")).alias("cells")), "cells")  # a few per band
+    few = cells.count() <= 100_000
+    m = told.join(F.broadcast(cells) if few else cells, key, "left")
+    mine = F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1)["parts"]
+    own = F.when(F.col("split"), F.col("cell") * (1 << 31) + F.pmod(F.xxhash64(member), mine)).otherwise(F.lit(0).cast("long"))
+    meets = F.filter("cells", lambda c: (F.abs(F.floor(c["cell"] / 2) - F.floor(F.col("cell") / 2)) <= 1) & ~((c["cell"] % 2 == 1) & (F.col("cell") % 2 == 1)))
+    others = F.when(F.col("split"), F.flatten(F.transform(meets, lambda c: F.sequence(c["cell"] * (1 << 31), c["cell"] * (1 << 31) + c["parts"] - 1)))).otherwise(F.array(F.lit(0).cast("long")))
+    m = m.withColumn("own", own).withColumn("other", F.explode(others))
+    m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("band", "alike", "cell", "cells", "other", "split", *([size] if size != member else []))
+    return m.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", member)
+
+
 def vector_matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows kept, matrix in double) of an Arrow list column: those of the given or their common length without null or non-finite components."""
     import pyarrow as pa

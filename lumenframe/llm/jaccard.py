@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, forget, labels, mix64, shingle_set, ship_code, sorted_groups, stored
+from .common import block_pairs, components, documents, forget, labels, mix64, shingle_set, ship_code, sorted_groups, stored
 
 SHORT = 32
 COMMON = 1024
@@ -210,35 +210,18 @@ def families(long: DataFrame, spark: SparkSession) -> DataFrame:
 
 def family_links(rows: DataFrame, num: int, den: int, block: int = BLOCK, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """(a, b) linked, of different roots, that join what all links among ``rows(family, node, root, n, members)`` join."""
-    # sizes of linked rows are in the same class or the next
+    most = rows.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("big"))
+    most = stored(most, "largest")
+    few = most.count() <= 500_000
+    # sizes of linked rows are in the same class or the next; rows of the largest root needn't meet
     width = max(0.01, float(np.log(den / num)) * 1.001)
-    most = rows.groupBy("family", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    whole = most.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.sum("k").alias("k"), F.sum("n").alias("n"))
-    whole = whole.select("family", "big", ((F.col("k") > block) | (F.col("n") > block_members)).alias("split"))
-    small = stored(whole, "families")
-    few = small.count() <= 500_000
-    told = rows.join(F.broadcast(small) if few else small, "family")
-    # a family that one block holds is one cell; else a cell per size class, and for the largest root by itself
-    cell = F.when(F.col("split"), 2 * F.floor(F.log("n") / width).cast("long") + (F.col("root") == F.col("big")).cast("long")).otherwise(0)
-    told = told.withColumn("cell", cell)
-    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_members)).cast("long")
-    cells = told.where("split").groupBy("family", "cell").agg(F.greatest(F.lit(1), parts).alias("parts"))
-    cells = stored(cells.groupBy("family").agg(F.collect_list(F.struct("cell", "parts")).alias("cells")), "cells")  # a few per size class
-    few = cells.count() <= 100_000
-    m = told.join(F.broadcast(cells) if few else cells, "family", "left")
-    mine = F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1)["parts"]
-    own = F.when(F.col("split"), F.col("cell") * (1 << 31) + F.pmod(F.xxhash64("node"), mine)).otherwise(F.lit(0).cast("long"))
-    meets = F.filter("cells", lambda c: (F.abs(F.floor(c["cell"] / 2) - F.floor(F.col("cell") / 2)) <= 1) & ~((c["cell"] % 2 == 1) & (F.col("cell") % 2 == 1)))
-    others = F.when(F.col("split"), F.flatten(F.transform(meets, lambda c: F.sequence(c["cell"] * (1 << 31), c["cell"] * (1 << 31) + c["parts"] - 1)))).otherwise(F.array(F.lit(0).cast("long")))
-    m = m.withColumn("own", own).withColumn("other", F.explode(others))
-    m = m.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "members")
+    told = rows.join(F.broadcast(most) if few else most, "family").withColumns({"band": F.floor(F.log("n") / width), "alike": F.col("root") == F.col("big")}).drop("big")
 
     def multiply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(frames, ["family", "i", "j"], 2):
             yield _spanning(t, num, den)
 
-    dealt = m.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    return dealt.mapInArrow(multiply, "a long, b long")
+    return block_pairs(told, "family", "node", "n", block, block_members).mapInArrow(multiply, "a long, b long")
 
 
 def _spanning(t: pa.Table, num: int, den: int, at_once: int = 256) -> pa.RecordBatch:
