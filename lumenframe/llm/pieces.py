@@ -9,8 +9,9 @@ proportional to the product of its pieces' weights, sharpened by ``sharpness``.
 The vocabulary is of the byte-pair kind: it ranks its pieces and gives no probabilities.  Weights follow
 Zipf's law over that rank.
 
-Draws come from a counter (row key, unit, step), so a row's segmentation depends on its key, its text and the
-seed alone, not on partitions, order or retries.
+Draws come from a counter (row key, unit, step) and are compared with whole numbers (``BITS`` of a probability),
+which are made from the unit alone.  So a row's segmentation depends on its key, its text and the seed, not on
+partitions, order, retries or what else a task has met.
 
 Scale: no shuffle.  Lattices of a chunk's new units are built together with array operations and kept in a
 table of bounded size; all rows of a chunk are sampled together.
@@ -30,6 +31,9 @@ from .common import documents, mix64, ship_code
 
 BLANK = "▁"
 PRIME = np.uint64(0x100000001B3)
+#: a cumulative probability is a whole number up to 2**BITS, the number of its state stands above it
+BITS = 34
+ABOVE = np.uint64(BITS + 1)
 
 
 class Vocabulary:
@@ -123,7 +127,7 @@ class Lattices:
         self.first = np.zeros(0, np.int64)
         self.states = 0
         self.n = 0
-        self.sums = np.zeros(1 << 16)  # state + cumulative probability
+        self.sums = np.zeros(1 << 16, np.uint64)  # state, and cumulative probability below it
         self.code = np.zeros(1 << 16, np.int32)  # a piece, or -1 - k for the bytes of character k
         self.back = np.zeros(1 << 16, np.int32)  # characters
 
@@ -176,17 +180,16 @@ class Lattices:
             alpha[dst[a:b][groups]] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), groups))
         order = np.lexsort((src, dst))
         src, dst, ids, log, k = src[order], dst[order], ids[order], log[order], k[order]
-        prob = np.exp(alpha[src] + log - alpha[dst])
+        prob = np.minimum(np.exp(alpha[src] + log - alpha[dst]) * (1 << BITS), 1 << BITS).astype(np.int64)
         groups = np.concatenate([[0], np.flatnonzero(np.diff(dst)) + 1])
         counts = np.diff(np.concatenate([groups, [len(dst)]]))
         sums = np.cumsum(prob)
-        before = np.repeat(sums[groups] - prob[groups], counts)
-        cdf = np.minimum(sums - before, 1.0)
-        cdf[groups + counts - 1] = 1.0
+        cdf = np.minimum(sums - np.repeat(sums[groups] - prob[groups], counts), 1 << BITS)
+        cdf[groups + counts - 1] = 1 << BITS
         m = self.n + len(dst)
         while m > len(self.sums):
             self.sums, self.code, self.back = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.code, self.back))
-        self.sums[self.n : m] = dst + self.states + cdf
+        self.sums[self.n : m] = ((dst + self.states).astype(np.uint64) << ABOVE) + cdf.astype(np.uint64)
         self.code[self.n : m] = ids
         self.back[self.n : m] = k
         self.n = m
@@ -195,6 +198,10 @@ class Lattices:
         self.end = np.concatenate([self.end, first + lens])
         self.states += len(cps) + len(new)
 
+    def edges(self, state: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The edge into each state that a draw below 2**BITS falls on."""
+        return np.searchsorted(self.sums[: self.n], (state.astype(np.uint64) << ABOVE) + draw, side="right")
+
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text)."""
         if self.n > self.EDGES:
@@ -207,14 +214,12 @@ class Lattices:
         row_at = np.concatenate([[0], np.cumsum(count)])
         place = np.arange(len(unit)) - np.repeat(row_at[:-1], count)
         counter = mix64(np.repeat(seeds, count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sums = self.sums[: self.n]
         state, first, live = self.end[unit], self.first[unit], np.arange(len(unit))
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         steps = np.zeros(len(unit), np.int64)
         step = 0
         while len(live):
-            u = (mix64(counter[live] + np.uint64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(sums, state + u, side="right")
+            e = self.edges(state, mix64(counter[live] + np.uint64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(64 - BITS))
             taken.append((live, self.code[e]))
             state = state - self.back[e]
             steps[live] += 1
@@ -283,7 +288,8 @@ def sampled(docs: DataFrame, model: str = "piece_bpe_32k.model", sharpness: floa
     """doc_id, ids array<int>, n_ids, ids_crc32, decoded_crc32 and lossless of every text.
 
     decoded_crc32: of the bytes that the ids decode to; lossless: these are the text's.  Null and empty texts
-    are one blank.  Repeated rows get the same ids.  Other columns are left out.
+    are one blank.  Repeated rows get the same ids, and so do rows without a doc_id with equal texts.  A draw
+    that falls on the border of two edges takes the later one.  Other columns are left out.
     """
     ship_code(docs.sparkSession)
 
