@@ -14,6 +14,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +32,7 @@ def term(raw: str) -> str:
     return raw.strip(EDGES)
 
 
+@lru_cache(maxsize=1 << 16)
 def parts(raw: str) -> tuple[str, ...]:
     """The features of a word: itself without punctuation at its ends, and its leading 5, 6 and 7 letters, which inflected forms share."""
     t = term(raw)
@@ -59,7 +61,7 @@ class Ordinal:
         for raw in set((text or "").lower().split()):
             w = seen.get(raw)
             if w is None:
-                if len(seen) > 400_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 w = seen[raw] = tuple(f for f in parts(raw) if f in self.weights)
             if w:
@@ -103,10 +105,11 @@ def minimise(loss, p: np.ndarray, steps: int, memory: int = 12) -> np.ndarray:
     return p
 
 
-def counts(texts: list[str | None], high: list[int], features, keep) -> tuple[Counter, Counter]:
-    """In how many texts, and in how many of the high ones, each feature occurs, for features that ``keep(df, high)`` may hold for.
+def counts(texts: list[str | None], high: list[int], features, least: int, least_high: int) -> tuple[Counter, Counter]:
+    """In how many texts, and in how many of the high ones, each feature occurs, for features of at least ``least`` and ``least_high``.
 
-    Two passes, so that memory doesn't grow with the vocabulary: hashed counts say which features are worth a name.
+    Two passes, so that memory doesn't grow with the vocabulary: hashed counts, which are never too small, say
+    which features may be worth a name.
     """
     size = 1 << 20
     df, up = np.zeros(size, np.int32), np.zeros(size, np.int32)
@@ -115,7 +118,7 @@ def counts(texts: list[str | None], high: list[int], features, keep) -> tuple[Co
         df[ids] += 1
         if g:
             up[ids] += 1
-    worth = keep(df.astype(np.float64), up.astype(np.float64))
+    worth = (df >= least) & (up >= least_high)
     names, names_up = Counter(), Counter()
     for x, g in zip(texts, high, strict=True):
         own = [f for f in features(x) if worth[crc32(f.encode("utf-8", "surrogatepass")) % size]]
@@ -134,7 +137,7 @@ def severity(texts: list[str | None], toxic: list[int]) -> list[int]:
 
     A telling word occurs in three rows or more, at least nine in ten of them toxic.
     """
-    df, high = counts(texts, toxic, words_of, lambda d, h: (h >= 3) & (h >= 0.8 * d))
+    df, high = counts(texts, toxic, words_of, 3, 3)
     telling = {t for t, c in high.items() if c >= 3 and c >= 0.9 * df[t]}
     held = [len(words_of(x) & telling) if g else 0 for x, g in zip(texts, toxic, strict=True)]
     some = sorted(c for c in held if c)
@@ -142,57 +145,6 @@ def severity(texts: list[str | None], toxic: list[int]) -> list[int]:
     return [(2 if some and c > middle else 1) if g else 0 for c, g in zip(held, toxic, strict=True)]
 
 
-def minimise(loss, p: np.ndarray, steps: int, memory: int = 12) -> np.ndarray:
-    """Limited-memory BFGS with a backtracking line search."""
-    f, g = loss(p)
-    past: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        q, used = g.copy(), []
-        for s, y, r in reversed(past):
-            a = r * (s @ q)
-            q -= a * y
-            used.append(a)
-        if past:
-            s, y, _ = past[-1]
-            q *= (s @ y) / (y @ y)
-        for (s, y, r), a in zip(past, reversed(used), strict=True):
-            q += s * (a - r * (y @ q))
-        slope, t = -(g @ q), 1.0 if past else min(1.0, 1 / (np.abs(g).sum() + 1e-12))
-        if slope > -1e-14:
-            break
-        while True:
-            new = p - t * q
-            fn, gn = loss(new)
-            if fn <= f + 1e-4 * t * slope or t < 1e-10:
-                break
-            t /= 2
-        s, y = new - p, gn - g
-        if s @ y > 1e-12:
-            past = [*past[1 - memory :], (s, y, 1 / (s @ y))]
-        if f - fn < 1e-10:
-            return new if fn < f else p
-        p, f, g = new, fn, gn
-    return p
-
-
-def severity(texts: list[str | None], toxic: list[int]) -> list[int]:
-    """Grades for rows with a 0/1 label: 0 not toxic; toxic rows 1, or 2 from the median on of how many telling words they hold.
-
-    A telling word occurs in three rows or more, at least nine in ten of them toxic.
-    """
-    words = [{t for raw in set((x or "").lower().split()) if (t := term(raw))} for x in texts]
-    df, high = Counter(), Counter()
-    for w, g in zip(words, toxic, strict=True):
-        df.update(w)
-        if g:
-            high.update(w)
-    telling = {t for t, c in high.items() if c >= 3 and c >= 0.9 * df[t]}
-    counts = [len(w & telling) for w in words]
-    held = sorted(c for c, g in zip(counts, toxic, strict=True) if g and c)
-    middle = held[len(held) // 2] if held else 0
-    return [(2 if held and c > middle else 1) if g else 0 for c, g in zip(counts, toxic, strict=True)]
-
-
 def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps: int = 300, ridge: float = 1e-4, least: float = 25.0) -> Ordinal:
     """Maximum likelihood with a ridge, by L-BFGS over the whole sample; the same rows in the same order give the same model.
 
@@ -209,7 +161,7 @@ def fit(texts: list[str | None], grades: list[int], features: int = 4096, steps:
     def strength(d, h):
         return (h - d * base) ** 2 / np.maximum(d * base * (1 - base), 1e-9)
 
-    df, high = counts(texts, (y > 0).tolist(), terms, lambda d, h: (d >= 3) & (strength(d, h) >= least / 2))
+    df, high = counts(texts, (y > 0).tolist(), terms, 3, 0)
     power = {t: strength(c, high[t]) for t, c in df.items() if c >= 3}
     kept = sorted((t for t, x in power.items() if x >= least), key=lambda t: (-power[t], t))[:features]
     at = {t: i for i, t in enumerate(kept)}
@@ -252,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool
     """Fits on at most about ``sample`` rows of ``labels(doc_id, grade)``, half of them of higher grades where there are as many.
 
     With ``binary``, grades are 0 and 1 and the ones are split by ``severity``.
-    Rows are taken by a hash of doc_id.  Labels without a grade or a document play no part.
+    Rows are taken by a hash of doc_id.  Labels without a grade or a document play no part; of several grades of
+    a doc_id the highest counts, of several texts the smallest.
     """
     known = labels.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     h = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000))
@@ -261,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool
     share = {k: min(1.0, max(half, sample - counts.get(not k, 0)) / max(1, counts.get(k, 0))) for k in (True, False)}
     cut = F.when(F.col("grade") > 0, int(share[True] * 1_000_000)).otherwise(int(share[False] * 1_000_000))
     chosen = known.where(h < cut)  # about ``sample`` rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.lit(0).alias("one"), "doc_id", "text", "grade")
+    # a doc_id that occurs with several texts counts once
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("grade").alias("grade")).select(F.lit(0).alias("one"), "*")
 
     def fitted(table: pa.Table) -> pa.Table:
         own = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["grade"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
@@ -283,8 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool
 def grade(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with severity double, grade int and rejected boolean added (or replaced).
 
-    severity: the expected grade.  rejected: P(grade > 0) reaches ``threshold``.  Null and empty texts have no
-    features.  Equal texts get equal grades.
+    severity: the expected grade.  grade: the likeliest, of equally likely ones the lowest.  rejected: P(grade > 0)
+    reaches ``threshold``.  Null and empty texts have no features.  Equal texts get equal grades; repeated rows
+    are repeated.
     """
     ship_code(docs.sparkSession)
 
