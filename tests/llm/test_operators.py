@@ -65,6 +65,24 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_copies(spark):
+    """A vector that a third of all rows share, repeated rows, an id with two vectors, several chunks and parts, against brute force."""
+    rng = np.random.default_rng(2)
+    hot, rows = rng.normal(size=6), []
+    for i in range(400):
+        rows.append((i, (hot if i % 3 == 0 else rng.normal(size=6)).tolist()))
+    rows += [rows[9]] * 30 + [rows[10]] * 3 + [(11, rng.normal(size=6).tolist()), (20, rows[3][1]), (20, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vafile.top_k(df, F.col("vec_id") % 10 == 0, 4, chunk=9, part=3, broadcast_rows=0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ints = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    assert len(got) == 40
+    for q in got:
+        own = min((v.tolist() for i, v in ints if i == q), key=lambda v: np.array(v, "<i8").tobytes())
+        assert got[q] == [(i, s) for s, i in sorted(((int(np.dot(own, v)), i) for i, v in ints if i != q), key=lambda x: (-x[0], x[1]))[:4]], q
+
+
 def test_packing(spark, docs, corpus, empty):
     rows = packing.pack(docs, limit=64).collect()
     enc = packing.encoder("byte_bpe_50k.json")
@@ -239,6 +257,52 @@ def test_near_duplicates(spark):
     assert all(r["n_links"] <= len(links[i]) for i, r in out.items() if i is not None)
 
 
+def cosine_links(rows, least):
+    """Brute force: links of usable vectors, and the smallest id reachable."""
+    good = [(i, np.array(v, np.float64), k) for i, v, k in rows]
+    m, label = np.stack([x / np.sqrt(x @ x) for _, x, _ in good]), np.array([k for _, _, k in good])
+    near = (m @ m.T >= least) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    order = np.argsort([i for i, _, _ in good])
+    place = np.empty(len(good), int)
+    place[order] = np.arange(len(good))
+    root = labels(len(good), place[a], place[b])
+    return near.sum(axis=1), [good[order[root[place[k]]]][0] for k in range(len(good))]
+
+
+@pytest.mark.parametrize("kind,noise", [("float", 0.02), ("float", 0.07), ("double", 0.1)])
+def test_near_duplicates_dense(spark, kind, noise):
+    """A label with one dense neighbourhood of more than a block, chains, and copies: links found, none below the bound, the same for any block."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    base /= np.sqrt(base @ base)
+    rows = [(i, base + rng.normal(scale=noise, size=16) * (i % 5 > 0), 1) for i in range(300)]
+    turn = np.linspace(0, 3, 120)
+    rows += [(1000 + i, np.cos(t) * np.eye(16)[0] + np.sin(t) * np.eye(16)[1], 2) for i, t in enumerate(turn)]
+    rows = [(i, np.asarray(v, "f4" if kind == "float" else "f8").astype(float).tolist(), k) for i, v, k in rows]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    n, root = cosine_links(rows, 0.98)
+    found = [{r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df, block=b).collect()} for b in (16, 4096)]
+    assert found[0] == found[1]
+    told = np.array([found[0][i][0] for i, _, _ in rows])
+    assert (told <= n).all() and told.sum() >= 0.99 * n.sum() > 1000
+    assert np.mean([found[0][i][1] == x for (i, _, _), x in zip(rows, root, strict=True)]) >= 0.95
+
+
+def test_near_duplicates_recall(spark):
+    """Recall against brute force on the table of the smallest scale."""
+    import duckdb
+
+    rows = duckdb.sql("select vec_id, embedding, label from read_parquet('/root/testdata/sf0.1/embeddings.parquet') where label is not null").fetchall()
+    rows = [r for r in rows if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    n, root = cosine_links(rows, 0.98)
+    out = {r["vec_id"]: r for r in neardup.op5_sorted_projections(spark, "/root/testdata/sf0.1").collect()}
+    told = np.array([out[i]["n_links"] for i, _, _ in rows])
+    assert (told <= n).all() and told.sum() >= 0.99 * n.sum()
+    assert np.mean([out[i]["component_id"] == x for (i, _, _), x in zip(rows, root, strict=True)]) >= 0.99
+
+
 def test_passages(spark, docs, corpus, empty):
     rng = random.Random(9)
     passage, near = text(rng, 70), text(rng, 90)
@@ -346,6 +410,39 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+MISNAMED = ["content sidebar-right", "widget Blog", "post share-enabled", "layout header-fixed", "comment-policy-article", "story subscription-free", "page-header", "menu-recipe", "entry", ""]
+
+
+def test_html_known_articles(spark):
+    """Generated pages of hosts whose article classes mislead, with everything beside an article; the article is known."""
+    rng = random.Random(21)
+    pages, want = [], {}
+    for i in range(200):
+        host = i % len(MISNAMED)
+        paras = [text(rng, rng.randint(12, 60)) + " &eacute;&amp;" for _ in range(rng.randint(1, 6))]
+        beside = [f"<nav><ul>{'<li><a href=/x>menu item</a></li>' * 8}</ul></nav>", f"<div class='sidebar-{i}'><p>{text(rng, 15)}</p></div>", "<div class=ad>Buy now</div>", "<form><input name=q> search here <button>Go</button></form>", "<div id=cookie-notice>We use cookies</div>", "<script>var x = '<p>no</p>'</script><style>p{}</style>"]
+        after = [f"<div class='comments c{i}'><p>{text(rng, 20)}</p></div>" * (i % 4), "<footer>(c) 2020</footer>", "<div hidden>unseen</div>"]
+        rng.shuffle(beside)
+        body = "".join(f"<p>{x.replace(' ', chr(10) + ' ', 1)}</p>" for x in paras)
+        pages.append((i, f"https://h{host}.example.org/{i}", f"<!doctype html><html><body>{''.join(beside)}<div class='{MISNAMED[host]}'><h1>Head {i}</h1>{body}</div>{''.join(after)}</body></html>"))
+        want[i] = "\n".join([f"Head {i}", *(x.replace("&eacute;&amp;", "é&") for x in paras)])
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<blockquote>x", "<b>x</i>", "<div>x", '<a href="x ', "<select>x", "<!-- x", "<tr><td>", "<a"])
+def test_html_in_proportion(piece):
+    """Time for a page of unclosed elements grows with its length, not with its square."""
+    import time
+
+    took = []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        html.extract(piece * (n // len(piece)), None, set())
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 0.5
+
+
 def test_pieces(spark, docs, corpus, empty):
     odd = [(800, "  a  b "), (801, "▁x ▁ y"), (802, "漢字 😀\n\n\ttab"), (803, "é́")]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
@@ -383,6 +480,26 @@ def test_pieces_distribution():
     assert set(seen) <= set(weight) and max(abs(seen[s] / n - w / total) for s, w in weight.items()) < 0.01
 
 
+def test_pieces_draws():
+    """A draw just below 1 stays on its state's edges however large the numbers, and a unit's edges are the same whatever was built before."""
+    alone, after = pieces.Lattices(pieces.Vocabulary(__import__("public_tokenizers").path("piece_bpe_32k.model"), 1.0)), pieces.lattices("piece_bpe_32k.model", 1.0)
+    rng = random.Random(3)
+    for _ in range(20):
+        after.sample([text(rng, 2000) + " " + "".join(chr(rng.randrange(0x100, 0x3000)) for _ in range(200))], np.array([5], np.uint64))
+    words = ["hello", "unbelievable", "漢字x", "a" * 40]
+    seeds = pieces.row_seeds(list(range(500)), ["x"] * 500, 9)
+    for w in words:
+        one, two = alone.sample([w] * 500, seeds), after.sample([w] * 500, seeds)
+        assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+    for lat in (alone, after):
+        for shift in (0, (1 << 29) - 1 - lat.states):
+            lat.sums[: lat.n] += np.uint64(shift) << pieces.ABOVE
+            states = np.unique(lat.sums[: lat.n - 1] >> pieces.ABOVE)[1:-1]
+            last = lat.edges(states, np.full(len(states), (1 << pieces.BITS) - 1, np.uint64))
+            assert ((lat.sums[last] - np.uint64(1) >> pieces.ABOVE) == states).all()
+            lat.sums[: lat.n] -= np.uint64(shift) << pieces.ABOVE
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     bad = ["scum", "idiot,", "moron", "trash", "Loser!"]
@@ -402,7 +519,51 @@ def test_toxicity(spark, empty):
 
 
 def test_gradient():
-    """The fit's optimum: no step along a coordinate lowers the loss."""
-    model = toxicity.fit(["good day"] * 30 + ["bad day"] * 20 + ["bad evil day"] * 20, [0] * 30 + [1] * 20 + [2] * 20, least=1.0)
-    assert model.score("evil bad") > model.score("bad") > model.score("good")
-    assert (np.diff(model.thresholds) > 0).all()
+    """The fit is the optimum: the likelihood, written out row by row, falls along no coordinate."""
+    rng = random.Random(7)
+    pool = ["good", "bad", "evil", "day", "night"]
+    texts = [" ".join(rng.sample(pool, rng.randint(1, 4))) for _ in range(300)]
+    grades = [min(2, ("bad" in t) + ("evil" in t) + (rng.random() < 0.2)) for t in texts]
+    model = toxicity.fit(texts, grades, least=1.0)
+    assert model.weights and (np.diff(model.thresholds) > 0).all()
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for t, y in zip(texts, grades, strict=True):
+            s = sum(weights.get(f, 0.0) for f in toxicity.terms(t))
+            up = 1 / (1 + np.exp(s - thresholds[y])) if y < 2 else 1.0
+            down = 1 / (1 + np.exp(s - thresholds[y - 1])) if y else 0.0
+            total -= np.log(up - down)
+        return total / len(texts) + 1e-4 / 2 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.thresholds)
+    for name in model.weights:
+        for step in (-0.05, 0.05):
+            assert loss(model.weights | {name: model.weights[name] + step}, model.thresholds) > best
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            assert loss(model.weights, model.thresholds + step * (np.arange(2) == k)) > best
+    above = model.above(model.score("bad evil"))
+    assert abs(above.sum() - sum(k * p for k, p in enumerate(-np.diff([1.0, *above, 0.0])))) < 1e-12
+
+
+def test_counts():
+    """Hashed counts lose no feature, whatever shares its place."""
+    rng = random.Random(8)
+    texts = [" ".join(f"u{rng.randrange(3000)}" for _ in range(200)) for _ in range(120)]
+    df, high = toxicity.counts(texts, [i % 3 == 0 for i in range(120)], toxicity.words_of, 3, 0)
+    true = defaultdict(int)
+    for t in texts:
+        for w in set(t.split()):
+            true[w] += 1
+    assert all(df[w] == c for w, c in true.items() if c >= 3)
+
+
+def test_training_sample(spark):
+    """A document that occurs very often counts once in the fit, and labels alike on all its texts."""
+    rows = [(i, f"{'scum idiot' if i % 2 else 'fine day'} number{i % 7}") for i in range(200)]
+    labels_ = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, grade int")
+    one, many = (toxicity.train(spark.createDataFrame(r, "doc_id long, text string"), labels_, binary=True) for r in (rows, rows + rows[:1] * 3000))
+    assert one.weights == many.weights and one.thresholds.tolist() == many.thresholds.tolist()
+
+
