@@ -26,6 +26,11 @@ def classify(files: DataFrame) -> DataFrame:
     return df.where("kind is not null").where((F.col("kind") != "webp") | animated)
 
 
+def resumed_count(jobs: DataFrame) -> DataFrame:
+    """One row: how many of ``resumed`` jobs a former run left unfinished, and how many there are."""
+    return jobs.agg(F.count_if("unfinished").alias("resumed"), F.count("*").alias("candidates"))
+
+
 def walk_order(df: DataFrame) -> DataFrame:
     """Sorted as a walk meets files: those of a folder before its subfolders, names by code point."""
     return df.orderBy(F.split("dir", "/"), "name")
@@ -134,18 +139,43 @@ def resumed(jobs: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def admitted(requests: DataFrame) -> DataFrame:
-    """Adds reserved (sum so far on the device) and admit for ``requests(seq, device, free, source_size)``."""
-    from ..functions.measures import required_space
+    """Adds required, reserved (by earlier admissions on the device) and decision for ``requests(seq, device, free, source_size)``.
 
-    df = requests.withColumn("required", required_space(F.col("source_size")))
-    df = df.withColumn("reserved", F.expr("coalesce(sum(required) over (partition by device order by seq rows between unbounded preceding and 1 preceding), 0)"))
-    wait = F.when(F.col("free") - F.col("reserved") >= F.col("required"), "admit").when(F.col("reserved") > 0, "wait").otherwise("fail")
-    return df.withColumn("decision", wait)
+    Only admitted requests reserve space: "admit" where the rest of the device holds what is required, else "wait"
+    where something is reserved that will be released, else "fail".  Whether a request is admitted depends on
+    all decisions before it on its device, so a device is one task's work, which holds one number and reads
+    the requests as they come.
+    """
+    import numpy as np
+    import pyarrow as pa
 
+    from ..functions.measures import required_space
+    from ..running import checkpoints
 
-def same_file(a: Column, b: Column) -> Column:
-    """Null-safe equality of identity structs."""
-    return a.eqNullSafe(b)
+    checkpoints(requests.sparkSession)
+    df = requests.withColumn("required", required_space(F.col("source_size")))
+    dealt = df.repartition("device").sortWithinPartitions("device", "seq")
+    names = df.columns
+
+    def fold(frames):
+        device, held = None, 0
+        for batch in frames:
+            col = {c: batch.column(names.index(c)).to_pylist() for c in ("device", "free", "required")}
+            reserved, told = np.zeros(batch.num_rows, np.int64), []
+            for k, (d, free, required) in enumerate(zip(col["device"], col["free"], col["required"], strict=True)):
+                if k == 0 and device is None or d != device:
+                    device, held = d, 0
+                reserved[k] = held
+                fits = free is not None and required is not None and free - held >= required
+                told.append("admit" if fits else "wait" if held else "fail")
+                held += required if fits else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reserved), pa.array(told, pa.string())], [*names, "reserved", "decision"])
+
+    return dealt.mapInArrow(fold, f"{_ddl(df)}, reserved long, decision string")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
 def snapshot_faults(files: DataFrame) -> DataFrame:

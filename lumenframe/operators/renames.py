@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import names as N
 from ..functions.paths import dir_of, name_of, pruned, with_path_parts
-from ..running import checkpoints
+from ..running import checkpoints, kept
 
 RENAMED = tuple(x for k in ("photo", "heic", "gif", "video", "mp4", "webp") for x in V.KINDS[k])
 
@@ -32,7 +32,8 @@ def plan_files(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     media = N.with_cleaned(media.withColumn("random", F.col("guid") | N.looks_random(F.col("stem"))), compose=True)
     # used by six branches below: computed once, and the plans of the branches stay small
     checkpoints(files.sparkSession)
-    media = media.select("path", "dir", "name", "stem", "ext", "guid", "random", "opaque", "number", "is_dup", "site", "cleaned").checkpoint()
+    media = media.select("path", "dir", "name", "stem", "ext", "guid", "random", "opaque", "number", "is_dup", "site", "cleaned")
+    media = kept(media)
     folder = F.coalesce(F.nullif(name_of(F.col("dir")), F.lit("")), F.lit("media"))
     token = F.when(F.col("guid"), F.lower("stem")).otherwise(F.col("stem"))
     loose = media.where("random").select("path", "dir", "stem", F.concat(folder, F.lit(" ["), token, F.lit("]")).alias("new"), "ext", F.lit(False).alias("leads"))
@@ -79,6 +80,28 @@ def folders_of(files: DataFrame) -> DataFrame:
     return files.where(F.contains("path", F.lit("/"))).select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
 
 
+def plan_all(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """(phase, src, dst): the file plan (phase 1), then the folder plan over the folders of ``files(path)`` (phase 2), to be applied in this order."""
+    first = plan_files(files, dates).select(F.lit(1).alias("phase"), "src", "dst")
+    return first.unionByName(plan_folders(folders_of(files)).select(F.lit(2).alias("phase"), "src", "dst"))
+
+
+def apply_all(plan: DataFrame, files: DataFrame) -> tuple[DataFrame, int, int]:
+    """Applies ``plan(phase, src, dst)`` to ``files(path)``: (paths after, renamed, skipped).  Files go first, then folders, deepest first, with all they hold."""
+    _, after, renamed, skipped = applied(plan.where("phase = 1"), files.select("path"))
+    folders = plan.where("phase = 2").select("src", "dst", F.size(F.split("src", "/")).alias("depth"))
+    for depth in sorted((r["depth"] for r in folders.select("depth").distinct().collect()), reverse=True):
+        here = folders.where(F.col("depth") == depth)
+        taken = folders_of(after).select(F.col("path").alias("dst"))
+        good = kept(here.join(taken, "dst", "left_anti").groupBy("dst").agg(F.min("src").alias("src")))
+        n, m = here.count(), good.count()
+        renamed, skipped = renamed + m, skipped + n - m
+        at = F.array_join(F.slice(F.split("path", "/"), 1, depth), "/")
+        moved = after.withColumn("src", F.when(F.size(F.split("path", "/")) > depth, at)).join(good, "src", "left")
+        after = kept(moved.select(F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("dst", F.expr("substring(path, length(src) + 1)"))).alias("path")))
+    return after, renamed, skipped
+
+
 def blocked_by_descendants(pending: DataFrame) -> DataFrame:
     """Adds blocked: whether another pending source lies inside this one.  By exploding ancestors, so the join has equal keys."""
     from ..functions.paths import ancestors
@@ -87,18 +110,19 @@ def blocked_by_descendants(pending: DataFrame) -> DataFrame:
     return pending.join(inner, "src", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
-def applied(plan: DataFrame, paths: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame, int, int]:
+def applied(plan: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """Simulates a plan on ``paths(path)``: (applied with round, paths after, renamed, skipped).
 
     In each round every rename whose target is free goes, unless a pending source lies inside its own; of
     several to one target, the first by source.  Those whose target will itself move wait.  When a round moves
-    nothing, the rest are skipped.  ``rounds`` bounds the loop far above any real chain.
+    nothing, the rest are skipped: each round but the last has fewer pending than the one before, so it ends.
     """
     import itertools
 
+    checkpoints(plan.sparkSession)
     pending, done, skipped, renamed = plan.select("src", "dst").distinct(), None, 0, 0
     for k in itertools.count():
-        if k >= rounds or pending.isEmpty():
+        if pending.isEmpty():
             break
         p = blocked_by_descendants(pending)
         p = p.join(paths.select(F.col("path").alias("dst"), F.lit(True).alias("_there")).distinct(), "dst", "left")
@@ -106,7 +130,7 @@ def applied(plan: DataFrame, paths: DataFrame, rounds: int = 1000) -> tuple[Data
         there, moves = F.coalesce("_there", F.lit(False)), F.coalesce("_moves", F.lit(False))
         p = p.withColumn("_rank", F.expr("row_number() over (partition by dst, blocked order by src)"))
         act = F.when(F.col("blocked"), "wait").when(there & moves, "wait").when(there, "skip").when(F.col("_rank") > 1, "wait").otherwise("move")
-        p = p.select("src", "dst", act.alias("act")).checkpoint()
+        p = kept(p.select("src", "dst", act.alias("act")))
         n = {r["act"]: r["count"] for r in p.groupBy("act").count().collect()}
         if not n.get("move") and not n.get("skip"):
             skipped += n.get("wait", 0)
@@ -115,7 +139,7 @@ def applied(plan: DataFrame, paths: DataFrame, rounds: int = 1000) -> tuple[Data
         done = moved if done is None else done.unionByName(moved)
         renamed, skipped = renamed + n.get("move", 0), skipped + n.get("skip", 0)
         after = paths.join(moved.select(F.col("src").alias("path"), "dst"), "path", "left").select(F.coalesce("dst", "path").alias("path"))
-        paths = after.checkpoint()
+        paths = kept(after)
         pending = p.where("act = 'wait'").select("src", "dst")
     if done is None:
         done = plan.select("src", "dst", F.lit(0).alias("round")).limit(0)

@@ -193,43 +193,56 @@ def folder_plan(spark, t):
 
 @query(
     """
-    with pending as (select distinct p_brand as src from part where p_size < 5 union select distinct p_brand || '/' || p_type from part where p_size < 3)
+    with pending as (select distinct p_brand as src from part union select distinct p_brand || '/' || p_type from part where p_size % 2 = 0 union select distinct p_type from part)
     select a.src, exists (select 1 from pending b where b.src <> a.src and starts_with(b.src, a.src || '/')) as blocked from pending a
     """
 )
 def ancestor_pending(spark, t):
     """Folders that wait for a rename inside them."""
     p = t("part")
-    pending = p.where("p_size < 5").select(F.col("p_brand").alias("src")).union(p.where("p_size < 3").select(F.concat("p_brand", F.lit("/"), "p_type"))).distinct()
+    inner = p.select(F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("/"), "p_type")).alias("src")).where("src is not null")
+    pending = p.select(F.col("p_brand").alias("src")).union(inner).union(p.select(F.col("p_type").alias("src"))).distinct()
     return renames.blocked_by_descendants(pending).select("src", "blocked")
 
 
-@query()
+
+@query(
+    """
+    with recursive f as (select p_partkey as k from part where p_partkey % 10 <> 3),
+    p as (select p_partkey as k from part where p_partkey % 10 not in (3, 7)),
+    s as (
+      select p.k, cast(0 as integer) as round from p left join f on f.k = p.k + 1 where f.k is null
+      union all select p.k, s.round + 1 from s join p on p.k + 1 = s.k)
+    select 'd/n' || k as src, 'd/n' || (k + 1) as dst, round from s
+    """
+)
 def rename_fixpoint(spark, t):
-    """Applying a plan with chains of targets, to its fixpoint."""
+    """Applying a plan with chains of targets, to its fixpoint: a chain goes from its free end, one that ends at a file that stays doesn't."""
     from .running import checkpoints
 
     checkpoints(spark)
     part = t("part").select("p_partkey")
-    plan = part.where("p_partkey % 10 < 3").select(F.concat(F.lit("d/n"), _s("p_partkey")).alias("src"), F.concat(F.lit("d/n"), _s(F.col("p_partkey") + 1)).alias("dst"))
-    done, _, renamed, skipped = renames.applied(plan, part.where("p_partkey % 10 <> 3").select(F.concat(F.lit("d/n"), _s("p_partkey")).alias("path")))
+    named = lambda k: F.concat(F.lit("d/n"), _s(k))
+    plan = part.where("p_partkey % 10 not in (3, 7)").select(named(F.col("p_partkey")).alias("src"), named(F.col("p_partkey") + 1).alias("dst"))
+    done, _, renamed, skipped = renames.applied(plan, part.where("p_partkey % 10 <> 3").select(named(F.col("p_partkey")).alias("path")))
     return done.select("src", "dst", "round")
 
 
+
 @query(
     """
-    with b as (select o_custkey % 50 as batch_id, o_orderkey as seq, 'a' || o_orderkey as src, 'b' || o_orderkey as dst from orders where o_orderkey % 3 = 0)
+    with b as (select o_custkey % 50 as batch_id, o_orderkey as seq, 'a' || o_orderkey as src, 'b' || o_orderkey as dst from orders)
     select dst as "from", src as "to", seq, seq % 2 = 0 as done from b where batch_id = (select max(batch_id) from b)
     """
 )
 def undo_batch(spark, t):
     """The last batch taken back, newest step first."""
-    o = t("orders").where("o_orderkey % 3 = 0")
-    b = o.select((F.col("o_custkey") % 50).alias("batch_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("a"), _s("o_orderkey")).alias("src"), F.concat(F.lit("b"), _s("o_orderkey")).alias("dst"))
+    b = t("orders").select((F.col("o_custkey") % 50).alias("batch_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("a"), _s("o_orderkey")).alias("src"), F.concat(F.lit("b"), _s("o_orderkey")).alias("dst"))
     steps, _ = renames.undo(b, b.where("seq % 2 = 0").select(F.col("dst").alias("path")))
     return steps
 
 
+
 # ---------------------------------------------------------------- library
 
 _EXTS = ".jpg .PNG .heic .gif .mkv .MOV .mp4 .txt .xmp .tiff".split()
@@ -288,7 +301,7 @@ def protected_anti(spark, t):
 
 @query(
     """
-    with j as (select o_orderkey, 'd' || o_custkey % 300 || '/clip' || o_custkey % 7 || case when o_orderkey % 3 = 0 then '.mov' when o_orderkey % 3 = 1 then '.mkv' else '.avi' end as path from orders where o_orderkey % 2 = 0),
+    with j as (select o_orderkey, 'd' || o_custkey % 300 || '/clip' || o_custkey % 7 || case when o_orderkey % 3 = 0 then '.mov' when o_orderkey % 3 = 1 then '.mkv' else '.avi' end as path from orders),
     u as (select path, min(o_orderkey) as k from j group by path),
     o as (select *, regexp_replace(path, '\\.[^./]+$', '') as base from u),
     r as (select *, row_number() over (partition by base order by k, path) as n from o)
@@ -299,7 +312,7 @@ def collision_rank(spark, t):
     """Outputs that two jobs, or a job and a file, would share get distinct names."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     ext = F.when(k % 3 == 0, ".mov").when(k % 3 == 1, ".mkv").otherwise(".avi")
-    j = t("orders").where("o_orderkey % 2 = 0").select(k.alias("k"), F.concat(F.lit("d"), _s(c % 300), F.lit("/clip"), _s(c % 7), ext).alias("path"))
+    j = t("orders").select(k.alias("k"), F.concat(F.lit("d"), _s(c % 300), F.lit("/clip"), _s(c % 7), ext).alias("path"))
     jobs = j.groupBy("path").agg(F.min("k").alias("k")).withColumn("kind", F.lit("video"))
     taken = jobs.where(F.col("path").rlike(r"/clip0\.")).select(F.regexp_replace("path", r"\.[^./]+\z", ".mp4").alias("path"))
     return library.with_outputs(jobs, taken, "k").select("path", "output")
@@ -307,7 +320,7 @@ def collision_rank(spark, t):
 
 @query(
     """
-    with j as (select p_partkey, 'm/' || p_partkey || '.jpg' as path from part where p_partkey % 2 = 0),
+    with j as (select p_partkey, 'm/' || p_partkey || '.jpg' as path from part),
     s as (select 'm/' || p_partkey || case p_partkey % 3 when 0 then '.xmp' when 1 then '.jpg.AAE' else '.doc' end as path from part)
     select j.path, s.path as sidecar from j join s on s.path in ('m/' || p_partkey || '.xmp', 'm/' || p_partkey || '.jpg.AAE')
     """
@@ -315,20 +328,25 @@ def collision_rank(spark, t):
 def sidecar_files(spark, t):
     """Sidecars that exist beside a job."""
     k = F.col("p_partkey")
-    jobs = P.with_path_parts(t("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("m/"), _s(k), F.lit(".jpg")).alias("path")))
+    jobs = P.with_path_parts(t("part").select(F.concat(F.lit("m/"), _s(k), F.lit(".jpg")).alias("path")))
     files = t("part").select(F.concat(F.lit("m/"), _s(k), F.when(k % 3 == 0, ".xmp").when(k % 3 == 1, ".jpg.AAE").otherwise(".doc")).alias("path"))
     return library.sidecars(jobs, files)
 
 
-@query("select page_id % 10 = 9 as x, count(*) as n from (select * from pages where page_id % 2 = 1 and page_id % 3 <> 0 and page_id % 7 <> 0 or (page_id % 2 = 1 and page_id % 3 = 0 and page_id % 5 = 0 and page_id % 7 <> 0)) group by 1")
+@query(
+    """
+    select page_id, case when page_id % 7 = 0 then false when page_id % 2 = 0 then true when page_id % 3 <> 0 then true else page_id % 5 = 0 end as open from pages
+    """
+)
 def open_mp4s(spark, t):
-    """MP4s that still need work: not completed, not standard, or standard and damaged."""
+    """Which jobs still need work: not completed, and no MP4 that is standard and healthy."""
     k = F.col("page_id")
-    jobs = t("pages").where("page_id % 2 = 1").select(k, _s(k).alias("path"), F.lit("mp4").alias("kind"))
+    jobs = t("pages").select(k, _s(k).alias("path"), F.when(k % 2 == 1, "mp4").otherwise("video").alias("kind"))
     status = jobs.select("path", F.when(k % 3 == 0, "standard").otherwise("convert").alias("status"), (k % 5 != 0).alias("healthy"))
     done = jobs.where("page_id % 7 = 0")
-    left = library.open_jobs(jobs, status, done, ("standard", "hevc"), validate=True)
-    return left.groupBy((k % 10 == 9).alias("x")).agg(F.count("*").alias("n"))
+    left = library.open_jobs(jobs, status, done, ("standard", "hevc"), validate=True).select("path", F.lit(True).alias("open"))
+    return jobs.join(left, "path", "left").select("page_id", F.coalesce("open", F.lit(False)).alias("open"))
+
 
 
 _STATUS = "case o_orderkey % 7 when 0 then 'converted' when 1 then 'remuxed' when 2 then 'skipped' when 3 then 'failed' when 4 then 'converted' else 'skipped' end"
@@ -366,17 +384,20 @@ def summary_line(spark, t):
 
 @query(
     """
-    select event_id, user_id, greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint)) as required,
-      cast(coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as reserved,
-      case when 10000000000 - coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) >= greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint)) then 'admit'
-        when coalesce(sum(greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * 1.25) as bigint))) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) > 0 then 'wait' else 'fail' end as decision
-    from events
+    with recursive r as (select event_id, user_id, greatest(67108864, cast(floor(cast(round(value * 1000000) as bigint) * (1 + event_id % 7) * 1.25) as bigint)) as required, row_number() over (partition by user_id order by event_id) as n from events),
+    s as (
+      select n, user_id, event_id, required, cast(0 as bigint) as reserved, case when required <= 1000000000 then 'admit' else 'fail' end as decision, case when required <= 1000000000 then required else 0 end as held from r where n = 1
+      union all select r.n, r.user_id, r.event_id, r.required, s.held, case when s.held + r.required <= 1000000000 then 'admit' when s.held > 0 then 'wait' else 'fail' end, s.held + case when s.held + r.required <= 1000000000 then r.required else 0 end
+        from s join r on r.user_id = s.user_id and r.n = s.n + 1)
+    select event_id, user_id, required, reserved, decision from s
     """
 )
 def space_admission(spark, t):
-    """Which conversions a device has room for, in order."""
-    e = t("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("device"), F.lit(10_000_000_000).alias("free"), F.round(F.col("value") * 1_000_000).cast("long").alias("source_size"))
-    return library.admitted(e).select(F.col("seq").alias("event_id"), F.col("device").alias("user_id"), "required", F.col("reserved").cast("long").alias("reserved"), "decision")
+    """Which conversions a device has room for, in order; only admitted ones hold space."""
+    size = F.round(F.col("value") * 1_000_000).cast("long") * (1 + F.col("event_id") % 7)
+    e = t("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("device"), F.lit(1_000_000_000).cast("long").alias("free"), size.alias("source_size"))
+    return library.admitted(e).select(F.col("seq").alias("event_id"), F.col("device").alias("user_id"), "required", "reserved", "decision")
+
 
 
 @query(
@@ -717,7 +738,7 @@ def tail_lines(spark, t):
 @query(
     """
     select o_orderkey, case when s >= 3600 then s // 3600 || ':' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') else lpad(cast(s // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') end as clock,
-      cast(least(100, s * 100 // 10000) as integer) as percent from (select o_orderkey, o_orderkey * 7 % 12000 as s from orders)
+      cast(least(100, floor(s / cast(10000 as double) * 100)) as integer) as percent from (select o_orderkey, o_orderkey * 7 % 12000 as s from orders)
     """
 )
 def progress_clock(spark, t):
@@ -784,19 +805,28 @@ def settings_rows(spark, t):
 
 @query(
     """
-    with m as (select p_partkey, p_name, row_number() over (partition by p_name order by lpad(cast(p_partkey as varchar), 8, '0')) as n from part)
-    select p_partkey, p_name || case when n + 3 * cast(p_name like 'red%' as integer) = 1 then '' else ' ' || (n + 3 * cast(p_name like 'red%' as integer)) end || '.jpg' as target from m
+    with recursive m as (select p_partkey, p_name as base, row_number() over (partition by p_name order by lpad(cast(p_partkey as varchar), 8, '0')) as k from part),
+    gone as (select distinct p_name as base, unnest(case when p_name like 'red%' then [1, 3, 4, 9] when p_name like 'blue%' then [2, 5] else [6] end) as n from part),
+    free as (
+      select base, cast(0 as bigint) as k, cast(0 as bigint) as n from (select distinct base from m)
+      union all select f.base, case when g.n is null then f.k + 1 else f.k end, f.n + 1 from (select base, k, n from free) f left join gone g on g.base = f.base and g.n = f.n + 1
+        where f.k < (select max(k) from m x where x.base = f.base)),
+    place as (select base, k, min(n) as n from free where k > 0 group by base, k)
+    select p_partkey, m.base || case when n = 1 then '' else ' ' || n end || '.jpg' as target from m join place on place.base = m.base and place.k = m.k
     """
 )
 def disposal_names(spark, t):
-    """Names in a trash folder that collide with nothing."""
+    """Names in a trash folder: the first numbers that are free, gaps between existing ones first."""
     from .sources.state import disposal_names as names
 
     moves = t("part").select("p_partkey", F.lpad(_s("p_partkey"), 8, "0").alias("path"), F.col("p_name").alias("stem"), F.lit(".jpg").alias("suffix"))
-    have = t("part").where("p_name like 'red%'").select(F.concat("p_name", F.lit(" 3.jpg")).alias("name")).distinct()
+    n = F.col("p_name")
+    ends = F.when(n.like("red%"), F.array(*map(F.lit, ("", " 3", " 4", " 9")))).when(n.like("blue%"), F.array(F.lit(" 2"), F.lit(" 5"))).otherwise(F.array(F.lit(" 6"), F.lit(" 07"), F.lit(" x")))
+    have = t("part").select("p_name", F.explode(ends).alias("end")).select(F.concat("p_name", "end", F.lit(".jpg")).alias("name")).distinct()
     return names(moves, have).select("p_partkey", "target")
 
 
+
 # ---------------------------------------------------------------- state
 
 
@@ -835,17 +865,19 @@ def completed_anti(spark, t):
 
 @query(
     """
-    with j as (select o_orderkey, o_orderkey % 3 in (0, 1) and o_orderkey % 4 <> 0 as unfinished from orders)
-    select o_orderkey, unfinished, row_number() over (order by unfinished desc, o_orderkey) as ord from j where o_orderkey % 10 = 1
+    with j as (select o_orderkey, o_orderkey % 3 in (0, 1) and (o_orderkey % 4 <> 0 or o_orderkey = 0) as unfinished from orders)
+    select o_orderkey, unfinished, row_number() over (order by unfinished desc, o_orderkey) as ord from j
     """
 )
 def resume_order(spark, t):
     """Jobs in the order of a resumed run: unfinished ones first."""
+    from .operators.order import row_numbers
+
     k = F.col("o_orderkey")
     jobs = t("orders").select("o_orderkey", _s(k).alias("path"), (k * 3).alias("size"), (k * 5).alias("mtime_ns"))
     journal = t("orders").select(_s(k).alias("path"), F.when(k % 4 == 0, k).otherwise(k * 3).alias("size"), (k * 5).alias("mtime_ns"), F.when(k % 3 == 0, "running").when(k % 3 == 1, "queued").otherwise("done").alias("status"))
-    out = library.resumed(jobs, journal).where("o_orderkey % 10 = 1")
-    return out.select("o_orderkey", "unfinished", F.expr("cast(row_number() over (order by unfinished desc, o_orderkey) as bigint)").alias("ord"))
+    return row_numbers(library.resumed(jobs, journal).select("o_orderkey", "unfinished"), [], [F.desc("unfinished"), F.col("o_orderkey")], "ord")
+
 
 
 @query(

@@ -17,18 +17,31 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset.  Lets workers import this package."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.  Lets workers import this package.
+
+    Only in a local session that names neither is a folder of our own made; elsewhere that is an error, as
+    executors would not see it.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _OWN.get(sc.applicationId)
     if not named:
-        named = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lumenframe-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="lumenframe-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
-    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), sc.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
     return named.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: plans stay short, and lost executors cost one step."""
+    path = f"{checkpoints(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def streamed(spark: SparkSession, rows: DataFrame, query: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """The result of a streaming query over files of ``rows``, once all are read."""
     at = f"{checkpoints(spark)}/streams/{uuid.uuid4().hex}"

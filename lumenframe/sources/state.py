@@ -45,14 +45,18 @@ def decoded_frames(raw: DataFrame) -> DataFrame:
     return raw.select("path", F.posexplode(frames).alias("pos", "f")).select("path", "pos", "f.*")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table; empty if there is none."""
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(S.CACHE).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], S.CACHE)
+        return spark.createDataFrame([], schema)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table; empty if there is none."""
+    return _read_or_empty(spark, path, S.CACHE)
 
 
 def write_cache(cache: DataFrame, path: str, dirty: bool = True) -> None:
@@ -91,19 +95,27 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("src", F.when(bad("src") | bad("dst"), told).otherwise(F.col("src")))
 
 
-def record_batch(applied: DataFrame, table: str, time: str) -> bool:
-    """Appends applied renames as a batch; nothing when there are none."""
+def record_batch(applied: DataFrame, table: str, time: str, order: tuple = ("src",)) -> bool:
+    """Appends ``applied(src, dst, ...)`` as the next batch, its rows numbered from 0 by ``order``; nothing when there are none.
+
+    The batches are a Parquet table wherever Spark can read and write.
+    """
+    from ..operators.order import row_numbers
+
     spark = applied.sparkSession
     if applied.isEmpty():
         return False
-    have = 0
-    if os.path.isdir(table):
-        have = spark.read.parquet(table).agg(F.max("batch_id")).first()[0] or 0
-    rows = applied.select(F.lit(have + 1).cast("long").alias("batch_id"), F.lit(time).alias("time"), F.monotonically_increasing_id().alias("seq"), "src", "dst")
+    have = read_batches(spark, table).agg(F.max("batch_id")).first()[0] or 0
+    rows = row_numbers(applied, [], list(order), "seq").select(F.lit(have + 1).cast("long").alias("batch_id"), F.lit(time).alias("time"), (F.col("seq") - 1).alias("seq"), "src", "dst")
     rows.write.mode("append").parquet(table)
     return True
 
 
+def read_batches(spark: SparkSession, table: str) -> DataFrame:
+    """batch_id, time, seq, src, dst of all recorded batches; empty if there are none."""
+    return _read_or_empty(spark, table, "batch_id long, time string, seq long, src string, dst string")
+
+
 def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Rows of the transaction manifests in these folders; ``valid`` is false for damaged ones or paths outside the root."""
     from ..functions.paths import inside
@@ -138,9 +150,25 @@ def settings_rows(lines: DataFrame) -> DataFrame:
 
 
 def disposal_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds target to ``moves(path, stem, suffix)``: the name, or "stem N" from 2 on, clear of ``existing(name)`` and each other."""
-    base = F.concat("stem", "suffix")
-    have = existing.groupBy(F.regexp_replace("name", r" \d+(\.[^.]*)?\z", "$1").alias("_base")).agg(F.max(F.coalesce(F.regexp_extract("name", r" (\d+)(?:\.[^.]*)?\z", 1).try_cast("int"), F.lit(1))).alias("_last"))
-    m = moves.withColumn("_base", base).join(have, "_base", "left")
-    m = m.withColumn("_n", F.expr("row_number() over (partition by _base order by path)") + F.coalesce("_last", F.lit(0)))
-    return m.withColumn("target", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.col("stem"), F.lit(" "), F.col("_n").cast("string"), F.col("suffix")))).drop("_base", "_last", "_n")
+    """Adds target to ``moves(path, stem, suffix)``: the name, or "stem N", the first from 2 on that neither ``existing(name)`` nor an earlier move has.
+
+    Moves of a name are served in order of path.  The k-th of them gets the k-th free number: k and as many more
+    as numbers that are taken come before it.  Both sides are numbered without a task per name.
+    """
+    from ..operators.order import row_numbers
+
+    number = F.coalesce(F.regexp_extract("name", r" (\d+)(?:\.[^.]*)?\z", 1).try_cast("bigint"), F.lit(1).cast("bigint"))
+    bare = F.regexp_replace("name", r" \d+(\.[^.]*)?\z", "$1")
+    forms = existing.select("name", F.lit(1).cast("bigint").alias("_n"), F.col("name").alias("_base")).unionByName(existing.select("name", number.alias("_n"), bare.alias("_base")).where("_n >= 2"))
+    # a number only counts as the counter writes it: no leading zeros
+    plain = F.when(F.col("_n") == 1, F.col("name") == F.col("_base")).otherwise(F.regexp_extract("name", r" (\d+)(?:\.[^.]*)?\z", 1) == F.col("_n").cast("string"))
+    m = moves.withColumn("_base", F.concat("stem", "suffix"))
+    taken = forms.where(plain).select("_base", "_n").distinct().join(m.select("_base").distinct(), "_base", "left_semi")
+    taken = row_numbers(taken, ["_base"], ["_n"], "_r").select("_base", (F.col("_n") - F.col("_r")).alias("_free"))
+    runs = taken.groupBy("_base", "_free").agg(F.count("*").alias("_count"))  # taken numbers before which as many are free
+    m = row_numbers(m, ["_base"], ["path"], "_k")
+    least = m.groupBy("_base").agg(F.max("_k").alias("_last"))
+    runs = runs.join(least, "_base").where("_free < _last").groupBy("_base").agg(F.array_sort(F.collect_list(F.struct("_free", "_count"))).alias("_runs"))
+    before = F.aggregate(F.filter(F.coalesce("_runs", F.array().cast("array<struct<_free:bigint,_count:bigint>>")), lambda r: r["_free"] < F.col("_k")), F.lit(0).cast("bigint"), lambda acc, r: acc + r["_count"])
+    m = m.join(runs, "_base", "left").withColumn("_n", F.col("_k") + before)
+    return m.withColumn("target", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.col("stem"), F.lit(" "), F.col("_n").cast("string"), F.col("suffix")))).select(*moves.columns, "target")
