@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: what an Arrow batch of rows may take, unless the session sets another size: whole texts come a few at a time
+BATCH_BYTES = "8m"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did."""
+    """Lets Python workers import this package from where the driver did, and bounds the batches they get."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` over batches, which gives memory back to the system when a task is through: workers are kept for the next stage."""
+
+    def run(frames: Iterator) -> Iterator:
+        yield from work(frames)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

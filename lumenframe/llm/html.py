@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_code, stored
+from .common import lean, ship_code, stored
 
 # fixed values: element names of the HTML standard, and words that name parts of a page that aren't its article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -307,7 +307,7 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = 500_000) -> DataFrame
             cols = list(zip(*votes, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "suspect", "path", "votes"])
 
-    votes = pages.select("url", "html").mapInArrow(vote, "host string, suspect boolean, path string, votes long")
+    votes = pages.select("url", "html").mapInArrow(lean(vote), "host string, suspect boolean, path string, votes long")
     total = votes.groupBy("host", "suspect", "path").agg(F.sum("votes").alias("votes"))
     # most votes; ties to the shorter, then the smaller path; and the suspect paths that most pages with them call misnamed
     winner = F.min_by(F.when(~F.col("suspect"), F.col("path")), F.when(~F.col("suspect"), F.struct(-F.col("votes"), F.length("path"), "path"))).alias("path")
@@ -322,7 +322,7 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = 500_000) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return rows.select("page_id", "url", "html", "path", "rescued").mapInArrow(again, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "path", "rescued").mapInArrow(lean(again), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op7_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

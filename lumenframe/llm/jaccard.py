@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, documents, forget, labels, mix64, shingle_set, ship_code, sorted_groups, stored
+from .common import block_pairs, components, documents, forget, labels, lean, mix64, shingle_set, ship_code, sorted_groups, stored
 
 SHORT = 32
 COMMON = 1024
@@ -69,8 +69,8 @@ def column_counts(docs: DataFrame, size: int, log_buckets: int) -> np.ndarray:
         total = np.zeros(1 << log_buckets, dtype=np.int64)
         for batch in frames:
             held: list[np.ndarray] = []
-            for text in batch.column(0).to_pylist():
-                held.append(shingle_set(text, size))
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), size))
                 if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 512:
                     total += _bucketed(held, log_buckets)
                     held = []
@@ -87,7 +87,7 @@ def column_counts(docs: DataFrame, size: int, log_buckets: int) -> np.ndarray:
         for k, c in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ceil(2 * np.log2(c + 1)).astype(np.uint8).tobytes()], pa.binary())], ["block", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(blocks, "block").mapInArrow(add, "block int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(lean(count), "block int, counts binary").repartition(blocks, "block").mapInArrow(lean(add), "block int, counts binary").collect()
     out = np.zeros(1 << log_buckets, dtype=np.uint8)
     width = len(out) // blocks
     for k, c in parts:
@@ -127,7 +127,7 @@ def rows_of(docs: DataFrame, size: int, num: int, den: int, classes, common: int
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(fews, pa.int32()), pa.array(colds, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parts, pa.binary())], ["doc_id", "n", "node", "few", "cold", "grams", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lead, "doc_id long, n int, node long, few int, cold int, grams array<long>, parts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(lead), "doc_id long, n int, node long, few int, cold int, grams array<long>, parts binary")
 
 
 def possible(n: np.ndarray, pos: np.ndarray, small: np.ndarray, node: np.ndarray, m: np.ndarray, pos2: np.ndarray, small2: np.ndarray, node2: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def first_products(entries: DataFrame, num: int, den: int) -> DataFrame:
                 out, held = [], 0
         yield _products(out)
 
-    return entries.mapInArrow(multiply, "kind byte, gram long, a long, b long")
+    return entries.mapInArrow(lean(multiply), "kind byte, gram long, a long, b long")
 
 
 def _products(out: list[tuple]) -> pa.RecordBatch:
@@ -195,7 +195,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
 
     left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n"), F.col("parts").alias("x")), "a")
     both = left.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parts").alias("y")), "b")
-    return both.select("a", "b", "shared", "n", "m", "x", "y").mapInArrow(keep, "a long, b long, shared long")
+    return both.select("a", "b", "shared", "n", "m", "x", "y").mapInArrow(lean(keep), "a long, b long, shared long")
 
 
 def families(long: DataFrame, spark: SparkSession) -> DataFrame:
@@ -221,7 +221,7 @@ def family_links(rows: DataFrame, num: int, den: int, block: int = BLOCK, block_
         for t in sorted_groups(frames, ["family", "i", "j"], 2):
             yield _spanning(t, num, den)
 
-    return block_pairs(told, "family", "node", "n", block, block_members).mapInArrow(multiply, "a long, b long")
+    return block_pairs(told, "family", "node", "n", block, block_members).mapInArrow(lean(multiply), "a long, b long")
 
 
 def _spanning(t: pa.Table, num: int, den: int, at_once: int = 256) -> pa.RecordBatch:
@@ -296,7 +296,7 @@ def members(active: DataFrame, docs: DataFrame, reps: DataFrame, size: int, broa
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-    return stored(texts.mapInArrow(read, "node long, members binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(lean(read), "node long, members binary").dropDuplicates(["node"]), "sets")
 
 
 def decide(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -316,7 +316,7 @@ def decide(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(product, "a long, b long")
+    return both.mapInArrow(lean(product), "a long, b long")
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, key: str, name: str) -> DataFrame:

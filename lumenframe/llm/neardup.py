@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, ship_code, sorted_groups, stored, vector_matrix
+from .common import block_pairs, components, lean, ship_code, sorted_groups, stored, vector_matrix
 
 LINKS = "a long, b long, sure boolean"
 
@@ -44,7 +44,7 @@ def usable(vectors: DataFrame, kind: str) -> DataFrame:
                 rows, m = pa.array(rows[ok]), m[ok] + 0.0  # no negative zero
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([r.tobytes() for r in m.astype(kind)], pa.binary())], ["vec_id", "label", "v"])
 
-    return vectors.where("label is not null and vec_id is not null").select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, label string, v binary")
+    return vectors.where("label is not null and vec_id is not null").select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lean(pack), "vec_id long, label string, v binary")
 
 
 def unit(rows: list[bytes], kind: str) -> np.ndarray:
@@ -81,7 +81,7 @@ def passes(classes: DataFrame, kind: str, count: int, bits: int, seed: int) -> D
                     signs = np.packbits(m @ planes[d][p].T > 0, axis=1)
                     yield pa.RecordBatch.from_arrays([*same, pa.array([p] * len(part), pa.int8()), pa.array([r.tobytes() for r in signs], pa.binary()), *told], ["rep", "label", "pass", "key", "code", "step", "error"])
 
-    return classes.select("rep", "label", "v").mapInArrow(hashed, "rep long, label string, pass byte, key binary, code binary, step float, error float")
+    return classes.select("rep", "label", "v").mapInArrow(lean(hashed), "rep long, label string, pass byte, key binary, code binary, step float, error float")
 
 
 def window_links(ordered: DataFrame, window: int, least: float) -> DataFrame:
@@ -95,7 +95,7 @@ def window_links(ordered: DataFrame, window: int, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
             carry = rows[-window:]
 
-    return ordered.select("rep", "label", "pass", "code", "step", "error").mapInArrow(compare, LINKS)
+    return ordered.select("rep", "label", "pass", "code", "step", "error").mapInArrow(lean(compare), LINKS)
 
 
 def _near(rows: list[tuple], window: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, classes: DataFrame, kind: str, least: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
     left = pairs.select("a", "b").join(classes.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a")
-    return left.join(classes.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+    return left.join(classes.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(lean(keep), "a long, b long")
 
 
 def angles(members: DataFrame, kind: str, least: float) -> DataFrame:
@@ -148,7 +148,7 @@ def angles(members: DataFrame, kind: str, least: float) -> DataFrame:
             band = np.floor(angle / (turn * 1.0001 + 1e-6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(band), pa.array(angle <= turn / 2 - 1e-6)], ["root", "rep", "weight", "v", "band", "alike"])
 
-    return members.select("root", "rep", "weight", "v", "pivot").mapInArrow(tell, "root long, rep long, weight long, v binary, band long, alike boolean")
+    return members.select("root", "rep", "weight", "v", "pivot").mapInArrow(lean(tell), "root long, rep long, weight long, v binary, band long, alike boolean")
 
 
 def count_links(members: DataFrame, kind: str, least: float, block: int = 4096) -> DataFrame:
@@ -181,7 +181,7 @@ def count_links(members: DataFrame, kind: str, least: float, block: int = 4096)
                 out = []
         yield _counts(out)
 
-    met = block_pairs(members.withColumn("size", F.lit(1)), "root", "rep", "size", block, block).mapInArrow(product, "rep long, n long")
+    met = block_pairs(members.withColumn("size", F.lit(1)), "root", "rep", "size", block, block).mapInArrow(lean(product), "rep long, n long")
     # in a component of several blocks, alike vectors have not met: they all link
     many = members.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.when(F.col("alike"), F.col("weight"))).alias("total")).where(F.col("k") > block).select("root", "total")
     many = stored(many, "many")

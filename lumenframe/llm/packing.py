@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship_code, stored
+from .common import documents, lean, ship_code, stored
 
 LONG_CHUNK = 400
 
@@ -113,8 +113,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
         enc, end = encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in frames:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.packed(text or "") + end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = enc.packed(text.as_py() or "") + end
                 n, at, k = len(ids) // 4, 0, 0
                 take = n % limit or limit
                 while at < n:
@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, ship_code
+from .common import documents, lean, mix64, ship_code
 
 BLANK = "▁"
 PRIME = np.uint64(0x100000001B3)
@@ -311,7 +311,7 @@ def sampled(docs: DataFrame, model: str = "piece_bpe_32k.model", sharpness: floa
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), lists, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "ids_crc32", "decoded_crc32", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(draw, "doc_id long, ids array<int>, n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(draw), "doc_id long, ids array<int>, n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean")
 
 
 def decoded(segmented: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -324,7 +324,7 @@ def decoded(segmented: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
             texts = [None if ids is None else v.decode(np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return segmented.select(F.col("doc_id").cast("long"), "ids").mapInArrow(join, "doc_id long, text string")
+    return segmented.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lean(join), "doc_id long, text string")
 
 
 def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, ship_code
+from .common import documents, fresh, ship_code, trim
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¡¿…–—"
 
@@ -222,6 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool
         texts, grades = [r[1] for r in own], [r[2] for r in own]
         m = fit(texts, severity(texts, grades) if binary else grades)
         names = [*m.weights, *(None for _ in m.thresholds)]
+        parts.cache_clear()
+        trim()
         return pa.table({"at": pa.array(range(len(names)), pa.int32()), "name": pa.array(names, pa.string()), "value": pa.array([*m.weights.values(), *m.thresholds.tolist()], pa.float64())})
 
     # the sample is bounded, so one task fits it; the driver sees the model alone
@@ -251,6 +253,7 @@ def grade(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
                 parts = -np.diff(np.concatenate([[1.0], above, [0.0]]))
                 out.append((float(above.sum()), int(parts.argmax()), bool(len(above) and above[0] >= threshold)))
             yield pd.DataFrame(out, columns=["severity", "grade", "rejected"]).astype({"severity": "float64", "grade": "int32", "rejected": "bool"})
+        trim()
 
     judge.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(judge, "severity double, grade int, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, ship_code, stored, vector_matrix
+from .common import forget, lean, ship_code, stored, vector_matrix
 
 CELLS = 256
 BIG = float(1 << 61)
@@ -38,7 +38,7 @@ def packed(vectors: DataFrame, scale: int) -> DataFrame:
                 ints = np.clip(np.floor(m * scale), -BIG, BIG).astype("<i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([d] * len(rows), pa.int32()), pa.array([r.tobytes() for r in ints], pa.binary())], ["vec_id", "dim", "v"])
 
-    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, dim int, v binary")
+    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lean(pack), "vec_id long, dim int, v binary")
 
 
 def ranges(exact: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -55,7 +55,7 @@ def ranges(exact: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         rows = [(d, k, int(a[k]), int(b[k])) for d, (a, b) in low.items() for k in range(d)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["dim", "at", "low", "high"])
 
-    got = exact.mapInArrow(partial, "dim long, at long, low long, high long").groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    got = exact.mapInArrow(lean(partial), "dim long, at long, low long, high long").groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
     out = {}
     for d in {r["dim"] for r in got}:
         rows = sorted((r["at"], r["low"], r["high"]) for r in got if r["dim"] == d)
@@ -88,7 +88,7 @@ def approximations(exact: DataFrame, bounds: dict) -> DataFrame:
                 cells = np.minimum((m - low) // cell_width(low, high), CELLS - 1).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(dims == d)), pa.array([d] * len(m), pa.int32()), pa.array([r.tobytes() for r in cells], pa.binary())], ["vec_id", "dim", "v"])
 
-    return exact.mapInArrow(code, "vec_id long, dim int, v binary")
+    return exact.mapInArrow(lean(code), "vec_id long, dim int, v binary")
 
 
 def scan(cells: DataFrame, bounds: dict, queries, k: int) -> DataFrame:
@@ -127,7 +127,7 @@ def scan(cells: DataFrame, bounds: dict, queries, k: int) -> DataFrame:
         for d, i, v, lo, up in _still(held, kth):
             yield pa.RecordBatch.from_arrays([pa.array(plan[d][0][i]), pa.array(v), pa.array(lo), pa.array(up)], ["query_id", "vec_id", "lower", "upper"])
 
-    return cells.mapInArrow(bound, "query_id long, vec_id long, lower double, upper double")
+    return cells.mapInArrow(lean(bound), "query_id long, vec_id long, lower double, upper double")
 
 
 def _still(held: list[tuple], kth: dict) -> Iterator[tuple]:

@@ -327,6 +327,34 @@ def test_passages(spark, docs, corpus, empty):
     assert windows.passages(empty).count() == 0
 
 
+def test_passages_all_partners(spark):
+    """A popular line whose first holder shares nothing more, and pairs that share more around it: with all partners every repeat is found, whatever batch or chunk."""
+    rng = random.Random(31)
+    line = text(rng, 30)
+    docs = [(i, f"{text(rng, 40)} {line} {text(rng, 40)}") for i in range(60)]
+    for i in range(0, 40, 2):
+        more = text(rng, 25)
+        docs[i + 20 - i % 4 // 2] = (i + 20 - i % 4 // 2, f"{text(rng, 30)} {line} {more} {text(rng, 30)}")
+        docs.append((100 + i, f"{text(rng, 20)} {line} {more} {text(rng, 20)}"))
+    rng.shuffle(docs)
+    grams, want = defaultdict(list), defaultdict(set)
+    for d, t in sorted(docs):
+        w = t.split(" ")
+        for k in range(len(w) - 49):
+            run = tuple(w[k : k + 50])
+            if any(o < d for o in grams[run]):
+                want[d].update(range(k, k + 50))
+            grams[run].append(d)
+    assert len(want) >= 15
+    got = {}
+    for back in (None, 3):
+        cut = defaultdict(set)
+        for r in windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), back=back, enough=1).collect():
+            cut[r["doc_id"]].update(range(r["start"], r["end"]))
+        got[back] = sum(len(want[d] & cut[d]) for d in want) / sum(map(len, want.values()))
+    assert got[None] == 1.0 and got[3] >= 0.8
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 2**63, 120, dtype=np.uint64)
