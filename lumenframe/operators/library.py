@@ -26,14 +26,18 @@ def classify(files: DataFrame) -> DataFrame:
     return df.where("kind is not null").where((F.col("kind") != "webp") | animated)
 
 
-def resumed_count(jobs: DataFrame) -> DataFrame:
-    """One row: how many of ``resumed`` jobs a former run left unfinished, and how many there are."""
-    return jobs.agg(F.count_if("unfinished").alias("resumed"), F.count("*").alias("candidates"))
+def resumed_count(jobs: DataFrame, by: tuple = ()) -> DataFrame:
+    """How many of ``resumed`` jobs a former run left unfinished, and how many there are: one row, or one for each group of columns ``by``."""
+    return jobs.groupBy(*by).agg(F.count_if("unfinished").alias("resumed"), F.count("*").alias("candidates"))
+
+
+def walk() -> list:
+    """The order of a walk: the files of a folder before its subfolders, names by code point."""
+    return [F.split("dir", "/"), F.col("name")]
 
 
 def walk_order(df: DataFrame) -> DataFrame:
-    """Sorted as a walk meets files: those of a folder before its subfolders, names by code point."""
-    return df.orderBy(F.split("dir", "/"), "name")
+    return df.orderBy(*walk())
 
 
 def live_pairs(files: DataFrame) -> DataFrame:
@@ -101,11 +105,12 @@ def sidecars(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(files.select(F.col("path").alias("sidecar")).distinct(), "sidecar", "left_semi").select("path", "sidecar")
 
 
-def requirements(jobs: DataFrame, convert_heic: bool) -> DataFrame:
-    """One row: which tools the jobs need."""
+def requirements(jobs: DataFrame, convert_heic: bool, by: tuple = ()) -> DataFrame:
+    """Which tools the jobs need: one row, or one for each group of columns ``by``."""
     k = F.col("kind")
     photo = k == "photo"
-    return jobs.agg(F.bool_or(k.isin("video", "mp4", "gif", "webp")).alias("video"), F.bool_or(photo | (k == "heic") if convert_heic else photo).alias("photos"), F.bool_or(k == "webp").alias("animated_webp")).select(*(F.coalesce(c, F.lit(False)).alias(c) for c in ("video", "photos", "animated_webp")))
+    needs = {"video": k.isin("video", "mp4", "gif", "webp"), "photos": photo | (k == "heic") if convert_heic else photo, "animated_webp": k == "webp"}
+    return jobs.groupBy(*by).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in needs.items()))
 
 
 def tally(outcomes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import version_pair
@@ -34,3 +34,8 @@ def report(hosts: DataFrame, require_video: bool = True, require_photos: bool =
     ]
     out = hosts.withColumns({"errors": F.array_compact(F.array(*errors)), "warnings": F.array_compact(F.array(*warnings)), "version": line})
     return out.withColumn("ok", F.size("errors") == 0)
+
+
+def stream_groups(returncode: Column, help_text: Column) -> Column:
+    """Whether the probe of a host can list stream groups: its full help names the option."""
+    return F.coalesce((returncode == 0) & F.contains(help_text, F.lit("-show_stream_groups")), F.lit(False))

@@ -902,3 +902,332 @@ def recovery_decision(spark, t):
     ))
     observed = t("orders").select(F.explode(seen).alias("o")).select("o.*")
     return caches.recovery(tx, observed).select("o_orderkey", "decision", "drop_temporary")
+
+
+# ---------------------------------------------------------------- readers, checks and rules
+
+
+def _probe_text() -> Column:
+    """A probe's JSON for each order: a picture with side data, tags in mixed case, a track, a chapter and a group."""
+    k = _s("o_orderkey")
+    n = F.col("o_orderkey")
+    turn = F.when(n % 4 == 0, '{"side_data_type": "Display Matrix", "rotation": -90}, {"side_data_type": "DOVI configuration record"}').otherwise('{"side_data_type": "CPB properties"}')
+    video = F.concat(F.lit('{"index": 0, "codec_type": "video", "codec_name": "h264", "width": 1920, "pix_fmt": "yuv420p", "color_range": "tv", "disposition": {"default": 1, "attached_pic": '), F.when(n % 5 == 0, "1").otherwise("0"), F.lit(', "unknown_mark": 1}, "tags": {"ROTATE": "180", "Title": "Film '), k, F.lit('", "encoder": "x"}, "side_data_list": ['), turn, F.lit("]}"))
+    audio = F.concat(F.lit(', {"index": 1, "codec_type": "audio", "codec_name": "aac", "channels": '), _s(n % 6 + 1), F.lit(', "sample_rate": "48000", "tags": {"language": "eng", "LANGUAGE": "deu"}}'))
+    chapter = F.concat(F.lit('{"start_time": "0.0", "end_time": "'), k, F.lit('.5", "tags": {"TITLE": "Part '), k, F.lit('"}}'))
+    group = F.when(n % 2 == 0, '{"index": 0, "id": "0x1", "type": "Tile Grid"}').otherwise('{"index": 0, "id": "0x2", "type": "", "group_type": "IAMF"}')
+    whole = F.concat(F.lit('{"streams": ['), video, F.when(n % 3 > 0, audio).otherwise(""), F.lit('], "chapters": ['), chapter, F.lit('], "stream_groups": ['), group, F.lit("]}"))
+    return F.when(n % 17 == 0, F.lit("{broken")).when(n % 19 == 0, F.lit("[1]")).otherwise(whole)
+
+
+@query(
+    """
+    select o_orderkey, ok, case when ok then cast(case when o_orderkey % 3 > 0 then 2 else 1 end as integer) end as streams, case when ok then 'Film ' || o_orderkey end as title, case when ok then ['title'] end as tags,
+      case when ok then case when o_orderkey % 4 = 0 then -90.0 else 180.0 end end as rotation, case when ok then o_orderkey % 5 = 0 end as cover, case when ok then ['default'] end as marks,
+      case when ok then case when o_orderkey % 4 = 0 then ['DOVI configuration record', 'Display Matrix'] else ['CPB properties'] end end as side, case when ok and o_orderkey % 3 > 0 then 'deu' end as language,
+      case when ok and o_orderkey % 3 > 0 then cast(o_orderkey % 6 + 1 as integer) end as channels, case when ok then 'Part ' || o_orderkey || ' to ' || o_orderkey || '.5' end as chapter, case when ok then case when o_orderkey % 2 = 0 then 'Tile Grid' else 'IAMF' end end as grouped,
+      cast(case when ok and o_orderkey % 5 = 0 then 1 when ok then 0 end as integer) as covers
+    from (select o_orderkey, o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0 and o_orderkey % 23 <> 0 as ok from orders)
+    """
+)
+def probe_inventory(spark, t):
+    """Inventories from what a probe prints; none where it failed or can't be read."""
+    from .sources.state import inventories
+
+    raw = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 23 == 0, 1).otherwise(0).alias("returncode"), _probe_text().alias("text"))
+    i = F.col("inventory")
+    first, second, chapter = F.get(i["streams"], F.lit(0)), F.get(i["streams"], F.lit(1)), F.get(i["chapters"], F.lit(0))
+    return inventories(raw).select(
+        "o_orderkey", i.isNotNull().alias("ok"), F.when(i.isNotNull(), F.size(i["streams"])).alias("streams"), first["tags"]["title"].alias("title"), F.array_sort(F.map_keys(first["tags"])).alias("tags"), first["rotation"].alias("rotation"), first["attached_pic"].alias("cover"),
+        F.array_sort(F.map_keys(first["disposition"])).alias("marks"), first["side_data_types"].alias("side"), second["tags"]["language"].alias("language"), second["channels"].alias("channels"),
+        F.concat(chapter["title"], F.lit(" to "), chapter["end_time"]).alias("chapter"), F.get(i["stream_groups"], F.lit(0))["type"].alias("grouped"), F.when(i.isNotNull(), F.size(I.artwork(i))).alias("covers"),
+    )
+
+
+@query("select o_orderkey, case o_orderkey % 5 when 0 then null when 1 then null when 2 then null else o_orderkey + 0.25 end as duration, not (o_orderkey % 7 = 0 or o_orderkey % 7 = 1) as animated from orders")
+def media_duration(spark, t):
+    """Durations of containers, and whether GIFs are animated, from a probe's texts."""
+    from .sources.state import duration
+
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, "{").when(k % 5 == 1, '{"format": {}}').when(k % 5 == 2, '{"format": {"duration": "N/A"}}').otherwise(F.concat(F.lit('{"format": {"duration": "'), _s(k), F.lit('.25"}}')))
+    packets = F.when(k % 7 == 0, "1").when(k % 7 == 1, "0").when(k % 7 == 2, "N/A").otherwise(_s(k % 7))
+    return duration(t("orders").select("o_orderkey", text.alias("text"), packets.alias("packets"))).select("o_orderkey", "duration", I.gif_animated(F.col("packets")).alias("animated"))
+
+
+@query(f"with {_PACKETS} select path, stream_index, greatest(0, round(max(start + greatest(0, dur)) - min(start), 3)) as span from p group by all")
+def packet_reader(spark, t):
+    """The same spans from packet lines as a probe prints them, written as text and read back."""
+    import uuid
+
+    from .running import checkpoints
+    from .sources.state import packet_lines
+
+    p = _packets(t)
+    fields = [F.concat(F.lit(f"{n}="), F.col(n)) for n in ("stream_index", "pts_time", "dts_time", "duration_time")]
+    at = f"{checkpoints(spark)}/packets/{uuid.uuid4().hex}"
+    p.select(F.concat(F.lit("f"), "path").alias("file"), F.concat_ws("|", *fields).alias("value")).write.partitionBy("file").text(at)
+    lines = packet_lines(spark, at, r"file=f(\d+)/[^/]+\z")
+    return timeline.packet_spans(lines).withColumn("span", F.round("span", 3))
+
+
+@query("select user_id % 40 as path, cast(user_id % 3 as varchar) as stream_index, arg_min(case when event_id % 2 = 0 then event_id / 8.0 else event_id / 4.0 end, event_id) as start from events where event_id % 11 <> 0 group by 1, 2")
+def decoded_starts(spark, t):
+    """First decoded timestamps, read from a decoder's JSON."""
+    from .sources.state import decoded_frames
+
+    e = F.col("event_id")
+    frame = F.concat(F.lit('{"stream_index": '), _s(F.col("user_id") % 3), F.lit(', "best_effort_timestamp_time": "'), F.when(e % 11 == 0, "N/A").when(e % 2 == 0, _s(e / 8)).otherwise(""), F.lit('", "pts_time": "'), F.when(e % 11 == 0, "").otherwise(_s(e / 4)), F.lit('"}'))
+    rows = t("events").select((F.col("user_id") % 40).alias("path"), e, frame.alias("f")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("event_id", "f"))).alias("fs"))
+    raw = rows.select("path", F.concat(F.lit('{"frames": ['), F.array_join(F.transform("fs", lambda x: x["f"]), ", "), F.lit("]}")).alias("text"))
+    return timeline.first_starts(decoded_frames(raw)).select("path", "stream_index", "start")
+
+
+@query(
+    """
+    select o_orderkey, k > 4 as ok, case k when 0 then 'converter exited with code 1: a |  b | ' || o_orderkey when 1 then 'output file was not created' when 2 then 'output file is 0 bytes' when 3 then 'integrity check failed: torn' when 4 then 'Apple playback check failed: mute' else 'ok' end as reason,
+      k in (5, 6, 7) as decodes, case when k = 0 then 'a |  b | ' || o_orderkey when k = 8 then 'Input file is truncated' when k in (1, 2, 3) then '(no stderr)' when k = 4 then 'x |  y' when k in (5, 6, 7) then 'ok' else 'z' end as health,
+      k not in (3, 4) as plain, case when k = 3 then 'torn' when k = 4 then 'Apple playback: mute' else 'ok' end as mp4,
+      case when k = 8 then 'source file is truncated; missing media cannot be reconstructed (duration mismatch: x)' when k = 9 then 'duration mismatch: x' else 'other' end as explained
+    from (select o_orderkey, o_orderkey % 10 as k from orders)
+    """
+)
+def output_checks(spark, t):
+    """Finished commands, decoding runs and existing MP4s judged; a truncated source explained."""
+    n = F.col("o_orderkey")
+    k = n % 10
+    text = F.when(k == 0, F.concat(F.lit("a\n\n b\n"), _s(n))).when(k == 8, "Input file is truncated").when(k.isin(1, 2, 3), "").when(k == 4, "x\n y").when(k == 6, "Referenced QT chapter track not found\n").when(k == 7, "Application provided invalid, non monotonically increasing dts to muxer in stream 0").when(k == 5, " \n").otherwise("z")
+    code = F.when(k.isin(0, 1, 2, 3, 4), 1).otherwise(0)
+    done = validation.output_verdict(F.when(k == 0, 1).otherwise(0), text, k != 1, F.when(k == 2, 0).otherwise(9), F.lit(True), k != 3, F.lit("torn"), k != 4, F.lit("mute"))
+    health = validation.decoder_health(code, text)
+    mp4 = validation.mp4_health(k != 3, F.lit("torn"), k != 4, F.lit("mute"))
+    said = validation.truncation_explained(F.when(k >= 8, "duration mismatch: x").otherwise("other"), text)
+    return t("orders").select("o_orderkey", done.alias("a"), health.alias("b"), mp4.alias("c"), said.alias("explained")).select("o_orderkey", "a.ok", "a.reason", F.col("b.ok").alias("decodes"), F.col("b.reason").alias("health"), F.col("c.ok").alias("plain"), F.col("c.reason").alias("mp4"), "explained")
+
+
+@query(
+    """
+    select o_orderkey, case when o_orderkey % 3 = 0 then 'capture date metadata not preserved in output' end as dated, case when o_orderkey % 4 = 0 and o_orderkey % 5 <> 0 then 'source EXIF block missing from output WebP' end as block,
+      case when o_orderkey % 3 = 0 then '2019-05-06' when o_orderkey % 3 = 1 then strftime(o_orderdate, '%Y-%m-%d') else '2001-09-09' end as date,
+      case when o_orderkey % 6 = 0 then 'direct' when o_orderkey % 6 = 1 then 'sips' when o_orderkey % 6 = 2 then 'jpegtran' when o_orderkey % 6 = 3 then 'direct' when o_orderkey % 6 = 4 then 'direct' else 'direct' end as route,
+      case when o_orderkey % 6 = 2 then 'fail' when o_orderkey % 6 = 1 then 'sips' else 'direct' end as bare
+    from orders
+    """
+)
+def photo_checks(spark, t):
+    """Lost capture dates and EXIF blocks, media dates, and what follows a photo's first attempt."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    kept = M.metadata_kept(F.array(day), F.when(k % 3 == 0, F.array(F.lit("1900-01-01"))).otherwise(F.array(F.lit("x"), day)), True)
+    head = F.when(k % 8 == 0, F.lit("..Exif\0\0")).otherwise(F.lit("..eXIf..")).cast("binary")
+    ext = F.when(k % 8 == 0, ".jpg").when(k % 4 == 0, ".png").otherwise(".tiff")
+    block = M.metadata_kept(F.array(day), F.array(day), False, ext, head, F.when(k % 5 == 0, "..EXIF").otherwise("....").cast("binary"))
+    date = N.media_date(F.when(k % 3 == 0, " 2019-05-06 ").otherwise("2019"), F.when(k % 3 == 1, F.concat(day, F.lit("T01:02:03Z"))).otherwise(""), F.lit(1_000_000_000 * 10**9))
+    text, suffix = F.when(k % 6 == 3, "fine").otherwise(F.lit(_BROKEN)), F.when(k % 6 == 1, ".gif").when(k % 6 == 2, ".jpeg").when(k % 6 == 3, ".jpg").otherwise(".png")
+    routes = [commands.photo_route(F.when(k % 6 == 0, 0).otherwise(1), text, suffix, x).alias(n) for n, x in (("route", True), ("bare", False))]
+    return t("orders").select("o_orderkey", kept.alias("dated"), block.alias("block"), date.alias("date"), *routes)
+
+
+from .values import PHOTO_DECODE_MARKERS as _MARKERS  # noqa: E402
+
+_BROKEN = _MARKERS[0]
+
+
+@query("select p_brand, bool_or(k in (0, 1, 3, 4)) as video, bool_or(k in (2, 5)) as photos, bool_or(k = 5) as heic, bool_or(k = 4) as animated_webp, count(*) filter (s) as resumed, count(*) as candidates from (select p_brand, p_partkey % 7 as k, p_partkey % 3 = 0 as s from part) group by p_brand")
+def tool_needs(spark, t):
+    """Which tools the jobs of each brand need, and how many of them a former run left."""
+    k = F.col("p_partkey") % 7
+    kind = F.when(k == 0, "video").when(k == 1, "mp4").when(k == 2, "photo").when(k == 3, "gif").when(k == 4, "webp").when(k == 5, "heic").otherwise("other")
+    jobs = t("part").select("p_brand", kind.alias("kind"), (F.col("p_partkey") % 3 == 0).alias("unfinished"))
+    out = library.requirements(jobs, True, ("p_brand",)).join(library.resumed_count(jobs, ("p_brand",)), "p_brand")
+    return out.join(library.requirements(jobs.where("kind = 'heic'"), True, ("p_brand",)).select("p_brand", F.col("photos").alias("heic")), "p_brand", "left").withColumn("heic", F.coalesce("heic", F.lit(False)))
+
+
+@query(
+    """
+    with f as (select distinct p_brand as a, replace(p_type, ' ', '/') as b, p_partkey as k from part),
+    p as (select case when k % 5 = 0 then k || '.jpg' when k % 5 = 1 then a || '/' || k || '.jpg' else a || '/' || b || '/' || k || '.jpg' end as path from f),
+    d as (select path, string_split(path, '/') as s from p),
+    up as (select distinct array_to_string(s[1:n], '/') as folder from d, range(1, 9) r(n) where n < len(s))
+    select folder, (select count(*) from p where starts_with(p.path, folder || '/')) as files from up
+    """
+)
+def folder_walk(spark, t):
+    """All folders that hold a file at any depth, and how many files each holds."""
+    from .functions.paths import ancestors
+
+    k = F.col("p_partkey")
+    path = F.when(k % 5 == 0, F.concat(_s(k), F.lit(".jpg"))).when(k % 5 == 1, F.concat("p_brand", F.lit("/"), _s(k), F.lit(".jpg"))).otherwise(F.concat("p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), _s(k), F.lit(".jpg")))
+    files = t("part").select(path.alias("path"))
+    inner = files.where(F.contains("path", F.lit("/"))).select(F.explode(ancestors(F.col("path"))).alias("folder")).groupBy("folder").agg(F.count("*").alias("files"))
+    return renames.folders_of(files).select(F.col("path").alias("folder")).join(inner, "folder")
+
+
+@query(
+    """
+    with f as (select p_partkey as k, case when p_partkey % 3 = 0 then 'b' when p_partkey % 3 = 1 then 'a/z' else '' end as dir, lpad(cast(p_partkey * 7 % 1000 as varchar), 4, '0') || '_' || p_partkey as name from part)
+    select k, row_number() over (order by dir, name) as n from f
+    """
+)
+def walk_order(spark, t):
+    """Files numbered as a walk meets them."""
+    from .operators.order import row_numbers
+
+    k = F.col("p_partkey")
+    dir_ = F.when(k % 3 == 0, "b").when(k % 3 == 1, "a/z").otherwise("")
+    f = t("part").select(k.alias("k"), dir_.alias("dir"), F.concat(F.lpad(_s(k * 7 % 1000), 4, "0"), F.lit("_"), _s(k)).alias("name"))
+    return row_numbers(f, [], library.walk(), "n").select("k", "n")
+
+
+@query(
+    """
+    select o_orderkey, 'ffmpeg -nostdin -y -i in.gif -tag:v:0 avc1 -brand mp42 -movflags +faststart -pix_fmt yuv420p -c:v libx264 -preset slow -crf 18 -vf scale=trunc(iw/2)*2:trunc(ih/2)*2 out.mp4' as animation, 'cwebp -lossless -metadata all -preset photo in.png -o ' || o_orderkey || '.webp' as photo,
+      'ffmpeg -nostdin -y -display_rotation:v:0 ' || case when o_orderkey % 13 = 0 then '90' else '0' end || ' -i' as rotate,
+      case o_orderkey % 4 when 0 then 'cwebp' else 'ffmpeg' end as tool, o_orderkey % 4 = 2 as tolerant, o_orderkey % 4 in (1, 2) as copied
+    from orders
+    """
+)
+def stage_commands(spark, t):
+    """Argument vectors of animations, photos and rotations, and of the stage a job is in."""
+    k = F.col("o_orderkey")
+    line = lambda c: F.array_join(c, " ")
+    rotated = F.array_join(F.slice(commands.rotate(F.lit("a"), F.lit("b"), F.col("turned")), 1, 6), " ")
+    stage, kind = F.when(k % 4 == 1, "remux").when(k % 4 == 2, "repair-remux").otherwise("convert"), F.when(k % 4 == 0, "photo").otherwise("video")
+    of = commands.for_stage(stage, kind, F.lit("a"), F.lit("b"), F.col("source"), F.lit(False))
+    films = _films(t).withColumn("turned", F.when(k % 13 == 0, F.col("source")).otherwise(_inventory(F.transform(F.col("source")["streams"], lambda s: s.withField("rotation", F.lit(0.0))))))
+    return films.select("o_orderkey", line(commands.animation(F.lit("in.gif"), F.lit("out.mp4"))).alias("animation"), line(commands.photo(F.lit("in.png"), F.concat(_s(k), F.lit(".webp")))).alias("photo"), rotated.alias("rotate"), F.get(of, F.lit(0)).alias("tool"), F.array_contains(of, "-err_detect").alias("tolerant"), F.array_contains(of, "copy").alias("copied"))
+
+
+@query("select count(*) filter (k in (0, 1)) as completed, count(*) filter (k in (2, 3)) as rolled_back, count(*) filter (k in (4, 5)) as unresolved, 'source_staged output_installed original_disposed' as chain from (select o_orderkey % 6 as k from orders)")
+def recovery_counts(spark, t):
+    """How interrupted replacements ended, and the states a replacement goes through."""
+    found = caches.recovery_report(recovery_decision(spark, t))
+    state, chain = F.lit(caches.STATES[0]), []
+    for _ in range(len(caches.STATES) - 1):
+        state = caches.next_state(state)
+        chain.append(state)
+    return found.select("*", F.concat_ws(" ", *chain).alias("chain"))
+
+
+def _shared(spark, what: str) -> str:
+    import uuid
+
+    from .running import checkpoints
+
+    return f"{checkpoints(spark)}/{what}/{uuid.uuid4().hex}"
+
+
+@query("select cast(o_orderkey as varchar) as path, case when o_orderkey % 2 = 0 then 'new' else 'old' end || o_orderkey as value from orders")
+def cache_table(spark, t):
+    """A cache written, read, renewed in half its rows, and read again; an absent one is empty."""
+    from .sources.state import read_cache, write_cache
+
+    at, k = _shared(spark, "cache"), F.col("o_orderkey")
+    ident = F.struct(*(k.alias(c) for c in caches.IDENTITY))
+    rows = lambda df, v: df.select(F.lit("probe").alias("kind"), _s(k).alias("path"), ident.alias("identity"), F.lit(None).cast("string").alias("f"), F.concat(F.lit(v), _s(k)).alias("value"))
+    write_cache(read_cache(spark, at).unionByName(rows(t("orders"), "old")), at)
+    write_cache(caches.upserted(read_cache(spark, at), rows(t("orders").where("o_orderkey % 2 = 0"), "new")), f"{at}-next")
+    write_cache(rows(t("orders").limit(0), "x"), f"{at}-next", dirty=False)
+    return read_cache(spark, f"{at}-next").select("path", "value")
+
+
+@query("select cast(1 + p_partkey % 2 as bigint) as batch_id, row_number() over (partition by p_partkey % 2 order by 'a' || p_partkey) - 1 as seq, 'a' || p_partkey as src, 'b' || p_partkey as dst from part")
+def batch_table(spark, t):
+    """Applied renames recorded in two batches, numbered in order; nothing is recorded of none."""
+    from .sources.state import read_batches, record_batch
+
+    at = _shared(spark, "batches")
+    rows = t("part").select("p_partkey", F.concat(F.lit("a"), _s("p_partkey")).alias("src"), F.concat(F.lit("b"), _s("p_partkey")).alias("dst"))
+    record_batch(rows.where("p_partkey % 2 = 0"), at, "then")
+    record_batch(rows.limit(0), at, "never")
+    record_batch(rows.where("p_partkey % 2 = 1"), at, "now")
+    return read_batches(spark, at).select("batch_id", "seq", "src", "dst")
+
+
+@query(
+    """
+    with l as (select user_id, event_id, ['queued', 'running', 'converted', 'failed'][event_id % 4 + 1] as status from events)
+    select cast(user_id as varchar) as path, max(event_id) as at, case when arg_max(status, event_id) in ('queued', 'running') then 'interrupted' else arg_max(status, event_id) end as status from l group by 1
+    """
+)
+def journal_stream(spark, t):
+    """The latest state of each file from a stream of changes kept batch by batch, of a run that didn't finish."""
+    from .streaming.progress import journal, write_journal
+
+    at, e = _shared(spark, "journal"), F.col("event_id")
+    status = F.when(e % 4 == 0, "queued").when(e % 4 == 1, "running").when(e % 4 == 2, "converted").otherwise("failed")
+    rows = t("events").select(_s("user_id").alias("path"), status.alias("status"), F.lit("").alias("detail"), e.alias("at"))
+    rows.repartition(3).write.parquet(f"{at}/in")
+    q = write_journal(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), f"{at}/table", f"{at}/state", "0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    return journal(spark, f"{at}/table", finished=False).select("path", "at", "status")
+
+
+@query(progress_fold_sql := oracle_sql()["progress_fold"])
+def progress_stream(spark, t):
+    """The state of each converter at each progress line, from a stream of lines."""
+    from .running import streamed
+    from .streaming.progress import progress_stream as fold
+
+    e = t("events").select(_s("user_id").alias("key"), "event_id", F.round(F.col("value") * 1000).cast("long").alias("us"))
+    parts = F.array(F.concat(F.lit("out_time_us="), _s("us")), F.concat(F.lit("speed="), F.when(F.col("event_id") % 5 == 0, "N/A").otherwise(F.concat(_s(F.col("event_id") % 7), F.lit("x")))), F.lit("noise"), F.lit("progress=continue"))
+    lines = e.select("key", "event_id", F.posexplode(parts).alias("i", "value")).select("key", (F.col("event_id") * 4 + F.col("i")).alias("pos"), "value")
+    return streamed(spark, lines, fold, "append")
+
+
+@query(
+    """
+    select case when o_orderkey % 5 = 0 then 'failed' when o_orderkey % 5 = 1 then 'skipped' else 'converted' end as status, cast(o_orderkey as varchar) as path,
+      case when o_orderkey % 5 = 0 then 'unexpected processing error: bad ' || o_orderkey when o_orderkey % 5 = 1 then 'cancelled; partial output removed, original kept' else 'fine' end as detail, cast(case when o_orderkey % 5 < 2 then 0 else o_orderkey end as bigint) as bytes_saved
+    from orders
+    """
+)
+def guarded_jobs(spark, t):
+    """A caller's function over all jobs: rows that raise fail alone."""
+    from .operators.injected import Cancelled, outcomes
+
+    def work(row: dict) -> tuple[str, str, int]:
+        if row["n"] % 5 == 0:
+            raise ValueError(f"bad {row['n']}")
+        if row["n"] % 5 == 1:
+            raise Cancelled
+        return "converted", "fine", row["n"]
+
+    return outcomes(t("orders").select(_s("o_orderkey").alias("path"), F.col("o_orderkey").alias("n")), work)
+
+
+@query("select o_orderkey, not (o_orderkey % 7 = 0) and not (o_orderkey % 2 = 0 and o_orderkey % 3 = 0 and o_orderkey % 5 <> 0) as open from orders")
+def injected_status(spark, t):
+    """Open jobs by a caller's functions of the path; a function that raises tells nothing."""
+    from .operators.injected import open_mp4s
+
+    def status(path: str) -> str:
+        return {0: "standard", 1: "convert"}[int(path) % 3]
+
+    k = F.col("o_orderkey")
+    jobs = t("orders").select(k, _s(k).alias("path"), F.when(k % 2 == 0, "mp4").otherwise("video").alias("kind"))
+    left = open_mp4s(jobs, status, lambda p: int(p) % 5 != 0, lambda p: int(p) % 7 == 0, ("standard",), validate=True).select(k, F.lit(True).alias("open"))
+    return jobs.select(k).join(left, "o_orderkey", "left").select("o_orderkey", F.coalesce("open", F.lit(False)).alias("open"))
+
+
+@query("select s_suppkey, s_suppkey % 4 = 0 as groups from supplier")
+def group_support(spark, t):
+    """Which hosts' probes list stream groups."""
+    k = F.col("s_suppkey")
+    said = F.when(k % 4 < 2, "-show_streams\n-show_stream_groups  show groups").otherwise("-show_streams")
+    return t("supplier").select("s_suppkey", capabilities.stream_groups(F.when(k % 4 == 1, 1).otherwise(0), said).alias("groups"))
+
+
+@query(
+    """
+    with p as (select *, row_number() over (partition by p_brand, p_name order by p_partkey) as n, count(*) over (partition by p_brand, p_name) as c, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from part),
+    f as (select p_partkey as k, lower(replace(p_brand, '#', '_')) || '/' || replace(p_name, ' ', '_') || ' (' || p_partkey || ').jpg' as src, lower(replace(p_brand, '#', '_')) || '/' || case when p_partkey % 2 = 0 then '2020-01-02 ' else '' end || title || ' [' || case when c >= 10 and n < 10 then '0' else '' end || n || '].jpg' as dst, lower(replace(p_brand, '#', '_')) as dir from p)
+    select 1 as phase, src, dst from f union all select distinct 2, dir, upper(dir[1]) || replace(dir[2:], '_', ' ') from f
+    """
+)
+def whole_plan(spark, t):
+    """File plan with dates, then folder plan, told apart by their phase."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s(k), F.lit(").jpg"))
+    files = t("part").select(k, path.alias("path"))
+    return renames.plan_all(files, files.where("p_partkey % 2 = 0").select("path", F.lit("2020-01-02").alias("date")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FILE = "path string, dir string, name string, stem string, suffix string, ext string, is_symlink boolean, size long, mtime_ns long, ctime_ns long, inode long, device long, nlink int, head binary"
+FILE = "path string, dir string, name string, stem string, suffix string, ext string, is_symlink boolean, size long, mtime_ns long, ctime_ns long, inode long, device long, nlink int, head binary, birthtime double"
 
 STREAM = (
     "struct<index:int,codec_type:string,codec_name:string,codec_tag_string:string,profile:string,start_time:string,duration:string,"

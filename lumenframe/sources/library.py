@@ -73,7 +73,8 @@ class LibraryReader(DataSourceReader):
                     head = f.read(self.head)
         except OSError:
             return None
-        return (path, at, e.name, stem, suffix, ext, e.is_symlink(), st.st_size, st.st_mtime_ns, st.st_ctime_ns, st.st_ino, st.st_dev, st.st_nlink, head)
+        born = getattr(st, "st_birthtime", None)  # only some systems tell
+        return (path, at, e.name, stem, suffix, ext, e.is_symlink(), st.st_size, st.st_mtime_ns, st.st_ctime_ns, st.st_ino, st.st_dev, st.st_nlink, head, born)
 
 
 def visible(folder: str) -> bool:

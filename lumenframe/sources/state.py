@@ -25,10 +25,12 @@ def inventories(raw: DataFrame) -> DataFrame:
     return raw.withColumn("inventory", normalised(text))
 
 
-def packet_lines(spark: SparkSession, path: str) -> DataFrame:
+def packet_lines(spark: SparkSession, path: str, named: str = r"([^/]+)\z") -> DataFrame:
+    """path, stream_index, pts_time, dts_time, duration_time of the lines of text files; ``named`` finds a row's path in its file's."""
     from ..operators.timeline import packet_fields
 
-    return packet_fields(spark.read.text(path).select("*", F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("path")))
+    lines = spark.read.schema("value string").text(path, recursiveFileLookup=True)
+    return packet_fields(lines.select("value", F.regexp_extract(F.col("_metadata.file_path"), named, 1).alias("path")))
 
 
 def duration(raw: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.measures import number, percent, speed
+from ..functions.measures import percent, speed
 from ..operators.timeline import packet_times
 
 
@@ -37,24 +38,25 @@ BEAT = "key string, at double, percent int, current double"
 
 
 def _beats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    begun, last_time, last_percent = state.exists, 0.0, -10
-    if begun:
-        last_time, last_percent = state.get
-    out = []
-    rows = pd.concat(list(frames)).sort_values(["at", "current"])
-    for r in rows.itertuples():
-        if not begun:
-            begun, last_time = True, r.at
-        p = None if pd.isna(r.percent) else int(r.percent)
-        if (p is not None and p >= last_percent + 10) or r.at - last_time >= 60:
-            out.append((key[0], r.at, p, r.current))
-            last_time = r.at
-            if p is not None:
-                last_percent = p - p % 10
-    if begun:
-        state.update((last_time, last_percent))
-    if out:
-        yield pd.DataFrame(out, columns=["key", "at", "percent", "current"]).astype({"percent": "Int32"})
+    """The rule needs the last line's time and step, so it goes from line to line: by a search for the next one, not row by row."""
+    rows = pd.concat(list(frames)).sort_values(["at", "current"], kind="stable")
+    at, share = rows["at"].to_numpy(float), rows["percent"].astype("float64").to_numpy()
+    last_time, last_percent = state.get if state.exists else (float(at[0]), -10)
+    k, lines = 0, []
+    while k < len(at):
+        late = k + int(np.searchsorted(at[k:], last_time + 60))
+        far = np.flatnonzero(share[k:late] >= last_percent + 10)
+        k = k + int(far[0]) if len(far) else late
+        if k < len(at):
+            lines.append(k)
+            last_time = float(at[k])
+            if not np.isnan(share[k]):
+                last_percent = int(share[k]) - int(share[k]) % 10
+            k += 1
+    state.update((last_time, last_percent))
+    if lines:
+        out = rows.iloc[lines]
+        yield pd.DataFrame({"key": key[0], "at": out["at"].to_numpy(float), "percent": out["percent"].astype("Int32").to_numpy(), "current": out["current"].to_numpy(float)}).astype({"percent": "Int32"})
 
 
 def heartbeats(updates: DataFrame) -> DataFrame:
@@ -68,20 +70,71 @@ def heartbeats(updates: DataFrame) -> DataFrame:
 
 
 def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key: current states from a log of changes, batch or streaming."""
+    """The last row of each key by ``order`` (an expression): current states from a log of changes, batch or streaming."""
     rest = [c for c in updates.columns if c not in keys]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.expr(order)).alias("_row")).select(*keys, "_row.*")
 
 
 def write_journal(updates: DataFrame, table: str, checkpoint: str, every: str = "1 second"):
-    """Starts a query that keeps ``table`` (Parquet, one folder per batch) in step with ``updates(path, status, detail, at)``, a write per ``every`` at most."""
+    """Starts a query that appends to ``table`` (Parquet, one folder per batch) the latest of ``updates(path, status, detail, at)``, a write per ``every`` at most.  ``journal`` reads it."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, ["path"], "at").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        latest(batch, ["path"], "at").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return updates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def fed(lines: DataFrame) -> DataFrame:
-    """Numbers from text columns at and current, for streams of text."""
-    return lines.withColumns({c: number(F.col(c)) for c in ("at", "current")})
+def journal(spark: SparkSession, table: str, finished: bool = True) -> DataFrame:
+    """path, status, detail, at: the latest row of each path over all batches of ``write_journal``.
+
+    Of a run that didn't finish, what was queued or running counts as interrupted.
+    """
+    now = latest(spark.read.parquet(table), ["path"], "struct(at, batch)").drop("batch")
+    if finished:
+        return now
+    return now.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))
+
+
+FOLD = "current double, speed double"
+EVENT = "key string, pos long, current double, speed double"
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    current, fast = state.get if state.exists else (0.0, None)
+    rows = pd.concat(list(frames)).sort_values("pos")
+    out, ended = [], False
+    for pos, name, value, time, told in zip(*(rows[c].tolist() for c in ("pos", "name", "value", "time", "fast")), strict=True):
+        ended = False
+        if name in ("out_time_us", "out_time_ms"):
+            current = current if time is None or pd.isna(time) else time
+        elif name == "speed":
+            fast = None if told is None or pd.isna(told) else told
+        else:
+            out.append((key[0], pos, current, fast))
+            if ended := value.strip() == "end":
+                current, fast = 0.0, None
+    if ended:
+        state.remove()
+    else:
+        state.update((current, fast))
+    if out:
+        yield pd.DataFrame(out, columns=["key", "pos", "current", "speed"]).astype({"pos": "int64", "current": "float64", "speed": "float64"})
+
+
+def progress_stream(lines: DataFrame) -> DataFrame:
+    """``progress_events`` of a stream of ``lines(key, pos, value)``: the registers of a key are its state, which goes with its ``progress=end``."""
+    name, value = F.regexp_extract(F.trim("value"), r"\A([^=]*)=", 1), F.regexp_extract(F.trim("value"), r"\A[^=]*=(.*)\z", 1)
+    df = lines.where(F.contains("value", F.lit("="))).select("key", F.col("pos").cast("long").alias("pos"), name.alias("name"), value.alias("value"))
+    df = df.where(F.col("name").isin("out_time_us", "out_time_ms", "speed", "progress")).withColumns({"time": F.col("value").try_cast("bigint") / 1_000_000, "fast": speed(F.col("value"))})
+    return df.groupBy("key").applyInPandasWithState(_fold, EVENT, FOLD, "append", GroupStateTimeout.NoTimeout)
+
+
+def stop(spark: SparkSession, tag: str | None = None) -> list[str]:
+    """Cancels a run: the executions under ``tag`` (``spark.addTag``), or else all streaming queries.  Their ids; what they have written stays."""
+    if tag is not None:
+        return [str(x) for x in spark.interruptTag(tag)]
+    ended = []
+    for q in spark.streams.active:
+        q.stop()
+        ended.append(str(q.id))
+    return ended
