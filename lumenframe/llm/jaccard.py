@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
             for more in links[1:]:
                 all_links = all_links.unionByName(more)
             roots = stored(components(all_links, spark), "roots")
-    joined = roots if roots is not None else spark.createDataFrame([], "id long, root long")
+    joined = roots if roots is not None else spark.range(0).select("id", F.col("id").alias("root"))
     named = reps.join(joined.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     forget(products)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -188,7 +188,9 @@ def place(pieces: DataFrame, limit: int = 1024, buckets: int = 64) -> DataFrame:
         r = by_length.setdefault(length, ([], [], [], []))
         for x, y in zip(r, (a, b, seq, at), strict=True):
             x.append(y)
-    starts_df = spark.createDataFrame(starts or [(0, 0, 0)], "length long, _bucket int, _at long")
+    # from Arrow: rows from Python objects would go through workers of their own
+    starts = list(zip(*(starts or [(0, 0, 0)]), strict=True))
+    starts_df = spark.createDataFrame(pa.table({"length": pa.array(starts[0], pa.int64()), "_bucket": pa.array(starts[1], pa.int32()), "_at": pa.array(starts[2], pa.int64())}))
     p = p.join(F.broadcast(starts_df), ["length", "_bucket"])
     p = p.withColumn("_rank", F.expr("_at + row_number() over (partition by length, _bucket order by doc_id, piece, start, ids_crc32) - 1"))
     held = spark.sparkContext.broadcast({k: tuple(np.asarray(x, dtype=np.int64) for x in v) for k, v in by_length.items()})
