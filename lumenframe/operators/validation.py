@@ -84,13 +84,19 @@ def _pairs(before: Column, after: Column) -> Column:
     return F.transform(F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a"))), lambda p, i: F.struct(p["b"].alias("b"), p["a"].alias("a"), (i + 1).alias("n")))
 
 
-def verdict(source: Column, output: Column, source_duration: Column, output_duration: Column, spans: Column, spans2: Column, starts: Column, starts2: Column, rules: Rules = Rules()) -> Column:
-    """struct<ok, reason> for inventories ``source`` and ``output``; durations in seconds; spans and starts as maps from stream index to seconds."""
-    videos, videos2 = I.primary_video(source), I.primary_video(output)
-    src, out = F.get(videos, F.lit(0)), F.get(videos2, F.lit(0))
-    audio, audio2 = I.of_type(source, "audio"), I.of_type(output, "audio")
-    subs, subs2 = I.kept_subtitles(source), I.of_type(output, "subtitle")
-    covers, covers2 = I.kept_covers(source), I.kept_covers(output)
+def tracks(source: Column, output: Column) -> dict[str, Column]:
+    """The streams of both inventories that the rules look at, by role."""
+    return {"videos": I.primary_video(source), "videos2": I.primary_video(output), "audio": I.of_type(source, "audio"), "audio2": I.of_type(output, "audio"), "subs": I.kept_subtitles(source), "subs2": I.of_type(output, "subtitle"), "covers": I.kept_covers(source), "covers2": I.kept_covers(output)}
+
+
+def verdict(source: Column, output: Column, source_duration: Column, output_duration: Column, spans: Column, spans2: Column, starts: Column, starts2: Column, rules: Rules = Rules(), by_role: dict[str, Column] | None = None) -> Column:
+    """struct<ok, reason> for inventories ``source`` and ``output``; durations in seconds; spans and starts as maps from stream index to seconds.
+
+    ``by_role`` gives ``tracks`` as columns, where they are worked out already.
+    """
+    x = by_role or tracks(source, output)
+    videos, videos2, audio, audio2, subs, subs2, covers, covers2 = (x[k] for k in ("videos", "videos2", "audio", "audio2", "subs", "subs2", "covers", "covers2"))
+    src, out = x.get("src", F.get(videos, F.lit(0))), x.get("out", F.get(videos2, F.lit(0)))
     chapters, chapters2 = source["chapters"], output["chapters"]
 
     wanted = F.when(F.size(videos) > 0, 1).otherwise(0) if rules.allow_stream_removal else F.size(videos)
@@ -161,9 +167,17 @@ def verdict(source: Column, output: Column, source_duration: Column, output_dura
 
 
 def verify_streams(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds ok and reason to ``pairs(source, output, source_duration, output_duration, source_spans, output_spans, source_starts, output_starts)``."""
-    v = verdict(*(F.col(c) for c in ("source", "output", "source_duration", "output_duration", "source_spans", "output_spans", "source_starts", "output_starts")), rules)
-    return pairs.withColumn("_v", v).withColumn("ok", F.col("_v.ok")).withColumn("reason", F.col("_v.reason")).drop("_v")
+    """Adds ok and reason to ``pairs(source, output, source_duration, output_duration, source_spans, output_spans, source_starts, output_starts)``.
+
+    The tracks are columns of a step before, so the many rules that look at them don't each work them out.
+    """
+    role = lambda k: f"_tracks_{k}"
+    df = pairs.withColumns({role(k): c for k, c in tracks(F.col("source"), F.col("output")).items()})
+    df = df.withColumns({role("src"): F.get(role("videos"), F.lit(0)), role("out"): F.get(role("videos2"), F.lit(0))})
+    by_role = {k: F.col(role(k)) for k in (*tracks(F.col("source"), F.col("output")), "src", "out")}
+    v = verdict(*(F.col(c) for c in ("source", "output", "source_duration", "output_duration", "source_spans", "output_spans", "source_starts", "output_starts")), rules, by_role)
+    df = df.withColumn("_v", v).withColumn("ok", F.col("_v.ok")).withColumn("reason", F.col("_v.reason"))
+    return df.select(*pairs.columns, "ok", "reason")
 
 
 def output_verdict(returncode: Column, stderr: Column, exists: Column, size: Column, is_video: Column, integrity_ok: Column, integrity_reason: Column, playback_ok: Column, playback_reason: Column) -> Column:

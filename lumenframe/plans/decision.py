@@ -36,8 +36,11 @@ def decide(jobs: DataFrame, o: Options = Options()) -> DataFrame:
     of the target's device.  Options are literals, so Catalyst folds the branches they close.
     """
     kind = F.when((F.col("kind") == "gif") & ~I.gif_animated(F.col("gif_packets")), STATIC_GIF).otherwise(F.col("kind"))
-    inv, mp4 = F.col("inventory"), I.mp4_status(F.col("inventory"))["status"]
-    state = I.stream_status(inv)
+    # worked out once, in a step of their own, for the many branches below
+    given = jobs.columns
+    told = {"mp4": I.mp4_status(F.col("inventory"))["status"], "state": I.stream_status(F.col("inventory")), "risks": I.removal_risks(F.col("inventory")), "looks": I.advanced_features(F.col("inventory")), "kept": I.preservation_summary(F.col("inventory")), "pictures": F.size(I.primary_video(F.col("inventory")))}
+    jobs = jobs.withColumns({f"_inventory_{k}": c for k, c in told.items()})
+    inv, mp4, state, risks, looks, kept, pictures = F.col("inventory"), *(F.col(f"_inventory_{k}") for k in told)
     moving = kind.isin("mp4", "video")
     healthy = F.coalesce("healthy", F.lit(True))
     plays = F.coalesce("playback_ok", F.lit(True)) if o.validate_existing else F.lit(True)
@@ -46,7 +49,6 @@ def decide(jobs: DataFrame, o: Options = Options()) -> DataFrame:
     repair = standard & ~(healthy & plays)
     remux = moving & ~repair & ((state == "standard") | ((state == "hevc") & F.lit(not o.reencode_hevc)))
     copy = moving & ~repair & ~remux & (state == "copy-video")
-    risks, looks = I.removal_risks(inv), I.advanced_features(inv)
     webp = F.col("webp")
     metadata = F.array_compact(F.array(*(F.when(webp[x], x.upper()) for x in ("icc", "exif", "xmp"))))
     say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
@@ -54,7 +56,7 @@ def decide(jobs: DataFrame, o: Options = Options()) -> DataFrame:
         F.when(standard & ~repair, "already standardized and healthy MP4 (h264/8-bit 4:2:0/aac)"),
         F.when(kept_hevc & ~healthy, "damaged HEVC MP4; --reencode-hevc is required to attempt repair"),
         F.when(kept_hevc, "HEVC MP4 (smaller than h264 and Apple-native; --reencode-hevc to convert anyway)"),
-        F.when(moving & (inv.isNull() | (F.size(I.primary_video(inv)) == 0)), "stream preflight failed; original kept"),
+        F.when(moving & (inv.isNull() | (pictures == 0)), "stream preflight failed; original kept"),
         F.when(moving & (F.size(risks) > 0) & F.lit(not o.allow_stream_removal), say("stream safety warning: would remove ", F.array_join(risks, "; "), " (--allow-stream-removal to permit)")),
         F.when(moving & (F.size(looks) > 0) & ~remux & ~copy & F.lit(not o.allow_video_downgrade), say("advanced video safety warning: 8-bit h264 conversion would change ", F.array_join(looks, ", "), " (--allow-video-downgrade to permit)")),
         F.when((kind == "webp") & ~F.coalesce(webp["animated"], F.lit(False)), "static WebP (already standardized)"),
@@ -73,7 +75,6 @@ def decide(jobs: DataFrame, o: Options = Options()) -> DataFrame:
     final = F.when((final != F.col("path")) & F.coalesce("taken", F.lit(False)), free_name).otherwise(final)
     action = F.when(repair, "repair").when(remux, "remux").when(copy, "convert audio and copy video").otherwise("convert")
     name = F.element_at(F.split(final, "/"), -1)
-    kept = I.preservation_summary(inv)
     plan = say(
         "would ", action if o.keep_originals else say(action, f" and {o.dispose_label}"), " -> ", name,
         F.when(moving & (kept != ""), say("; preserve ", kept)).otherwise(""),
@@ -84,7 +85,7 @@ def decide(jobs: DataFrame, o: Options = Options()) -> DataFrame:
     status = F.when(fault.isNotNull(), "failed").when(skip.isNotNull(), "skipped").when(F.lit(o.dry_run), "planned").when(short.isNotNull(), "failed").otherwise("ready")
     detail = F.coalesce(fault, skip, short, plan if o.dry_run else action)
     out = jobs.withColumns({"status": status, "detail": detail, "action": action, "copy_video": copy, "stages": stages(kind, repair, remux, state), "final": final})
-    return out
+    return out.select(*given, *(c for c in ("status", "detail", "action", "copy_video", "stages", "final") if c not in given))
 
 
 def stages(kind: Column, repair: Column, remux: Column, state: Column) -> Column:

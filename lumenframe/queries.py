@@ -471,7 +471,16 @@ def packet_stream(spark, t):
     return streamed(spark, _packets(t), spans, "complete").withColumn("span", F.round("span", 3))
 
 
-@query()
+@query(
+    """
+    with recursive u as (select cast(user_id as varchar) as key, epoch_us(ts) / 1000000.0 as moment, greatest(0, value) as current, cast(greatest(0, least(100, trunc(value / 100.0 * 100))) as integer) as percent, row_number() over (partition by user_id order by ts, greatest(0, value), event_id) as n from events),
+    s as (
+      select key, n, moment, current, percent, true as told, moment as since, percent - percent % 10 as step from u where n = 1
+      union all select key, n, moment, current, percent, told, case when told then moment else since end, case when told then percent - percent % 10 else step end
+        from (select u.key, u.n, u.moment, u.current, u.percent, u.percent >= s.step + 10 or u.moment - s.since >= 60 as told, s.since, s.step from s join u on u.key = s.key and u.n = s.n + 1))
+    select key, moment as "at", percent, current from s where told
+    """
+)
 def progress_heartbeat(spark, t):
     """Lines worth printing: ten percent further or a minute later, from a stream of updates."""
     from .running import streamed
@@ -1231,3 +1240,55 @@ def whole_plan(spark, t):
     path = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s(k), F.lit(").jpg"))
     files = t("part").select(k, path.alias("path"))
     return renames.plan_all(files, files.where("p_partkey % 2 = 0").select("path", F.lit("2020-01-02").alias("date")))
+
+
+def _works(t) -> DataFrame:
+    """Source and output of a film per order with covers, subtitles and chapters; each rest of the order's number breaks one promise."""
+    n = F.col("o_orderkey")
+    k = n % 24
+    none, marks = _tags(), F.create_map().cast("map<string,int>")
+    default = lambda yes: F.create_map(F.lit("default"), F.when(yes, 1).otherwise(0))
+    picture = lambda **x: _stream(**({"index": 0, "codec_type": "video", "codec_name": "h264", "pix_fmt": "yuv420p", "tags": none, "disposition": marks, "color": none, "attached_pic": F.lit(False), "avg_frame_rate": "30/1", "start_time": "0", "field_order": "progressive", "sample_aspect_ratio": "1:1"} | x))
+    sound = lambda i, on, **x: _stream(index=i, codec_type="audio", codec_name="aac", tags=none, disposition=default(on), color=none, attached_pic=F.lit(False), sample_rate="48000", channels=2, start_time="0", **x)
+    words = lambda codec, on, lang: _stream(index=3, codec_type="subtitle", codec_name=codec, tags=_tags(language=lang), disposition=default(on), color=none, attached_pic=F.lit(False))
+    cover = lambda codec, width: _stream(index=4, codec_type="video", codec_name=codec, width=width, height=10, tags=none, disposition=F.create_map(F.lit("attached_pic"), F.lit(1)), color=none, attached_pic=F.lit(True))
+    many = lambda *items: F.filter(F.array(*items), lambda s: s["index"] >= 0)
+    unless = lambda s, gone: s.withField("index", F.when(gone, -1).otherwise(s["index"]))
+    two = unless(picture(index=5), k != 0)
+    src = many(picture(side_data_types=F.array(F.lit("Mastering display metadata")), field_order=F.when(k == 15, "tt").otherwise("progressive")), sound(1, F.lit(True)), sound(2, F.lit(False)), words("subrip", F.lit(True), F.lit("eng")), cover("png", F.lit(20)), two)
+    side = F.when(k == 18, F.array().cast("array<string>")).otherwise(F.array(F.lit("Mastering display metadata")))
+    out = many(
+        picture(side_data_types=side, pix_fmt=F.when(k == 14, "yuv444p").otherwise("yuv420p"), sample_aspect_ratio=F.when(k == 16, "4:3").otherwise("1:1"), avg_frame_rate=F.when(k == 17, "25/1").otherwise("30/1")),
+        sound(1, k != 4), sound(2, k == 4), unless(words(F.when(k == 7, "subrip").otherwise("mov_text"), k != 6, F.when(k == 8, "fra").otherwise("eng")), k == 5), unless(cover(F.when(k == 10, "mjpeg").otherwise("png"), F.when(k == 11, 21).otherwise(20)), k == 9),
+    )
+    chapter = lambda title, start, end: F.struct(start.alias("start_time"), end.alias("end_time"), title.alias("title"))
+    text = lambda s: F.lit(s).cast("string")
+    before = F.array(chapter(text("Intro"), text("0"), text("50")), chapter(text("Chapter 2"), text("50"), text("100")))
+    after = F.array(chapter(F.when(k == 13, "Outro").otherwise("Intro"), F.when(k == 19, "0.75").otherwise("0"), F.when(k == 20, text(None)).otherwise("50")), chapter(text("Part two"), text("50"), text("100.5")))
+    spans = lambda a: F.create_map(*(x for i in range(3) for x in (F.lit(str(i)), a)))
+    return t("orders").select(
+        "o_orderkey", _inventory(src, before).alias("source"), _inventory(out, F.when(k == 12, F.slice(after, 1, 1)).otherwise(after)).alias("output"), F.lit(100.0).alias("source_duration"), F.when(k.isin(1, 2, 3), 80.0).otherwise(100.0).alias("output_duration"),
+        spans(F.when(k == 3, F.lit(None).cast("double")).otherwise(80.0)).alias("source_spans"), spans(F.when(k == 2, 60.0).otherwise(80.5)).alias("output_spans"), F.create_map().cast("map<string,double>").alias("source_starts"), F.create_map().cast("map<string,double>").alias("output_starts"),
+    )
+
+
+@query(
+    """
+    select o_orderkey, r is null or r like 'recovered%' as ok, coalesce(r, 'ok') as reason from (select o_orderkey, case o_orderkey % 24
+      when 0 then 'primary video stream count changed: source 2, output 1'
+      when 1 then 'recovered all 80.0s of readable media; the damaged source header claimed 100.0s'
+      when 2 then 'duration mismatch: source 100.0s vs output 80.0s' when 3 then 'duration mismatch: source 100.0s vs output 80.0s'
+      when 4 then 'default audio selection changed: source [0], output [1]'
+      when 5 then 'compatible subtitle track count changed: source 1, output 0' when 6 then 'default subtitle selection changed'
+      when 7 then 'subtitle track 1 is not MP4 mov_text' when 8 then 'subtitle track 1 language/title/disposition metadata changed'
+      when 9 then 'compatible artwork count changed: source 1, output 0' when 10 then 'artwork stream 1 codec_name changed' when 11 then 'artwork stream 1 width changed'
+      when 12 then 'chapter count changed: source 2, output 1' when 13 then 'chapter 1 title changed'
+      when 14 then 'primary output is not h264/8-bit 4:2:0: h264/yuv444p'
+      when 15 then 'video field order changed: source tt vs output progressive' when 16 then 'video sample aspect ratio changed: source 1:1 vs output 4:3'
+      when 17 then 'video average frame rate changed: source 30.000 vs output 25.000 (--allow-video-downgrade to permit)' when 18 then 'video HDR/dynamic-range side data changed'
+      when 19 then 'chapter 1 timing changed' when 20 then 'chapter 1 timing could not be verified' end as r from orders)
+    """
+)
+def promise_rules(spark, t):
+    """The other promises of an output: pictures, recovered lengths, default tracks, subtitles, artwork, chapters, format, looks."""
+    return validation.verify_streams(_works(t)).select("o_orderkey", "ok", "reason")
