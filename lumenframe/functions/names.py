@@ -92,12 +92,13 @@ def with_parsed(df: DataFrame, stem: str = "stem") -> DataFrame:
 def _nfc(text: pd.Series) -> pd.Series:
     import unicodedata
 
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    some = text[text.notna()]
+    return some.map(lambda t: unicodedata.normalize("NFC", t)).reindex(text.index)
 
 
 def composed(text: Column) -> Column:
-    """Composed Unicode form.  Plain ASCII needs no Python; only other rows reach it."""
-    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), text).otherwise(_nfc(text))
+    """Composed Unicode form.  Plain ASCII needs no Python: such rows go there as nulls and are passed over."""
+    return F.coalesce(_nfc(F.when(~text.rlike(r"\A[\x00-\x7F]*\z"), text)), text)
 
 
 def with_cleaned(df: DataFrame, base: str = "base", to: str = "cleaned", compose: bool = False) -> DataFrame:

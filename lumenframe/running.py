@@ -17,7 +17,7 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.  Lets workers import this package.
+    """This application's folder in that of ``spark.checkpoint.dir``, or the context's checkpoint folder.  Lets workers import this package.
 
     Only in a local session that names neither is a folder of our own made; elsewhere that is an error, as
     executors would not see it.
@@ -32,7 +32,17 @@ def checkpoints(spark: SparkSession) -> str:
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), sc.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
-    return named.rstrip("/")
+    at = f"{named.rstrip('/')}/lumenframe-core/{sc.applicationId}"
+    if at not in _RUNS:  # this application's folder, which goes when it ends
+        _RUNS.add(at)
+        p = sc._jvm.org.apache.hadoop.fs.Path(at)
+        files = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return at
+
+
+_RUNS: set[str] = set()
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -6,18 +6,28 @@ HEIC = (".heic", ".heif")
 GIF = (".gif",)
 WEBP = (".webp",)
 MP4 = (".mp4",)
-VIDEO = tuple(
-    ".mov .mkv .avi .wmv .flv .m4v .webm .mpg .mpeg .3gp .mts .m2ts .ts .mxf .qt .asf .dvr-ms .wtv .rm .rmvb .f4v .ogv .ogm .vob .vro .mod .tod .dv .3g2 .m1v .m2v .m2p .mpv .divx .xvid".split()
+VIDEO = (
+    ".mov", ".mkv", ".avi", ".wmv", ".flv", ".m4v", ".webm", ".mpg", ".mpeg", ".3gp", ".mts", ".m2ts", ".ts", ".mxf", ".qt", ".asf", ".dvr-ms",
+    ".wtv", ".rm", ".rmvb", ".f4v", ".ogv", ".ogm", ".vob", ".vro", ".mod", ".tod", ".dv", ".3g2", ".m1v", ".m2v", ".m2p", ".mpv", ".divx", ".xvid",
+)
+BUNDLE = (
+    ".photoslibrary", ".aplibrary", ".migratedphotolibrary", ".photolibrary", ".app", ".fcpbundle", ".imovielibrary", ".tvlibrary", ".theater",
 )
-BUNDLE = tuple(".photoslibrary .aplibrary .migratedphotolibrary .photolibrary .app .fcpbundle .imovielibrary .tvlibrary .theater".split())
 SIDECAR = (".aae", ".xmp")
 KINDS = {"photo": PHOTO, "heic": HEIC, "gif": GIF, "webp": WEBP, "video": VIDEO, "mp4": MP4}
 
 # words that stay in lower case inside a title
-SMALL_WORDS = tuple("a an and as at but by de del der di for in la le nor of on or the to van von with".split())
+SMALL_WORDS = (
+    "a", "an", "and", "as", "at", "but", "by", "de", "del", "der", "di", "for", "in", "la", "le", "nor", "of", "on", "or", "the", "to", "van", "von",
+    "with",
+)
 # endings of site names
-SITE_ENDS = tuple("com net org io co tv me cc xyz info biz site online club".split())
-CAMERA_PREFIXES = tuple("IMG DSC DSCN DSCF MVI VID PXL GOPR PANO DJI".split())
+SITE_ENDS = (
+    "com", "net", "org", "io", "co", "tv", "me", "cc", "xyz", "info", "biz", "site", "online", "club",
+)
+CAMERA_PREFIXES = (
+    "IMG", "DSC", "DSCN", "DSCF", "MVI", "VID", "PXL", "GOPR", "PANO", "DJI",
+)
 
 # stream metadata
 COLOR_FIELDS = ("color_range", "color_space", "color_transfer", "color_primaries", "chroma_location")
