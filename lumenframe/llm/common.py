@@ -72,10 +72,25 @@ def trim() -> None:
         pass
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    at = f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}"
+    if at not in _RUNS:
+        _RUNS.add(at)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return at
+
+
+_RUNS: set[str] = set()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends here, and any executor may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenframe/{what}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.parquet(path)
     out._stored_at = path

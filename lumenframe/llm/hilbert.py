@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +54,30 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """An order-keeping double of a column: numbers as they are, other values by the first six bytes of their string."""
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """An order-keeping double of a column: numbers as they are, other values by the six bytes after the first ``skip`` characters of their string."""
     kind = dict(df.dtypes)[name]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+    if kind in NUMBERS or kind.startswith("decimal"):
         return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
-    lead = F.rpad(F.substring(F.hex(F.col(f"`{name}`").cast("string").cast("binary")), 1, 12), 12, "0")
-    return F.conv(lead, 16, 10).cast("double")
+    rest = F.substring(F.col(f"`{name}`").cast("string"), skip + 1, 6)
+    return F.conv(F.rpad(F.substring(F.hex(rest.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
+def common_starts(df: DataFrame, dims: Sequence[str]) -> dict[str, int]:
+    """How many characters all values of each text column begin with alike: as many as the least and the greatest do."""
+    kinds = dict(df.dtypes)
+    texts = [d for d in dims if kinds[d] not in NUMBERS and not kinds[d].startswith("decimal")]
+    if not texts:
+        return {}
+    ends = df.agg(*(f(F.col(f"`{d}`").cast("string")).alias(f"{n}{i}") for i, d in enumerate(texts) for n, f in (("a", F.min), ("b", F.max)))).first()
+    out = {}
+    for i, d in enumerate(texts):
+        low, high = ends[f"a{i}"] or "", ends[f"b{i}"] or ""
+        out[d] = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    return out
 
 
 def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits: int = 5, per_task: int = 100_000, keep: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
@@ -72,7 +90,8 @@ def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits:
         raise ValueError("too many cells to plan on the driver")
     ship_code(df.sparkSession)
     cuts_n = (1 << bits) - 1
-    values = [as_number(df, d) for d in dims]
+    starts = common_starts(df, dims)
+    values = [as_number(df, d, starts.get(d, 0)) for d in dims]
     levels = [(i + 1) / (cuts_n + 1) for i in range(cuts_n)]
     cuts = df.agg(*(F.percentile_approx(v, levels, 10_000).alias(f"q{i}") for i, v in enumerate(values))).first()
     cell = []
@@ -93,7 +112,8 @@ def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits:
     if not plan:
         plan = [(0, 0, 1)]
     # at most 2**(bits * dims) rows: small enough to broadcast, by the check above
-    cells = F.broadcast(df.sparkSession.createDataFrame(plan, "hilbert int, cell_at long, parts int"))
+    cols = list(zip(*plan, strict=True))
+    cells = F.broadcast(df.sparkSession.createDataFrame(pa.table({"hilbert": pa.array(cols[0], pa.int32()), "cell_at": pa.array(cols[1], pa.int64()), "parts": pa.array(cols[2], pa.int32())})))
     rows = df.select(*(c.alias(n) for n, c in (keep or {c: F.col(f"`{c}`") for c in df.columns}).items()), index(*cell).alias("hilbert"))
     rows = rows.join(cells, "hilbert").withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")).cast("int"))
     parts = rows.groupBy("hilbert", "part").agg(F.count("*").alias("n"))

@@ -28,17 +28,15 @@ from pyspark.sql import functions as F
 from .common import lean, ship_code, stored
 
 # fixed values: element names of the HTML standard, and words that name parts of a page that aren't its article
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option audio video noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img picture source".split())
-CONTAINERS = frozenset("html body main article section div td table tbody tr center content".split())
-BESIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "option", "audio", "video", "noframes", "xmp"))
+INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "picture", "source"))
+CONTAINERS = frozenset(("html", "body", "main", "article", "section", "div", "td", "table", "tbody", "tr", "center", "content"))
+BESIDE = frozenset(("nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar topbar sidebar sidebars aside footer masthead breadcrumb breadcrumbs comments comment commentlist disqus replies reply respond discussion share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay login search searchform pagination pager toolbar skip widget widgets header".split()
-)
-CONTENT = frozenset("article articles blog body content entry main page post recipe story text".split())
-COMMENTS = frozenset("comments comment commentlist disqus replies reply respond discussion".split())
+ASIDE = frozenset(("ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "nav", "navbar", "navigation", "menu", "menubar", "topbar", "sidebar", "sidebars", "aside", "footer", "masthead", "breadcrumb", "breadcrumbs", "comments", "comment", "commentlist", "disqus", "replies", "reply", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "popup", "modal", "overlay", "login", "search", "searchform", "pagination", "pager", "toolbar", "skip", "widget", "widgets", "header"))
+CONTENT = frozenset(("article", "articles", "blog", "body", "content", "entry", "main", "page", "post", "recipe", "story", "text"))
+COMMENTS = frozenset(("comments", "comment", "commentlist", "disqus", "replies", "reply", "respond", "discussion"))
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z""", re.S)
 #: containers deeper than this are not told apart; their text stays
 DEEPEST = 64
