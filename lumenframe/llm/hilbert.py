@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, so that each shard covers a small box of several metadata dimensions.
 
-Every dimension is quantised to ``2**bits`` cells at quantiles of all its rows (strings by their leading
-bytes, in order).  Rows are ordered by the curve index of their cell and the order is cut into runs whose
+Every dimension is quantised to ``2**bits`` cells at quantiles of all its rows: texts by the counts of their
+values, or, where these are very many, by the bytes that follow what all begin with.  Rows are ordered by the curve index of their cell and the order is cut into runs whose
 row counts differ by at most one (law ``rows``).
 
 Scale: cell counts are an aggregate of at most ``2**(bits * dimensions)`` rows, collected as that bound is a
@@ -80,6 +80,18 @@ def common_starts(df: DataFrame, dims: Sequence[str]) -> dict[str, int]:
     return out
 
 
+def text_bounds(df: DataFrame, name: str, levels: Sequence[float], most: int = 65_536) -> list[str] | None:
+    """The values of a text column at ``levels`` of all its rows, by the counts of its values; None where it has more than ``most``."""
+    v = F.col(f"`{name}`").cast("string")
+    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
+    found = counts.limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    found = sorted(((r["v"], r["n"]) for r in found), key=lambda x: x[0].encode("utf-8", "surrogatepass"))
+    ends = np.cumsum([n for _, n in found])
+    return [found[int(np.searchsorted(ends, level * ends[-1]))][0] for level in levels] if found else []
+
+
 def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits: int = 5, per_task: int = 100_000, keep: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
     """(the columns ``keep``, hilbert, rank from 0), and the number of rows.
 
@@ -90,14 +102,17 @@ def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits:
         raise ValueError("too many cells to plan on the driver")
     ship_code(df.sparkSession)
     cuts_n = (1 << bits) - 1
-    starts = common_starts(df, dims)
-    values = [as_number(df, d, starts.get(d, 0)) for d in dims]
     levels = [(i + 1) / (cuts_n + 1) for i in range(cuts_n)]
-    cuts = df.agg(*(F.percentile_approx(v, levels, 10_000).alias(f"q{i}") for i, v in enumerate(values))).first()
+    kinds = dict(df.dtypes)
+    texts = {d: text_bounds(df, d, levels) for d in dims if kinds[d] not in NUMBERS and not kinds[d].startswith("decimal")}
+    starts = common_starts(df, [d for d, bounds in texts.items() if bounds is None])
+    values = [F.col(f"`{d}`").cast("string") if texts.get(d) is not None else as_number(df, d, starts.get(d, 0)) for d in dims]
+    numbers = [i for i, d in enumerate(dims) if texts.get(d) is None]
+    cuts = df.agg(*(F.percentile_approx(values[i], levels, 10_000).alias(f"q{i}") for i in numbers)).first() if numbers else {}
     cell = []
-    for i, v in enumerate(values):
-        bounds = sorted(set(cuts[i] or []))
-        # the number of bounds below the value, counted by halving: a tree of comparisons, bits deep
+    for i, (d, v) in enumerate(zip(dims, values, strict=True)):
+        bounds = sorted(set((texts[d] if texts.get(d) is not None else cuts[f"q{i}"]) or []), key=lambda x: x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x)
+        # the number of bounds up to the value
         cell.append(F.coalesce(_steps(v, bounds), F.lit(0)).cast("int"))
 
     @F.pandas_udf("int")
@@ -127,7 +142,7 @@ def hilbert_rank(df: DataFrame, dims: Sequence[str], order: Sequence[str], bits:
     return rows.withColumn("rank", rank.cast("long")).drop("cell_at", "parts", "part", "part_at"), total
 
 
-def _steps(v: Column, bounds: list[float]) -> Column:
+def _steps(v: Column, bounds: list) -> Column:
     """How many of the sorted bounds are at most v (null for null)."""
     if not bounds:
         return F.when(v.isNotNull(), 0)

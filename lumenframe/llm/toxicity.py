@@ -236,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, binary: bool
     return model
 
 
-def grade(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with severity double, grade int and rejected boolean added (or replaced).
+def grade(docs: DataFrame, model: Ordinal, threshold: float = 0.5, names: tuple[str, str, str] = ("severity", "grade", "rejected")) -> DataFrame:
+    """The rows of ``docs`` with severity double, grade int and rejected boolean added under ``names`` (columns of these names are replaced).
 
     severity: the expected grade.  grade: the likeliest, of equally likely ones the lowest.  rejected: P(grade > 0)
     reaches ``threshold``.  Null and empty texts have no features.  Equal texts get equal grades; repeated rows
@@ -258,7 +258,7 @@ def grade(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
     judge.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(judge, "severity double, grade int, rejected boolean")
     held = fresh(docs, "_judged")
-    return docs.withColumn(held, udf("text")).withColumns({c: F.col(f"{held}.{c}") for c in ("severity", "grade", "rejected")}).drop(held)
+    return docs.withColumn(held, udf("text")).withColumns({n: F.col(f"{held}.{c}") for n, c in zip(names, ("severity", "grade", "rejected"), strict=True)}).drop(held)
 
 
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
