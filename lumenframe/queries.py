@@ -1292,3 +1292,49 @@ def _works(t) -> DataFrame:
 def promise_rules(spark, t):
     """The other promises of an output: pictures, recovered lengths, default tracks, subtitles, artwork, chapters, format, looks."""
     return validation.verify_streams(_works(t)).select("o_orderkey", "ok", "reason")
+
+
+@query("select 'd/' || p_name || ' ' || p_partkey as src, 'd/é ' || upper(p_name) || ' ' || p_partkey as dst from part")
+def plan_file(spark, t):
+    """A rename plan written as one file in the shared folder, and read back."""
+    from .sources.state import read_plan, write_plan
+
+    k = _s("p_partkey")
+    at = f"{_shared(spark, 'plans')}.json"
+    write_plan(t("part").select(F.concat(F.lit("d/"), "p_name", F.lit(" "), k).alias("src"), F.concat(F.lit("d/é "), F.upper("p_name"), F.lit(" "), k).alias("dst")), "/lib", at)
+    return read_plan(spark, at)
+
+
+@query("select 'lib/' || c_custkey as path, 'video' as kind, c_custkey * 3 as size, c_custkey * 5 as mtime_ns, ['queued', 'running', 'done'][c_custkey % 3 + 1] as status, case when c_custkey % 2 = 0 then c_mktsegment end as detail, 'then' as updated_at from customer")
+def journal_file(spark, t):
+    """A run's journal written as one file, and read back as rows."""
+    from .sources.state import read_journal, write_journal_file
+
+    k = F.col("c_custkey")
+    status = F.when(k % 3 == 0, "queued").when(k % 3 == 1, "running").otherwise("done")
+    rows = t("customer").select(F.concat(F.lit("lib/"), _s(k)).alias("path"), F.lit("video").alias("kind"), (k * 3).alias("size"), (k * 5).alias("mtime_ns"), status.alias("status"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("detail"), F.lit("then").alias("updated_at"))
+    at = f"{_shared(spark, 'journals')}.json"
+    write_journal_file(rows, at, "first", "then", None, False)
+    return read_journal(spark, at)
+
+
+@query(
+    """
+    select n_nationkey as k, case when n_nationkey % 5 <> 0 then 'prepared' end as state, n_nationkey % 5 in (2, 3, 4) as valid, row_number() over (order by lpad(cast(n_nationkey as varchar), 2, '0')) as n from nation where n_nationkey % 7 <> 6
+    """
+)
+def manifest_rows(spark, t):
+    """Manifests of interrupted replacements, in order of their folders; damaged ones and paths outside the root are marked."""
+    from .operators.order import row_numbers
+    from .sources.state import read_manifests, write_text
+
+    at, folders = _shared(spark, "manifests"), []
+    for (k,) in t("nation").select("n_nationkey").collect():  # 25 rows
+        folder = f"{at}/{k:02d}"
+        folders.append(folder)
+        root, source = "/lib", "/library/a" if k % 5 == 1 else f"/lib/{k}"
+        text = "{" if k % 5 == 0 else f'{{"version": 1, "state": "prepared", "root": "{root}", "source": "{source}", "final": "/lib/x", "temporary": "/lib/t", "backup": "/lib"}}'
+        if k % 7 != 6:
+            write_text(f"{folder}/manifest.json", text)
+    rows = read_manifests(spark, folders)
+    return row_numbers(rows.select(F.regexp_extract("manifest", r"/(\d+)/[^/]+\z", 1).cast("long").alias("k"), "state", "valid", "manifest"), [], ["manifest"], "n").select("k", "state", "valid", "n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shlex
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +67,51 @@ def write_cache(cache: DataFrame, path: str, dirty: bool = True) -> None:
         cache.write.mode("overwrite").parquet(path)
 
 
+def _file(path: str):
+    """(file system, path) of a path with a scheme, by the running session; None for a plain one, which is on the driver's disk."""
+    if not re.match(r"[a-z][a-z0-9+.-]*:/", path):
+        return None
+    spark = SparkSession.getActiveSession()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def read_text(path: str) -> str | None:
-    """A small state file, dot names included; null if it isn't there."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            return f.read()
-    except OSError:
+    """A small state file, dot names included, wherever the session's file systems reach; null if it isn't there."""
+    if (at := _file(path)) is None:
+        try:
+            with open(path, encoding="utf-8") as f:
+                return f.read()
+        except OSError:
+            return None
+    files, p = at
+    if not files.exists(p):
         return None
+    stream = files.open(p)
+    try:
+        return SparkSession.getActiveSession().sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(path: str, text: str) -> None:
+    if (at := _file(path)) is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    files, p = at
+    stream = files.create(p, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def write_journal_file(journal: DataFrame, path: str, started: str, updated: str, finished: str | None, interrupted: bool) -> None:
+    """Writes ``journal(path, kind, size, mtime_ns, status, detail, updated_at)`` as one version 1 journal.  A finished run is told by its time."""
+    entry = F.struct("kind", F.struct("size", "mtime_ns").alias("identity"), "status", "detail", "updated_at")
+    files = {r["path"]: json.loads(r["entry"]) for r in journal.select("path", F.to_json(entry).alias("entry")).toLocalIterator()}
+    write_text(path, json.dumps({"version": 1, "started_at": started, "updated_at": updated, "finished_at": finished, "interrupted": interrupted, "files": files}, ensure_ascii=False, indent=2))
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +123,7 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 def write_plan(plan: DataFrame, root: str, path: str) -> None:
     """Writes ``plan(src, dst)`` (relative) as one JSON file; non-ASCII stays as it is."""
     rows = [{"from": r["src"], "to": r["dst"]} for r in plan.toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"root": root, "renames": rows}, f, ensure_ascii=False, indent=2)
+    write_text(path, json.dumps({"root": root, "renames": rows}, ensure_ascii=False, indent=2))
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +161,7 @@ def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
     from ..functions.paths import inside
 
     kind = "struct<version:int,state:string,root:string,source:string,final:string,temporary:string,backup:string>"
-    rows = [(p, read_text(p)) for d in sorted(folders) for p in [os.path.join(d, "manifest.json")] if os.path.exists(p)]
+    rows = [(p, text) for d in sorted(folders) for p in [os.path.join(d, "manifest.json")] if (text := read_text(p)) is not None]
     df = spark.createDataFrame(rows, "manifest string, text string").withColumn("m", F.from_json("text", kind))
     ok = F.col("m.version") == 1
     for c in ("source", "final", "temporary", "backup"):
