@@ -932,7 +932,7 @@ def _probe_text() -> Column:
 @query(
     """
     select o_orderkey, ok, case when ok then cast(case when o_orderkey % 3 > 0 then 2 else 1 end as integer) end as streams, case when ok then 'Film ' || o_orderkey end as title, case when ok then ['title'] end as tags,
-      case when ok then case when o_orderkey % 4 = 0 then -90.0 else 180.0 end end as rotation, case when ok then o_orderkey % 5 = 0 end as cover, case when ok then ['default'] end as marks,
+      cast(case when ok then case when o_orderkey % 4 = 0 then -90.0 else 180.0 end end as double) as rotation, case when ok then o_orderkey % 5 = 0 end as cover, case when ok then ['default'] end as marks,
       case when ok then case when o_orderkey % 4 = 0 then ['DOVI configuration record', 'Display Matrix'] else ['CPB properties'] end end as side, case when ok and o_orderkey % 3 > 0 then 'deu' end as language,
       case when ok and o_orderkey % 3 > 0 then cast(o_orderkey % 6 + 1 as integer) end as channels, case when ok then 'Part ' || o_orderkey || ' to ' || o_orderkey || '.5' end as chapter, case when ok then case when o_orderkey % 2 = 0 then 'Tile Grid' else 'IAMF' end end as grouped,
       cast(case when ok and o_orderkey % 5 = 0 then 1 when ok then 0 end as integer) as covers
@@ -953,7 +953,7 @@ def probe_inventory(spark, t):
     )
 
 
-@query("select o_orderkey, case o_orderkey % 5 when 0 then null when 1 then null when 2 then null else o_orderkey + 0.25 end as duration, not (o_orderkey % 7 = 0 or o_orderkey % 7 = 1) as animated from orders")
+@query("select o_orderkey, cast(case o_orderkey % 5 when 0 then null when 1 then null when 2 then null else o_orderkey + 0.25 end as double) as duration, not (o_orderkey % 7 = 0 or o_orderkey % 7 = 1) as animated from orders")
 def media_duration(spark, t):
     """Durations of containers, and whether GIFs are animated, from a probe's texts."""
     from .sources.state import duration
@@ -1320,7 +1320,7 @@ def journal_file(spark, t):
 
 @query(
     """
-    select n_nationkey as k, case when n_nationkey % 5 <> 0 then 'prepared' end as state, n_nationkey % 5 in (2, 3, 4) as valid, row_number() over (order by lpad(cast(n_nationkey as varchar), 2, '0')) as n from nation where n_nationkey % 7 <> 6
+    select cast(n_nationkey as bigint) as k, case when n_nationkey % 5 <> 0 then 'prepared' end as state, n_nationkey % 5 in (2, 3, 4) as valid, row_number() over (order by lpad(cast(n_nationkey as varchar), 2, '0')) as n from nation where n_nationkey % 7 <> 6
     """
 )
 def manifest_rows(spark, t):
