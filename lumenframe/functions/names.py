@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,23 +136,19 @@ def numbered_series(df: DataFrame, keys: list[str], order: str = "name") -> Data
     """Adds ``seq`` (null: no number) and ``width`` to members with number and is_dup, per series of ``keys``.
 
     Numbered members count from 1 by number and name, copies go on after them; a copy alone is plain.  Two digits
-    from ten on.  Scale: one window per series; both counts and ranks share its one shuffle.
+    from ten on.  Scale: places come from ``row_numbers``, which splits a series however long, and counts from
+    partial sums, one row per series.
     """
+    from ..operators.order import row_numbers
+
     cls = F.when(F.col("is_dup"), 2).when(F.col("number").isNotNull(), 1).otherwise(0)
-    df = df.withColumn("_class", cls)
-    by = ", ".join(f"`{k}`" for k in keys)
-    df = df.withColumns(
-        {
-            "_n0": F.expr(f"count_if(_class = 0) over (partition by {by})"),
-            "_n1": F.expr(f"count_if(_class = 1) over (partition by {by})"),
-            "_n2": F.expr(f"count_if(_class = 2) over (partition by {by})"),
-            "_at": F.expr(f"row_number() over (partition by {by} order by _class, coalesce(number, 0), `{order}`)"),
-        }
-    )
+    placed = row_numbers(df.withColumn("_class", cls).withColumn("_number", F.coalesce("number", F.lit(0))), keys, ["_class", "_number", order], "_at")
+    counts = placed.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(*(F.count_if(F.col("_class") == k).alias(f"_n{k}") for k in range(3)))
+    both = placed.join(counts, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)))
     alone = (F.col("_n0") == 0) & (F.col("_n1") == 0) & (F.col("_n2") == 1)
     last = F.when(alone, 0).otherwise(F.col("_n1") + F.col("_n2"))
     seq = F.when((F.col("_class") > 0) & ~alone, F.col("_at") - F.col("_n0"))
-    return df.withColumn("seq", seq.cast("bigint")).withColumn("width", F.when(last >= 10, 2).otherwise(1)).drop("_class", "_n0", "_n1", "_n2", "_at")
+    return both.select(*(F.col(c) for c in df.columns), seq.cast("bigint").alias("seq"), F.when(last >= 10, 2).otherwise(1).alias("width"))
 
 
 def date_prefixed(stem: Column, date: Column) -> Column:
