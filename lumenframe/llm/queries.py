@@ -16,6 +16,9 @@ _AT = {
     "op8_information_sanitisation": "pii",
     "op9_sampled_pieces": "pieces",
     "op10_ordinal_toxicity": "toxicity",
+    "op11_line_bitmaps": "lines",
+    "op12_pivot_negatives": "negatives",
+    "op13_suffix_transducer": "alignment",
 }
 
 
