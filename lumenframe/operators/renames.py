@@ -9,6 +9,7 @@ from .. import values as V
 from ..functions import names as N
 from ..functions.paths import dir_of, name_of, pruned, with_path_parts
 from ..running import checkpoints, kept
+from .chains import relocated, settled
 
 RENAMED = tuple(x for k in ("photo", "heic", "gif", "video", "mp4", "webp") for x in V.KINDS[k])
 
@@ -87,19 +88,20 @@ def plan_all(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
 
 
 def apply_all(plan: DataFrame, files: DataFrame) -> tuple[DataFrame, int, int]:
-    """Applies ``plan(phase, src, dst)`` to ``files(path)``: (paths after, renamed, skipped).  Files go first, then folders, deepest first, with all they hold."""
+    """Applies ``plan(phase, src, dst)`` to ``files(path)``: (paths after, renamed, skipped).  Files go first, then folders, deepest first, with all they hold.
+
+    A folder's rename changes its last name only, so folders are settled where they were, and each path takes the new names of
+    all its folders in one pass, whatever its depth (``relocated``).
+    """
     _, after, renamed, skipped = applied(plan.where("phase = 1"), files.select("path"))
-    folders = plan.where("phase = 2").select("src", "dst", F.size(F.split("src", "/")).alias("depth"))
-    for depth in sorted((r["depth"] for r in folders.select("depth").distinct().collect()), reverse=True):
-        here = folders.where(F.col("depth") == depth)
-        taken = folders_of(after).select(F.col("path").alias("dst"))
-        good = kept(here.join(taken, "dst", "left_anti").groupBy("dst").agg(F.min("src").alias("src")))
-        n, m = here.count(), good.count()
-        renamed, skipped = renamed + m, skipped + n - m
-        at = F.array_join(F.slice(F.split("path", "/"), 1, depth), "/")
-        moved = after.withColumn("src", F.when(F.size(F.split("path", "/")) > depth, at)).join(good, "src", "left")
-        after = kept(moved.select(F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("dst", F.expr("substring(path, length(src) + 1)"))).alias("path")))
-    return after, renamed, skipped
+    folders = plan.where("phase = 2").select("src", "dst", F.struct(-F.size(F.split("src", "/")), "src").alias("pos"))
+    taken = folders_of(after).unionByName(after)
+    told = settled(folders, taken)
+    if not told.where("act = 'stuck'").isEmpty():  # what holds a ring of renames waits for ever, too
+        done, _, n, m = _in_rounds(folders, taken)
+        return relocated(after, done), renamed + n, skipped + m
+    n = {r["act"]: r["count"] for r in told.groupBy("act").count().collect()}
+    return relocated(after, told.where("act = 'move'")), renamed + n.get("move", 0), skipped + n.get("skip", 0)
 
 
 def blocked_by_descendants(pending: DataFrame) -> DataFrame:
@@ -111,7 +113,22 @@ def blocked_by_descendants(pending: DataFrame) -> DataFrame:
 
 
 def applied(plan: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """Simulates a plan on ``paths(path)``: (applied with round, paths after, renamed, skipped).
+    """Applies ``plan(src, dst)`` to ``paths(path)``: (applied with round, paths after, renamed, skipped).
+
+    A plan of which no source lies inside another is settled by jumps along its chains (``settled``), else in rounds.
+    """
+    plan = plan.select("src", "dst").distinct()
+    if not blocked_by_descendants(plan).where("blocked").isEmpty():
+        return _in_rounds(plan, paths)
+    told = settled(plan, paths)
+    n = {r["act"]: r["count"] for r in told.groupBy("act").count().collect()}
+    done = told.where("act = 'move'").select("src", "dst", "round")
+    after = paths.join(done.select(F.col("src").alias("path"), "dst"), "path", "left").select(F.coalesce("dst", "path").alias("path"))
+    return done, kept(after), n.get("move", 0), n.get("skip", 0) + n.get("stuck", 0)
+
+
+def _in_rounds(plan: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Simulates a plan with sources inside others on ``paths(path)``: (applied with round, paths after, renamed, skipped).
 
     In each round every rename whose target is free goes, unless a pending source lies inside its own; of
     several to one target, the first by source.  Those whose target will itself move wait.  When a round moves

@@ -1296,26 +1296,26 @@ def promise_rules(spark, t):
 
 @query("select 'd/' || p_name || ' ' || p_partkey as src, 'd/é ' || upper(p_name) || ' ' || p_partkey as dst from part")
 def plan_file(spark, t):
-    """A rename plan written as one file in the shared folder, and read back."""
-    from .sources.state import read_plan, write_plan
+    """A rename plan written as JSON lines in the shared folder, and read back."""
+    from .sources.state import load_plan, save_plan
 
     k = _s("p_partkey")
-    at = f"{_shared(spark, 'plans')}.json"
-    write_plan(t("part").select(F.concat(F.lit("d/"), "p_name", F.lit(" "), k).alias("src"), F.concat(F.lit("d/é "), F.upper("p_name"), F.lit(" "), k).alias("dst")), "/lib", at)
-    return read_plan(spark, at)
+    at = _shared(spark, "plans")
+    save_plan(t("part").select(F.concat(F.lit("d/"), "p_name", F.lit(" "), k).alias("src"), F.concat(F.lit("d/é "), F.upper("p_name"), F.lit(" "), k).alias("dst")), "/lib", at)
+    return load_plan(spark, at)
 
 
 @query("select 'lib/' || c_custkey as path, 'video' as kind, c_custkey * 3 as size, c_custkey * 5 as mtime_ns, ['queued', 'running', 'done'][c_custkey % 3 + 1] as status, case when c_custkey % 2 = 0 then c_mktsegment end as detail, 'then' as updated_at from customer")
 def journal_file(spark, t):
-    """A run's journal written as one file, and read back as rows."""
-    from .sources.state import read_journal, write_journal_file
+    """A run's journal written as JSON lines, and read back as rows."""
+    from .sources.state import load_journal, save_journal
 
     k = F.col("c_custkey")
     status = F.when(k % 3 == 0, "queued").when(k % 3 == 1, "running").otherwise("done")
     rows = t("customer").select(F.concat(F.lit("lib/"), _s(k)).alias("path"), F.lit("video").alias("kind"), (k * 3).alias("size"), (k * 5).alias("mtime_ns"), status.alias("status"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("detail"), F.lit("then").alias("updated_at"))
-    at = f"{_shared(spark, 'journals')}.json"
-    write_journal_file(rows, at, "first", "then", None, False)
-    return read_journal(spark, at)
+    at = _shared(spark, "journals")
+    save_journal(rows, at, "first", "then", None, False)
+    return load_journal(spark, at)
 
 
 @query(
@@ -1326,15 +1326,204 @@ def journal_file(spark, t):
 def manifest_rows(spark, t):
     """Manifests of interrupted replacements, in order of their folders; damaged ones and paths outside the root are marked."""
     from .operators.order import row_numbers
-    from .sources.state import read_manifests, write_text
-
-    at, folders = _shared(spark, "manifests"), []
-    for (k,) in t("nation").select("n_nationkey").collect():  # 25 rows
-        folder = f"{at}/{k:02d}"
-        folders.append(folder)
-        root, source = "/lib", "/library/a" if k % 5 == 1 else f"/lib/{k}"
-        text = "{" if k % 5 == 0 else f'{{"version": 1, "state": "prepared", "root": "{root}", "source": "{source}", "final": "/lib/x", "temporary": "/lib/t", "backup": "/lib"}}'
-        if k % 7 != 6:
-            write_text(f"{folder}/manifest.json", text)
-    rows = read_manifests(spark, folders)
-    return row_numbers(rows.select(F.regexp_extract("manifest", r"/(\d+)/[^/]+\z", 1).cast("long").alias("k"), "state", "valid", "manifest"), [], ["manifest"], "n").select("k", "state", "valid", "n")
+    from .sources.state import find_manifests
+
+    at, k = _shared(spark, "manifests"), F.col("n_nationkey")
+    source = F.when(k % 5 == 1, "/library/a").otherwise(F.concat(F.lit("/lib/"), _s(k)))
+    whole = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("prepared").alias("state"), F.lit("/lib").alias("root"), source.alias("source"), F.lit("/lib/x").alias("final"), F.lit("/lib/t").alias("temporary"), F.lit("/lib").alias("backup")))
+    texts = t("nation").where(k % 7 != 6).select(F.when(k % 5 == 0, "{").otherwise(whole).alias("value"), F.lpad(_s(k), 2, "0").alias("at"))
+    texts.write.partitionBy("at").text(at)  # a folder each
+    rows = find_manifests(spark, at, "part-*")
+    return row_numbers(rows.select(F.regexp_extract("manifest", r"/at=(\d+)/[^/]+\z", 1).cast("long").alias("k"), "state", "valid", "manifest"), [], ["manifest"], "n").select("k", "state", "valid", "n")
+
+
+# ---------------------------------------------------------------- logs, runs and chains
+
+_STEPS = "prepare stage install dispose sidecar cleanup".split()
+_ODD = ["roll back", "recover", "refuse", "stage", "cleanup", "burn"]
+
+
+def _moved(state: str, event: str = "event") -> str:
+    """SQL of the state after ``event`` in ``state``."""
+    return f"""case when {event} = 'prepare' and {state} in ('absent', 'completed', 'rolled_back', 'refused') then 'prepared' when {event} = 'refuse' and {state} = 'prepared' then 'refused'
+      when {event} = 'stage' and {state} = 'prepared' then 'source_staged' when {event} = 'install' and {state} = 'source_staged' then 'output_installed' when {event} = 'dispose' and {state} = 'output_installed' then 'original_disposed'
+      when {event} = 'cleanup' and {state} = 'original_disposed' then 'completed' when {event} = 'roll back' and {state} in ('source_staged', 'output_installed') then 'rolled_back'
+      when {event} = 'recover' and {state} in ('prepared', 'source_staged') then 'rolled_back' when {event} = 'recover' and {state} in ('output_installed', 'original_disposed') then 'completed' else {state} end"""
+
+
+_DECIDED = "case after when 'prepared' then 'discard' when 'source_staged' then 'restore' when 'output_installed' then 'finish' when 'original_disposed' then 'finish' end"
+
+_LIVES = f"""recursive e as (
+  select l_orderkey as k, l_linenumber as n, l_partkey as p, l_suppkey as u, l_extendedprice as x, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i,
+    case when l_partkey % 11 = 0 then null when l_partkey % 5 = 0 then {_ODD!r}[cast(l_suppkey % 6 as integer) + 1] else {_STEPS!r}[cast((l_linenumber - 1) % 6 as integer) + 1] end as event from lineitem),
+s as (
+  select k, n, p, u, x, i, event, 'absent' as before, {_moved("'absent'")} as after from e where i = 1
+  union all select e.k, e.n, e.p, e.u, e.x, e.i, e.event, s.after, {_moved("s.after", "e.event")} from s join e on e.k = s.k and e.i = s.i + 1),
+told as (select *, before <> after or coalesce(event = 'sidecar' and before = 'original_disposed', false) as legal from s)"""
+
+
+def _lives(t) -> DataFrame:
+    """An event per line of an order: the steps of a commit, some out of place, unknown or null."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    pick = lambda names, at: F.element_at(F.array(*(F.lit(x) for x in names)), (at + 1).cast("int"))
+    event = F.when(p % 11 == 0, F.lit(None).cast("string")).when(p % 5 == 0, pick(_ODD, F.col("l_suppkey") % 6)).otherwise(pick(_STEPS, (n - 1) % 6))
+    return t("lineitem").select(F.col("l_orderkey").alias("k"), n.alias("n"), p.alias("p"), F.col("l_suppkey").alias("u"), F.col("l_extendedprice").alias("x"), event.alias("event"))
+
+
+@query(f"with {_LIVES} select k, n, p, u, x, before, after, case when not legal then coalesce(event, 'nothing') || ' in ' || before end as fault, {_DECIDED} as decision from told")
+def replacement_log(spark, t):
+    """The state of a replacement before and after every event of its log, events out of place, and what recovery would do there."""
+    from .operators import replacement
+
+    return replacement.history(_lives(t), ["k"], ["n", "p", "u", "x"]).select("k", "n", "p", "u", "x", "before", "after", "fault", "decision")
+
+
+@query(f"with {_LIVES} select k, arg_max(after, i) as state, count(*) as events, cast(count(*) filter (not legal) as bigint) as illegal, max({_DECIDED}) filter (i = c) as decision from (select *, count(*) over (partition by k) as c from told) group by k")
+def replacement_states(spark, t):
+    """How each replacement stands at the end of its log."""
+    from .operators import replacement
+
+    return replacement.standing(_lives(t), ["k"], ["n", "p", "u", "x"]).select("k", "state", "events", "illegal", "decision")
+
+
+@query(
+    """
+    with e as (
+      select o_orderkey as id, case when r = 0 then ['prepare|', 'refuse|source changed before transaction commit'] when r = 1 then ['prepare|', 'refuse|validated output changed before transaction commit']
+        when r = 2 then ['prepare|', 'refuse|output appeared during conversion: ' || o_orderkey || '.mp4'] when r = 3 then ['prepare|', 'stage|', 'install|', 'roll back|could not dispose of original']
+        else list_concat(['prepare|', 'stage|', 'install|', 'dispose|'], case when o_orderkey % 2 = 0 then ['sidecar|lib/' || o_orderkey || '.xmp'] else [] end, case when o_orderkey % 3 = 0 then ['sidecar|lib/' || o_orderkey || '.aae'] else [] end, ['cleanup|']) end as events
+      from (select o_orderkey, o_orderkey % 7 as r from orders)),
+    u as (select id, unnest(events) as e, generate_subscripts(events, 1) - 1 as seq from e)
+    select id, cast(seq as integer) as seq, split_part(e, '|', 1) as event, nullif(split_part(e, '|', 2), '') as detail,
+      case split_part(e, '|', 1) when 'prepare' then 'prepared' when 'refuse' then 'refused' when 'stage' then 'source_staged' when 'install' then 'output_installed' when 'dispose' then 'original_disposed' when 'sidecar' then 'original_disposed' when 'roll back' then 'rolled_back' else 'completed' end as after
+    from u
+    """
+)
+def replacement_commits(spark, t):
+    """The events of committing each replacement, with refusals, roll backs and sidecars, and the state after each."""
+    from .operators import replacement
+
+    k = F.col("o_orderkey")
+    at = lambda end: F.concat(F.lit("lib/"), _s(k), F.lit(end))
+    o = t("orders").select(k.alias("id"), at(".mov").alias("source"), at(".mp4").alias("final"), at(".tmp").alias("temporary"), k.alias("source_identity"), (k + 1).alias("output_identity"), (k % 7 != 3).alias("disposable"), F.array(at(".xmp"), at(".aae")).alias("sidecars"))
+    one = lambda end, identity, output: F.struct(at(end).alias("path"), identity.alias("identity"), output.alias("output_identity"))
+    files = F.array(
+        F.when(k == k, one(".mov", F.when(k % 7 == 0, -1).otherwise(k), k)),
+        F.when(k % 7 != 1, one(".tmp", k * 0 - 3, k + 1)), F.when(k % 7 == 2, one(".mp4", k, k)), F.when(k % 2 == 0, one(".xmp", k, k)), F.when(k % 3 == 0, one(".aae", k, k)),
+    )
+    observed = t("orders").select(F.explode(files).alias("f")).where("f is not null").select("f.*")
+    return replacement.history(replacement.committed(o, observed), ["id"], ["seq"]).select("id", "seq", "event", "detail", "after")
+
+
+@query(
+    """
+    select o_orderkey as id, case o_orderkey % 8 when 0 then 'unsupported transaction version in lib/.replacing-' || o_orderkey || '/manifest.json' when 1 then 'transaction source escapes its root' when 2 then 'transaction backup is not local to its source'
+      when 3 then 'transaction output paths are not local to their source' when 4 then 'transaction contains an invalid sidecar path' when 5 then 'transaction disposal root does not match its source root' end as problem from orders
+    """
+)
+def manifest_rules(spark, t):
+    """Which rule a manifest breaks first: version, root, backup, outputs, sidecars, disposal."""
+    from .operators import replacement
+
+    k = F.col("o_orderkey")
+    r = k % 8
+    directory = F.concat(F.lit("lib/.replacing-"), _s(k))
+    m = t("orders").select(
+        k.alias("id"), F.concat(directory, F.lit("/manifest.json")).alias("manifest"), F.when(r == 0, 2).otherwise(1).alias("version"), F.when(r == 1, "music").otherwise("lib").alias("root"), F.lit("lib/a.mov").alias("source"),
+        F.when(r == 3, "lib/b/a.mp4").otherwise("lib/a.mp4").alias("final"), F.lit("lib/a.tmp").alias("temporary"), F.concat(directory, F.when(r == 2, "/b.mov").otherwise("/a.mov")).alias("backup"),
+        F.array(F.lit("lib/a.AAE"), F.when(r == 4, "lib/a.jpg").otherwise("lib/a.xmp")).alias("sidecars"), F.when(r == 5, "music").when(r == 6, "lib").alias("disposal_root"),
+    )
+    return m.select("id", replacement.manifest_problem().alias("problem"))
+
+
+@query(
+    f"""
+    with {_LIVES},
+    begun as (select k, max(i) as b from told where legal and event = 'prepare' group by k),
+    gone as (select distinct k, 'lib/' || (n % 3 + 1) || '.xmp' as path from told join begun using (k) where legal and event = 'sidecar' and i > b),
+    every as (select k, 'lib/' || i || '.xmp' as path from (select distinct l_orderkey as k from lineitem), (select unnest([1, 2, 3]) as i) v)
+    select k, path from every anti join gone using (k, path)
+    """
+)
+def sidecars_left(spark, t):
+    """Sidecars that the current replacement of each order still has to dispose of."""
+    from .operators import replacement
+
+    log = _lives(t).withColumn("detail", F.concat(F.lit("lib/"), _s(F.col("n") % 3 + 1), F.lit(".xmp")))
+    every = t("lineitem").select(F.col("l_orderkey").alias("k")).distinct().select("k", F.explode(F.array(*(F.lit(f"lib/{i}.xmp") for i in (1, 2, 3)))).alias("path"))
+    return replacement.sidecars_left(log, every, ["k"], ["n", "p", "u", "x"])
+
+
+@query(
+    """
+    with e as (select cast(user_id as varchar) as key, event_id, cast(round(value * 1000) as bigint) as us from events),
+    r as (select *, count(*) filter (event_id % 7 = 0) over (partition by key order by event_id rows between unbounded preceding and 1 preceding) as run from e)
+    select key, event_id * 4 + 3 as pos, cast(coalesce(run, 0) as bigint) as run,
+      coalesce(last_value(case when event_id % 3 <> 0 then us / 1000000.0 end ignore nulls) over w, 0.0) as current,
+      nullif(last_value(case when event_id % 10 = 0 then -1.0 when event_id % 2 = 0 then cast(event_id % 9 as double) end ignore nulls) over w, -1.0) as speed
+    from r window w as (partition by key, coalesce(run, 0) order by event_id rows between unbounded preceding and current row)
+    """
+)
+def progress_runs(spark, t):
+    """The state of each converter at each progress line, with several runs per key: each begins anew."""
+    from .streaming.progress import progress_runs as runs
+
+    return runs(_progress_lines(t))
+
+
+def _progress_lines(t) -> DataFrame:
+    e = t("events").select(_s("user_id").alias("key"), "event_id", F.round(F.col("value") * 1000).cast("long").alias("us"))
+    n = F.col("event_id")
+    time = F.when(n % 3 == 0, "out_time_us=N/A").when(n % 3 == 1, F.concat(F.lit("out_time_us="), _s("us"))).otherwise(F.concat(F.lit("out_time_ms="), _s("us")))
+    fast = F.when(n % 10 == 0, "speed=N/A").when(n % 2 == 0, F.concat(F.lit("speed="), _s(n % 9), F.lit("x"))).otherwise("frame=7")
+    parts = F.array(time, fast, F.lit("noise"), F.when(n % 7 == 0, "progress=end").otherwise("progress=continue"))
+    return e.select("key", "event_id", F.posexplode(parts).alias("i", "value")).select("key", (F.col("event_id") * 4 + F.col("i")).alias("pos"), "value")
+
+
+_CHAINS = """
+    recursive f as (select p_partkey as k from part), p as (
+      select 'd/n' || lpad(cast(k as varchar), 9, '0') as src, case when k % 97 <> 0 then 'd/n' || lpad(cast(k + 1 as varchar), 9, '0') when k % 194 = 0 and k > 96 then 'd/n' || lpad(cast(k - 96 as varchar), 9, '0') when k % 388 = 97 then 'd/kept' else 'd/free' || k end as dst from f
+      union all select 'e/x' || lpad(cast(k as varchar), 9, '0'), 'd/n' || lpad(cast(k as varchar), 9, '0') from f where k % 5 = 0),
+    """
+
+
+@query(
+    f"""
+    with {_CHAINS}
+    ranked as (select p.src, p.dst, q.src is not null as waits, row_number() over (partition by p.dst order by coalesce(p.src < q.src, false), p.src) as place from p left join p q on q.src = p.dst),
+    w as (select src, dst, waits from ranked where place = 1),
+    s as (select src, 0 as round from w where not waits and dst <> 'd/kept' and dst not in (select 'd/n' || lpad(cast(k as varchar), 9, '0') from f) union all select w.src, s.round + 1 from s join w on w.dst = s.src)
+    select p.src, p.dst, s.round is not null as moved, cast(s.round as integer) as round from p left join s on s.src = p.src
+    """
+)
+def rename_chains(spark, t):
+    """Chains of renames, rings, taken targets and targets that several want."""
+    from .operators.chains import settled
+
+    k = F.col("p_partkey")
+    d = lambda n: F.concat(F.lit("d/n"), F.lpad(_s(n), 9, "0"))
+    e = F.concat(F.lit("e/x"), F.lpad(_s(k), 9, "0"))
+    to = F.when(k % 97 != 0, d(k + 1)).when((k % 194 == 0) & (k > 96), d(k - 96)).when(k % 388 == 97, "d/kept").otherwise(F.concat(F.lit("d/free"), _s(k)))
+    plan = t("part").select(d(k).alias("src"), to.alias("dst")).unionByName(t("part").where(k % 5 == 0).select(e.alias("src"), d(k).alias("dst")))
+    taken = plan.select(F.col("src").alias("path")).unionByName(spark.range(1).select(F.lit("d/kept").alias("path")))
+    return settled(plan, taken).select("src", "dst", (F.col("act") == "move").alias("moved"), "round")
+
+
+@query(
+    """
+    with p as (select *, lower(replace(p_brand, '#', '_')) as brand, p_size % 4 as size, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from part),
+    f as (select *, row_number() over (partition by brand, size, p_partkey % 3, p_name order by p_partkey) as n, count(*) over (partition by brand, size, p_partkey % 3, p_name) as c from p),
+    blocked as (select min(brand) as brand from p)
+    select case when brand = (select brand from blocked) then brand else upper(brand[1]) || replace(brand[2:], '_', ' ') end || '/Size ' || size || '/Box ' || p_partkey % 3 || '/' || title || ' [' || case when c >= 10 and n < 10 then '0' else '' end || n || '].jpg' as path from f union all select upper(brand[1]) || replace(brand[2:], '_', ' ') || '/Notes.txt' from blocked
+    """
+)
+def phases_applied(spark, t):
+    """Where every file is after the file phase and the folder phase, three folders deep; one folder's new name is taken."""
+    k = F.col("p_partkey")
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    path = F.concat(brand, F.lit("/size_"), _s(F.col("p_size") % 4), F.lit("/box_"), _s(k % 3), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s(k), F.lit(").jpg"))
+    files = t("part").select(k, path.alias("path"))
+    low = t("part").agg(F.min(brand).alias("b"))
+    other = low.select(F.concat(F.upper(F.substring("b", 1, 1)), F.replace(F.substring("b", 2, 1000), F.lit("_"), F.lit(" ")), F.lit("/Notes.txt")).alias("path"))
+    listed = files.select("path").unionByName(other)
+    return renames.apply_all(renames.plan_all(listed), listed)[0]

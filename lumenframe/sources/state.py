@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import shlex
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +67,7 @@ def write_cache(cache: DataFrame, path: str, dirty: bool = True) -> None:
 
 
 def _file(path: str):
-    """(file system, path) of a path with a scheme, by the running session; None for a plain one, which is on the driver's disk."""
-    if not re.match(r"[a-z][a-z0-9+.-]*:/", path):
-        return None
+    """(file system, path) where the running session finds ``path``; one without a scheme is in its default file system."""
     spark = SparkSession.getActiveSession()
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -78,13 +75,7 @@ def _file(path: str):
 
 def read_text(path: str) -> str | None:
     """A small state file, dot names included, wherever the session's file systems reach; null if it isn't there."""
-    if (at := _file(path)) is None:
-        try:
-            with open(path, encoding="utf-8") as f:
-                return f.read()
-        except OSError:
-            return None
-    files, p = at
+    files, p = _file(path)
     if not files.exists(p):
         return None
     stream = files.open(p)
@@ -95,11 +86,7 @@ def read_text(path: str) -> str | None:
 
 
 def write_text(path: str, text: str) -> None:
-    if (at := _file(path)) is None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
-        return
-    files, p = at
+    files, p = _file(path)
     stream = files.create(p, True)
     try:
         stream.write(bytearray(text, "utf-8"))
@@ -126,13 +113,50 @@ def write_plan(plan: DataFrame, root: str, path: str) -> None:
     write_text(path, json.dumps({"root": root, "renames": rows}, ensure_ascii=False, indent=2))
 
 
-def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of a plan file.  An absolute path or one with ".." is an error."""
-    df = spark.createDataFrame([(read_text(path),)], "text string").select(F.explode(F.from_json("text", S.PLAN)["renames"]).alias("r"))
-    df = df.select(F.col("r.from").alias("src"), F.col("r.to").alias("dst"))
+def _in_library(plan: DataFrame) -> DataFrame:
+    """``plan(src, dst)`` with an error for an absolute path or one with ".."."""
     bad = lambda c: F.col(c).startswith("/") | F.array_contains(F.split(c, "/"), "..")
     told = F.raise_error(F.concat(F.lit("plan path leaves the library: "), F.col("src"), F.lit(" -> "), F.col("dst")))
-    return df.withColumn("src", F.when(bad("src") | bad("dst"), told).otherwise(F.col("src")))
+    return plan.withColumn("src", F.when(bad("src") | bad("dst"), told).otherwise(F.col("src")))
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of a plan file, which a reader may have edited.  An absolute path or one with ".." is an error."""
+    df = spark.createDataFrame([(read_text(path),)], "text string").select(F.explode(F.from_json("text", S.PLAN)["renames"]).alias("r"))
+    return _in_library(df.select(F.col("r.from").alias("src"), F.col("r.to").alias("dst")))
+
+
+def save_plan(plan: DataFrame, root: str, path: str) -> None:
+    """Writes ``plan(src, dst)`` (relative) as a folder of JSON lines, by Spark's tasks; for plans of any size."""
+    plan.select(F.lit(root).alias("root"), F.col("src").alias("from"), F.col("dst").alias("to")).write.json(path)
+
+
+def load_plan(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of what ``save_plan`` wrote, edited or not.  An absolute path or one with ".." is an error."""
+    rows = spark.read.schema("root string, from string, to string").json(path)
+    return _in_library(rows.select(F.col("from").alias("src"), F.col("to").alias("dst")))
+
+
+ENTRY = "path string, kind string, identity struct<size:bigint,mtime_ns:bigint>, status string, detail string, updated_at string"
+RUN = "version int, started_at string, updated_at string, finished_at string, interrupted boolean"
+
+
+def save_journal(journal: DataFrame, path: str, started: str, updated: str, finished: str | None, interrupted: bool) -> None:
+    """Writes ``journal(path, kind, size, mtime_ns, status, detail, updated_at)`` as JSON lines under ``path``, by Spark's tasks; the run's own row comes last, so a journal without it isn't whole."""
+    entry = journal.select("path", "kind", F.struct("size", "mtime_ns").alias("identity"), "status", "detail", "updated_at")
+    entry.write.json(f"{path}/files")
+    run = {"version": F.lit(1), "started_at": F.lit(started), "updated_at": F.lit(updated), "finished_at": F.lit(finished).cast("string"), "interrupted": F.lit(interrupted)}
+    journal.sparkSession.range(1).select(*(c.alias(n) for n, c in run.items())).write.json(f"{path}/run")
+
+
+def load_journal(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind, size, mtime_ns, status, detail, updated_at of what ``save_journal`` wrote; none if it isn't whole or of another version."""
+    files, _ = _file(path)
+    if not files.exists(_file(f"{path}/run/_SUCCESS")[1]):
+        return spark.createDataFrame([], "path string, kind string, size long, mtime_ns long, status string, detail string, updated_at string")
+    whole = spark.read.schema(RUN).json(f"{path}/run").where("version = 1").select("version").limit(1)
+    rows = spark.read.schema(ENTRY).json(f"{path}/files").join(F.broadcast(whole))  # a row, or none
+    return rows.select("path", "kind", "identity.size", "identity.mtime_ns", "status", "detail", "updated_at")
 
 
 def record_batch(applied: DataFrame, table: str, time: str, order: tuple = ("src",)) -> bool:
@@ -156,17 +180,38 @@ def read_batches(spark: SparkSession, table: str) -> DataFrame:
     return _read_or_empty(spark, table, "batch_id long, time string, seq long, src string, dst string")
 
 
-def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Rows of the transaction manifests in these folders; ``valid`` is false for damaged ones or paths outside the root."""
+MANIFEST = "struct<version:int,state:string,root:string,source:string,final:string,temporary:string,backup:string,sidecars:array<string>,disposed_sidecars:array<string>,disposal:struct<mode:string,root:string,graveyard:string>>"
+
+
+def _manifests(texts: DataFrame) -> DataFrame:
     from ..functions.paths import inside
 
-    kind = "struct<version:int,state:string,root:string,source:string,final:string,temporary:string,backup:string>"
-    rows = [(p, text) for d in sorted(folders) for p in [os.path.join(d, "manifest.json")] if (text := read_text(p)) is not None]
-    df = spark.createDataFrame(rows, "manifest string, text string").withColumn("m", F.from_json("text", kind))
+    df = texts.withColumn("m", F.from_json("text", MANIFEST))
     ok = F.col("m.version") == 1
     for c in ("source", "final", "temporary", "backup"):
         ok = ok & inside(F.col(f"m.{c}"), F.col("m.root"))
-    return df.select("manifest", "m.*", F.coalesce(ok, F.lit(False)).alias("valid"))
+    return df.select("manifest", "m.version", "m.state", "m.root", "m.source", "m.final", "m.temporary", "m.backup", "m.sidecars", "m.disposed_sidecars", "m.disposal", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Rows of the transaction manifests in these folders; ``valid`` is false for damaged ones or paths outside the root."""
+    rows = [(p, text) for d in sorted(folders) for p in [os.path.join(d, "manifest.json")] if (text := read_text(p)) is not None]
+    return _manifests(spark.createDataFrame(rows, "manifest string, text string"))
+
+
+def find_manifests(spark: SparkSession, root: str, named: str = "manifest.json") -> DataFrame:
+    """``read_manifests`` of all files ``named`` (a pattern) under ``root``, at any depth, found and read by Spark's tasks.
+
+    Folders that begin with a dot are not looked into; bundles are left out.  Paths are as the file system tells them.
+    """
+    from ..functions.paths import pruned
+
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", named).schema("value string").text(root)
+    path = F.col("_metadata.file_path")
+    below = F.regexp_replace(path, r"\A[a-z][a-z0-9+.-]*:/*", "/")
+    start = F.regexp_replace(F.lit(root), r"\A[a-z][a-z0-9+.-]*:/*", "/")
+    rest = F.substring(below, F.length(F.rtrim(start, F.lit("/"))) + 2, F.length(below))
+    return _manifests(texts.select(path.alias("manifest"), F.col("value").alias("text"), rest.alias("_rest")).where(~pruned(F.col("_rest"))).select("manifest", "text"))
 
 
 def settings(text: str) -> list[str]:

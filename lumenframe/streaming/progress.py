@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import percent, speed
+from ..operators.scan import last_known
 from ..operators.timeline import packet_times
 
 
@@ -19,18 +20,24 @@ def packet_spans(packets: DataFrame, keys: tuple = ("path", "stream_index")) ->
     return packet_times(packets).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max("end") - F.min("start")).alias("span"))
 
 
-def progress_events(lines: DataFrame, key: str = "key", order: str = "pos") -> DataFrame:
-    """key, pos, current, speed at each ``progress=`` line of ``lines(key, pos, value)`` (batch).
+def progress_runs(lines: DataFrame, key: str = "key", order: str = "pos") -> DataFrame:
+    """key, pos, run, current, speed at each ``progress=`` line of ``lines(key, pos, value)`` (batch).
 
-    ``out_time_us`` and ``out_time_ms`` both count microseconds; the last of either stands until the next.
+    ``out_time_us`` and ``out_time_ms`` both count microseconds; the last of either stands until the next.  A run ends
+    with its ``progress=end``; the next one of the key begins anew, with number ``run`` from 0.  Scale: see ``last_known``.
     """
     name, value = F.regexp_extract(F.trim("value"), r"\A([^=]*)=", 1), F.regexp_extract(F.trim("value"), r"\A[^=]*=(.*)\z", 1)
-    df = lines.where(F.contains("value", F.lit("="))).withColumns({"_name": name, "_value": value})
+    df = lines.where(F.contains("value", F.lit("="))).select(key, order, name.alias("_name"), value.alias("_value")).where(F.col("_name").isin("out_time_us", "out_time_ms", "speed", "progress"))
     time = F.when(F.col("_name").isin("out_time_us", "out_time_ms"), F.col("_value").try_cast("bigint") / 1_000_000)
     fast = F.when(F.col("_name") == "speed", F.struct(speed(F.col("_value")).alias("v")))
-    w = f"over (partition by `{key}` order by `{order}` rows between unbounded preceding and current row)"
-    df = df.withColumns({"_time": time, "_fast": fast}).withColumns({"current": F.coalesce(F.expr(f"last(_time, true) {w}"), F.lit(0.0)), "speed": F.expr(f"last(_fast, true) {w}")["v"]})
-    return df.where("_name = 'progress'").select(key, order, "current", "speed")
+    ends = (F.col("_name") == "progress") & (F.trim("_value") == "end")
+    df = last_known(df, [key], [order], {"_time": time, "_fast": fast}, ends)
+    return df.where("_name = 'progress'").select(key, order, "run", F.coalesce("_time", F.lit(0.0)).alias("current"), F.col("_fast.v").alias("speed"))
+
+
+def progress_events(lines: DataFrame, key: str = "key", order: str = "pos") -> DataFrame:
+    """``progress_runs`` without the number of the run."""
+    return progress_runs(lines, key, order).drop("run")
 
 
 STATE = "last_time double, last_percent int"

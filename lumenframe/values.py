@@ -14,6 +14,9 @@ BUNDLE = (
     ".photoslibrary", ".aplibrary", ".migratedphotolibrary", ".photolibrary", ".app", ".fcpbundle", ".imovielibrary", ".tvlibrary", ".theater",
 )
 SIDECAR = (".aae", ".xmp")
+
+#: folders that hold an original while it is replaced
+TRANSACTION = ".replacing-"
 KINDS = {"photo": PHOTO, "heic": HEIC, "gif": GIF, "webp": WEBP, "video": VIDEO, "mp4": MP4}
 
 # words that stay in lower case inside a title
