@@ -38,11 +38,11 @@ def handed_over(df: DataFrame, keys: list[str], summary: dict[str, Column]) -> D
 
 def with_carry(df: DataFrame, carry: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Adds ``columns`` of ``carry`` (a row per key and range, for keys in several ranges) by key and range; keys may be null."""
-    c = carry.select(*(F.col(k).alias(f"_at_{n}") for n, k in enumerate(keys)), F.col(RANGE).alias("_at"), *columns)
-    on = F.col(RANGE) == F.col("_at")
+    c = carry.select(*(F.col(k).alias(f"_carry_key{n}") for n, k in enumerate(keys)), F.col(RANGE).alias("_carry_range"), *columns)
+    on = F.col(RANGE) == F.col("_carry_range")
     for n, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_at_{n}"))
-    return df.join(F.broadcast(c), on, "left").drop("_at", *(f"_at_{n}" for n in range(len(keys))))
+        on = on & F.col(k).eqNullSafe(F.col(f"_carry_key{n}"))
+    return df.join(F.broadcast(c), on, "left").drop("_carry_range", *(f"_carry_key{n}" for n in range(len(keys))))
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], ends: Column, run: str = "run") -> DataFrame:
@@ -174,3 +174,13 @@ def traced(log: DataFrame, machine: Automaton, keys: list[str], order: list[str]
 def folded(trace: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, state, events, illegal: the state in which each key of ``traced`` rows ends, and how many of its events had no move."""
     return trace.groupBy(*keys).agg(F.max_by("after", F.struct(*order)).alias("state"), F.count("*").alias("events"), F.count_if(~F.col("legal")).alias("illegal"))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of the whole numbers ``value`` over the rows of the key up to this one, in ``order``.  Rows with equal keys and order count in any order among themselves."""
+    d = dealt(df, keys, order)
+    by = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    over = handed_over(d, keys, {"_sum": F.sum(value)}).withColumn("_before", F.sum("_sum").over(by)).where("_before is not null")
+    here = F.sum(value).over(Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    d = with_carry(d.withColumn("_here", here), over, keys, ["_before"])
+    return d.select(*df.columns, (F.coalesce("_here", F.lit(0)) + F.coalesce("_before", F.lit(0))).cast("long").alias(name))

@@ -1527,3 +1527,23 @@ def phases_applied(spark, t):
     other = low.select(F.concat(F.upper(F.substring("b", 1, 1)), F.replace(F.substring("b", 2, 1000), F.lit("_"), F.lit(" ")), F.lit("/Notes.txt")).alias("path"))
     listed = files.select("path").unionByName(other)
     return renames.apply_all(renames.plan_all(listed), listed)[0]
+
+
+@query(
+    """
+    with p as (select p_partkey as k, 'f' || lpad(cast(p_partkey // 4 as varchar), 9, '0') as g, p_partkey // 4 % 4 as form, p_partkey % 4 as i from part)
+    select k, g || case form
+      when 0 then ['', ' 2', ' 2 2', ' 2 3'][i + 1] when 1 then [' 2', '', ' 3', ' 4'][i + 1] when 2 then ['', ' 2', ' 3', ' 2 2'][i + 1] else ['', ' 2', ' 2 2', ' 2 2 2'][i + 1] end || '.jpg' as target
+    from p
+    """
+)
+def claimed_names(spark, t):
+    """Names in a trash folder that moves of several base names claim: whoever comes first gets one, the other goes on."""
+    from .sources.state import disposal_names as names
+
+    k = F.col("p_partkey")
+    group, form, i = F.floor(k / 4), F.floor(k / 4) % 4, (k % 4).cast("int")
+    # forms: a, a, a 2, a 2; a 2, a, a, a; a, a 2, a, a 2; a, a, a 2, a 2 2
+    ends = F.when(form == 0, F.array(*map(F.lit, ("", "", " 2", " 2")))).when(form == 1, F.array(*map(F.lit, (" 2", "", "", "")))).when(form == 2, F.array(*map(F.lit, ("", " 2", "", " 2")))).otherwise(F.array(*map(F.lit, ("", "", " 2", " 2 2"))))
+    moves = t("part").select(k.alias("k"), F.lpad(_s(k), 9, "0").alias("path"), F.concat(F.lit("f"), F.lpad(_s(group), 9, "0"), F.get(ends, i)).alias("stem"), F.lit(".jpg").alias("suffix"))
+    return names(moves, spark.createDataFrame([], "name string")).select("k", "target")

@@ -237,23 +237,8 @@ def settings_rows(lines: DataFrame) -> DataFrame:
 def disposal_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds target to ``moves(path, stem, suffix)``: the name, or "stem N", the first from 2 on that neither ``existing(name)`` nor an earlier move has.
 
-    Moves of a name are served in order of path.  The k-th of them gets the k-th free number: k and as many more
-    as numbers that are taken come before it.  Both sides are numbered without a task per name.
+    Moves are served in order of path, and no two get one name: see ``free_names``.
     """
-    from ..operators.order import row_numbers
+    from ..operators.claims import free_names
 
-    number = F.coalesce(F.regexp_extract("name", r" (\d+)(?:\.[^.]*)?\z", 1).try_cast("bigint"), F.lit(1).cast("bigint"))
-    bare = F.regexp_replace("name", r" \d+(\.[^.]*)?\z", "$1")
-    forms = existing.select("name", F.lit(1).cast("bigint").alias("_n"), F.col("name").alias("_base")).unionByName(existing.select("name", number.alias("_n"), bare.alias("_base")).where("_n >= 2"))
-    # a number only counts as the counter writes it: no leading zeros
-    plain = F.when(F.col("_n") == 1, F.col("name") == F.col("_base")).otherwise(F.regexp_extract("name", r" (\d+)(?:\.[^.]*)?\z", 1) == F.col("_n").cast("string"))
-    m = moves.withColumn("_base", F.concat("stem", "suffix"))
-    taken = forms.where(plain).select("_base", "_n").distinct().join(m.select("_base").distinct(), "_base", "left_semi")
-    taken = row_numbers(taken, ["_base"], ["_n"], "_r").select("_base", (F.col("_n") - F.col("_r")).alias("_free"))
-    runs = taken.groupBy("_base", "_free").agg(F.count("*").alias("_count"))  # taken numbers before which as many are free
-    m = row_numbers(m, ["_base"], ["path"], "_k")
-    least = m.groupBy("_base").agg(F.max("_k").alias("_last"))
-    runs = runs.join(least, "_base").where("_free < _last").groupBy("_base").agg(F.array_sort(F.collect_list(F.struct("_free", "_count"))).alias("_runs"))
-    before = F.aggregate(F.filter(F.coalesce("_runs", F.array().cast("array<struct<_free:bigint,_count:bigint>>")), lambda r: r["_free"] < F.col("_k")), F.lit(0).cast("bigint"), lambda acc, r: acc + r["_count"])
-    m = m.join(runs, "_base", "left").withColumn("_n", F.col("_k") + before)
-    return m.withColumn("target", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.col("stem"), F.lit(" "), F.col("_n").cast("string"), F.col("suffix")))).select(*moves.columns, "target")
+    return free_names(moves, existing)

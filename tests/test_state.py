@@ -112,3 +112,28 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     assert progress.stop(spark) == [str(q.id)] and not q.isActive
     assert {r["status"] for r in progress.journal(spark, f"{tmp_path}/table", finished=False).collect()} == {"interrupted"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_of_several_bases(spark, seed):
+    """No two moves get one name, whoever claims it first: against serving one after the other."""
+    rng = random.Random(seed)
+    stems = ["a", "a 2", "a 3", "a 4", "a 2 2", "a 2 3", "a 10", "a 02", "b", "b 2", "c"]
+    moves = [(f"p{i:03}", rng.choice(stems + ["a"] * 6), rng.choice([".jpg", ".jpg", ""])) for i in rng.sample(range(1000), 120)]
+    have = ["a 3.jpg", "a 5.jpg", "b", "b 2 2", "a 2 3.jpg", "c.jpg"] if seed else []
+    got = {r["path"]: r["target"] for r in state.disposal_names(spark.createDataFrame(moves, "path string, stem string, suffix string"), spark.createDataFrame([(x,) for x in have], "name string")).collect()}
+    taken, want = set(have), {}
+    for path, stem, suffix in sorted(moves):
+        name, n = stem + suffix, 2
+        while name in taken:
+            name, n = f"{stem} {n}{suffix}", n + 1
+        taken.add(name)
+        want[path] = name
+    assert got == want
+
+
+def test_contested_names(spark):
+    moves = [("1", "a", ".jpg"), ("2", "a", ".jpg"), ("3", "a 2", ".jpg")]
+    got = state.disposal_names(spark.createDataFrame(moves, "path string, stem string, suffix string"), spark.createDataFrame([], "name string")).collect()
+    assert {r["path"]: r["target"] for r in got} == {"1": "a.jpg", "2": "a 2.jpg", "3": "a 2 2.jpg"}
+    assert state.disposal_names(spark.createDataFrame([], "path string, stem string, suffix string"), spark.createDataFrame([("a",)], "name string")).count() == 0
