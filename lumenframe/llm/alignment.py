@@ -18,6 +18,7 @@ numbers of such pairs, and the second pass reads these instead of texts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from .pieces import chunks_of
 
 LONG_UNIT = 400
 NONE_LEADS, A_LEADS, B_LEADS = 0, 1, -1
+UNKNOWN = object()
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,19 +42,33 @@ def byte_letters() -> dict[str, int]:
 
 
 class Byte:
-    """A byte-level tokenizer file; special tokens' strings are ordinary text."""
+    """A byte-level tokenizer file; special tokens' strings are ordinary text.
 
-    def __init__(self, file: str):
+    Where the same vocabulary is at hand as ranks, these encode short units: the same ids in less time.
+    """
+
+    def __init__(self, file: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.short = None
+        if ranks:
+            import base64
+
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+            self.short = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         letters = byte_letters()
         names = sorted(((i, n) for n, i in self.tokenizer.get_vocab().items()), key=lambda x: x[0])
         self.bytes = {i: bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for i, n in names}
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        if self.short is None:
+            return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        return [self.short(u) if len(u) < LONG_UNIT else self.tokenizer.encode(u, add_special_tokens=False).ids for u in units]
 
 
 class Piece:
@@ -71,10 +87,14 @@ class Piece:
         return self.model.encode([u[1:] for u in units], num_threads=1)
 
 
+#: white space at an end of a text, or beside other white space
+_WIDE = re.compile(r"\A\s|\s\s|\s\Z")
+
+
 def units_of(text: str) -> list[str]:
     """A blank and ``text``, cut before each single blank between two characters that are no white space."""
     parts = text.split(" ")
-    if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+    if text and not _WIDE.search(text):
         return parts
     out = [parts[0]]
     for p in parts[1:]:
@@ -96,42 +116,40 @@ class Transducer:
 
     def step(self, leads: int, left: bytes, token: int) -> tuple[int, bytes] | None:
         """The state after the next token of the side that doesn't lead; none if its bytes differ."""
-        key = (leads, left, token)
-        try:
-            return self.known[key]
-        except KeyError:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
         own = self.b[token] if leads == A_LEADS else self.a[token]
         if left.startswith(own):
-            left = left[len(own) :]
-            state = (leads, left) if left else (NONE_LEADS, b"")
+            state = (leads, left[len(own) :]) if len(left) > len(own) else (NONE_LEADS, b"")
         elif own.startswith(left):
             state = (B_LEADS if leads == A_LEADS else A_LEADS, own[len(left) :])
         else:
             state = None
-        self.known[key] = state
+        if len(self.known) >= self.LIMIT:
+            self.known.clear()
+        self.known[leads, left, token] = state
         return state
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """How many tokens of each side stand before the end of each group; none if the bytes differ."""
-        cuts, i, j, state = [], 0, 0, (NONE_LEADS, b"")
-        while i < len(a) or j < len(b):
-            if state[0] == A_LEADS:
-                if j == len(b):
+        known, cuts, i, j, n, m, leads, left = self.known, [], 0, 0, len(a), len(b), NONE_LEADS, b""
+        while True:
+            if leads == A_LEADS:
+                if j == m:
                     return None
-                state = self.step(*state, b[j])
+                token = b[j]
                 j += 1
             else:
-                if i == len(a):
-                    return None
-                state = self.step(*state, a[i])
+                if i == n:
+                    return cuts if leads == NONE_LEADS and j == m else None
+                token = a[i]
                 i += 1
+            state = known.get((leads, left, token), UNKNOWN)
+            if state is UNKNOWN:
+                state = self.step(leads, left, token)
             if state is None:
                 return None
-            if state[0] == NONE_LEADS:
+            leads, left = state
+            if leads == NONE_LEADS:
                 cuts.append((i, j))
-        return cuts if state[0] == NONE_LEADS else None
 
 
 class Units(dict):
@@ -149,10 +167,11 @@ class Units(dict):
 class Aligner:
     """Both tokenizers, the pairs that can end together, and the units met so far."""
 
-    UNITS, BYTES = 200_000, 48 << 20
+    UNITS, BYTES = 400_000, 64 << 20
 
-    def __init__(self, a_file: str, b_file: str):
-        self.a, self.b = Byte(a_file), Piece(b_file)
+    def __init__(self, a_file: str, b_file: str, ranks: str | None = None, pattern: str | None = None, whole: bool = True):
+        self.a, self.b, self.whole = Byte(a_file, ranks, pattern), Piece(b_file), whole
+        self.names = [str(i) for i in range(max(*self.a.bytes, *self.b.bytes) + 1)]
         if not all(self.a.bytes.values()) or not all(self.b.bytes.values()):
             raise ValueError("a token without bytes")
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
@@ -173,7 +192,7 @@ class Aligner:
     def clear(self) -> None:
         self.units, self.size = Units(), 0
         self.told: list[str] = []  # the groups of each unit
-        self.ids: list[tuple[bytes, bytes, bytes, bytes]] = []  # and its tokens of both sides, and cuts
+        self.ids: list[tuple[bytes, bytes, bytes, bytes]] = []  # and, if ``whole``, its tokens of both sides, and cuts
         self.counts = np.zeros((1 << 14, 4), np.int64)  # tokens of a and b, groups, 1 if the bytes differ
         self.at = np.zeros(1, np.int64)
         self.links = np.zeros(1 << 14, np.int32)
@@ -184,18 +203,23 @@ class Aligner:
         if not new:
             return
         spaced = [f" {u}" for u in new]
-        links, lens = [], []
-        rows = np.zeros((len(new), 4), np.int64)
-        for k, (a, b) in enumerate(zip(self.a.encode(spaced), self.b.encode(spaced), strict=True)):
-            cuts = self.transducer.groups(a, b)
-            rows[k] = (len(a), len(b), len(cuts), 0) if cuts is not None else (0, 0, 0, 1)
-            cuts = cuts or []
-            starts = [(0, 0), *cuts[:-1]]
-            self.told.append(";".join(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}" for (p, q), (i, j) in zip(starts, cuts, strict=bool(cuts))))
-            self.ids.append(tuple(np.asarray(x, "<i4").tobytes() for x in (a, b, [c[0] for c in cuts], [c[1] for c in cuts])))
-            links += [a[i - 1] * self.width + b[j - 1] for i, j in cuts]
-            lens.append(len(cuts))
-            self.size += len(self.told[-1]) + sum(map(len, self.ids[-1])) + 4 * len(new[k]) + 400
+        links: list[int] = []
+        counts: list[tuple[int, int, int, int]] = []
+        groups, names, width, told = self.transducer.groups, self.names, self.width, self.told
+        for a, b in zip(self.a.encode(spaced), self.b.encode(spaced), strict=True):
+            cuts = groups(a, b)
+            counts.append((len(a), len(b), len(cuts), 0) if cuts is not None else (0, 0, 0, 1))
+            own, p, q = [], 0, 0
+            for i, j in cuts or ():
+                own.append(f"{names[a[p]] if i - p == 1 else ','.join([names[x] for x in a[p:i]])}|{names[b[q]] if j - q == 1 else ','.join([names[x] for x in b[q:j]])}")
+                links.append(a[i - 1] * width + b[j - 1])
+                p, q = i, j
+            told.append(";".join(own))
+            if self.whole:
+                self.ids.append(tuple(np.asarray(x, "<i4").tobytes() for x in (a, b, [c[0] for c in cuts or ()], [c[1] for c in cuts or ()])))
+                self.size += 12 * (len(a) + len(b)) + 200
+        rows = np.array(counts, np.int64)
+        self.size += sum(map(len, new)) + sum(map(len, told[-len(new) :])) + 4 * len(links)
         n = len(self.at) - 1
         while n + len(new) > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
@@ -204,7 +228,7 @@ class Aligner:
         while end + len(codes) > len(self.links):
             self.links = np.concatenate([self.links, np.zeros_like(self.links)])
         self.links[end : end + len(codes)] = codes
-        self.at = np.concatenate([self.at, end + np.cumsum(np.array(lens, np.int64))])
+        self.at = np.concatenate([self.at, end + np.cumsum(rows[:, 2])])
 
     def texts(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
         """The unit numbers of each text, and per text: tokens of a and b, groups, and whether it has tokens."""
@@ -222,19 +246,20 @@ class Aligner:
         return [r if ok else [] for r, ok in zip(rows, sums[:, 3], strict=True)], sums
 
 
-_HELD: dict[tuple[str, str], Aligner] = {}
+_HELD: dict[tuple[str, str, bool], Aligner] = {}
 
 
-def aligner(a: str, b: str) -> Aligner:
-    """Tokenizers by the names of public files, found on each worker, or by paths."""
-    if (a, b) not in _HELD:
+def aligner(a: str, b: str, whole: bool = True) -> Aligner:
+    """Tokenizers by the names of public files, found on each worker, or by paths; ``whole``: units keep their tokens, too."""
+    if (a, b, whole) not in _HELD:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers as P
 
-        _HELD[a, b] = Aligner(*(x if "/" in x else P.path(x) for x in (a, b)))
-    return _HELD[a, b]
+        ranks = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN) if a == "byte_bpe_50k.json" else (None, None)
+        _HELD[a, b, whole] = Aligner(*(x if "/" in x else P.path(x) for x in (a, b)), *ranks, whole)
+    return _HELD[a, b, whole]
 
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -272,7 +297,7 @@ def linked(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     ship_code(docs.sparkSession)
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = aligner(a, b)
+        al = aligner(a, b, whole=False)
         for batch in frames:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for p, q in chunks_of(texts):
@@ -328,7 +353,7 @@ def aligned(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """
     spark = docs.sparkSession
     links = stored(linked(docs, a, b), "links")
-    al = aligner(a, b)
+    al = aligner(a, b, whole=False)
     got = pair_counts(links).toArrow()  # at most a row per pair of the vocabularies
     count, highest = np.zeros(len(al.pairs), np.int64), np.zeros(al.width, np.int64)
     count[got.column("pair").to_numpy()] = got.column("n").to_numpy()
