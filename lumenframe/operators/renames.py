@@ -93,6 +93,8 @@ def apply_all(plan: DataFrame, files: DataFrame) -> tuple[DataFrame, int, int]:
     A folder's rename changes its last name only, so folders are settled where they were, and each path takes the new names of
     all its folders in one pass, whatever its depth (``relocated``).
     """
+    checkpoints(plan.sparkSession)
+    plan = kept(plan.select("phase", "src", "dst"))  # read by several steps below
     _, after, renamed, skipped = applied(plan.where("phase = 1"), files.select("path"))
     folders = plan.where("phase = 2").select("src", "dst", F.struct(-F.size(F.split("src", "/")), "src").alias("pos"))
     taken = folders_of(after).unionByName(after)
@@ -117,7 +119,8 @@ def applied(plan: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, in
 
     A plan of which no source lies inside another is settled by jumps along its chains (``settled``), else in rounds.
     """
-    plan = plan.select("src", "dst").distinct()
+    checkpoints(plan.sparkSession)
+    plan = kept(plan.select("src", "dst").distinct())
     if not blocked_by_descendants(plan).where("blocked").isEmpty():
         return _in_rounds(plan, paths)
     told = settled(plan, paths)
