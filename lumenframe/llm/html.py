@@ -6,8 +6,10 @@ extracts each page again from the containers on its host's path; a page without
 own best.
 
 Elements whose tag, role, class or id names a part beside the article (menu, sidebar, advert, ...) are *suspect*.
-A suspect's text is left out, unless it holds most of the page's text that isn't in links: then the name
-misleads, and it only lowers the score.  That is put to the vote of the host, too, by path.
+A suspect's text is left out, however long it is, as long as less suspect text is left: a class or id can mislead, a tag or
+a role hardly does, and comments are comments.  A name misleads where nothing less suspect is left, or where a class
+holds the page's only main heading, and most of the text as suspect as itself; then it only lowers the score.  That is
+put to the vote of the host, too, by path.
 
 Scale: votes are one short row per page and suspect path, pre-aggregated per (host, path) before the shuffle, so
 a host with a third of all pages costs a few rows per task.  The winners are broadcast where their number is
@@ -44,6 +46,8 @@ DEEPEST = 64
 TALLEST = 512
 #: what a rescued suspect's text counts
 PENALTY = 0.25
+#: how suspect a part is: by class or id, by tag or role, as comments; 0 for none
+BY_CLASS, BY_TAG, AS_COMMENTS = 1, 2, 3
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 NUMBERS = re.compile(r"\d+")
@@ -51,12 +55,13 @@ UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Block(NamedTuple):
-    """Text between two block boundaries, how much of it is linked, and the (number, path) of the containers and suspects around it, outermost first."""
+    """Text between two block boundaries, how much of it is linked, the (number, path) of the containers and the (number, path, tier) of the suspects around it, outermost first, and whether it is a main heading."""
 
     text: str
     linked: int
     around: tuple
     suspects: tuple
+    heading: bool
 
 
 class Open(NamedTuple):
@@ -122,7 +127,7 @@ def blocks(html: str) -> list[Block]:
             # a reference can't begin in one piece and end in another, so pieces are decoded one by one
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, linked, stack[-1].around, stack[-1].suspects))
+                out.append(Block(joined, linked, stack[-1].around, stack[-1].suspects, bool(opened.get("h1"))))
             text.clear()
         linked = 0
 
@@ -195,10 +200,10 @@ def blocks(html: str) -> list[Block]:
                         break
         was = stack[-1]
         hidden = was.hidden or hidden or name == "head"
-        suspect = False
+        suspect = by_tag = False
         if name not in ("html", "body", "article", "main", "head"):
-            suspect = name in BESIDE and not (name == "header" and was.article) or role in ("navigation", "banner", "search", "dialog", "contentinfo", "complementary")
-            suspect = suspect or beside and not inside and not (was.article and "header" in classes and not comments)
+            by_tag = name in BESIDE and not (name == "header" and was.article) or role in ("navigation", "banner", "search", "dialog", "contentinfo", "complementary")
+            suspect = by_tag or beside and not inside and not (was.article and "header" in classes and not comments)
         if inline and len(stack) > TALLEST and not hidden and not suspect:
             skipped[name] = skipped.get(name, 0) + 1
             continue
@@ -209,7 +214,7 @@ def blocks(html: str) -> list[Block]:
                 around = (*around, (numbers, path))
                 numbers += 1
         if suspect and len(suspects) < DEEPEST:
-            suspects = (*suspects, (numbers, path if not inline else f"{path}>{name}.{classes}", comments))
+            suspects = (*suspects, (numbers, path if not inline else f"{path}>{name}.{classes}", AS_COMMENTS if comments else BY_TAG if by_tag else BY_CLASS))
             numbers += 1
         if not inner.endswith("/") or not inline:
             stack.append(Open(name, path, hidden, was.linked or name == "a", was.article or name in ("article", "main"), depth, around, suspects))
@@ -219,15 +224,27 @@ def blocks(html: str) -> list[Block]:
 
 
 def misnamed(found: list[Block]) -> dict[int, tuple[str, bool]]:
-    """Each suspect's path, and whether it holds most of the page's text that isn't in links; comments have to hold nearly all."""
-    total, own, out = 0, {}, {}
+    """Each suspect's path, and whether its name misleads: nothing less suspect is left, and it holds most of what is as suspect as itself.
+
+    One by class alone misleads, too, where it holds the page's only main heading and most of the text of no suspect or of such ones.
+    """
+    total, own, out = [0, 0, 0, 0], {}, {}
+    heads: list[set[int]] = []
     for b in found:
         plain = max(0, len(b.text) - b.linked)
-        total += plain
-        for number, path, comments in b.suspects:
-            own[number] = own.get(number, 0) + plain
-            out[number] = path, comments
-    return {k: (path, 2 * own[k] > total and (not comments or own[k] >= 10 * (total - own[k]))) for k, (path, comments) in out.items()}
+        tier = max((t for _, _, t in b.suspects), default=0)
+        total[tier] += plain
+        if b.heading:
+            heads.append({number for number, _, _ in b.suspects})
+        for number, path, t in b.suspects:
+            own[number] = own.get(number, 0) + (plain if tier == t else 0)
+            out[number] = path, t
+    told = {}
+    for k, (path, t) in out.items():
+        leads = t == BY_CLASS and bool(heads) and all(k in h for h in heads)
+        most = 2 * own[k] > total[t] + (total[0] if leads else 0)
+        told[k] = path, most and (leads or not sum(total[:t]))
+    return told
 
 
 def kept(found: list[Block], rescued: set[str]) -> list[Block]:
@@ -271,7 +288,7 @@ def extract(html: str | None, path: str | None, rescued: set[str]) -> str:
     """Text of the containers on ``path``, or of the page's own best container, or of all blocks, without suspects but those ``rescued``."""
     all_blocks = blocks(html or "")
     found = kept(all_blocks, rescued)
-    if not found:  # a page that has nothing else
+    if not found:  # a page that has nothing else, whatever its host says
         found = kept(all_blocks, {p for p, yes in misnamed(all_blocks).values() if yes})
     if path:
         on = [b for b in found if any(p == path for _, p in b.around)]
