@@ -58,7 +58,7 @@ def relocated(paths: DataFrame, moves: DataFrame) -> DataFrame:
     """
     at = dir_of(F.col("path"))
     folders = paths.select(at.alias("_dir")).where("_dir <> ''").distinct()
-    prefixes = folders.select("_dir", F.explode(F.concat(ancestors(F.concat("_dir", F.lit("/x"))))).alias("src"))
+    prefixes = folders.select("_dir", F.explode(ancestors(F.concat("_dir", F.lit("/x")))).alias("src"))
     new = moves.select("src", F.struct(F.size(F.split("src", "/")).alias("level"), name_of(F.col("dst")).alias("name")).alias("_new"))
     names = prefixes.join(new, "src").groupBy("_dir").agg(F.map_from_entries(F.collect_list("_new")).alias("_names"))  # as many as a path is deep
     parts = F.transform(F.split("_dir", "/"), lambda part, k: F.coalesce(F.try_element_at("_names", k + 1), part))
