@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import names as N
+from ..functions.folding import folded
 from ..functions.paths import dir_of, name_of, pruned, with_path_parts
 from ..running import checkpoints, kept
 from .chains import relocated, settled
@@ -40,7 +41,7 @@ def plan_files(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     loose = media.where("random").select("path", "dir", "stem", F.concat(folder, F.lit(" ["), token, F.lit("]")).alias("new"), "ext", F.lit(False).alias("leads"))
     opaque = media.where("not random and opaque").select("path", "dir", "stem", F.col("stem").alias("new"), "ext", F.lit(False).alias("leads"))
     named = media.where("not random and not opaque and cleaned <> ''").select("path", "dir", "name", "stem", "ext", "number", "is_dup", "site", "cleaned")
-    named = named.withColumns({"_key": F.lower("cleaned"), "_site": F.lower(F.coalesce("site", F.lit("")))})
+    named = named.withColumns({"_key": folded(F.col("cleaned")), "_site": folded(F.coalesce("site", F.lit("")))})
 
     def assigned(df: DataFrame) -> DataFrame:
         df = N.numbered_series(df, ["dir", "_key", "_site", "ext"])

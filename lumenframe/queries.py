@@ -1134,9 +1134,9 @@ def cache_table(spark, t):
     ident = F.struct(*(k.alias(c) for c in caches.IDENTITY))
     rows = lambda df, v: df.select(F.lit("probe").alias("kind"), _s(k).alias("path"), ident.alias("identity"), F.lit(None).cast("string").alias("f"), F.concat(F.lit(v), _s(k)).alias("value"))
     write_cache(read_cache(spark, at).unionByName(rows(t("orders"), "old")), at)
-    write_cache(caches.upserted(read_cache(spark, at), rows(t("orders").where("o_orderkey % 2 = 0"), "new")), f"{at}-next")
-    write_cache(rows(t("orders").limit(0), "x"), f"{at}-next", dirty=False)
-    return read_cache(spark, f"{at}-next").select("path", "value")
+    write_cache(caches.upserted(read_cache(spark, at), rows(t("orders").where("o_orderkey % 2 = 0"), "new")), at)
+    write_cache(rows(t("orders").limit(0), "x"), at, dirty=False)
+    return read_cache(spark, at).select("path", "value")
 
 
 @query("select cast(1 + p_partkey % 2 as bigint) as batch_id, row_number() over (partition by p_partkey % 2 order by 'a' || p_partkey) - 1 as seq, 'a' || p_partkey as src, 'b' || p_partkey as dst from part")
@@ -1547,3 +1547,75 @@ def claimed_names(spark, t):
     ends = F.when(form == 0, F.array(*map(F.lit, ("", "", " 2", " 2")))).when(form == 1, F.array(*map(F.lit, (" 2", "", "", "")))).when(form == 2, F.array(*map(F.lit, ("", " 2", "", " 2")))).otherwise(F.array(*map(F.lit, ("", "", " 2", " 2 2"))))
     moves = t("part").select(k.alias("k"), F.lpad(_s(k), 9, "0").alias("path"), F.concat(F.lit("f"), F.lpad(_s(group), 9, "0"), F.get(ends, i)).alias("stem"), F.lit(".jpg").alias("suffix"))
     return names(moves, spark.createDataFrame([], "name string")).select("k", "target")
+
+
+# ---------------------------------------------------------------- lives of keys, merged tables, folding
+
+
+@query(
+    """
+    with recursive e as (select cast(user_id as varchar) as key, epoch_us(ts) / 1000000.0 as moment, event_id, value,
+        case when event_id % 9 in (0, 4) then 'start' when event_id % 23 = 1 then 'finish' when event_id % 29 = 2 then 'clear' when event_id % 31 = 3 then 'noise' else 'update' end as action,
+        case when event_id % 2 = 0 then 100.0 when event_id % 5 = 0 then 0.0 end as total from events),
+    u as (select *, row_number() over (partition by key order by moment, event_id) as n from e where action <> 'noise'),
+    s as (
+      select key, cast(0 as bigint) as n, false as live, cast(0 as double) as since, -10 as step, cast(null as double) as total, false as told, cast(0 as double) as moment, cast(null as integer) as percent, cast(0 as double) as current from (select distinct key from u)
+      union all select key, n, action in ('start', 'update') and (live or action = 'start'), case when action = 'start' or told then moment else since end,
+          case when action = 'start' then -10 when told and percent is not null then percent - percent % 10 else step end, case when action = 'start' then given else total end, told, moment, percent, current
+        from (select *, action = 'update' and live and (coalesce(percent >= step + 10, false) or moment - since >= 60) as told
+          from (select u.key, u.n, u.action, u.moment, u.total as given, s.live, s.since, s.step, s.total, greatest(0, u.value) as current,
+              case when s.total > 0 then cast(greatest(0, least(100, trunc(greatest(0, u.value) / s.total * 100))) as integer) end as percent from s join u on u.key = s.key and u.n = s.n + 1)))
+    select key, moment as "at", percent, current from s where told
+    """
+)
+def progress_lifetimes(spark, t):
+    """Lines worth printing of files that start, finish and are cleared, from a stream of events; what belongs to none is silent."""
+    from .running import rocksdb, streamed
+    from .streaming.progress import lifetimes
+
+    e = F.col("event_id")
+    action = F.when((e % 9).isin(0, 4), "start").when(e % 23 == 1, "finish").when(e % 29 == 2, "clear").when(e % 31 == 3, "noise").otherwise("update")
+    total = F.when(e % 2 == 0, 100.0).when(e % 5 == 0, 0.0)
+    events = t("events").select(_s("user_id").alias("key"), e.alias("pos"), (F.expr("unix_micros(cast(ts as timestamp))") / 1_000_000).alias("at"), action.alias("action"), F.col("value").alias("current"), total.alias("total"))
+    with rocksdb(spark):
+        return streamed(spark, events, lifetimes, "append")
+
+
+@query(
+    """
+    with l as (select l_orderkey, l_linenumber % 4 as batch, max(l_linestatus || l_returnflag || l_linenumber) as status, max((l_orderkey * 7 + l_linenumber * 5) % 13) as moment from lineitem group by all)
+    select 'lib/' || l_orderkey as path, arg_max(status, moment * 4 + batch) as status, max(moment) as "at", count(*) as batches from l group by l_orderkey
+    """
+)
+def merged_runs(spark, t):
+    """The latest state of each file in a table merged batch by batch, one of them put in twice; read again after later steps."""
+    from .sources import runs
+
+    at, n = _shared(spark, "merged"), F.col("l_linenumber")
+    status = F.concat("l_linestatus", "l_returnflag", _s(n))
+    rows = t("lineitem").select(F.concat(F.lit("lib/"), _s("l_orderkey")).alias("path"), status.alias("status"), ((F.col("l_orderkey") * 7 + n * 5) % 13).alias("at"), (n % 4).alias("batch"))
+    rows = rows.groupBy("path", "batch").agg(F.max("status").alias("status"), F.max("at").alias("at"))
+    for k in (0, 1, 1, 2, 3):
+        runs.merge(rows.where(F.col("batch") == k).select("path", "status", "at"), at, ["path"], "at", k)
+    now = runs.read(spark, at, ["path"], "at")
+    return now.select("path", "status", "at").join(rows.groupBy("path").agg(F.count("*").alias("batches")), "path")
+
+
+_FOLDS = [("Straße", "STRASSE"), ("ﬁsh", "FISH"), ("Ὀδυσσεύς", "ὈΔΥΣΣΕΎΣ"), ("Ünal", "üNAL"), ("plain", "PLAIN")]
+
+
+@query(
+    """
+    with p as (select p_partkey, ['strasse', 'fish', 'ὀδυσσεύσ', 'ünal', 'plain'][p_partkey % 5 + 1] || ' ' || lower(p_brand) as key from part)
+    select p_partkey, key, row_number() over (partition by key order by p_partkey) as seq, case when count(*) over (partition by key) >= 10 then 2 else 1 end as width from p
+    """
+)
+def folded_series(spark, t):
+    """Numbered series whose names differ by case alone, in letters that fold to several, too."""
+    from .functions.folding import folded
+
+    k, word = F.col("p_partkey"), F.lit(None).cast("string")
+    for n, pair in enumerate(_FOLDS):
+        word = F.when(k % 5 == n, F.when(F.floor(k / 5) % 2 == 0, pair[0]).otherwise(pair[1])).otherwise(word)
+    df = t("part").select(k, folded(F.concat(word, F.lit(" "), F.col("p_brand"))).alias("key"), k.alias("number"), F.lit(False).alias("is_dup"), k.alias("name"))
+    return N.numbered_series(df, ["key"]).select("p_partkey", "key", "seq", "width")

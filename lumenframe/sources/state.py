@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.inventory import normalised
+from . import runs
+from .runs import located, read_text, write_text
 
 
 def inventories(raw: DataFrame) -> DataFrame:
@@ -58,40 +60,14 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache table; empty if there is none."""
-    return _read_or_empty(spark, path, S.CACHE)
+    found = runs.read(spark, path)
+    return spark.createDataFrame([], S.CACHE) if found is None else found
 
 
 def write_cache(cache: DataFrame, path: str, dirty: bool = True) -> None:
+    """Replaces the cache in one step; ``cache`` may come from it.  A write that fails leaves the old one."""
     if dirty:
-        cache.write.mode("overwrite").parquet(path)
-
-
-def _file(path: str):
-    """(file system, path) where the running session finds ``path``; one without a scheme is in its default file system."""
-    spark = SparkSession.getActiveSession()
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def read_text(path: str) -> str | None:
-    """A small state file, dot names included, wherever the session's file systems reach; null if it isn't there."""
-    files, p = _file(path)
-    if not files.exists(p):
-        return None
-    stream = files.open(p)
-    try:
-        return SparkSession.getActiveSession().sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def write_text(path: str, text: str) -> None:
-    files, p = _file(path)
-    stream = files.create(p, True)
-    try:
-        stream.write(bytearray(text, "utf-8"))
-    finally:
-        stream.close()
+        runs.replace(cache, path)
 
 
 def write_journal_file(journal: DataFrame, path: str, started: str, updated: str, finished: str | None, interrupted: bool) -> None:
@@ -151,8 +127,8 @@ def save_journal(journal: DataFrame, path: str, started: str, updated: str, fini
 
 def load_journal(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, size, mtime_ns, status, detail, updated_at of what ``save_journal`` wrote; none if it isn't whole or of another version."""
-    files, _ = _file(path)
-    if not files.exists(_file(f"{path}/run/_SUCCESS")[1]):
+    files, done = located(f"{path}/run/_SUCCESS")
+    if not files.exists(done):
         return spark.createDataFrame([], "path string, kind string, size long, mtime_ns long, status string, detail string, updated_at string")
     whole = spark.read.schema(RUN).json(f"{path}/run").where("version = 1").select("version").limit(1)
     rows = spark.read.schema(ENTRY).json(f"{path}/files").join(F.broadcast(whole))  # a row, or none

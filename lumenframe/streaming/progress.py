@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import percent, speed
 from ..operators.scan import last_known
 from ..operators.timeline import packet_times
+from ..sources import runs
 
 
 def packet_spans(packets: DataFrame, keys: tuple = ("path", "stream_index")) -> DataFrame:
@@ -44,11 +47,11 @@ STATE = "last_time double, last_percent int"
 BEAT = "key string, at double, percent int, current double"
 
 
-def _beats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rule needs the last line's time and step, so it goes from line to line: by a search for the next one, not row by row."""
-    rows = pd.concat(list(frames)).sort_values(["at", "current"], kind="stable")
-    at, share = rows["at"].to_numpy(float), rows["percent"].astype("float64").to_numpy()
-    last_time, last_percent = state.get if state.exists else (float(at[0]), -10)
+def _told(at: np.ndarray, share: np.ndarray, last_time: float, last_percent: int) -> tuple[list[int], float, int]:
+    """Which updates are worth a line, and the last line's time and step after them.
+
+    The rule needs the last line, so it goes from line to line: by a search for the next one, not row by row.
+    """
     k, lines = 0, []
     while k < len(at):
         late = k + int(np.searchsorted(at[k:], last_time + 60))
@@ -60,7 +63,14 @@ def _beats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
             if not np.isnan(share[k]):
                 last_percent = int(share[k]) - int(share[k]) % 10
             k += 1
-    state.update((last_time, last_percent))
+    return lines, last_time, last_percent
+
+
+def _beats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values(["at", "current"], kind="stable")
+    at, share = rows["at"].to_numpy(float), rows["percent"].astype("float64").to_numpy()
+    lines, *last = _told(at, share, *(state.get if state.exists else (float(at[0]), -10)))
+    state.update(tuple(last))
     if lines:
         out = rows.iloc[lines]
         yield pd.DataFrame({"key": key[0], "at": out["at"].to_numpy(float), "percent": out["percent"].astype("Int32").to_numpy(), "current": out["current"].to_numpy(float)}).astype({"percent": "Int32"})
@@ -76,6 +86,68 @@ def heartbeats(updates: DataFrame) -> DataFrame:
     return df.groupBy("key").applyInPandasWithState(_beats, BEAT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class Beats(StatefulProcessor):
+    """A key's life: begun by ``start``, told of by ``update``, ended by ``finish`` or ``clear``, or by a timer when nothing came for ``idle`` seconds."""
+
+    def __init__(self, idle: float) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.line = handle.getValueState("line", "at double, percent int, total double, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        df = pd.concat(list(rows)).sort_values(["at", "pos"], kind="stable")
+        at, action, current, totals = df["at"].to_numpy(float), df["action"].to_numpy(object), df["current"].to_numpy(float), df["total"].to_numpy(float)
+        held = self.line.get() if self.line.exists() else None
+        live, timer = (tuple(held[:3]), held[3]) if held else (None, None)
+        turns = [*np.flatnonzero(action != "update").tolist(), len(df)]
+        a = 0
+        for b in turns:  # what lies between two turns is updates alone
+            if live is not None and b > a:
+                total = live[2]
+                now = np.fmax(current[a:b], 0.0)
+                share = np.clip(np.trunc(now / total * 100), 0, 100) if total is not None and total > 0 else np.full(b - a, np.nan)
+                lines, last, step = _told(at[a:b], share, live[0], live[1])
+                live = (last, step, total)
+                if lines:
+                    yield pd.DataFrame({"key": key[0], "at": at[a:b][lines], "percent": pd.array(share[lines], "Float64").astype("Int32"), "current": now[lines]})
+            if b < len(df):
+                live = (float(at[b]), -10, None if np.isnan(totals[b]) else float(totals[b])) if action[b] == "start" else None
+            a = b + 1
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if live is None:
+            self.line.clear()
+        else:
+            timer = int((max(float(at[-1]), timerValues.getCurrentWatermarkInMs() / 1000) + self.idle) * 1000)
+            self.handle.registerTimer(timer)
+            self.line.update((*live, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.line.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lifetimes(events: DataFrame, idle: float = 3600.0, late: str = "10 minutes") -> DataFrame:
+    """key, at, percent, current of the updates worth a line, of keys that come and go.
+
+    ``events(key, pos, at, action, current, total)`` is a stream; ``at`` in seconds, equal ones in order of ``pos``.  ``start``
+    begins a key (again), with its ``total``; updates of a key that isn't begun tell nothing; ``finish`` and ``clear`` end it.
+    Events are served in order within a batch and batches as they come; what comes ``late`` after the
+    rest, and what is not after 1970 began, is left out.
+    State: a row per key that is begun; a key that was left alone for ``idle`` seconds of event time goes, too.  Events with
+    other actions, or without time, are left out.  The session's state stores must be RocksDB (``running.rocksdb``).
+    """
+    e = events.where(F.col("action").isin("start", "update", "finish", "clear") & F.col("at").isNotNull())
+    e = e.select("key", "pos", F.col("at").cast("double").alias("at"), "action", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"))
+    e = e.withColumn("moment", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("moment", late)
+    return e.groupBy("key").transformWithStateInPandas(Beats(idle), BEAT, "Append", "EventTime")
+
+
 def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by ``order`` (an expression): current states from a log of changes, batch or streaming."""
     rest = [c for c in updates.columns if c not in keys]
@@ -83,20 +155,22 @@ def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def write_journal(updates: DataFrame, table: str, checkpoint: str, every: str = "1 second"):
-    """Starts a query that appends to ``table`` (Parquet, one folder per batch) the latest of ``updates(path, status, detail, at)``, a write per ``every`` at most.  ``journal`` reads it."""
+    """Starts a query that merges ``updates(path, status, detail, at)`` into ``table``, a step per ``every`` at most.  ``journal`` reads it; a batch that is repeated changes nothing."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, ["path"], "at").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        runs.merge(batch, table, ["path"], "at", batch_id)
 
     return updates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def journal(spark: SparkSession, table: str, finished: bool = True) -> DataFrame:
-    """path, status, detail, at: the latest row of each path over all batches of ``write_journal``.
+    """path, status, detail, at: the latest row of each path, of equal times that of the later batch.
 
     Of a run that didn't finish, what was queued or running counts as interrupted.
     """
-    now = latest(spark.read.parquet(table), ["path"], "struct(at, batch)").drop("batch")
+    now = runs.read(spark, table, ["path"], "at")
+    if now is None:
+        now = spark.createDataFrame([], "path string, status string, detail string, at long")
     if finished:
         return now
     return now.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))
