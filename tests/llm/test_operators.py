@@ -353,7 +353,7 @@ def test_passages(spark, docs, corpus, empty):
 
 
 def test_passages_all_partners(spark):
-    """A popular line whose first holder shares nothing more, and pairs that share more around it: with all partners every repeat is found, whatever batch or chunk."""
+    """A popular line whose first holder shares nothing more, and pairs that share more around it: every repeat is found, whatever partition, batch or chunk."""
     rng = random.Random(31)
     line = text(rng, 30)
     docs = [(i, f"{text(rng, 40)} {line} {text(rng, 40)}") for i in range(60)]
@@ -371,13 +371,49 @@ def test_passages_all_partners(spark):
                 want[d].update(range(k, k + 50))
             grams[run].append(d)
     assert len(want) >= 15
-    got = {}
-    for back in (None, 3):
+    for parts, how in ((5, {"back": None, "enough": 1}), (1, {}), (5, {}), (40, {})):  # {}: as registered
         cut = defaultdict(set)
-        for r in windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), back=back, enough=1).collect():
+        for r in windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), **how).collect():
             cut[r["doc_id"]].update(range(r["start"], r["end"]))
-        got[back] = sum(len(want[d] & cut[d]) for d in want) / sum(map(len, want.values()))
-    assert got[None] == 1.0 and got[3] >= 0.8
+        assert all(want[d] <= cut[d] for d in want), (parts, how)
+
+
+def test_passages_exact_repeats(spark):
+    """Every word of every exact repeat is found with the registered settings: popular lines of many lengths, passages inside texts that repeat themselves, and long shared stretches."""
+    rng = random.Random(77)
+    lines = [text(rng, n) for n in (12, 30, 44, 49, 50, 51, 60, 140)]
+    docs = []
+    for i in range(300):
+        parts = [text(rng, rng.randint(5, 40))]
+        for _ in range(rng.randint(1, 4)):
+            parts += [rng.choice(lines), text(rng, rng.choice([0, 1, 3, 30]))]
+        if i % 17 == 0:
+            parts += [lines[0]] * 9 + [lines[3]] * 3
+        docs.append((i, " ".join(parts)))
+    grams, want = defaultdict(list), defaultdict(set)
+    for d, t in docs:
+        w = t.split()
+        for k in range(len(w) - 49):
+            run = tuple(w[k : k + 50])
+            if any(o < d for o in grams[run]):
+                want[d].update(range(k, k + 50))
+            grams[run].append(d)
+    rng.shuffle(docs)
+    cut = defaultdict(set)
+    for r in windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect():
+        cut[r["doc_id"]].update(range(r["start"], r["end"]))
+    assert len(want) > 200 and all(want[d] <= cut[d] for d in want)
+
+
+def test_runs_inside():
+    tokens = np.random.default_rng(1).integers(0, 2**63, 40, dtype=np.uint64)
+    twice = np.concatenate([tokens, tokens])
+    for width in (1, 2, 7, 32, 46, 80, 81):
+        h = windows.run_hashes(twice, width)
+        assert len(h) == max(0, 81 - width) and len(set(h.tolist())) == min(40, len(h))
+        spans = [(3, 9), (8, 60), (70, 79)]
+        want = [any(a <= s and s + width - 1 <= b for a, b in spans) for s in range(len(h))]
+        assert windows.inside(spans, len(h), width).tolist() == want
 
 
 def test_compact_windows():
