@@ -98,12 +98,13 @@ def committed(transactions: DataFrame, observed: DataFrame) -> DataFrame:
 
     ``observed(path, identity, output_identity)`` has a row per existing file.  A source or an output that changed, or a file that
     appeared under the final name, refuses the commit.  ``disposable`` false: the original can't be disposed of, and what was done is rolled back.
-    Each of ``sidecars`` that exists goes, in order, before the record does.  Three left joins on path, and one on existing sidecars.
+    Each of ``sidecars`` that exists goes, in order, before the record does.  Three left joins on path, and one on existing sidecars, all by shuffle: files and
+    transactions grow alike, and what Spark expects of exploded rows is far too little to choose a broadcast by.
     """
     t = transactions
     for place in ("source", "final", "temporary"):
         seen = observed.select(F.col("path").alias(place), F.col("identity").alias(f"_{place}_id"), F.col("output_identity").alias(f"_{place}_out"), F.lit(True).alias(f"_{place}"))
-        t = t.join(seen, place, "left")
+        t = t.join(seen.hint("shuffle_merge"), place, "left")
     there = lambda p: F.coalesce(F.col(f"_{p}"), F.lit(False))
     refusal = (
         F.when(~(there("source") & F.col("_source_id").eqNullSafe(F.col("source_identity"))), "source changed before transaction commit")
@@ -111,9 +112,9 @@ def committed(transactions: DataFrame, observed: DataFrame) -> DataFrame:
         .when((F.col("final") != F.col("source")) & there("final"), F.concat(F.lit("output appeared during conversion: "), name_of(F.col("final"))))
     )
     t = t.withColumn("_refusal", refusal)
-    aside = t.select("id", F.posexplode("sidecars").alias("_n", "path")).join(observed.select("path"), "path", "left_semi")
+    aside = transactions.select("id", F.posexplode("sidecars").alias("_n", "path")).join(observed.select("path").hint("shuffle_merge"), "path", "left_semi")
     aside = aside.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_n", "path"))).alias("_aside"))  # a few per file
-    t = t.join(aside, "id", "left")
+    t = t.join(aside.hint("shuffle_merge"), "id", "left")
     step = lambda event, detail=None: F.struct(F.lit(event).alias("event"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
     none = F.array().cast("array<struct<_n:int,path:string>>")
     gone = F.transform(F.coalesce("_aside", none), lambda s: step("sidecar", s["path"]))

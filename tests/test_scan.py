@@ -227,3 +227,14 @@ def test_state_files(spark, tmp_path, scheme):
         state.write_text(f"{at}/lib/{folder}/manifest.json", "{" if folder == "txn-4" else text.format(folder[-1]))
     found = {r["manifest"].split("/")[-2]: r for r in state.find_manifests(spark, f"{at}/lib").collect()}
     assert {k: r["valid"] for k, r in found.items() if k != "txn-3"} == {"txn-1": True, "txn-2": True, "txn-4": False} and found["txn-2"]["source"] == "/lib/2" and found["txn-1"]["sidecars"] == ["/lib/s.xmp"]
+
+
+def test_commits_meet_files_without_broadcast(spark):
+    # exploded rows look small to Spark, and a broadcast of all files passes through the driver
+    from lumenframe.operators import replacement
+
+    t = spark.sql("select id, concat('a', id) source, concat('b', id) final, concat('c', id) temporary, id source_identity, id output_identity, true disposable, array(concat('s', id)) sidecars from range(3)")
+    observed = spark.sql("select explode(array(concat('a', id), concat('c', id), concat('s', id))) path, id identity, id output_identity from range(3)")
+    df = replacement.committed(t, observed)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["event"] for r in df.where("id = 1").orderBy("seq").collect()] == ["prepare", "stage", "install", "dispose", "sidecar", "cleanup"]
