@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import values as V
-from .measures import number, rate_of_parts
+from .measures import bound, number, rate_of_parts
 
 
 def normalised(text: Column) -> Column:
     """An inventory from a probe's JSON; null where it can't be read."""
-    raw = F.from_json(text, S.RAW_INVENTORY, {"mode": "PERMISSIVE"})
 
     def lower_keys(tags: Column) -> Column:
         # the last of equal keys wins
-        entries = F.map_entries(tags)
-        keep = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: F.lower(x["key"]) == F.lower(e["key"])))
-        return F.map_from_entries(F.transform(keep, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+        last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+        lowered = F.transform(F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        return F.map_from_entries(bound(lowered, last))
 
     def chosen(tags: Column, names: tuple) -> Column:
         return F.coalesce(F.map_filter(tags, lambda k, v: k.isin(*names)), F.create_map().cast("map<string,string>"))
 
     def stream(s: Column) -> Column:
         tags = F.coalesce(lower_keys(s["tags"]), F.create_map().cast("map<string,string>"))
+        return bound(tags, lambda t: with_tags(s, t))
+
+    def with_tags(s: Column, tags: Column) -> Column:
         side = F.coalesce(s["side_data_list"], F.array().cast("array<map<string,string>>"))
         turns = F.filter(F.transform(side, lambda d: number(d["rotation"])), lambda r: r.isNotNull())
         colours = F.map_filter(F.create_map(*(x for f in V.COLOR_FIELDS for x in (F.lit(f), s[f]))), lambda k, v: v.isNotNull())
@@ -55,13 +57,18 @@ def normalised(text: Column) -> Column:
         kind = F.coalesce(F.nullif(g["type"], F.lit("")), F.nullif(g["group_type"], F.lit("")), F.lit("unknown"))
         return F.struct(g["index"].alias("index"), g["id"].alias("id"), kind.alias("type"))
 
-    out = F.struct(
-        F.transform(F.coalesce(raw["streams"], F.array().cast(f"array<{S.RAW_STREAM}>")), stream).alias("streams"),
-        F.coalesce(F.transform(raw["chapters"], chapter), F.array().cast(f"array<{S.CHAPTER}>")).alias("chapters"),
-        F.coalesce(F.transform(raw["stream_groups"], group), F.array().cast(f"array<{S.GROUP}>")).alias("stream_groups"),
-    )
-    # anything but an object is no inventory
-    return F.when(F.get_json_object(text, "$").isNotNull() & F.trim(text).startswith("{"), out)
+    def whole(raw: Column) -> Column:
+        return F.struct(
+            F.transform(F.coalesce(raw["streams"], F.array().cast(f"array<{S.RAW_STREAM}>")), stream).alias("streams"),
+            F.coalesce(F.transform(raw["chapters"], chapter), F.array().cast(f"array<{S.CHAPTER}>")).alias("chapters"),
+            F.coalesce(F.transform(raw["stream_groups"], group), F.array().cast(f"array<{S.GROUP}>")).alias("stream_groups"),
+        )
+
+    def read(t: Column) -> Column:
+        # anything but an object is no inventory
+        return F.when(F.get_json_object(t, "$").isNotNull() & F.trim(t).startswith("{"), bound(F.from_json(t, S.RAW_INVENTORY, {"mode": "PERMISSIVE"}), whole))
+
+    return bound(text, read)
 
 
 def of_type(inv: Column, kind: str) -> Column:
@@ -136,17 +143,30 @@ def _listed(*items: Column) -> Column:
 
 def advanced_features(inv: Column) -> Column:
     """Properties of the first picture that an ordinary 8-bit encode may damage, in order."""
-    s = first_video(inv)
-    side = F.lower(F.array_join(F.coalesce(s["side_data_types"], F.array().cast("array<string>")), " "))
-    groups = F.lower(F.array_join(F.transform(inv["stream_groups"], lambda g: F.coalesce(g["type"], F.lit(""))), " "))
-    fmt, order = F.lower(F.coalesce(s["pix_fmt"], F.lit(""))), F.lower(F.coalesce(s["field_order"], F.lit("")))
+    return bound(F.struct(first_video(inv).alias("s"), inv["stream_groups"].alias("groups")), lambda i: bound(_told_of(i["s"], i["groups"]), lambda p: _features(i["s"], p)))
+
+
+def _told_of(s: Column, groups: Column) -> Column:
+    """What several features look at, each computed once."""
+    words = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return F.struct(
+        F.lower(F.array_join(F.coalesce(s["side_data_types"], F.array().cast("array<string>")), " ")).alias("side"),
+        F.lower(F.array_join(F.transform(groups, lambda g: F.coalesce(g["type"], F.lit(""))), " ")).alias("groups"),
+        words(s["pix_fmt"]).alias("fmt"),
+        words(s["field_order"]).alias("order"),
+        rate_of_parts(s["avg_frame_rate"]).alias("mean"),
+        rate_of_parts(s["r_frame_rate"]).alias("nominal"),
+        pixel_depth(s).alias("depth"),
+    )
+
+
+def _features(s: Column, p: Column) -> Column:
+    side, groups, fmt, order, mean, nominal, depth = (p[n] for n in ("side", "groups", "fmt", "order", "mean", "nominal", "depth"))
     alpha = F.lit(False)
     for x in V.ALPHA_PREFIXES:
         alpha = alpha | fmt.startswith(x)
-    mean, nominal = rate_of_parts(s["avg_frame_rate"]), rate_of_parts(s["r_frame_rate"])
     varies = F.coalesce((mean != 0) & (nominal != 0) & (F.abs(mean - nominal) > F.greatest(F.lit(0.01), nominal * 0.01)), F.lit(False))
     odd = (mean != 0) & ((mean < 10) | (mean > 120))
-    depth = pixel_depth(s)
     listed = _listed(
         F.when(depth > 8, F.concat(depth.cast("string"), F.lit("-bit video"))),
         F.when(F.coalesce(F.lower(s["color"]["color_transfer"]).isin(*V.HDR_TRANSFERS), F.lit(False)) | _any_marker(side), "HDR/dynamic-range metadata"),

@@ -10,6 +10,11 @@ from pyspark.sql.types import StringType
 from .. import values as V
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` names it; a plain expression would be copied to each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def number(text: Column) -> Column:
     """A double, or null.  Forms that only Java reads ("1.0d") are no numbers."""
     return F.when(~text.rlike(r"[dDfF]\s*\z"), text.try_cast("double"))

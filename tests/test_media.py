@@ -168,3 +168,16 @@ def test_measures(spark):
     ).first()
     assert tuple(row)[:10] == (None, None, 29.97, "5.1", "2020-01-02 03:04:05", "1.5 KB", "1:02:05", "--:--", 64 << 20, "b | c | d")
     assert "  25%" in row[10] and "0.50x" in row[10] and "ETA 6:00:00" in row[10]
+
+
+def test_features_look_for_the_picture_once(spark):
+    from lumenframe.schemas import INVENTORY
+
+    df = spark.createDataFrame([], f"inv {INVENTORY}").select(I.advanced_features(F.col("inv")).alias("f"))
+    assert df._jdf.queryExecution().analyzed().toString().count("filter(inv") == 1
+
+
+def test_probe_is_read_once(spark):
+    df = spark.createDataFrame([], "text string").select(I.normalised(F.col("text")).alias("i"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json(") == 1
