@@ -656,3 +656,22 @@ def test_training_sample(spark):
     assert one.weights == many.weights and one.thresholds.tolist() == many.thresholds.tolist()
 
 
+
+
+def test_passages_meet_all_documents_around_a_popular_line(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    line = [f"l{k}" for k in range(40)]
+    docs = []
+    for k in range(30):  # a near copy of 55 words, 30 documents later; 49 of them in a row, 40 of these in all documents
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 15)]
+        other = [*own[:5], f"x{k}", *own[6:]]
+        pad = lambda: [f"p{x}" for x in rng.integers(0, 10**9, 60)]
+        docs += [(i, " ".join([*pad(), *w[:12], *line, *w[12:], *pad()])) for i, w in ((k, own), (k + 30, other))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    links = lambda **how: {(r["doc_id"], r["other_id"]) for r in windows.passages(df, **how).collect()}
+    want = {(k + 30, k) for k in range(30)}
+    found = links()
+    assert len(found & want) >= 27
+    assert len(links(back=3) & want) < 27
+    monkeypatch.setattr(windows, "BLOCK", 8)
+    assert links() == found
