@@ -8,8 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import percent, speed
@@ -86,23 +84,22 @@ def heartbeats(updates: DataFrame) -> DataFrame:
     return df.groupBy("key").applyInPandasWithState(_beats, BEAT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-class Beats(StatefulProcessor):
-    """A key's life: begun by ``start``, told of by ``update``, ended by ``finish`` or ``clear``, or by a timer when nothing came for ``idle`` seconds."""
+LIFE = "at double, percent int, total double"
 
-    def __init__(self, idle: float) -> None:
-        self.idle = idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.line = handle.getValueState("line", "at double, percent int, total double, timer long")
+def _lived(idle: float):
+    """A key's life: begun by ``start``, told of by ``update``, ended by ``finish`` or ``clear``, or when nothing came for ``idle`` seconds."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        df = pd.concat(list(rows)).sort_values(["at", "pos"], kind="stable")
-        at, action, current, totals = df["at"].to_numpy(float), df["action"].to_numpy(object), df["current"].to_numpy(float), df["total"].to_numpy(float)
-        held = self.line.get() if self.line.exists() else None
-        live, timer = (tuple(held[:3]), held[3]) if held else (None, None)
-        turns = [*np.flatnonzero(action != "update").tolist(), len(df)]
-        a = 0
+    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        df = pd.concat(list(frames))
+        order = np.lexsort((df["pos"].to_numpy(), df["at"].to_numpy(float)))
+        at, action, current, totals = df["at"].to_numpy(float)[order], df["action"].to_numpy(object)[order], df["current"].to_numpy(float)[order], df["total"].to_numpy(float)[order]
+        live = tuple(state.get) if state.exists else None
+        turns = [*np.flatnonzero(action != "update").tolist(), len(at)]
+        a, out = 0, []
         for b in turns:  # what lies between two turns is updates alone
             if live is not None and b > a:
                 total = live[2]
@@ -110,26 +107,20 @@ class Beats(StatefulProcessor):
                 share = np.clip(np.trunc(now / total * 100), 0, 100) if total is not None and total > 0 else np.full(b - a, np.nan)
                 lines, last, step = _told(at[a:b], share, live[0], live[1])
                 live = (last, step, total)
-                if lines:
-                    yield pd.DataFrame({"key": key[0], "at": at[a:b][lines], "percent": pd.array(share[lines], "Float64").astype("Int32"), "current": now[lines]})
-            if b < len(df):
+                out.extend((at[a + k], share[k], now[k]) for k in lines)
+            if b < len(at):
                 live = (float(at[b]), -10, None if np.isnan(totals[b]) else float(totals[b])) if action[b] == "start" else None
             a = b + 1
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        if live is None:
-            self.line.clear()
-        else:
-            timer = int((max(float(at[-1]), timerValues.getCurrentWatermarkInMs() / 1000) + self.idle) * 1000)
-            self.handle.registerTimer(timer)
-            self.line.update((*live, timer))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.line.clear()
-        return iter(())
+        if live is not None:
+            state.update(live)
+            state.setTimeoutTimestamp(int((max(float(at[-1]), state.getCurrentWatermarkMs() / 1000) + idle) * 1000))
+        elif state.exists:
+            state.remove()
+        if out:
+            when, share, now = (np.array(x, dtype=float) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"key": key[0], "at": when, "percent": pd.array(share, "Float64").astype("Int32"), "current": now})
 
-    def close(self) -> None:
-        pass
+    return serve
 
 
 def lifetimes(events: DataFrame, idle: float = 3600.0, late: str = "10 minutes") -> DataFrame:
@@ -140,12 +131,13 @@ def lifetimes(events: DataFrame, idle: float = 3600.0, late: str = "10 minutes")
     Events are served in order within a batch and batches as they come; what comes ``late`` after the
     rest, and what is not after 1970 began, is left out.
     State: a row per key that is begun; a key that was left alone for ``idle`` seconds of event time goes, too.  Events with
-    other actions, or without time, are left out.  The session's state stores must be RocksDB (``running.rocksdb``).
+    other actions, or without time, are left out.
+    States go to Python with the rows, many keys in a batch; no key asks for its own.
     """
     e = events.where(F.col("action").isin("start", "update", "finish", "clear") & F.col("at").isNotNull())
     e = e.select("key", "pos", F.col("at").cast("double").alias("at"), "action", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"))
     e = e.withColumn("moment", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("moment", late)
-    return e.groupBy("key").transformWithStateInPandas(Beats(idle), BEAT, "Append", "EventTime")
+    return e.groupBy("key").applyInPandasWithState(_lived(idle), BEAT, LIFE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:

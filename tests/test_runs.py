@@ -167,3 +167,9 @@ def test_cache_renewed_in_place(spark, table):
     assert runs.state(table)["version"] == 1
     state.write_cache(state.read_cache(spark, table), table)
     assert runs.state(table)["version"] == 2 and state.read_cache(spark, table).count() == 0
+
+
+def test_states_of_lives_travel_with_rows(spark, tmp_path):
+    # with transformWithState each key asks for its state and timer by itself, several round trips a key
+    df = progress.lifetimes(spark.readStream.schema(LIFE).parquet(str(tmp_path)))
+    assert "TransformWithState" not in df._jdf.queryExecution().analyzed().toString()
