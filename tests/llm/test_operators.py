@@ -675,3 +675,26 @@ def test_passages_meet_all_documents_around_a_popular_line(spark, monkeypatch):
     assert len(links(back=3) & want) < 27
     monkeypatch.setattr(windows, "BLOCK", 8)
     assert links() == found
+
+
+def test_passages_of_repeated_lines_meet_once(spark, monkeypatch):
+    """Lines said over and over in many documents: a few pairs of places, not one for each pair of their windows; near copies beside them are found."""
+    rng = np.random.default_rng(8)
+    pad = lambda n: [f"p{x}" for x in rng.integers(0, 10**9, n)]
+    line = [f"l{k}" for k in range(30)]
+    docs, want = [], set()
+    for k in range(12):
+        own = pad(60)
+        for i, w in ((k, own), (k + 12, [*own[:30], f"x{k}", *own[31:]])):
+            docs.append((i, " ".join([*pad(40), *["spam"] * (90 + i), *pad(40), *line * 6, *pad(40), *w, *pad(20)])))
+        want.add((k + 12, k))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sizes = {}
+    stored = windows.stored
+    monkeypatch.setattr(windows, "stored", lambda frame, what: sizes.__setitem__(what, (out := stored(frame, what)).count()) or out)
+    found = windows.passages(df).collect()
+    links = {(r["doc_id"], r["other_id"]) for r in found}
+    at = {i: t.split().index("spam") for i, t in docs}
+    assert all(any(r["doc_id"] == i and r["start"] <= at[i] and r["end"] >= at[i] + 90 + i for r in found) or i == 0 for i in (1, 5, 11))
+    assert len(want & links) >= 11
+    assert sizes["met"] < 5_000
