@@ -28,7 +28,9 @@ def plan_files(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     Scale: two windows (series, and series of the .mov files that follow none) and two joins, all by folder
     and name.
     """
-    f = with_path_parts(files.select("path")).where(~pruned(F.col("path")))
+    # dealt evenly, however few files the table has, and taken apart once: filters pushed below would do it again
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = kept(with_path_parts(files.select("path").repartition(tasks, "path")).where(~pruned(F.col("path"))))
     media = f.where(F.col("ext").isin(*RENAMED))
     media = N.with_parsed(media.withColumn("guid", N.is_guid(F.col("stem"))))
     media = N.with_cleaned(media.withColumn("random", F.col("guid") | N.looks_random(F.col("stem"))), compose=True)
@@ -79,7 +81,9 @@ def folders_of(files: DataFrame) -> DataFrame:
     """(path) of all folders that hold a file, at any depth."""
     from ..functions.paths import ancestors
 
-    return files.where(F.contains("path", F.lit("/"))).select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    # each folder is taken apart once, not each file
+    held = files.where(F.contains("path", F.lit("/"))).select(dir_of(F.col("path")).alias("_dir")).distinct()
+    return held.select(F.explode(ancestors(F.concat("_dir", F.lit("/x")))).alias("path")).distinct()
 
 
 def plan_all(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:

@@ -1519,13 +1519,16 @@ def rename_chains(spark, t):
 )
 def phases_applied(spark, t):
     """Where every file is after the file phase and the folder phase, three folders deep; one folder's new name is taken."""
+    from .running import kept
+
     k = F.col("p_partkey")
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
     path = F.concat(brand, F.lit("/size_"), _s(F.col("p_size") % 4), F.lit("/box_"), _s(k % 3), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), _s(k), F.lit(").jpg"))
     files = t("part").select(k, path.alias("path"))
     low = t("part").agg(F.min(brand).alias("b"))
     other = low.select(F.concat(F.upper(F.substring("b", 1, 1)), F.replace(F.substring("b", 2, 1000), F.lit("_"), F.lit(" ")), F.lit("/Notes.txt")).alias("path"))
-    listed = files.select("path").unionByName(other)
+    # a listing is a table, not worked out anew at each step
+    listed = kept(files.select("path").unionByName(other).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
     return renames.apply_all(renames.plan_all(listed), listed)[0]
 
 

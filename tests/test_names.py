@@ -95,3 +95,19 @@ def test_applied_and_undone(spark):
 def test_folders(spark, folder, new):
     got = [r["dst"] for r in R.plan_folders(spark.createDataFrame([(folder,)], "path string")).collect()]
     assert got == ([new] if new else [])
+
+
+def test_folders_are_taken_apart_once_each(spark):
+    files = spark.createDataFrame([(f"a/b{k % 3}/{k}.jpg",) for k in range(300)] + [("top.jpg",), ("/root.jpg",)], "path string")
+    found = R.folders_of(files)
+    assert sorted(r["path"] for r in found.collect()) == ["", "a", "a/b0", "a/b1", "a/b2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]  # distinct folders come below
+
+
+def test_files_are_planned_in_many_tasks(spark, monkeypatch):
+    parts, kept = [], R.kept
+    monkeypatch.setattr(R, "kept", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
+    files = spark.createDataFrame([(f"a/n_{k}.jpg",) for k in range(50)], "path string").coalesce(1)
+    assert R.plan_files(files).count() == 50
+    assert parts[0] == int(spark.conf.get("spark.sql.shuffle.partitions"))
