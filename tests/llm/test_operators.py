@@ -698,3 +698,44 @@ def test_passages_of_repeated_lines_meet_once(spark, monkeypatch):
     assert all(any(r["doc_id"] == i and r["start"] <= at[i] and r["end"] >= at[i] + 90 + i for r in found) or i == 0 for i in (1, 5, 11))
     assert len(want & links) >= 11
     assert sizes["met"] < 5_000
+
+
+def test_passages_around_a_popular_line_beside_repeated_words(spark, monkeypatch):
+    """A line of 12 words in many documents, beside words said over and over in some, makes no candidates of all their pairs; a near copy of such a passage is found."""
+    rng = np.random.default_rng(9)
+    pad = lambda n: [f"p{x}" for x in rng.integers(0, 10**9, n)]
+    line = [f"l{k}" for k in range(12)]
+    docs = [(i, " ".join([*pad(60), *line, *([f"f{i}"] * 60 if i < 8 else pad(60))])) for i in range(60)]
+    own = [*["again"] * 20, *line, *pad(60)]
+    docs += [(60, " ".join([*pad(30), *own, *pad(30)])), (61, " ".join([*pad(50), *own[:60], "x", *own[61:], *pad(10)]))]
+    sizes, stored = {}, windows.stored
+    monkeypatch.setattr(windows, "stored", lambda frame, what: sizes.__setitem__(what, (out := stored(frame, what)).count()) or out)
+    found = windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(61, 60)}
+    assert sizes["places"] < 100
+
+
+def test_places_are_verified_together_as_one_by_one():
+    rng = np.random.default_rng(10)
+    sides = [], []
+    for _ in range(150):
+        n, kinds = int(rng.integers(30, 300)), int(rng.choice([5, 60, 10**6]))
+        a = rng.integers(0, kinds, n).astype("<u4")
+        b = np.where(rng.random(n) < rng.choice([0, 0.02, 0.3]), rng.integers(0, kinds, n), a).astype("<u4")
+        sides[0].append(a)
+        sides[1].append(b[: 0 if rng.random() < 0.05 else n])
+    ends = [np.concatenate([[0], np.cumsum([len(x) for x in side])]) for side in sides]
+    got = windows.verified_places(np.concatenate(sides[0]), ends[0], np.concatenate(sides[1]), ends[1], 50, 0.8)
+    assert sorted(zip(*(c.tolist() for c in got), strict=True)) == sorted((k, *r) for k, (a, b) in enumerate(zip(*sides, strict=True)) for r in windows.verified(a, b, 50, 0.8))
+
+
+def test_fewest_distinct_tokens():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(rng.integers(12, 50))
+        tokens = rng.integers(0, int(rng.choice([2, 8, 1000])), n).astype("<u4")
+        c, d = (int(x) for x in rng.integers(0, n, 2))
+        e, h = (min(n - 1, x + int(rng.integers(0, 4))) for x in (c, d))
+        fewest, _ = windows.fewest_distinct(tokens, np.array([0, n]), {k: np.array([x + 7]) for k, x in (("lo", 0), ("c", c), ("e", e), ("d", d), ("h", h))}, 12)
+        runs = [len(set(tokens[s:t].tolist())) for s in range(n) for t in range(s + 12, n + 1) if s <= e and t > c and s <= h and t > d]
+        assert fewest[0] <= min(runs) and (fewest[0] == min(runs) or max(c, d) - 11 > min(e, h))
