@@ -739,3 +739,10 @@ def test_fewest_distinct_tokens():
         fewest, _ = windows.fewest_distinct(tokens, np.array([0, n]), {k: np.array([x + 7]) for k, x in (("lo", 0), ("c", c), ("e", e), ("d", d), ("h", h))}, 12)
         runs = [len(set(tokens[s:t].tolist())) for s in range(n) for t in range(s + 12, n + 1) if s <= e and t > c and s <= h and t > d]
         assert fewest[0] <= min(runs) and (fewest[0] == min(runs) or max(c, d) - 11 > min(e, h))
+
+
+def test_tasks_leave_no_words_behind():
+    from lumenframe.llm import common
+
+    assert list(common.lean(lambda frames: (len(common.word_hashes(t)) for t in frames))(iter(["a b", "c"]))) == [2, 1]
+    assert not common.WORDS
